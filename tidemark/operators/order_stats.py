@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import small_table
+
 LEAF_ROWS = 500_000
 GRID = 256
 
@@ -81,8 +83,9 @@ def _with_interval(df: DataFrame, cuts: Mapping[str, list[float]]) -> DataFrame:
     long = _unpivot(df, columns)
     if width == 0:
         return long.withColumn("interval", F.lit(0))
-    table = df.sparkSession.createDataFrame(
-        [(name, [float(c) for c in cuts[name]]) for name in columns],
+    table = small_table(
+            df.sparkSession,
+            [(name, [float(c) for c in cuts[name]]) for name in columns],
         "feature string, cuts array<double>",
     )
     return long.join(F.broadcast(table), "feature").select(
@@ -157,7 +160,8 @@ def order_statistics(
                 offset += row["n"]
         if not crowded:
             break
-        keys = df.sparkSession.createDataFrame(
+        keys = small_table(
+            df.sparkSession,
             [(c[0], c[1]) for c in crowded], "feature string, interval int"
         )
         points = [i / grid for i in range(1, grid)]
@@ -181,7 +185,8 @@ def order_statistics(
 
     if leaves:
         used = {name: cuts[name] for name in sorted({leaf[0] for leaf in leaves})}
-        table = df.sparkSession.createDataFrame(
+        table = small_table(
+            df.sparkSession,
             leaves, "feature string, interval int, offset bigint, ranks array<bigint>"
         )
         order = Window.partitionBy("feature", "interval").orderBy("value")

@@ -23,6 +23,7 @@ from tidemark.operators.order_stats import (
     read_summary,
     summary_expressions,
 )
+from tidemark.session import small_table
 
 NUMERIC, CATEGORICAL = "numeric", "categorical"
 
@@ -130,8 +131,9 @@ def _profile_table(tagged: DataFrame, profiles: dict[str, FeatureProfile]) -> Da
          p.rows[0], p.rows[1], p.populated[0], p.populated[1])
         for p in profiles.values()
     ]
-    return tagged.sparkSession.createDataFrame(
-        rows,
+    return small_table(
+            tagged.sparkSession,
+            rows,
         "feature string, kind string, edges array<double>, inner_edges array<double>, "
         "ref_rows bigint, cur_rows bigint, ref_populated bigint, cur_populated bigint",
     )
@@ -169,7 +171,8 @@ def bucket_counts(tagged: DataFrame, profiles: dict[str, FeatureProfile]) -> Dat
         )
         parts.append(count_sides(long))
     if not parts:
-        return tagged.sparkSession.createDataFrame(
+        return small_table(
+            tagged.sparkSession,
             [], "feature string, bucket string, ref_n bigint, cur_n bigint"
         )
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -288,7 +291,7 @@ def _as(df: DataFrame, feature: str, data_type: str) -> DataFrame:
 
 def band_counts(report: DataFrame) -> DataFrame:
     """Features per band, zero bands included."""
-    bands = report.sparkSession.createDataFrame(
+    bands = small_table(report.sparkSession, 
         [("stable",), ("moderate",), ("major",), ("unmeasurable",)], "band string"
     )
     counted = report.groupBy("band").agg(F.count("*").alias("n"))
@@ -299,7 +302,7 @@ def band_counts(report: DataFrame) -> DataFrame:
 
 def band_regression(report: DataFrame, expected: dict[str, int]) -> DataFrame:
     """Measured against expected band sizes, one row per band."""
-    table = report.sparkSession.createDataFrame(list(expected.items()), "band string, expected bigint")
+    table = small_table(report.sparkSession, list(expected.items()), "band string, expected bigint")
     return band_counts(report).join(F.broadcast(table), "band").withColumn(
         "matches", F.col("features") == F.col("expected")
     )

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -65,3 +68,18 @@ def enable_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` write below the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
+
+
+def small_table(spark: SparkSession, rows: Iterable[tuple], ddl: str) -> DataFrame:
+    """A table of driver-held facts (edges, bounds, bands) as a local relation.
+
+    Sent as Arrow, so it is planned as a local scan with a known size; meant for rows
+    whose number is fixed by the schema or a parameter, never by the data.
+    """
+    schema = T.StructType.fromDDL(ddl)
+    rows = [tuple(r) for r in rows]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    names = schema.fieldNames()
+    table = pa.Table.from_pylist([dict(zip(names, r)) for r in rows])
+    return spark.createDataFrame(table.select(names), schema)
