@@ -6,6 +6,7 @@ from tidemark.workload.base import QUERIES, STATEMENTS
 
 _MODULES = [
     "drift",
+    "batch",
 ]
 
 
