@@ -7,6 +7,9 @@ from tidemark.workload.base import QUERIES, STATEMENTS
 _MODULES = [
     "drift",
     "batch",
+    "evaluation",
+    "records",
+    "expressions",
 ]
 
 
