@@ -46,8 +46,8 @@ def tree_tables(model: GBTClassificationModel) -> TreeTables:
     nodes = spark.read.parquet(f"{path}/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
         F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("threshold"),
-        F.col("nodeData.impurityStats")[0].alias("cover"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+        F.get("nodeData.impurityStats", F.lit(0)).alias("cover"),
     ).collect()
     by_tree: dict[int, dict[int, object]] = {}
     for row in nodes:

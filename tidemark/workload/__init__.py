@@ -10,6 +10,8 @@ _MODULES = [
     "evaluation",
     "records",
     "expressions",
+    "streams",
+    "models",
 ]
 
 

@@ -46,7 +46,7 @@ def main(parts):
         except Exception as error:
             bad.append(name)
             print(f"ERROR {name}: {str(error)[:600]}")
-            if len(parts) > 0:
+            if os.environ.get("TRACE"):
                 traceback.print_exc()
             continue
         spent = time.time() - start
