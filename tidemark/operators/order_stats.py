@@ -1,11 +1,14 @@
 """Exact order statistics and quantiles without gathering a column anywhere.
 
-Spark's exact ``percentile`` keeps one hash map of distinct values per column in
-one task. Here sketches only *narrow the search*: each pass counts values per
-interval (tiny, map-side combined shuffle), keeps the intervals that hold a
-wanted rank, and the last pass sorts the few rows left in those. A value that
-fills a third of the table becomes an interval of its own and is never sorted.
-What reaches the driver is bounded by columns x wanted ranks x grid.
+Spark's exact ``percentile`` keeps one hash map of distinct values per column in one
+task. Here sketches only *narrow the search*: each pass counts values per interval
+(tiny, map-side combined shuffle), keeps the intervals that hold a wanted rank, and the
+last pass sorts the few rows left in those. A value that fills a third of the table
+becomes an interval of its own and is never sorted. What reaches the driver is bounded
+by columns x wanted ranks x grid.
+
+Columns travel as one array per row and are exploded to (feature number, value), so the
+plan stays small however wide the table is.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import math
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import small_table
@@ -25,42 +28,30 @@ GRID = 256
 
 @dataclass(frozen=True)
 class ColumnSummary:
-    """Non-null count and a sorted sketch of one column."""
+    """Non-null count and range of one column."""
 
     count: int
     low: float | None
     high: float | None
-    sketch: tuple[float, ...]
-
-
-def summary_expressions(columns: Iterable[str], grid: int = GRID) -> list:
-    """Aggregates that feed :class:`ColumnSummary`, for any one-row ``agg``."""
-    points = [i / grid for i in range(1, grid)]
-    out = []
-    for name in columns:
-        value = F.col(f"`{name}`").cast("double")
-        out.append(
-            F.struct(
-                F.count(value).alias("count"),
-                F.min(value).alias("low"),
-                F.max(value).alias("high"),
-                F.percentile_approx(value, points, 10 * grid).alias("sketch"),
-            ).alias(f"{name}")
-        )
-    return out
 
 
-def read_summary(struct) -> ColumnSummary:
-    return ColumnSummary(struct["count"], struct["low"], struct["high"],
-                         tuple(struct["sketch"] or ()))
+def explode_columns(df: DataFrame, columns: list[Column], keep: Iterable[str] = ()) -> DataFrame:
+    """(keep..., feature, value): ``feature`` is the position in ``columns``."""
+    return df.select(*keep, F.posexplode(F.array(*columns)).alias("feature", "value"))
+
 
+def as_doubles(columns: Iterable[str]) -> list[Column]:
+    return [F.col(f"`{c}`").cast("double") for c in columns]
 
-def summarise(df: DataFrame, columns: list[str], grid: int = GRID) -> dict[str, ColumnSummary]:
-    row = df.agg(*summary_expressions(columns, grid)).first()
-    return {name: read_summary(row[name]) for name in columns}
 
+def summarise(long: DataFrame) -> dict[int, ColumnSummary]:
+    rows = long.groupBy("feature").agg(
+        F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    ).collect()
+    return {r["feature"]: ColumnSummary(r["n"], r["low"], r["high"]) for r in rows}
 
-def interval_index(value, cuts, width: int):
+
+def interval_index(value: Column, cuts: Column, width: int) -> Column:
     """How many cuts lie strictly below the value (cuts sorted, short arrays padded)."""
     index = F.lit(0)
     for i in range(width):
@@ -68,131 +59,110 @@ def interval_index(value, cuts, width: int):
     return index
 
 
-def _unpivot(df: DataFrame, columns: list[str]) -> DataFrame:
-    picked = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    return (
-        picked.unpivot([], [F.col(f"`{c}`") for c in columns], "feature", "value")
-        .where(F.col("value").isNotNull())
-    )
-
-
-def _with_interval(df: DataFrame, cuts: Mapping[str, list[float]]) -> DataFrame:
+def _with_interval(long: DataFrame, cuts: Mapping[int, list[float]]) -> DataFrame:
     """(feature, value, interval): cuts travel as a table with one row per column."""
-    columns = list(cuts)
     width = max(len(c) for c in cuts.values())
-    long = _unpivot(df, columns)
-    if width == 0:
-        return long.withColumn("interval", F.lit(0))
     table = small_table(
-            df.sparkSession,
-            [(name, [float(c) for c in cuts[name]]) for name in columns],
-        "feature string, cuts array<double>",
+        long.sparkSession, [(f, [float(c) for c in points]) for f, points in cuts.items()],
+        "feature int, cuts array<double>",
     )
-    return long.join(F.broadcast(table), "feature").select(
-        "feature", "value",
-        interval_index(F.col("value"), F.col("cuts"), width).alias("interval"),
+    populated = long.where(F.col("value").isNotNull())
+    return populated.join(F.broadcast(table), "feature").select(
+        "feature", "value", interval_index(F.col("value"), F.col("cuts"), width).alias("interval")
     )
 
 
-def _around(sketch: Iterable[float], fraction: float, grid: int) -> list[float]:
+def _around(sketch: Iterable[float], fraction: float, grid: int) -> set[float]:
     """Sketch points next to a wanted fraction, each as a one-value interval."""
     points = list(sketch)
     centre = int(fraction * grid)
     near = points[max(0, centre - 3): centre + 3]
-    return sorted({p for g in near for p in (math.nextafter(g, -math.inf), g)})
+    return {p for g in near for p in (math.nextafter(g, -math.inf), g)}
 
 
-def order_statistics(
-    df: DataFrame,
-    ranks_of: Mapping[str, Callable[[int], list[int]]],
-    summaries: Mapping[str, ColumnSummary] | None = None,
+def _sketch(grid: int) -> Column:
+    # One literal instead of a literal per point keeps the plan small.
+    points = F.split(F.lit(",".join(repr(i / grid) for i in range(1, grid))), ",").cast("array<double>")
+    return F.percentile_approx("value", points, 10 * grid)
+
+
+def order_statistics_long(
+    long: DataFrame,
+    ranks: Mapping[int, set[int]],
+    summaries: Mapping[int, ColumnSummary],
     leaf_rows: int = LEAF_ROWS,
     grid: int = GRID,
-) -> dict[str, dict[int, float]]:
-    """The values at 0-based ascending ranks of the non-null values of each column."""
-    columns = list(ranks_of)
-    if summaries is None:
-        summaries = summarise(df, columns, grid)
-    wanted: dict[str, set[int]] = {}
-    found: dict[str, dict[int, float]] = {c: {} for c in columns}
-    cuts: dict[str, list[float]] = {}
-    for name in columns:
-        s = summaries[name]
-        ranks = {r for r in ranks_of[name](s.count) if 0 <= r < s.count}
-        for r in list(ranks):
-            if r == 0 or s.low == s.high:
-                found[name][r] = s.low
-            elif r == s.count - 1:
-                found[name][r] = s.high
-        wanted[name] = ranks - set(found[name])
-        if wanted[name]:
-            if s.count <= leaf_rows:
-                cuts[name] = []
-            else:
-                cuts[name] = sorted(
-                    {p for r in wanted[name] for p in _around(s.sketch, r / s.count, grid)}
-                )
-
-    leaves: list[tuple[str, int, int, list[int]]] = [
-        (name, 0, 0, sorted(wanted[name])) for name, c in cuts.items() if not c
-    ]
-    open_columns = {name for name, c in cuts.items() if c}
-    while open_columns:
-        narrowed = {name: cuts[name] for name in sorted(open_columns)}
+) -> dict[int, dict[int, float]]:
+    """Values at 0-based ascending ranks of the non-null values of each feature of ``long``."""
+    found: dict[int, dict[int, float]] = {}
+    wanted: dict[int, set[int]] = {}
+    for f, asked in ranks.items():
+        s = summaries[f]
+        asked = {r for r in asked if 0 <= r < s.count}
+        found[f] = {r: s.low for r in asked if r == 0 or s.low == s.high}
+        found[f].update({r: s.high for r in asked if r == s.count - 1})
+        wanted[f] = asked - set(found[f])
+
+    cuts: dict[int, list[float]] = {f: [] for f, w in wanted.items() if w}
+    # (feature, interval, rows before it, ranks inside it)
+    leaves: list[tuple[int, int, int, list[int]]] = []
+    crowded: list[tuple[int, int, int, int, list[int]]] = []
+    for f in cuts:
+        target = (f, 0, 0, sorted(wanted[f]))
+        if summaries[f].count <= leaf_rows:
+            leaves.append(target)
+        else:
+            crowded.append((f, 0, 0, summaries[f].count, target[3]))
+
+    while crowded:
+        open_features = sorted({c[0] for c in crowded})
+        narrowed = {f: cuts[f] for f in open_features}
+        keys = small_table(long.sparkSession, [(c[0], c[1]) for c in crowded], "feature int, interval int")
+        sketches = {
+            (r["feature"], r["interval"]): r["sketch"]
+            for r in _with_interval(long, narrowed)
+            .join(F.broadcast(keys), ["feature", "interval"])
+            .groupBy("feature", "interval").agg(_sketch(grid).alias("sketch")).collect()
+        }
+        for f, interval, offset, n, inside in crowded:
+            points = set(cuts[f])
+            for r in inside:
+                points |= _around(sketches[(f, interval)], (r - offset) / n, grid)
+            cuts[f] = sorted(points)
+        # Cutting again renumbers a feature's intervals, so its ranks are all placed anew.
+        leaves = [leaf for leaf in leaves if leaf[0] not in set(open_features)]
         counted = (
-            _with_interval(df, narrowed)
+            _with_interval(long, {f: cuts[f] for f in open_features})
             .groupBy("feature", "interval")
             .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
             .collect()
         )
-        crowded: list[tuple[str, int, int, int, list[int]]] = []
-        for name in sorted(open_columns):
+        by_feature: dict[int, list] = {f: [] for f in open_features}
+        for row in counted:
+            by_feature[row["feature"]].append(row)
+        crowded = []
+        for f in open_features:
             offset = 0
-            for row in sorted((r for r in counted if r["feature"] == name),
-                              key=lambda r: r["interval"]):
-                inside = sorted(r for r in wanted[name] if offset <= r < offset + row["n"])
+            for row in sorted(by_feature[f], key=lambda r: r["interval"]):
+                inside = sorted(r for r in wanted[f] if offset <= r < offset + row["n"])
                 if inside and row["low"] == row["high"]:
-                    found[name].update({r: row["low"] for r in inside})
+                    found[f].update({r: row["low"] for r in inside})
                 elif inside and row["n"] <= leaf_rows:
-                    leaves.append((name, row["interval"], offset, inside))
+                    leaves.append((f, row["interval"], offset, inside))
                 elif inside:
-                    crowded.append((name, row["interval"], offset, row["n"], inside))
+                    crowded.append((f, row["interval"], offset, row["n"], inside))
                 offset += row["n"]
-        if not crowded:
-            break
-        keys = small_table(
-            df.sparkSession,
-            [(c[0], c[1]) for c in crowded], "feature string, interval int"
-        )
-        points = [i / grid for i in range(1, grid)]
-        sketches = {
-            (r["feature"], r["interval"]): r["sketch"]
-            for r in _with_interval(df, narrowed)
-            .join(F.broadcast(keys), ["feature", "interval"])
-            .groupBy("feature", "interval")
-            .agg(F.percentile_approx("value", points, 10 * grid).alias("sketch"))
-            .collect()
-        }
-        # Columns whose ranks are all in leaves keep their cuts; the others are re-cut.
-        open_columns = {c[0] for c in crowded}
-        leaves = [leaf for leaf in leaves if leaf[0] not in open_columns]
-        for name, interval, offset, n, inside in crowded:
-            extra = {
-                p for r in inside
-                for p in _around(sketches[(name, interval)], (r - offset) / n, grid)
-            }
-            cuts[name] = sorted(set(cuts[name]) | extra)
 
     if leaves:
-        used = {name: cuts[name] for name in sorted({leaf[0] for leaf in leaves})}
         table = small_table(
-            df.sparkSession,
-            leaves, "feature string, interval int, offset bigint, ranks array<bigint>"
+            long.sparkSession, leaves, "feature int, interval int, offset bigint, ranks array<bigint>"
+        )
+        upto = (
+            Window.partitionBy("feature", "interval").orderBy("value")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
-        order = Window.partitionBy("feature", "interval").orderBy("value")
-        upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hits = (
-            _with_interval(df, used)
+            _with_interval(long, {f: cuts[f] for f in sorted({leaf[0] for leaf in leaves})})
             .join(F.broadcast(table.select("feature", "interval")), ["feature", "interval"])
             .groupBy("feature", "interval", "value")
             .agg(F.count("*").alias("n"))
@@ -212,50 +182,58 @@ def order_statistics(
     return found
 
 
+def order_statistics(
+    df: DataFrame, ranks_of: Mapping[str, Callable[[int], list[int]]],
+    leaf_rows: int = LEAF_ROWS, grid: int = GRID,
+) -> dict[str, dict[int, float]]:
+    """The same by column name; wanted ranks are a function of the populated count."""
+    columns = list(ranks_of)
+    long = explode_columns(df, as_doubles(columns))
+    summaries = summarise(long)
+    ranks = {i: set(ranks_of[c](summaries[i].count)) for i, c in enumerate(columns) if i in summaries}
+    at = order_statistics_long(long, ranks, summaries, leaf_rows, grid)
+    return {c: at.get(i, {}) for i, c in enumerate(columns)}
+
+
 def _neighbours(probability: float, count: int) -> tuple[int, int, float]:
     position = probability * (count - 1)
     low = math.floor(position)
     return low, min(low + 1, count - 1), position - low
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: list[str],
-    probabilities: list[float],
-    summaries: Mapping[str, ColumnSummary] | None = None,
-    leaf_rows: int = LEAF_ROWS,
-    grid: int = GRID,
-) -> dict[str, list[float] | None]:
-    """Linearly interpolated quantiles per column; ``None`` where nothing is populated."""
-    if not columns:
-        return {}
-    if summaries is None:
-        summaries = summarise(df, columns, grid)
-
-    def ranks(count: int) -> list[int]:
-        return [r for p in probabilities for r in _neighbours(p, count)[:2]] if count else []
-
-    at = order_statistics(df, {c: ranks for c in columns}, summaries, leaf_rows, grid)
-    out: dict[str, list[float] | None] = {}
-    for name in columns:
-        count = summaries[name].count
-        if not count:
-            out[name] = None
-            continue
+def exact_quantiles_long(
+    long: DataFrame, summaries: Mapping[int, ColumnSummary], probabilities: list[float],
+    leaf_rows: int = LEAF_ROWS, grid: int = GRID,
+) -> dict[int, list[float]]:
+    """Linearly interpolated quantiles of every feature that has populated values."""
+    populated = {f: s for f, s in summaries.items() if s.count}
+    ranks = {
+        f: {r for p in probabilities for r in _neighbours(p, s.count)[:2]} for f, s in populated.items()
+    }
+    at = order_statistics_long(long, ranks, populated, leaf_rows, grid)
+    out: dict[int, list[float]] = {}
+    for f, s in populated.items():
         values = []
         for p in probabilities:
-            low, high, fraction = _neighbours(p, count)
-            a, b = at[name][low], at[name][high]
+            low, high, fraction = _neighbours(p, s.count)
+            a, b = at[f][low], at[f][high]
             values.append(a if a == b or fraction == 0 else a + (b - a) * fraction)
-        out[name] = values
+        out[f] = values
     return out
 
 
-def approximate_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
-                          accuracy: int = 10_000) -> dict[str, list[float] | None]:
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
+                    leaf_rows: int = LEAF_ROWS, grid: int = GRID) -> dict[str, list[float] | None]:
+    """Quantiles by column name; ``None`` where nothing is populated."""
+    if not columns:
+        return {}
+    long = explode_columns(df, as_doubles(columns))
+    values = exact_quantiles_long(long, summarise(long), probabilities, leaf_rows, grid)
+    return {c: values.get(i) for i, c in enumerate(columns)}
+
+
+def approximate_quantiles_long(long: DataFrame, probabilities: list[float], accuracy: int) -> dict[int, list[float]]:
     """One sketch pass, for tables where a rank error of 1/accuracy is good enough."""
-    row = df.agg(
-        *[F.percentile_approx(F.col(f"`{c}`").cast("double"), probabilities, accuracy).alias(c)
-          for c in columns]
-    ).first()
-    return {c: (list(row[c]) if row[c] is not None else None) for c in columns}
+    rows = long.where(F.col("value").isNotNull()).groupBy("feature").agg(
+        F.percentile_approx("value", probabilities, accuracy).alias("q")).collect()
+    return {r["feature"]: list(r["q"]) for r in rows}

@@ -17,11 +17,11 @@ from pyspark.sql import types as T
 
 from tidemark.functions import scalar as S
 from tidemark.operators.order_stats import (
-    approximate_quantiles,
-    exact_quantiles,
+    ColumnSummary,
+    approximate_quantiles_long,
+    exact_quantiles_long,
+    explode_columns,
     interval_index,
-    read_summary,
-    summary_expressions,
 )
 from tidemark.session import small_table
 
@@ -81,6 +81,28 @@ def _side(df: DataFrame, kinds: dict[str, str], tag: str) -> DataFrame:
     return df.select(F.lit(tag).alias("__side"), *picked)
 
 
+@dataclass(frozen=True)
+class DriftFrame:
+    """Both sides as one narrow frame: the side, the numeric values and the levels as arrays."""
+
+    rows: DataFrame
+    numeric: tuple[str, ...]
+    levels: tuple[str, ...]
+
+    def values(self, features: Iterable[str] | None = None) -> DataFrame:
+        """(side, feature number, value) of the numeric features."""
+        wanted = self.numeric if features is None else tuple(features)
+        return explode_columns(self.rows, [F.col(f"`{f}`") for f in wanted], ["__side"])
+
+    def populated(self) -> DataFrame:
+        """(side, feature number, value): numbers as they are, 0 for a present level."""
+        present = [F.when(F.col(f"`{f}`").isNotNull(), F.lit(0.0)) for f in self.levels]
+        return explode_columns(self.rows, [*[F.col(f"`{f}`") for f in self.numeric], *present], ["__side"])
+
+    def level_values(self) -> DataFrame:
+        return explode_columns(self.rows, [F.col(f"`{f}`") for f in self.levels], ["__side"])
+
+
 def profile_features(
     reference: DataFrame,
     current: DataFrame,
@@ -88,43 +110,49 @@ def profile_features(
     features: Iterable[str] | None = None,
     bins: int = S.DEFAULT_BINS,
     accuracy: int | None = None,
-) -> tuple[dict[str, FeatureProfile], DataFrame]:
+) -> tuple[dict[str, FeatureProfile], DriftFrame]:
     """Profiles per feature and the tagged union of both sides."""
     kinds = scoreable_features(reference, current, exclude)
     if features is not None:
         keep = set(features)
         kinds = {f: k for f, k in kinds.items() if f in keep}
-    numeric = [f for f, k in kinds.items() if k == NUMERIC]
-    left, right = _side(reference, kinds, "ref"), _side(current, kinds, "cur")
-    tagged = left.unionByName(right)
-
-    counts = [F.count("*").alias("__rows")]
-    counts += [F.count(f"`{f}`").alias(f"n:{f}") for f in kinds]
-    summary = left.agg(*counts, *summary_expressions(numeric)).first()
-    other = right.agg(*counts).first()
-
+    numeric = tuple(f for f, k in kinds.items() if k == NUMERIC)
+    levels = tuple(f for f, k in kinds.items() if k == CATEGORICAL)
+    left = _side(reference, kinds, "ref")
+    frame = DriftFrame(left.unionByName(_side(current, kinds, "cur")), numeric, levels)
+
+    summary = frame.populated().groupBy("__side", "feature").agg(
+        F.count("*").alias("rows"), F.count("value").alias("n"),
+        F.min("value").alias("low"), F.max("value").alias("high"),
+    ).collect()
+    sides = {(r["__side"], r["feature"]): r for r in summary}
+    summaries = {
+        i: ColumnSummary(sides[("ref", i)]["n"], sides[("ref", i)]["low"], sides[("ref", i)]["high"])
+        for i in range(len(numeric)) if ("ref", i) in sides
+    }
     probabilities = [i / bins for i in range(bins + 1)]
-    if not numeric:
+    values = explode_columns(left, [F.col(f"`{f}`") for f in numeric]) if numeric else None
+    if values is None:
         quantiles = {}
     elif accuracy is not None:
-        quantiles = approximate_quantiles(left, numeric, probabilities, accuracy)
+        quantiles = approximate_quantiles_long(values, probabilities, accuracy)
     else:
-        quantiles = exact_quantiles(
-            left, numeric, probabilities, {f: read_summary(summary[f]) for f in numeric}
-        )
+        quantiles = exact_quantiles_long(values, summaries, probabilities)
+
+    def of(side: str, i: int, what: str) -> int:
+        return sides[(side, i)][what] if (side, i) in sides else 0
+
     profiles = {
         f: FeatureProfile(
-            f, kind,
-            usable_edges(quantiles.get(f)) if kind == NUMERIC else None,
-            (summary["__rows"], other["__rows"]),
-            (summary[f"n:{f}"], other[f"n:{f}"]),
+            f, kinds[f], usable_edges(quantiles.get(i)) if kinds[f] == NUMERIC else None,
+            (of("ref", i, "rows"), of("cur", i, "rows")), (of("ref", i, "n"), of("cur", i, "n")),
         )
-        for f, kind in kinds.items()
+        for i, f in enumerate((*numeric, *levels))
     }
-    return profiles, tagged
+    return {f: profiles[f] for f in kinds}, frame
 
 
-def _profile_table(tagged: DataFrame, profiles: dict[str, FeatureProfile]) -> DataFrame:
+def _profile_table(frame: DriftFrame, profiles: dict[str, FeatureProfile]) -> DataFrame:
     """One row per feature: bounded by the width of the schema, so safe to broadcast."""
     rows = [
         (p.feature, p.kind, list(p.edges) if p.edges else None, list(p.edges[1:-1]) if p.edges else [],
@@ -132,49 +160,48 @@ def _profile_table(tagged: DataFrame, profiles: dict[str, FeatureProfile]) -> Da
         for p in profiles.values()
     ]
     return small_table(
-            tagged.sparkSession,
-            rows,
+        frame.rows.sparkSession, rows,
         "feature string, kind string, edges array<double>, inner_edges array<double>, "
         "ref_rows bigint, cur_rows bigint, ref_populated bigint, cur_populated bigint",
     )
 
 
-def bucket_counts(tagged: DataFrame, profiles: dict[str, FeatureProfile]) -> DataFrame:
+def bucket_counts(frame: DriftFrame, profiles: dict[str, FeatureProfile]) -> DataFrame:
     """(feature, bucket, ref_n, cur_n) for all measurable features.
 
-    Buckets are bin numbers or levels as text; NULL is the missing bucket.
+    Buckets are bin numbers or levels as text; NULL is the missing bucket. Grouping uses
+    feature numbers; names are joined to the counts.
     """
-    def count_sides(df: DataFrame) -> DataFrame:
-        return df.groupBy("feature", "bucket").agg(
+    spark = frame.rows.sparkSession
+
+    def count_sides(df: DataFrame, names: list[str]) -> DataFrame:
+        named = small_table(spark, list(enumerate(names)), "number int, name string")
+        counts = df.groupBy("feature", "bucket").agg(
             F.count_if(F.col("__side") == "ref").alias("ref_n"),
             F.count_if(F.col("__side") == "cur").alias("cur_n"),
         )
+        return counts.join(F.broadcast(named), F.col("feature") == F.col("number")).select(
+            F.col("name").alias("feature"), F.col("bucket").cast("string").alias("bucket"), "ref_n", "cur_n"
+        )
 
-    numeric = [p.feature for p in profiles.values() if p.kind == NUMERIC and p.edges]
-    levels = [p.feature for p in profiles.values() if p.kind == CATEGORICAL]
+    numeric = [f for f in frame.numeric if profiles[f].edges]
     parts = []
     if numeric:
         width = max(len(profiles[f].edges) - 2 for f in numeric)
-        table = _profile_table(tagged, {f: profiles[f] for f in numeric})
-        long = tagged.select("__side", *[F.col(f"`{f}`") for f in numeric]).unpivot(
-            "__side", [F.col(f"`{f}`") for f in numeric], "feature", "value"
+        table = small_table(
+            spark, [(i, list(profiles[f].edges[1:-1])) for i, f in enumerate(numeric)],
+            "feature int, inner_edges array<double>",
         )
         value = F.col("value")
-        binned = long.join(F.broadcast(table.select("feature", "inner_edges")), "feature").select(
+        binned = frame.values(numeric).join(F.broadcast(table), "feature").select(
             "__side", "feature",
             F.when(value.isNotNull(), interval_index(value, F.col("inner_edges"), width)).alias("bucket"),
         )
-        parts.append(count_sides(binned).withColumn("bucket", F.col("bucket").cast("string")))
-    if levels:
-        long = tagged.select("__side", *[F.col(f"`{f}`") for f in levels]).unpivot(
-            "__side", [F.col(f"`{f}`") for f in levels], "feature", "bucket"
-        )
-        parts.append(count_sides(long))
+        parts.append(count_sides(binned, numeric))
+    if frame.levels:
+        parts.append(count_sides(frame.level_values().withColumnRenamed("value", "bucket"), list(frame.levels)))
     if not parts:
-        return small_table(
-            tagged.sparkSession,
-            [], "feature string, bucket string, ref_n bigint, cur_n bigint"
-        )
+        return small_table(spark, [], "feature string, bucket string, ref_n bigint, cur_n bigint")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -188,8 +215,8 @@ def drift_table(
     accuracy: int | None = None,
 ) -> DataFrame:
     """One row per feature: both PSI readings, the missing rates and the band."""
-    profiles, tagged = profile_features(reference, current, exclude, features, bins, accuracy)
-    table = _profile_table(tagged, profiles)
+    profiles, frame = profile_features(reference, current, exclude, features, bins, accuracy)
+    table = _profile_table(frame, profiles)
     populated = F.col("bucket").isNotNull()
     term_all = S.psi_term(S.share(F.col("ref_n"), F.col("ref_rows")),
                           S.share(F.col("cur_n"), F.col("cur_rows")), epsilon)
@@ -197,7 +224,7 @@ def drift_table(
                                 S.share(F.col("cur_n"), F.col("cur_populated")), epsilon)
     totals = table.select("feature", "ref_rows", "cur_rows", "ref_populated", "cur_populated")
     sums = (
-        bucket_counts(tagged, profiles)
+        bucket_counts(frame, profiles)
         .join(F.broadcast(totals), "feature")
         .groupBy("feature")
         .agg(F.sum(term_all).alias("sum_all"),
@@ -248,11 +275,11 @@ def psi_contributions(
     epsilon: float = S.DEFAULT_EPSILON,
 ) -> DataFrame:
     """Per-bucket breakdown of one numeric feature, largest contribution first."""
-    profiles, tagged = profile_features(reference, current, features=[feature], bins=bins)
+    profiles, frame = profile_features(reference, current, features=[feature], bins=bins)
     profile = profiles[feature]
     if profile.kind != NUMERIC:
         raise ValueError(f"{feature} is not numeric")
-    table = _profile_table(tagged, profiles)
+    table = _profile_table(frame, profiles)
     index = F.col("bucket").try_cast("int")
     last = F.size("inner_edges")
     low = F.when(index == 0, float("-inf")).otherwise(F.get("inner_edges", index - 1))
@@ -260,7 +287,7 @@ def psi_contributions(
     ref = F.greatest(S.share(F.col("ref_n"), F.col("ref_rows")), F.lit(epsilon))
     cur = F.greatest(S.share(F.col("cur_n"), F.col("cur_rows")), F.lit(epsilon))
     return (
-        bucket_counts(tagged, profiles)
+        bucket_counts(frame, profiles)
         .join(F.broadcast(table), "feature")
         .select(
             F.coalesce(index, F.lit(S.MISSING_BUCKET)).alias("bucket_code"),

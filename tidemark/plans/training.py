@@ -117,6 +117,15 @@ def forest(settings: BoostSettings) -> RandomForestClassifier:
     )
 
 
+def fit_cached(estimator, train: DataFrame):
+    """Fit over rows kept in memory for the length of the fit; the fit reads them many times."""
+    held = train.persist()
+    try:
+        return estimator.fit(held)
+    finally:
+        held.unpersist()
+
+
 def positive_probability(model, df: DataFrame, trees: int | None = None, keep: Iterable[str] = ()) -> DataFrame:
     """(keep..., score); refuses a model that holds another number of trees than validated."""
     if trees is not None and model.getNumTrees != trees:

@@ -36,6 +36,7 @@ def local_session(app: str = "tidemark", cpus: str = "8", memory: str = "16g") -
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     return configure(builder.getOrCreate())

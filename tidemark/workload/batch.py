@@ -649,7 +649,7 @@ def quantile_cut(spark, sf_dir):
 
 @query("tmp_3_retrain_window", "WITH " + DRIFT_SQL + """,
 u AS (SELECT * FROM drift WHERE split IN ('val', 'stream')),
-w AS (SELECT * FROM u, (SELECT min(dt) AS a, max(dt) AS b FROM u) WHERE dt >= b - least(400 * 86400.0, b - a)),
+w AS (SELECT * FROM u, (SELECT min(dt) AS a, max(dt) AS b FROM u) WHERE dt >= b - least(600 * 86400.0, b - a)),
 c1 AS (SELECT quantile_cont(dt, 0.85) AS cut FROM w),
 h AS (SELECT w.* FROM w, c1 WHERE dt < cut),
 c2 AS (SELECT quantile_cont(dt, 0.85) AS cut2 FROM h)
@@ -658,7 +658,7 @@ SELECT part, count(*) AS rows, min(dt) AS first_dt, max(dt) AS last_dt, count(DI
 def retrain_window(spark, sf_dir):
     bounds = line_bounds(spark, sf_dir)
     sources = {s: drift_view(spark, sf_dir, s, bounds) for s in ("val", "stream")}
-    w = X.recent_training_window(sources, "dt", 400)
+    w = X.recent_training_window(sources, "dt", 600)
 
     def extent(df, name):
         return df.agg(F.count("*").alias("rows"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"),

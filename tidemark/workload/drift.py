@@ -316,3 +316,44 @@ def populated_rows(spark, sf_dir):
         "split", ["f_cover", "f_value"], "feature", "value"
     )
     return long.where(F.col("value").isNotNull()).groupBy("feature", "split").agg(F.count("*").alias("populated"))
+
+
+# --- a table as wide as the published sweep: 431 features ----------------------------------
+
+WIDE = 431
+
+_WIDE_COLUMNS = ", ".join(
+    f"CAST((l_partkey * {i + 1} + l_suppkey * 7 + CAST(l_quantity AS BIGINT) * CASE WHEN dt >= m4 THEN {1 + i % 3} ELSE 1 END) % {50 + i} AS DOUBLE)"
+    f" AS w{i}" for i in range(WIDE)
+)
+
+
+@query("psi_5_wide_sweep", "WITH " + DRIFT_SQL.split("cut AS")[0].rstrip().rstrip(",") + f""",
+wide AS (SELECT CASE WHEN dt < m3 THEN 'train' ELSE 'stream' END AS split, {_WIDE_COLUMNS} FROM li, bounds WHERE dt < m3 OR dt >= m4),
+long AS (SELECT split, feature, value FROM (UNPIVOT wide ON COLUMNS(* EXCLUDE (split)) INTO NAME feature VALUE value)),
+q AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, [0,.1,.2,.3,.4,.5,.6,.7,.8,.9,1]))) AS e FROM long WHERE split = 'train' GROUP BY 1),
+cnt AS (SELECT feature, split, value, count(*) AS k FROM long GROUP BY ALL),
+bins AS (SELECT feature, len(list_filter(e[2:len(e)-1], lambda x: value > x)) AS bucket,
+  sum(k) FILTER (split = 'train') AS r, sum(k) FILTER (split = 'stream') AS c FROM cnt JOIN q USING (feature) WHERE len(e) >= 3 GROUP BY ALL),
+tot AS (SELECT feature, sum(r) AS nr, sum(c) AS nc FROM bins GROUP BY 1),
+s AS (SELECT feature, greatest(coalesce(r, 0) / nr, 1e-6) AS a, greatest(coalesce(c, 0) / nc, 1e-6) AS b FROM bins JOIN tot USING (feature))
+SELECT feature, round(sum((b - a) * ln(b / a)), 6) + 0.0 AS psi FROM s GROUP BY 1""")
+def wide_sweep(spark, sf_dir):
+    """The report over a table with as many features as the published sweep had."""
+    from tidemark.operators.splits import take_split
+    from tidemark.workload.base import table
+    from tidemark.workload.fixtures import line_bounds
+
+    bounds = line_bounds(spark, sf_dir)
+    # The given file is one row group; spread its narrow rows before they are made wide.
+    lines = table(spark, sf_dir, "lineitem").repartition(spark.sparkContext.defaultParallelism)
+
+    def side(name: str):
+        part, supp, quantity = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("bigint")
+        late = name == "stream"
+        return take_split(lines, "l_shipdate", bounds, name).select(*[
+            ((part * (i + 1) + supp * 7 + quantity * (1 + i % 3 if late else 1)) % (50 + i)).cast("double").alias(f"w{i}")
+            for i in range(WIDE)
+        ])
+
+    return P.psi_report(side("train"), side("stream")).select("feature", r6("psi").alias("psi"))

@@ -49,7 +49,7 @@ def _inputs(spark, sf_dir):
 
 def _boosted(spark, sf_dir, rounds=4):
     encoder, inputs, train, _, val = _inputs(spark, sf_dir)
-    model = TR.boosted(SETTINGS, rounds).fit(train)
+    model = TR.fit_cached(TR.boosted(SETTINGS, rounds), train)
     return encoder, inputs, model, val
 
 
@@ -72,14 +72,17 @@ def boosted_trees(spark, sf_dir):
 @query("mdl_2_forest", VAL_ROWS)
 def forest(spark, sf_dir):
     _, _, train, _, val = _inputs(spark, sf_dir)
-    return _fit_check(TR.positive_probability(TR.forest(SETTINGS).fit(train), val, keep=["label"]))
+    return _fit_check(TR.positive_probability(TR.fit_cached(TR.forest(SETTINGS), train), val, keep=["label"]))
 
 
 @query("mdl_3_early_stopping")
 def early_stopping(spark, sf_dir):
     """Rounds scored on the stopping slice, and the round that was kept."""
     _, _, train, stop, _ = _inputs(spark, sf_dir)
-    stopped = TR.fit_early_stopping(train.persist(), stop, SETTINGS)
+    held = [train.persist(), stop.persist()]
+    stopped = TR.fit_early_stopping(*held, SETTINGS)
+    for df in held:
+        df.unpersist()
     return stopped.history_frame(spark).select(
         F.col("round").cast("bigint").alias("round"), r6("value").alias("average_precision"),
         (F.col("round") == stopped.best_round).alias("kept"), F.lit(stopped.model.getNumTrees).cast("bigint").alias("trees"))
@@ -88,7 +91,7 @@ def early_stopping(spark, sf_dir):
 @query("mdl_16_round_history")
 def round_history(spark, sf_dir):
     _, _, train, stop, _ = _inputs(spark, sf_dir)
-    model = TR.boosted(SETTINGS, 6).fit(train)
+    model = TR.fit_cached(TR.boosted(SETTINGS, 6), train)
     history, _ = TR.staged_history(model, stop, 0, SETTINGS, [])
     frame = TR.StoppedFit(model, 0, history).history_frame(spark)
     return TR.peak_round(frame).withColumn("peak_value", r6("peak_value"))
@@ -168,7 +171,7 @@ def retrain_job(spark, sf_dir):
     """The newest open trigger answered end to end; the recorded run comes back."""
     bounds = line_bounds(spark, sf_dir)
     sources = {s: drift_view(spark, sf_dir, s, bounds).drop("split", "l_shipdate", "f_const") for s in ("val", "stream")}
-    window = recent_training_window(sources, "dt", 400)
+    window = recent_training_window(sources, "dt", 600)
     alert = latest_trigger(alerts_view(spark, sf_dir), resolutions_view(spark, sf_dir)).withColumn(
         "top_features", F.array().cast("array<struct<feature:string,type:string>>"))
     store = TableStore(spark, scratch_path(spark, "retrain"))
