@@ -1,14 +1,16 @@
-"""Exact order statistics and quantiles without gathering a column anywhere.
+"""Column histograms, exact order statistics and exact quantiles of many columns at once.
 
 Spark's exact ``percentile`` keeps one hash map of distinct values per column in one
-task. Here sketches only *narrow the search*: each pass counts values per interval
-(tiny, map-side combined shuffle), keeps the intervals that hold a wanted rank, and the
-last pass sorts the few rows left in those. A value that fills a third of the table
-becomes an interval of its own and is never sorted. What reaches the driver is bounded
-by columns x wanted ranks x grid.
-
-Columns travel as one array per row and are exploded to (feature number, value), so the
-plan stays small however wide the table is.
+task. Here the search for a rank is *narrowed*: cut points guessed from a sample split
+each column into intervals, one pass counts them exactly, intervals that hold a wanted
+rank are cut again until they are small, and only their values are sorted at the end.
+The guess decides how fast this ends, never what it returns. A value that fills a third
+of the table becomes an interval of its own and is never sorted.
+
+Each pass folds the rows of a partition into counts with numpy over Arrow batches, so a
+table of hundreds of columns is neither exploded nor shuffled: a partition sends one
+short row per column and interval. What reaches the driver is bounded by
+columns x wanted ranks x grid.
 """
 
 from __future__ import annotations
@@ -17,13 +19,20 @@ import math
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import small_table
 
 LEAF_ROWS = 500_000
 GRID = 256
+SAMPLE_ROWS = 500_000
+MISSING = -1
+
+HISTOGRAM_SCHEMA = "side string, feature int, interval int, n bigint, low double, high double"
+VALUES_SCHEMA = "feature int, interval int, value double, n bigint"
 
 
 @dataclass(frozen=True)
@@ -35,65 +44,125 @@ class ColumnSummary:
     high: float | None
 
 
-def explode_columns(df: DataFrame, columns: list[Column], keep: Iterable[str] = ()) -> DataFrame:
-    """(keep..., feature, value): ``feature`` is the position in ``columns``."""
-    return df.select(*keep, F.posexplode(F.array(*columns)).alias("feature", "value"))
-
-
-def as_doubles(columns: Iterable[str]) -> list[Column]:
-    return [F.col(f"`{c}`").cast("double") for c in columns]
-
-
-def summarise(long: DataFrame) -> dict[int, ColumnSummary]:
-    rows = long.groupBy("feature").agg(
-        F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
-    ).collect()
-    return {r["feature"]: ColumnSummary(r["n"], r["low"], r["high"]) for r in rows}
-
-
-def interval_index(value: Column, cuts: Column, width: int) -> Column:
-    """How many cuts lie strictly below the value (cuts sorted, short arrays padded)."""
-    index = F.lit(0)
-    for i in range(width):
-        index = index + F.when(value > F.get(cuts, F.lit(i)), 1).otherwise(0)
-    return index
-
-
-def _with_interval(long: DataFrame, cuts: Mapping[int, list[float]]) -> DataFrame:
-    """(feature, value, interval): cuts travel as a table with one row per column."""
-    width = max(len(c) for c in cuts.values())
-    table = small_table(
-        long.sparkSession, [(f, [float(c) for c in points]) for f, points in cuts.items()],
-        "feature int, cuts array<double>",
-    )
-    populated = long.where(F.col("value").isNotNull())
-    return populated.join(F.broadcast(table), "feature").select(
-        "feature", "value", interval_index(F.col("value"), F.col("cuts"), width).alias("interval")
-    )
-
-
-def _around(sketch: Iterable[float], fraction: float, grid: int) -> set[float]:
-    """Sketch points next to a wanted fraction, each as a one-value interval."""
-    points = list(sketch)
-    centre = int(fraction * grid)
-    near = points[max(0, centre - 3): centre + 3]
-    return {p for g in near for p in (math.nextafter(g, -math.inf), g)}
-
-
-def _sketch(grid: int) -> Column:
-    # One literal instead of a literal per point keeps the plan small.
+def as_doubles(columns: Iterable[str]) -> list[str]:
+    return [f"nullif(CAST(`{c}` AS DOUBLE), double('NaN'))" for c in columns]
+
+
+def _arrays(batch: pa.RecordBatch, first: int):
+    """Populated values of each column from ``first`` on, with the mask of populated rows."""
+    for j in range(first, batch.num_columns):
+        values = batch.column(j).to_numpy(zero_copy_only=False)
+        present = ~np.isnan(values)
+        yield j - first, values, present
+
+
+def histogram(df: DataFrame, columns: list[str], cuts: Mapping[int, list[float]], side: str = "''") -> DataFrame:
+    """Counts per (side, feature, interval), with the range of each: one map pass, one tiny shuffle.
+
+    ``columns`` are SQL expressions of type double; ``feature`` is the position among them
+    and ``interval`` the number of the feature's cuts strictly below the value, so interval
+    bounds are open on the left and closed on the right. Missing values count as -1.
+    """
+    edges = [np.asarray(cuts.get(i, []), dtype=float) for i in range(len(columns))]
+
+    def run(batches):
+        totals: dict[tuple[str, int], np.ndarray] = {}
+        ranges: dict[tuple[str, int], list[float]] = {}
+        for batch in batches:
+            tags = batch.column(0).to_numpy(zero_copy_only=False)
+            for tag in dict.fromkeys(tags):
+                mine = tags == tag
+                every = bool(mine.all())
+                for f, values, present in _arrays(batch, 1):
+                    if not every:
+                        values, present = values[mine], present[mine]
+                    populated = values[present]
+                    counts = totals.setdefault((tag, f), np.zeros(len(edges[f]) + 2, dtype=np.int64))
+                    counts[0] += len(values) - len(populated)
+                    if not len(populated):
+                        continue
+                    if len(edges[f]):
+                        at = np.searchsorted(edges[f], populated, side="left")
+                        counts[1:] += np.bincount(at, minlength=len(edges[f]) + 1)
+                    else:
+                        counts[1] += len(populated)
+                    low, high = populated.min(), populated.max()
+                    known = ranges.setdefault((tag, f), [low, high])
+                    known[0], known[1] = min(known[0], low), max(known[1], high)
+        rows = [
+            (tag, f, i + MISSING, int(n), *((ranges[(tag, f)]) if i else (None, None)))
+            for (tag, f), counts in totals.items() for i, n in enumerate(counts) if n
+        ]
+        yield _record_batch(rows, [("side", pa.string()), ("feature", pa.int32()), ("interval", pa.int32()),
+                                   ("n", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+
+    parts = df.selectExpr(f"{side} AS side", *[f"{c} AS c{i}" for i, c in enumerate(columns)]).mapInArrow(
+        run, HISTOGRAM_SCHEMA)
+    return parts.groupBy("side", "feature", "interval").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def values_in(df: DataFrame, columns: list[str], cuts: Mapping[int, list[float]],
+              intervals: Mapping[int, set[int]]) -> DataFrame:
+    """(feature, interval, value, n) of the values inside the named intervals."""
+    wanted = sorted(intervals)
+    edges = {f: np.asarray(cuts.get(f, []), dtype=float) for f in wanted}
+
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for j, values, present in _arrays(batch, 0):
+                f = wanted[j]
+                populated = values[present]
+                at = np.searchsorted(edges[f], populated, side="left")
+                for interval in intervals[f]:
+                    distinct, counts = np.unique(populated[at == interval], return_counts=True)
+                    rows += [(f, interval, v, n) for v, n in zip(distinct.tolist(), counts.tolist())]
+            yield _record_batch(rows, [("feature", pa.int32()), ("interval", pa.int32()),
+                                       ("value", pa.float64()), ("n", pa.int64())])
+
+    parts = df.selectExpr(*[f"{columns[f]} AS c{f}" for f in wanted]).mapInArrow(run, VALUES_SCHEMA)
+    return parts.groupBy("feature", "interval", "value").agg(F.sum("n").alias("n"))
+
+
+def _record_batch(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, type=t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def summarise(df: DataFrame, columns: list[str]) -> dict[int, ColumnSummary]:
+    rows = histogram(df, columns, {}).where(F.col("interval") >= 0).collect()
+    found = {r["feature"]: ColumnSummary(r["n"], r["low"], r["high"]) for r in rows}
+    return {i: found.get(i, ColumnSummary(0, None, None)) for i in range(len(columns))}
+
+
+def _guess(df: DataFrame, columns: list[str], cuts: Mapping[int, list[float]],
+           crowded: list[tuple[int, int, int, int, list[int]]], grid: int) -> dict[tuple[int, int], list[float]]:
+    """Sketches of the crowded intervals, from a sample that aims at SAMPLE_ROWS of the smallest."""
+    share = min(1.0, SAMPLE_ROWS / min(c[3] for c in crowded))
+    sample = df if share >= 1.0 else df.sample(fraction=share, seed=17)
+    intervals: dict[int, set[int]] = {}
+    for f, interval, *_ in crowded:
+        intervals.setdefault(f, set()).add(interval)
     points = F.split(F.lit(",".join(repr(i / grid) for i in range(1, grid))), ",").cast("array<double>")
-    return F.percentile_approx("value", points, 10 * grid)
+    rows = values_in(sample, columns, cuts, intervals).groupBy("feature", "interval").agg(
+        F.percentile_approx(F.col("value"), points, 10 * grid).alias("values"),
+        F.max("n").alias("most"), F.max_by("value", "n").alias("mode"),
+    ).collect()
+    # Distinct values guide the cuts; the most frequent one is cut out on its own.
+    return {(r["feature"], r["interval"]): sorted({*r["values"], r["mode"]}) for r in rows}
 
 
-def order_statistics_long(
-    long: DataFrame,
+def order_statistics_of(
+    df: DataFrame,
+    columns: list[str],
     ranks: Mapping[int, set[int]],
     summaries: Mapping[int, ColumnSummary],
     leaf_rows: int = LEAF_ROWS,
     grid: int = GRID,
 ) -> dict[int, dict[int, float]]:
-    """Values at 0-based ascending ranks of the non-null values of each feature of ``long``."""
+    """Values at 0-based ascending ranks of the populated values of each column expression."""
     found: dict[int, dict[int, float]] = {}
     wanted: dict[int, set[int]] = {}
     for f, asked in ranks.items():
@@ -108,64 +177,65 @@ def order_statistics_long(
     leaves: list[tuple[int, int, int, list[int]]] = []
     crowded: list[tuple[int, int, int, int, list[int]]] = []
     for f in cuts:
-        target = (f, 0, 0, sorted(wanted[f]))
         if summaries[f].count <= leaf_rows:
-            leaves.append(target)
+            leaves.append((f, 0, 0, sorted(wanted[f])))
         else:
-            crowded.append((f, 0, 0, summaries[f].count, target[3]))
+            crowded.append((f, 0, 0, summaries[f].count, sorted(wanted[f])))
 
     while crowded:
         open_features = sorted({c[0] for c in crowded})
-        narrowed = {f: cuts[f] for f in open_features}
-        keys = small_table(long.sparkSession, [(c[0], c[1]) for c in crowded], "feature int, interval int")
-        sketches = {
-            (r["feature"], r["interval"]): r["sketch"]
-            for r in _with_interval(long, narrowed)
-            .join(F.broadcast(keys), ["feature", "interval"])
-            .groupBy("feature", "interval").agg(_sketch(grid).alias("sketch")).collect()
-        }
-        for f, interval, offset, n, inside in crowded:
+        guesses = _guess(df, columns, cuts, crowded, grid)
+        for f, interval, _, _, _ in crowded:
             points = set(cuts[f])
-            for r in inside:
-                points |= _around(sketches[(f, interval)], (r - offset) / n, grid)
+            for g in guesses.get((f, interval), []):
+                points |= {math.nextafter(g, -math.inf), g}
             cuts[f] = sorted(points)
         # Cutting again renumbers a feature's intervals, so its ranks are all placed anew.
         leaves = [leaf for leaf in leaves if leaf[0] not in set(open_features)]
-        counted = (
-            _with_interval(long, {f: cuts[f] for f in open_features})
-            .groupBy("feature", "interval")
-            .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-            .collect()
-        )
-        by_feature: dict[int, list] = {f: [] for f in open_features}
+        counted = histogram(df, [columns[f] for f in open_features],
+                            {i: cuts[f] for i, f in enumerate(open_features)}).where("interval >= 0").collect()
+        sizes: dict[int, dict[int, int]] = {f: {} for f in open_features}
         for row in counted:
-            by_feature[row["feature"]].append(row)
+            sizes[open_features[row["feature"]]][row["interval"]] = row["n"]
         crowded = []
         for f in open_features:
-            offset = 0
-            for row in sorted(by_feature[f], key=lambda r: r["interval"]):
-                inside = sorted(r for r in wanted[f] if offset <= r < offset + row["n"])
-                if inside and row["low"] == row["high"]:
-                    found[f].update({r: row["low"] for r in inside})
-                elif inside and row["n"] <= leaf_rows:
-                    leaves.append((f, row["interval"], offset, inside))
-                elif inside:
-                    crowded.append((f, row["interval"], offset, row["n"], inside))
-                offset += row["n"]
+            offset, kept = 0, []
+            for interval in range(len(cuts[f]) + 1):
+                n = sizes[f].get(interval, 0)
+                inside = sorted(r for r in wanted[f] if offset <= r < offset + n)
+                if inside:
+                    kept.append((interval, offset, n, inside))
+                offset += n
+            # Only the cuts that bound an interval with a wanted rank are kept.
+            edges = sorted({cuts[f][i] for interval, *_ in kept for i in (interval - 1, interval)
+                            if 0 <= i < len(cuts[f])})
+            number = {low: i + 1 for i, low in enumerate(edges)}
+            for interval, before, n, inside in kept:
+                low = cuts[f][interval - 1] if interval else None
+                high = cuts[f][interval] if interval < len(cuts[f]) else None
+                renumbered = number[low] if low is not None else 0
+                if low is not None and high is not None and math.nextafter(high, -math.inf) == low:
+                    found[f].update({r: high for r in inside})
+                elif n <= leaf_rows:
+                    leaves.append((f, renumbered, before, inside))
+                else:
+                    crowded.append((f, renumbered, before, n, inside))
+            cuts[f] = edges
 
     if leaves:
+        intervals: dict[int, set[int]] = {}
+        for f, interval, _, _ in leaves:
+            intervals.setdefault(f, set()).add(interval)
         table = small_table(
-            long.sparkSession, leaves, "feature int, interval int, offset bigint, ranks array<bigint>"
+            df.sparkSession, leaves, "feature int, interval int, offset bigint, ranks array<bigint>"
         )
+        # Each window holds one leaf: at most ``leaf_rows`` values.
         upto = (
             Window.partitionBy("feature", "interval").orderBy("value")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         hits = (
-            _with_interval(long, {f: cuts[f] for f in sorted({leaf[0] for leaf in leaves})})
-            .join(F.broadcast(table.select("feature", "interval")), ["feature", "interval"])
-            .groupBy("feature", "interval", "value")
-            .agg(F.count("*").alias("n"))
+            values_in(df, columns, cuts, intervals)
             .withColumn("until", F.sum("n").over(upto))
             .join(F.broadcast(table), ["feature", "interval"])
             .withColumn("until", F.col("until") + F.col("offset"))
@@ -187,12 +257,12 @@ def order_statistics(
     leaf_rows: int = LEAF_ROWS, grid: int = GRID,
 ) -> dict[str, dict[int, float]]:
     """The same by column name; wanted ranks are a function of the populated count."""
-    columns = list(ranks_of)
-    long = explode_columns(df, as_doubles(columns))
-    summaries = summarise(long)
-    ranks = {i: set(ranks_of[c](summaries[i].count)) for i, c in enumerate(columns) if i in summaries}
-    at = order_statistics_long(long, ranks, summaries, leaf_rows, grid)
-    return {c: at.get(i, {}) for i, c in enumerate(columns)}
+    names = list(ranks_of)
+    columns = as_doubles(names)
+    summaries = summarise(df, columns)
+    ranks = {i: set(ranks_of[c](summaries[i].count)) for i, c in enumerate(names)}
+    at = order_statistics_of(df, columns, ranks, summaries, leaf_rows, grid)
+    return {c: at[i] for i, c in enumerate(names)}
 
 
 def _neighbours(probability: float, count: int) -> tuple[int, int, float]:
@@ -201,16 +271,16 @@ def _neighbours(probability: float, count: int) -> tuple[int, int, float]:
     return low, min(low + 1, count - 1), position - low
 
 
-def exact_quantiles_long(
-    long: DataFrame, summaries: Mapping[int, ColumnSummary], probabilities: list[float],
+def exact_quantiles_of(
+    df: DataFrame, columns: list[str], summaries: Mapping[int, ColumnSummary], probabilities: list[float],
     leaf_rows: int = LEAF_ROWS, grid: int = GRID,
 ) -> dict[int, list[float]]:
-    """Linearly interpolated quantiles of every feature that has populated values."""
+    """Linearly interpolated quantiles of every column expression that has populated values."""
     populated = {f: s for f, s in summaries.items() if s.count}
     ranks = {
         f: {r for p in probabilities for r in _neighbours(p, s.count)[:2]} for f, s in populated.items()
     }
-    at = order_statistics_long(long, ranks, populated, leaf_rows, grid)
+    at = order_statistics_of(df, columns, ranks, populated, leaf_rows, grid)
     out: dict[int, list[float]] = {}
     for f, s in populated.items():
         values = []
@@ -222,18 +292,18 @@ def exact_quantiles_long(
     return out
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
+def exact_quantiles(df: DataFrame, names: list[str], probabilities: list[float],
                     leaf_rows: int = LEAF_ROWS, grid: int = GRID) -> dict[str, list[float] | None]:
     """Quantiles by column name; ``None`` where nothing is populated."""
-    if not columns:
+    if not names:
         return {}
-    long = explode_columns(df, as_doubles(columns))
-    values = exact_quantiles_long(long, summarise(long), probabilities, leaf_rows, grid)
-    return {c: values.get(i) for i, c in enumerate(columns)}
+    columns = as_doubles(names)
+    values = exact_quantiles_of(df, columns, summarise(df, columns), probabilities, leaf_rows, grid)
+    return {c: values.get(i) for i, c in enumerate(names)}
 
 
-def approximate_quantiles_long(long: DataFrame, probabilities: list[float], accuracy: int) -> dict[int, list[float]]:
-    """One sketch pass, for tables where a rank error of 1/accuracy is good enough."""
-    rows = long.where(F.col("value").isNotNull()).groupBy("feature").agg(
-        F.percentile_approx("value", probabilities, accuracy).alias("q")).collect()
-    return {r["feature"]: list(r["q"]) for r in rows}
+def approximate_quantiles(df: DataFrame, names: list[str], probabilities: list[float],
+                          accuracy: int) -> dict[int, list[float]]:
+    """One JVM sketch pass, for tables where a rank error of 1/accuracy is good enough."""
+    row = df.agg(*[F.percentile_approx(F.col(f"`{c}`"), probabilities, accuracy).alias(c) for c in names]).first()
+    return {i: list(row[c]) for i, c in enumerate(names) if row[c] is not None}

@@ -11,17 +11,16 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import scalar as S
 from tidemark.operators.order_stats import (
     ColumnSummary,
-    approximate_quantiles_long,
-    exact_quantiles_long,
-    explode_columns,
-    interval_index,
+    approximate_quantiles,
+    exact_quantiles_of,
+    histogram,
 )
 from tidemark.session import small_table
 
@@ -64,21 +63,25 @@ def usable_edges(quantiles: list[float] | None) -> tuple[float, ...] | None:
 
 
 def _side(df: DataFrame, kinds: dict[str, str], tag: str) -> DataFrame:
-    """Numbers as doubles, the rest as text, NaN and blanks as NULL, plus the side tag."""
+    """Numbers as doubles, the rest as text, NaN and blanks as NULL, plus the side tag.
+
+    Written as SQL text: a wide frame has hundreds of these, and text is one call each.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
-    picked = []
+    picked = [f"'{tag}' AS __side"]
     for name, kind in kinds.items():
-        column = F.col(f"`{name}`")
-        if kind == NUMERIC:
-            value = (
-                S.missing_as_null(column.cast("double"), T.DoubleType())
-                if isinstance(types[name], (T.NumericType, T.BooleanType))
-                else S.to_number(column.cast("string"))
-            )
+        column = f"`{name}`"
+        fractional = isinstance(types[name], (T.FloatType, T.DoubleType))
+        if kind == CATEGORICAL:
+            text = f"CAST({column} AS STRING)"
+            value = f"CASE WHEN trim({text}) <> '' THEN {text} END"
+        elif fractional or not isinstance(types[name], (T.NumericType, T.BooleanType)):
+            number = f"try_cast({column} AS DOUBLE)"
+            value = f"nullif({number}, double('NaN'))"
         else:
-            value = S.missing_as_null(column.cast("string"), T.StringType())
-        picked.append(value.alias(name))
-    return df.select(F.lit(tag).alias("__side"), *picked)
+            value = f"CAST({column} AS DOUBLE)"
+        picked.append(f"{value} AS {column}")
+    return df.selectExpr(*picked)
 
 
 @dataclass(frozen=True)
@@ -89,18 +92,17 @@ class DriftFrame:
     numeric: tuple[str, ...]
     levels: tuple[str, ...]
 
-    def values(self, features: Iterable[str] | None = None) -> DataFrame:
-        """(side, feature number, value) of the numeric features."""
-        wanted = self.numeric if features is None else tuple(features)
-        return explode_columns(self.rows, [F.col(f"`{f}`") for f in wanted], ["__side"])
+    def numbers(self) -> list[str]:
+        return [f"`{f}`" for f in self.numeric]
 
-    def populated(self) -> DataFrame:
-        """(side, feature number, value): numbers as they are, 0 for a present level."""
-        present = [F.when(F.col(f"`{f}`").isNotNull(), F.lit(0.0)) for f in self.levels]
-        return explode_columns(self.rows, [*[F.col(f"`{f}`") for f in self.numeric], *present], ["__side"])
+    def presence(self) -> list[str]:
+        """0 where a level is present, so that levels can be counted like numbers."""
+        return [f"CASE WHEN `{f}` IS NOT NULL THEN 0D END" for f in self.levels]
 
     def level_values(self) -> DataFrame:
-        return explode_columns(self.rows, [F.col(f"`{f}`") for f in self.levels], ["__side"])
+        """(side, feature number, level)."""
+        columns = ", ".join(f"`{f}`" for f in self.levels)
+        return self.rows.selectExpr("__side", f"posexplode(array({columns})) AS (feature, bucket)")
 
 
 def profile_features(
@@ -121,23 +123,24 @@ def profile_features(
     left = _side(reference, kinds, "ref")
     frame = DriftFrame(left.unionByName(_side(current, kinds, "cur")), numeric, levels)
 
-    summary = frame.populated().groupBy("__side", "feature").agg(
-        F.count("*").alias("rows"), F.count("value").alias("n"),
-        F.min("value").alias("low"), F.max("value").alias("high"),
-    ).collect()
-    sides = {(r["__side"], r["feature"]): r for r in summary}
+    # One pass over both sides: rows, populated rows and ranges of every feature.
+    sides: dict[tuple[str, int], dict] = {}
+    for r in histogram(frame.rows, frame.numbers() + frame.presence(), {}, "__side").collect():
+        entry = sides.setdefault((r["side"], r["feature"]), {"rows": 0, "n": 0, "low": None, "high": None})
+        entry["rows"] += r["n"]
+        if r["interval"] >= 0:
+            entry.update(n=r["n"], low=r["low"], high=r["high"])
     summaries = {
-        i: ColumnSummary(sides[("ref", i)]["n"], sides[("ref", i)]["low"], sides[("ref", i)]["high"])
+        i: ColumnSummary(*(sides[("ref", i)][k] for k in ("n", "low", "high")))
         for i in range(len(numeric)) if ("ref", i) in sides
     }
     probabilities = [i / bins for i in range(bins + 1)]
-    values = explode_columns(left, [F.col(f"`{f}`") for f in numeric]) if numeric else None
-    if values is None:
+    if not numeric:
         quantiles = {}
     elif accuracy is not None:
-        quantiles = approximate_quantiles_long(values, probabilities, accuracy)
+        quantiles = approximate_quantiles(left, list(numeric), probabilities, accuracy)
     else:
-        quantiles = exact_quantiles_long(values, summaries, probabilities)
+        quantiles = exact_quantiles_of(left, frame.numbers(), summaries, probabilities)
 
     def of(side: str, i: int, what: str) -> int:
         return sides[(side, i)][what] if (side, i) in sides else 0
@@ -174,32 +177,29 @@ def bucket_counts(frame: DriftFrame, profiles: dict[str, FeatureProfile]) -> Dat
     """
     spark = frame.rows.sparkSession
 
-    def count_sides(df: DataFrame, names: list[str]) -> DataFrame:
-        named = small_table(spark, list(enumerate(names)), "number int, name string")
-        counts = df.groupBy("feature", "bucket").agg(
-            F.count_if(F.col("__side") == "ref").alias("ref_n"),
-            F.count_if(F.col("__side") == "cur").alias("cur_n"),
-        )
-        return counts.join(F.broadcast(named), F.col("feature") == F.col("number")).select(
+    def named(counts: DataFrame, names: list[str]) -> DataFrame:
+        table = small_table(spark, list(enumerate(names)), "number int, name string")
+        return counts.join(F.broadcast(table), F.col("feature") == F.col("number")).select(
             F.col("name").alias("feature"), F.col("bucket").cast("string").alias("bucket"), "ref_n", "cur_n"
         )
 
+    def of_side(tag: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("side") == tag, F.col("n"))), F.lit(0))
+
     numeric = [f for f in frame.numeric if profiles[f].edges]
     parts = []
     if numeric:
-        width = max(len(profiles[f].edges) - 2 for f in numeric)
-        table = small_table(
-            spark, [(i, list(profiles[f].edges[1:-1])) for i, f in enumerate(numeric)],
-            "feature int, inner_edges array<double>",
-        )
-        value = F.col("value")
-        binned = frame.values(numeric).join(F.broadcast(table), "feature").select(
-            "__side", "feature",
-            F.when(value.isNotNull(), interval_index(value, F.col("inner_edges"), width)).alias("bucket"),
-        )
-        parts.append(count_sides(binned, numeric))
+        cuts = {i: list(profiles[f].edges[1:-1]) for i, f in enumerate(numeric)}
+        binned = histogram(frame.rows, [f"`{f}`" for f in numeric], cuts, "__side")
+        bucket = F.when(F.col("interval") >= 0, F.col("interval")).alias("bucket")
+        parts.append(named(binned.groupBy("feature", bucket).agg(
+            of_side("ref").alias("ref_n"), of_side("cur").alias("cur_n")), numeric))
     if frame.levels:
-        parts.append(count_sides(frame.level_values().withColumnRenamed("value", "bucket"), list(frame.levels)))
+        counts = frame.level_values().groupBy("feature", "bucket").agg(
+            F.count_if(F.col("__side") == "ref").alias("ref_n"),
+            F.count_if(F.col("__side") == "cur").alias("cur_n"),
+        )
+        parts.append(named(counts, list(frame.levels)))
     if not parts:
         return small_table(spark, [], "feature string, bucket string, ref_n bigint, cur_n bigint")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

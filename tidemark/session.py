@@ -16,6 +16,9 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Methods above 8000 bytes are never compiled by the JVM; wide projections are then
+    # better served by split, compiled projections than by one huge generated loop.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 _fallback_dirs: dict[str, str] = {}

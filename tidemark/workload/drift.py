@@ -349,10 +349,10 @@ def wide_sweep(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").repartition(spark.sparkContext.defaultParallelism)
 
     def side(name: str):
-        part, supp, quantity = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("bigint")
         late = name == "stream"
-        return take_split(lines, "l_shipdate", bounds, name).select(*[
-            ((part * (i + 1) + supp * 7 + quantity * (1 + i % 3 if late else 1)) % (50 + i)).cast("double").alias(f"w{i}")
+        return take_split(lines, "l_shipdate", bounds, name).selectExpr(*[
+            f"CAST((l_partkey * {i + 1} + l_suppkey * 7 + CAST(l_quantity AS BIGINT) * {1 + i % 3 if late else 1})"
+            f" % {50 + i} AS DOUBLE) AS w{i}"
             for i in range(WIDE)
         ])
 
