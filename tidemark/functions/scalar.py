@@ -108,7 +108,8 @@ def significant4(value: Column) -> Column:
         fixed = fixed.when(exponent == power, F.regexp_replace(text, r"\.?0+$", ""))
     scientific = F.concat(mantissa, F.regexp_extract(sci, r"(e[+-]\d+)$", 1))
     return (
-        F.when(value == float("inf"), "inf")
+        F.when(value.isNull(), None)
+        .when(value == float("inf"), "inf")
         .when(value == float("-inf"), "-inf")
         .when(value == 0, "0")
         .when(exponent.between(-4, 3), fixed)
@@ -195,7 +196,8 @@ def render_number(value: Column) -> Column:
     whole = (F.abs(number) < 1e15) & (number == F.floor(number))
     decimals = F.regexp_replace(F.format_number(number, 4), r"\.?0+$", "")
     return (
-        F.when(F.isnan(number), "nan")
+        F.when(number.isNull(), None)
+        .when(F.isnan(number), "nan")
         .when(number == float("inf"), "inf")
         .when(number == float("-inf"), "-inf")
         .when(whole, F.format_number(number, 0))

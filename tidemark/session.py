@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,13 +27,32 @@ _SETTINGS = {
 _fallback_dirs: dict[str, str] = {}
 
 
+_shipped: set[str] = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings every operator assumes (UTC clock, AQE)."""
+    """Pin the runtime settings every operator assumes (UTC clock, AQE) and ship the package."""
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
+    ship_code(spark)
     return spark
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Hand the package to the Python workers, wherever the driver was started from."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    handle, archive = tempfile.mkstemp(prefix="tidemark-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def local_session(app: str = "tidemark", cpus: str = "8", memory: str = "16g") -> SparkSession:
     """A single-JVM session for tests and benchmarks."""
     builder = (
