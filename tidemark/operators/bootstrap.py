@@ -61,7 +61,7 @@ def _sums(resamples: int, seed: int):
     """Pass one: weight totals of positives and negatives per group."""
     draws = np.arange(resamples, dtype=np.int64)
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         pos, neg = np.zeros(resamples), np.zeros(resamples)
         ids, y = rows["id"].to_numpy(np.int64), rows["y"].to_numpy() == 1
         for a, b in _blocks(len(rows), resamples):
@@ -103,7 +103,7 @@ def _parts(resamples: int, seed: int):
     """Pass two: precision sums of one cold group on top of its offset."""
     draws = np.arange(resamples, dtype=np.int64)
 
-    def run(key, rows: pd.DataFrame, offset: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame, offset: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or offset.empty:
             return pd.DataFrame({"model": [], "part": []})
         rows = rows.sort_values("score", ascending=False)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import scalar as S
 from tidemark.operators.ordering import ordered_index
-from tidemark.session import small_table
+from tidemark.session import materialise, small_table
 
 FORMAT_VERSION = 1
 LITERAL_LEVELS = 2_000
@@ -92,11 +92,14 @@ class FeatureEncoder:
     def fit(self, df: DataFrame) -> EncoderModel:
         frame = feature_frame(df, self.label, self.exclude)
         columns = categorical_columns(frame)
-        levels = distinct_levels(frame, columns) if columns else small_table(
-            df.sparkSession, [], "feature string, level string"
-        )
+        if columns:
+            # The table is scanned once; size check, numbering and every use read the levels written here.
+            levels = materialise(distinct_levels(frame, columns), "levels")
+            vocabulary = materialise(number_levels(levels), "vocabulary")
+        else:
+            vocabulary = small_table(df.sparkSession, [], "feature string, level string, code int")
         return EncoderModel(
-            names=tuple(frame.columns), categorical=tuple(columns), vocabulary=number_levels(levels),
+            names=tuple(frame.columns), categorical=tuple(columns), vocabulary=vocabulary,
             label=self.label, fitted_rows=df.count(),
         )
 

@@ -90,9 +90,14 @@ def ranking_metrics(df: DataFrame, score: str, label: str, by: Sequence[str] = (
 
     With one class only, the two metrics are NULL.
     """
+    return metrics_of(ranked_counts(df, score, label, by, cuts), by)
+
+
+def metrics_of(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The ranking metrics of counts made by :func:`ranked_counts`."""
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     pairs_won = F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / F.lit(2.0))
-    sums = ranked_counts(df, score, label, by, cuts).groupBy(*by).agg(
+    sums = counts.groupBy(*by).agg(
         F.sum(F.col("pos") + F.col("neg")).alias("rows"),
         F.sum("pos").alias("positives"),
         F.sum(F.col("pos") * precision).alias("weighted_precision"),
@@ -129,10 +134,11 @@ def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Col
 def best_f1(df: DataFrame, score: str, label: str, by: Sequence[str] = (),
             cuts: list[float] | None = None) -> DataFrame:
     """The threshold with the highest F1 over the whole curve; ties take the lowest."""
-    counts = ranked_counts(df, score, label, by, cuts)
-    positives = df.where(F.col(score).isNotNull() & (F.col(label) == 1)).groupBy(*by).agg(
-        F.count("*").alias("p")
-    )
+    return best_f1_of(ranked_counts(df, score, label, by, cuts), by)
+
+
+def best_f1_of(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    positives = counts.groupBy(*by).agg(F.sum("pos").alias("p"))
     if by:
         counts = counts.join(positives, list(by))
         total = F.col("p")
@@ -192,12 +198,27 @@ def positive_weight(df: DataFrame, label: str) -> float:
 
 def metric_block(df: DataFrame, score: str, label: str, by: Sequence[str],
                  threshold: float = 0.5) -> DataFrame:
-    """Ranking metrics, the block at a fixed threshold and the best-F1 block per group."""
+    """Ranking metrics, the block at a fixed threshold and the best-F1 block per group.
+
+    All three are read off one table of counts per distinct score.
+    """
     cuts = score_cuts(df, score)
-    fixed = confusion(df, score, label, threshold, by).select(
-        *by, *[F.col(c).alias(f"{c}_at_default") for c in ("tp", "fp", "fn", "tn", "precision", "recall", "f1")]
+    counts = ranked_counts(df, score, label, by, cuts)
+    flagged = F.col("score") >= float(threshold)
+
+    def total(column: str, where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col(column))), F.lit(0))
+
+    fixed = counts.groupBy(*by).agg(
+        total("pos", flagged).alias("tp"), total("neg", flagged).alias("fp"),
+        total("pos", ~flagged).alias("fn"), total("neg", ~flagged).alias("tn"),
+    )
+    p, r, f1 = precision_recall_f1(F.col("tp"), F.col("fp"), F.col("fn"))
+    at_default = fixed.select(
+        *by, *[F.col(c).alias(f"{c}_at_default") for c in ("tp", "fp", "fn", "tn")],
+        p.alias("precision_at_default"), r.alias("recall_at_default"), f1.alias("f1_at_default"),
     )
-    best = best_f1(df, score, label, by, cuts).select(
+    best = best_f1_of(counts, by).select(
         *by, "threshold", *[F.col(c).alias(f"best_{c}") for c in ("precision", "recall", "f1")]
     )
-    return ranking_metrics(df, score, label, by, cuts).join(fixed, list(by)).join(best, list(by))
+    return metrics_of(counts, by).join(at_default, list(by)).join(best, list(by))

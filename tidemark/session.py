@@ -109,3 +109,14 @@ def small_table(spark: SparkSession, rows: Iterable[tuple], ddl: str) -> DataFra
     names = schema.fieldNames()
     table = pa.Table.from_pylist([dict(zip(names, r)) for r in rows])
     return spark.createDataFrame(table.select(names), schema)
+
+
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a derived table once below the shared folder and read it back.
+
+    Cuts the lineage at a file that survives lost executors, so later uses do not
+    repeat the scan it came from.
+    """
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
