@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tidemark.operators import order_stats
 from tidemark.operators.order_stats import exact_quantiles, histogram, order_statistics
 from tidemark.operators.ordering import ordered_index
 from tidemark.operators.splits import (
@@ -22,15 +23,19 @@ def frame(spark, **columns):
     return spark.createDataFrame(pd.DataFrame(columns)).repartition(5)
 
 
-@pytest.mark.parametrize("leaf_rows", [10, 300, 1_000_000])
-def test_quantiles_equal_numpy_however_often_the_search_is_narrowed(spark, leaf_rows):
+@pytest.mark.parametrize("leaf_rows,sample", [(10, 10**6), (300, 10**6), (300, 150), (10**6, 10**6)])
+def test_quantiles_equal_numpy_however_often_the_search_is_narrowed(spark, monkeypatch, leaf_rows, sample):
+    monkeypatch.setattr(order_stats, "SAMPLE_ROWS", sample)
     rng = np.random.default_rng(7)
     smooth = rng.normal(size=20_000)
     hot = np.where(rng.random(20_000) < 0.34, 3.25, rng.integers(0, 5_000, 20_000).astype(float))
     gaps = np.where(rng.random(20_000) < 0.5, np.nan, rng.lognormal(size=20_000))
-    df = frame(spark, smooth=smooth, hot=hot, gaps=gaps)
-    got = exact_quantiles(df, ["smooth", "hot", "gaps"], DECILES, leaf_rows=leaf_rows, grid=32)
-    for name, values in (("smooth", smooth), ("hot", hot), ("gaps", gaps[~np.isnan(gaps)])):
+    few = rng.integers(0, 7, 20_000).astype(float)
+    rare = np.where(rng.random(20_000) < 0.97, np.nan, rng.normal(size=20_000))
+    df = frame(spark, smooth=smooth, hot=hot, gaps=gaps, few=few, rare=rare)
+    got = exact_quantiles(df, ["smooth", "hot", "gaps", "few", "rare"], DECILES, leaf_rows=leaf_rows, grid=32)
+    for name, values in (("smooth", smooth), ("hot", hot), ("gaps", gaps[~np.isnan(gaps)]), ("few", few),
+                         ("rare", rare[~np.isnan(rare)])):
         assert np.allclose(got[name], np.quantile(values, DECILES), rtol=0, atol=1e-12)
 
 

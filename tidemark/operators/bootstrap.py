@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.order_stats import grid_points
 from tidemark.operators.ranking import MAX_RANGES, with_range
 
 DEFAULT_RESAMPLES = 1_000
@@ -145,9 +146,8 @@ def _average_precision(rows: pd.DataFrame) -> pd.DataFrame:
 
 def score_plan(long: DataFrame, rows_per_range: int) -> tuple[list[float], list[float]]:
     """Range cuts and the scores so frequent that they fill whole grid steps."""
-    grid = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
     row = long.agg(F.count("*").alias("n"),
-                   F.percentile_approx("score", grid, 4 * MAX_RANGES).alias("cuts")).first()
+                   F.percentile_approx("score", grid_points(MAX_RANGES), 4 * MAX_RANGES).alias("cuts")).first()
     if row["n"] <= rows_per_range:
         return [], []
     step = max(1, MAX_RANGES // -(-row["n"] // rows_per_range))

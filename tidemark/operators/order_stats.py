@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import small_table
@@ -110,16 +110,20 @@ def values_in(df: DataFrame, columns: list[str], cuts: Mapping[int, list[float]]
 
     def run(batches):
         for batch in batches:
-            rows: list[tuple] = []
+            parts: list[tuple[np.ndarray, ...]] = []
             for j, values, present in _arrays(batch, 0):
                 f = wanted[j]
                 populated = values[present]
-                at = np.searchsorted(edges[f], populated, side="left")
+                at = np.searchsorted(edges[f], populated, side="left") if len(edges[f]) else None
                 for interval in intervals[f]:
-                    distinct, counts = np.unique(populated[at == interval], return_counts=True)
-                    rows += [(f, interval, v, n) for v, n in zip(distinct.tolist(), counts.tolist())]
-            yield _record_batch(rows, [("feature", pa.int32()), ("interval", pa.int32()),
-                                       ("value", pa.float64()), ("n", pa.int64())])
+                    inside = populated if at is None else populated[at == interval]
+                    distinct, counts = np.unique(inside, return_counts=True)
+                    size = len(distinct)
+                    parts.append((np.full(size, f, np.int32), np.full(size, interval, np.int32), distinct, counts))
+            columns_out = [np.concatenate(c) for c in zip(*parts)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=t) for c, t in zip(columns_out, (pa.int32(), pa.int32(), pa.float64(), pa.int64()))],
+                names=["feature", "interval", "value", "n"])
 
     parts = df.selectExpr(*[f"{columns[f]} AS c{f}" for f in wanted]).mapInArrow(run, VALUES_SCHEMA)
     return parts.groupBy("feature", "interval", "value").agg(F.sum("n").alias("n"))
@@ -137,18 +141,21 @@ def summarise(df: DataFrame, columns: list[str]) -> dict[int, ColumnSummary]:
     return {i: found.get(i, ColumnSummary(0, None, None)) for i in range(len(columns))}
 
 
+def grid_points(grid: int) -> Column:
+    """The fractions 1/grid .. (grid-1)/grid as one literal; a literal per point would swell the plan."""
+    return F.split(F.lit(",".join(repr(i / grid) for i in range(1, grid))), ",").cast("array<double>")
+
+
 def _guess(df: DataFrame, columns: list[str], cuts: Mapping[int, list[float]],
-           crowded: list[tuple[int, int, int, int, list[int]]], grid: int) -> dict[tuple[int, int], list[float]]:
-    """Sketches of the crowded intervals, from a sample that aims at SAMPLE_ROWS of the smallest."""
-    share = min(1.0, SAMPLE_ROWS / min(c[3] for c in crowded))
+           crowded: list[tuple[int, int, int, int, list[int]]], grid: int, share: float) -> dict[tuple[int, int], list[float]]:
+    """Values near which to cut the crowded intervals, from a share of the rows."""
     sample = df if share >= 1.0 else df.sample(fraction=share, seed=17)
     intervals: dict[int, set[int]] = {}
     for f, interval, *_ in crowded:
         intervals.setdefault(f, set()).add(interval)
-    points = F.split(F.lit(",".join(repr(i / grid) for i in range(1, grid))), ",").cast("array<double>")
     rows = values_in(sample, columns, cuts, intervals).groupBy("feature", "interval").agg(
-        F.percentile_approx(F.col("value"), points, 10 * grid).alias("values"),
-        F.max("n").alias("most"), F.max_by("value", "n").alias("mode"),
+        F.percentile_approx(F.col("value"), grid_points(grid), 10 * grid).alias("values"),
+        F.max_by("value", "n").alias("mode"),
     ).collect()
     # Distinct values guide the cuts; the most frequent one is cut out on its own.
     return {(r["feature"], r["interval"]): sorted({*r["values"], r["mode"]}) for r in rows}
@@ -182,14 +189,23 @@ def order_statistics_of(
         else:
             crowded.append((f, 0, 0, summaries[f].count, sorted(wanted[f])))
 
+    boost = 1.0
     while crowded:
-        open_features = sorted({c[0] for c in crowded})
-        guesses = _guess(df, columns, cuts, crowded, grid)
-        for f, interval, _, _, _ in crowded:
+        # The largest intervals go first, so that one sample suits all that are cut together.
+        largest = max(c[3] for c in crowded)
+        open_features = sorted({c[0] for c in crowded if c[3] * 16 >= largest})
+        waiting = [c for c in crowded if c[0] not in set(open_features)]
+        now = [c for c in crowded if c[0] in set(open_features)]
+        share = min(1.0, boost * SAMPLE_ROWS / largest)
+        guesses = _guess(df, columns, cuts, now, grid, share)
+        stuck = False
+        for f, interval, _, _, _ in now:
             points = set(cuts[f])
             for g in guesses.get((f, interval), []):
                 points |= {math.nextafter(g, -math.inf), g}
+            stuck |= len(points) == len(cuts[f])
             cuts[f] = sorted(points)
+        boost = boost * 16 if stuck else boost
         # Cutting again renumbers a feature's intervals, so its ranks are all placed anew.
         leaves = [leaf for leaf in leaves if leaf[0] not in set(open_features)]
         counted = histogram(df, [columns[f] for f in open_features],
@@ -197,7 +213,7 @@ def order_statistics_of(
         sizes: dict[int, dict[int, int]] = {f: {} for f in open_features}
         for row in counted:
             sizes[open_features[row["feature"]]][row["interval"]] = row["n"]
-        crowded = []
+        crowded = waiting
         for f in open_features:
             offset, kept = 0, []
             for interval in range(len(cuts[f]) + 1):

@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.order_stats import grid_points
+
 ROWS_PER_RANGE = 250_000
 MAX_RANGES = 2_048
 
@@ -26,10 +28,9 @@ class DegenerateLabelsError(ValueError):
 def score_cuts(df: DataFrame, score: str, rows_per_range: int = ROWS_PER_RANGE,
                max_ranges: int = MAX_RANGES) -> list[float]:
     """Inner cut points that split the scores into ranges of bounded size."""
-    grid = [i / max_ranges for i in range(1, max_ranges)]
     value = F.col(score).cast("double")
     row = df.agg(F.count(value).alias("n"),
-                 F.percentile_approx(value, grid, 4 * max_ranges).alias("cuts")).first()
+                 F.percentile_approx(value, grid_points(max_ranges), 4 * max_ranges).alias("cuts")).first()
     ranges = min(max_ranges, math.ceil(row["n"] / rows_per_range))
     if ranges <= 1:
         return []

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import ranking as R
 from tidemark.operators.encoding import EncoderModel, FeatureEncoder
 from tidemark.operators.splits import RetrainWindow, temporal_holdout
-from tidemark.plans.trees import staged_probabilities, tree_tables
-from tidemark.session import enable_checkpoints, scratch_path, small_table
+from tidemark.plans.trees import rounds_of, staged_block, tree_tables
+from tidemark.session import enable_checkpoints, materialise, small_table
 from tidemark.sources.tables import TableStore, record_run
 
 PLAUSIBLE_CARVE = 0.15
@@ -157,12 +157,15 @@ def first_best(history: list[tuple[int, float]], patience: int) -> tuple[int, bo
 
 def staged_history(model: GBTClassificationModel, stop: DataFrame, start: int, settings: BoostSettings,
                    history: list[tuple[int, float]]) -> tuple[list[tuple[int, float]], bool]:
-    """Average precision of rounds after ``start``, a block at a time, until patience runs out."""
-    tables = tree_tables(model)
+    """Average precision of rounds after ``start``, a block at a time, until patience runs out.
+
+    Each block is written with its running margin, so every tree meets every row once.
+    """
+    tables, running = tree_tables(model), stop.select("label", "inputs")
     for low in range(start, model.getNumTrees, settings.block):
         high = min(low + settings.block, model.getNumTrees)
-        staged = staged_probabilities(tables, stop.select("label", "inputs"), low, high)
-        rows = R.ranking_metrics(staged, "score", "label", ["round"]).collect()
+        running = materialise(staged_block(tables, running, low, high), "staged")
+        rows = R.ranking_metrics(rounds_of(running, low), "score", "label", ["round"]).collect()
         history = history + sorted((r["round"], r["pr_auc"]) for r in rows)
         if first_best(history, settings.patience)[1]:
             return history, True
@@ -275,10 +278,7 @@ def fit_bundle(fit: DataFrame, stop: DataFrame, evaluation: DataFrame, key: list
     scored = [score_members(stopped.model, second, df, stopped.best_round).withColumn("slice", F.lit(n))
               for n, df in ready.items()]
     # Scores are written once: the metric passes below read them several times.
-    path = scratch_path(fit.sparkSession, "scores")
-    union = scored[0].unionByName(scored[1]).unionByName(scored[2])
-    union.write.parquet(path)
-    scores = fit.sparkSession.read.parquet(path)
+    scores = materialise(scored[0].unionByName(scored[1]).unionByName(scored[2]), "scores")
     long = scores.select("slice", "label", F.inline(F.array(*[
         F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in ("boosted", "forest", "ensemble")
     ])))

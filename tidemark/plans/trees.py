@@ -91,23 +91,43 @@ def _tree_value(leaves: tuple[Leaf, ...], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def staged_probabilities(tables: TreeTables, df: DataFrame, low: int, high: int) -> DataFrame:
-    """(round, score, label) for rounds low+1..high of a booster, from ``inputs`` and ``label``."""
+def staged_block(tables: TreeTables, df: DataFrame, low: int, high: int) -> DataFrame:
+    """(label, inputs, margin, scores): the scores of rounds low+1..high and the margin after them.
+
+    A ``margin`` column of ``df`` is taken as the margin after round ``low``; without one
+    the earlier trees are evaluated first.
+    """
+    carried = "margin" in df.columns
     shared = df.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches):
         t = shared.value
         for batch in batches:
             x = np.stack(batch["inputs"].to_numpy())
-            margin = np.zeros(len(x))
-            for k in range(low):
-                margin += t.weights[k] * _tree_value(t.trees[k], x)
+            margin = batch["margin"].to_numpy() if carried else np.zeros(len(x))
+            for k in range(0 if not carried else low, low):
+                margin = margin + t.weights[k] * _tree_value(t.trees[k], x)
+            scores = np.empty((len(x), high - low))
             for k in range(low, high):
                 margin = margin + t.weights[k] * _tree_value(t.trees[k], x)
-                yield pd.DataFrame({"round": np.int32(k + 1), "score": 1.0 / (1.0 + np.exp(-2.0 * margin)),
-                                    "label": batch["label"]})
+                scores[:, k - low] = 1.0 / (1.0 + np.exp(-2.0 * margin))
+            yield pd.DataFrame({"label": batch["label"], "inputs": batch["inputs"], "margin": margin,
+                                "scores": list(scores)})
+
+    kept = ["label", "inputs", "margin"] if carried else ["label", "inputs"]
+    return df.select(*kept).mapInPandas(
+        run, "label int, inputs array<double>, margin double, scores array<double>")
 
-    return df.select("label", "inputs").mapInPandas(run, "round int, score double, label int")
+
+def rounds_of(block: DataFrame, low: int) -> DataFrame:
+    """(round, score, label) of a block that starts after round ``low``."""
+    return block.select("label", F.posexplode("scores").alias("i", "score")).select(
+        (F.col("i") + low + 1).alias("round"), "score", "label")
+
+
+def staged_probabilities(tables: TreeTables, df: DataFrame, low: int, high: int) -> DataFrame:
+    """(round, score, label) for rounds low+1..high of a booster, from ``inputs`` and ``label``."""
+    return rounds_of(staged_block(tables, df.select("label", "inputs"), low, high), low)
 
 
 def _shapley_weights(m: int) -> list[float]:
