@@ -68,3 +68,23 @@ def test_stream_equals_batch_and_replays_idempotently(spark, rows, encoder, tmp_
         sorted(batch.select(names).collect(), key=lambda r: r[0])
     unseen = spark.read.parquet(f"{sink.root}/unseen").groupBy("feature", "value").agg(F.sum("occurrences")).collect()
     assert [tuple(r) for r in unseen] == [("kind", "new", 100)]
+
+
+def test_booster_scores_and_explains_in_the_audit_row(spark, rows, tmp_path):
+    from tidemark.plans import training as TR
+
+    settings = TR.BoostSettings(depth=2, step=0.3)
+    labelled = rows.withColumn("label", ((F.col("id") % 5 == 0) | (F.col("id") % 100 > 90)).cast("int"))
+    encoder = FeatureEncoder("label", ("id", "dt")).fit(labelled)
+    encoded = TR.prepare(encoder, labelled, ["id"], "label")
+    inputs = TR.TreeInputs.fit(encoded, encoder.names)
+    ready = inputs.apply(encoded, ["id", "label"])
+    model = TR.fit_cached(TR.boosted(settings, 3), TR.fixed_layout(TR.with_weights(ready), ["id"]))
+    scorer = SC.tree_scorer("v9", 0.5, model, inputs, encoder, top=2)
+    audit = SC.score_rows(labelled, encoder, scorer, None, "id", "dt", "label")
+    own = {str(r["id"]): round(r["score"], 6) for r in TR.positive_probability(model, ready, 3, ["id"]).collect()}
+    got = audit.collect()
+    assert {r["transaction_id"]: r["fraud_probability"] for r in got} == pytest.approx(own, abs=2e-6)
+    assert all(r["n_trees"] == 3 and len(r["top_factors"]) == 2 for r in got)
+    values = {f["value"] for r in got for f in r["top_factors"] if f["feature"] == "kind"}
+    assert values <= {"new", "known"} and values

@@ -152,9 +152,19 @@ def _leaf_attribution(leaf: Leaf, x: np.ndarray, scale: float, phi: np.ndarray,
     return scale * leaf.value * float(np.prod(leaf.share)) if m else scale * leaf.value
 
 
+def evaluate(tables: TreeTables, x: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """(contributions, base, margin) in log-odds for a block of input rows."""
+    phi, base = np.zeros((len(x), int(owner.max()) + 1)), 0.0
+    margin = np.zeros(len(x))
+    for weight, leaves in zip(tables.weights, tables.trees):
+        margin += 2.0 * weight * _tree_value(leaves, x)
+        for leaf in leaves:
+            base += _leaf_attribution(leaf, x, 2.0 * weight, phi, owner)
+    return phi, base, margin
+
+
 def attributions(tables: TreeTables, df: DataFrame, owner: list[int], keep: list[str]) -> DataFrame:
     """(keep..., phi, base, margin, probability): log-odds contributions per feature."""
-    width = max(owner) + 1
     shared = df.sparkSession.sparkContext.broadcast((tables, np.asarray(owner)))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
 
@@ -163,13 +173,7 @@ def attributions(tables: TreeTables, df: DataFrame, owner: list[int], keep: list
         for batch in batches:
             for start in range(0, len(batch), ROW_BLOCK):
                 part = batch.iloc[start: start + ROW_BLOCK]
-                x = np.stack(part["inputs"].to_numpy())
-                phi, base = np.zeros((len(x), width)), 0.0
-                margin = np.zeros(len(x))
-                for weight, leaves in zip(t.weights, t.trees):
-                    margin += 2.0 * weight * _tree_value(leaves, x)
-                    for leaf in leaves:
-                        base += _leaf_attribution(leaf, x, 2.0 * weight, phi, own)
+                phi, base, margin = evaluate(t, np.stack(part["inputs"].to_numpy()), own)
                 out = part[keep].copy()
                 out["phi"] = list(phi)
                 out["base"] = base

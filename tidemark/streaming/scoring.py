@@ -7,11 +7,13 @@ replayed after a failure leaves the same rows.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,25 +21,62 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import scalar as S
 from tidemark.operators.encoding import EncoderModel
+from tidemark.plans import explain as XP
+from tidemark.plans.training import TreeInputs
+from tidemark.plans.trees import evaluate, tree_tables
 from tidemark.streaming.feed import CORRUPT
 
 AUDIT_SCHEMA = (
     "scored_at timestamp, transaction_id string, transaction_dt double, fraud_probability double, decision string, "
-    "threshold double, model_version string, unseen_categories array<string>, challenger_version string, "
+    "threshold double, model_version string, n_trees int, unseen_categories array<string>, "
+    "top_factors array<struct<feature string, value string, contribution double, direction string>>, "
+    "challenger_version string, "
     "challenger_probability double, challenger_decision string, challenger_threshold double, true_label int, "
     "batch_id bigint"
 )
-STATS_SCHEMA = "messages bigint, scored bigint, errors bigint, batch_id bigint"
+FACTORS = "array<struct<feature:string,value:string,contribution:double,direction:string>>"
+STATS_SCHEMA = "messages bigint, scored bigint, errors bigint, elapsed_s double, batch_id bigint"
 UNSEEN_SCHEMA = "feature string, value string, occurrences bigint, batch_id bigint"
 
 
 @dataclass(frozen=True)
 class Scorer:
-    """A model at its own threshold. ``probability`` maps the encoded columns to a score."""
+    """A model at its own threshold.
+
+    ``probability`` is a column over the encoded features, ``factors`` the explanation
+    recorded beside a decision (feature, value, contribution, direction).
+    """
 
     version: str
     threshold: float
     probability: Callable[[], Column]
+    trees: int | None = None
+    factors: Callable[[], Column] | None = None
+
+
+def tree_scorer(version: str, threshold: float, model: GBTClassificationModel, inputs: TreeInputs,
+                encoder: EncoderModel, top: int = 5) -> Scorer:
+    """A fitted booster that gives the probability and its explanation from one Arrow pass."""
+    tables, owner = tree_tables(model), np.asarray(inputs.owner())
+    names = list(inputs.names)
+
+    @F.pandas_udf(T.StructType.fromDDL("probability double, phi array<double>"))
+    def run(rows: pd.Series) -> pd.DataFrame:
+        phi, _, margin = evaluate(tables, np.stack(rows.to_numpy()), owner)
+        return pd.DataFrame({"probability": 1.0 / (1.0 + np.exp(-margin)), "phi": list(phi)})
+
+    def scored() -> Column:
+        return run(F.array(*inputs.expressions()))
+
+    labels = {n: encoder.decode(n, F.col(f"`{n}`")) for n in names}
+
+    def factors() -> Column:
+        text = F.create_map(*[x for n in names for x in (F.lit(n), labels[n])])
+        return F.transform(XP.top_factors(scored()["phi"], names, top), lambda e: F.struct(
+            e["feature"].alias("feature"), F.try_element_at(text, e["feature"]).alias("value"),
+            F.round(e["contribution"], 6).alias("contribution"), e["direction"].alias("direction")))
+
+    return Scorer(version, threshold, lambda: scored()["probability"], len(tables.trees), factors)
 
 
 def guarded(score: Callable[[pd.DataFrame], np.ndarray], columns: list[str]) -> Callable[[], Column]:
@@ -67,7 +106,10 @@ def score_rows(rows: DataFrame, encoder: EncoderModel, champion: Scorer, challen
         if encoder.categorical else F.lit(None).cast("map<string,string>").alias("__raw"),
     ]
     encoded = encoder.transform(rows, keep=carried, states=True)
-    scored = encoded.withColumn("__p", champion.probability())
+    scored = encoded.withColumns({
+        "__p": champion.probability(),
+        "__factors": champion.factors() if champion.factors else F.array().cast(FACTORS),
+    })
     shadow = challenger.probability() if challenger else F.lit(None).cast("double")
     scored = scored.withColumn("__q", shadow)
     c = F.col
@@ -82,7 +124,9 @@ def score_rows(rows: DataFrame, encoder: EncoderModel, champion: Scorer, challen
         S.decision(c("__p"), F.lit(champion.threshold)).alias("decision"),
         F.lit(round(champion.threshold, 6)).alias("threshold"),
         F.lit(champion.version).alias("model_version"),
+        F.lit(champion.trees).cast("int").alias("n_trees"),
         c("unseen").alias("unseen_categories"),
+        c("__factors").alias("top_factors"),
         recorded(F.lit(challenger.version if challenger else None).cast("string")).alias("challenger_version"),
         recorded(F.round("__q", 6)).alias("challenger_probability"),
         recorded(S.decision(c("__q"), F.lit(challenger.threshold if challenger else 0.0))).alias("challenger_decision"),
@@ -110,6 +154,7 @@ class AuditSink:
     label: str | None = None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        started = time.perf_counter()
         batch.persist()
         try:
             good = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
@@ -119,7 +164,8 @@ class AuditSink:
             audit.write.mode("overwrite").parquet(f"{self.root}/audit/batch_id={batch_id}")
             unseen_counts(scored).write.mode("overwrite").parquet(f"{self.root}/unseen/batch_id={batch_id}")
             broken = F.count_if(F.col(CORRUPT).isNotNull())
-            batch.agg(F.count("*").alias("messages"), (F.count("*") - broken).alias("scored"), broken.alias("errors")) \
+            sums = batch.agg(F.count("*").alias("messages"), (F.count("*") - broken).alias("scored"), broken.alias("errors"))
+            sums.withColumn("elapsed_s", F.lit(time.perf_counter() - started)) \
                 .write.mode("overwrite").parquet(f"{self.root}/stats/batch_id={batch_id}")
         finally:
             batch.unpersist()
