@@ -1,6 +1,5 @@
 """Batch queries: sources, sinks, projections, filters, joins, splits, encoding."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
@@ -697,14 +696,15 @@ def earliest_rows(spark, sf_dir):
 @query("win_6_rank_numbers", "SELECT p_brand AS brand, CAST(row_number() OVER (ORDER BY count(*) DESC, p_brand) AS BIGINT) AS position FROM part GROUP BY 1")
 def rank_numbers(spark, sf_dir):
     counts = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("n"))
-    ranked = V.ranked_report(counts, [F.desc("n"), F.asc("brand")])
-    return ranked.select("brand", "position")
+    ranked = ordered_index(counts.withColumn("k", -F.col("n")), ["k", "brand"])
+    return ranked.select("brand", (F.col("index") + 1).cast("bigint").alias("position"))
 
 
 @query("win_5_percent_share", "SELECT event_type, round(100.0 * sum(value) / sum(sum(value)) OVER (), 6) + 0.0 AS share_pct FROM events GROUP BY 1")
 def percent_share(spark, sf_dir):
     sums = table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum("value").alias("v"))
-    return sums.select("event_type", r6(F.lit(100.0) * F.col("v") / F.sum("v").over(Window.partitionBy())).alias("share_pct"))
+    total = sums.agg(F.sum("v")).scalar()
+    return sums.select("event_type", r6(F.lit(100.0) * F.col("v") / total).alias("share_pct"))
 
 
 @query("set_1_union_sources", "WITH " + DRIFT_SQL + """
