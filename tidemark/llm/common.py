@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,3 +139,57 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(counts) - counts
     return np.arange(total) + np.repeat(starts.astype(np.int64) - before, counts)
+
+
+def whole_groups(df: DataFrame, keys: list[str], schema: str | T.StructType, work: Callable[[pa.Table], Iterator[pa.RecordBatch] | list], order: list[str] = (), rows: int = 20_000, partitions: int | None = None) -> DataFrame:
+    """Bring equal keys together and hand `work` tables that hold only whole groups, in key order.
+
+    Many small groups share one call, so the cost per group is that of numpy, not of a
+    task. A group is held by one worker: callers split groups whose size is not bounded.
+    """
+    dealt = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held: list[pa.RecordBatch] = []
+        n_held = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n_held += batch.num_rows
+            if n_held < rows:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            cut = _last_group(table, keys)
+            if cut:
+                yield from work(table.slice(0, cut))
+            held, n_held = table.slice(cut).to_batches(), 0
+        if held:
+            yield from work(pa.Table.from_batches(held).combine_chunks())
+
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _last_group(table: pa.Table, keys: list[str]) -> int:
+    """Where the last group of a sorted table begins."""
+    last = table.num_rows - 1
+    same = np.ones(table.num_rows, bool)
+    for key in keys:
+        column = table.column(key).combine_chunks()
+        value = column[last]
+        if value.is_valid:
+            same &= pa.compute.fill_null(pa.compute.equal(column, value), False).to_numpy(zero_copy_only=False)
+        else:
+            same &= pa.compute.is_null(column).to_numpy(zero_copy_only=False)
+    return int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+
+
+def group_starts(*columns: np.ndarray) -> np.ndarray:
+    """First row of each run of equal keys in sorted columns."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for column in columns:
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
