@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidemark.llm.registry import QUERIES, STATEMENTS
 
-_MODULES = ["quality", "simhash"]
+_MODULES = ["quality", "simhash", "secrets"]
 
 
 def all_queries():
