@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidemark.llm.registry import QUERIES, STATEMENTS
 
-_MODULES = ["quality", "simhash", "secrets", "packing"]
+_MODULES = ["quality", "simhash", "secrets", "packing", "suffixes"]
 
 
 def all_queries():
