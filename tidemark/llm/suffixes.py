@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,13 @@ from tidemark.llm.registry import query, table
 from tidemark.session import materialise
 
 LENGTH, ANCHOR = 400, 64
-#: Anchors with more distinct runs are not put into one array: their starts are counted by their bytes.
+#: Anchors with more distinct runs are dealt again by longer shared cores; where even a core has more,
+#: its starts are counted by their bytes instead of being put into one array.
 ARRAY_CLASSES = 2000
+#: Runs of a hot anchor are cut by the distance from the anchor; all starts of a piece share a core.
+PIECE = 43
+#: Bits of a key that hold the place; fixed, so that ties fall alike in every batch.
+_PLACE_BITS = 24
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, size: int) -> tuple[np.ndarray, ...]:
@@ -36,7 +42,7 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, size: int) ->
     sums = prefix_hashes(data)
     place = np.arange(n - size + 1)
     grams = slice_hashes(sums, place, place + size)
-    low = np.uint64(max(1, int(n).bit_length()))
+    low = np.uint64(max(_PLACE_BITS, int(n).bit_length()))
     keys = (grams >> low << low) | place.astype(np.uint64)
     padded = np.full(-(-len(keys) // width) * width + width, np.uint64(0xFFFFFFFFFFFFFFFF))
     padded[: len(keys)] = keys
@@ -171,22 +177,49 @@ def _runs(keyed: DataFrame, length: int, size: int) -> DataFrame:
     return map_arrow(keyed, f"doc_id {id_type}, _h bigint, anchor bigint, digest bigint, first bigint, count bigint", work)
 
 
-def _cut(asked: DataFrame, length: int) -> DataFrame:
-    """The bytes of the asked runs of each document."""
+def _lead(blob: bytes, count: int, length: int, size: int) -> int:
+    """Distance from the first start of a run to its anchor."""
+    data = np.frombuffer(blob, np.uint8)[count - 1 : count - 1 + length]
+    place = np.arange(length - size + 1)
+    grams = slice_hashes(prefix_hashes(data), place, place + size) >> np.uint64(_PLACE_BITS)
+    return count - 1 + int(grams.argmin())
+
+
+def _pieces(anchor: int, blob: bytes, count: int, length: int, size: int) -> Iterator[tuple[int, int, int]]:
+    """Cut the starts of a run by their distance from the anchor: ``(key of the shared core, first start, starts)``."""
+    lead = _lead(blob, count, length, size)
+    at = 0
+    while at < count:
+        band = (lead - at) // PIECE
+        # starts of the band lie `band * PIECE` to that plus PIECE - 1 bytes before the anchor
+        stop = min(count, lead - band * PIECE + 1)
+        core = blob[lead - band * PIECE : lead - (band + 1) * PIECE + 1 + length]
+        key = xxhash.xxh64_intdigest(core, (anchor + band) & 0xFFFFFFFFFFFFFFFF)
+        yield key - (1 << 64) if key >> 63 else key, at, stop - at
+        at = stop
+
+
+def _cut(asked: DataFrame, length: int, size: int) -> DataFrame:
+    """The bytes of the asked runs of each document; those of hot anchors in pieces."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
         for text, runs in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
             for r in runs:
-                out.append((r["anchor"], r["digest"], r["count"], r["one"], r["hot"], text[r["first"] : r["first"] + r["count"] + length - 1]))
-        anchor, digest, count, one, hot, blob = zip(*out) if out else ((),) * 6
-        return pa.RecordBatch.from_arrays([
-            pa.array(anchor, pa.int64()), pa.array(digest, pa.int64()), pa.array(count, pa.int64()), pa.array(one, pa.bool_()),
-            pa.array(hot, pa.bool_()), pa.array(blob, pa.binary())], ["anchor", "digest", "count", "one", "hot", "blob"])
+                blob = text[r["first"] : r["first"] + r["count"] + length - 1]
+                if not r["hot"]:
+                    out.append((r["anchor"], r["anchor"], r["digest"], 0, r["count"], r["one"], blob))
+                    continue
+                for key, at, count in _pieces(r["anchor"], blob, r["count"], length, size):
+                    out.append((key, r["anchor"], r["digest"], at, count, r["one"], blob[at : at + count + length - 1]))
+        kinds = (pa.int64(),) * 5 + (pa.bool_(), pa.binary())
+        columns = zip(*out) if out else ((),) * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], _SHIPPED)
 
-    return map_arrow(asked, "anchor bigint, digest bigint, count bigint, one boolean, hot boolean, blob binary", work)
+    return map_arrow(asked, "key bigint, anchor bigint, digest bigint, at bigint, count bigint, one boolean, blob binary", work)
 
 
+_SHIPPED = ["key", "anchor", "digest", "at", "count", "one", "blob"]
 _SPANS = "anchor bigint, digest bigint, begin bigint, end bigint"
 
 
@@ -197,26 +230,27 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _array_spans(part: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     found = covered(part.column("blob").to_pylist(), part.column("count").to_numpy(), length)
-    keys = zip(part.column("anchor").to_pylist(), part.column("digest").to_pylist(), part.column("one").to_pylist(), found)
-    yield _span_batch([(a, d, x, y) for a, d, one, spans in keys if one for x, y in spans])
+    keys = zip(*(part.column(c).to_pylist() for c in ("anchor", "digest", "at", "one")), found)
+    yield _span_batch([(a, d, at + x, at + y) for a, d, at, one, spans in keys if one for x, y in spans])
 
 
 def _starts(part: DataFrame, length: int) -> DataFrame:
-    """Every start of the runs of a hot anchor, keyed by its bytes."""
+    """Every start of the pieces of a hot core, keyed by its bytes."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = batch_bytes(batch.column(4))
+        data, offsets = batch_bytes(batch.column(5))
         count = batch.column(2).to_numpy()
         sums = prefix_hashes(data)
         at = ranges(offsets[:-1], count)
         row = np.repeat(np.arange(len(count)), count)
         take = pa.array(row)
         weight = np.where(batch.column(3).to_numpy(zero_copy_only=False)[row], 1, 2)
+        base = batch.column(4).to_numpy()[row]
         return pa.RecordBatch.from_arrays([
             batch.column(0).take(take), batch.column(1).take(take), pa.array(slice_hashes(sums, at, at + length).view(np.int64)),
-            pa.array(at - offsets[:-1][row]), pa.array(weight.astype(np.int64))], ["anchor", "digest", "bytes", "begin", "weight"])
+            pa.array(base + at - offsets[:-1][row]), pa.array(weight.astype(np.int64))], ["anchor", "digest", "bytes", "begin", "weight"])
 
-    return map_arrow(part.select("anchor", "digest", "count", "one", "blob"), "anchor bigint, digest bigint, bytes bigint, begin bigint, weight bigint", work)
+    return map_arrow(part.select("anchor", "digest", "count", "one", "at", "blob"), "anchor bigint, digest bigint, bytes bigint, begin bigint, weight bigint", work)
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, size: int = ANCHOR, array_classes: int = ARRAY_CLASSES) -> DataFrame:
@@ -230,10 +264,11 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, size: int = ANCHOR, a
     asked = classes.join(several, "anchor").select(
         "place.*", "anchor", "digest", "count", (F.col("n") == 1).alias("one"), (F.col("classes") > array_classes).alias("hot"))
     asked = asked.groupBy("doc_id", "_h").agg(F.collect_list(F.struct("anchor", "digest", "first", "count", "one", "hot")).alias("runs"))
-    shipped = materialise(_cut(keyed.join(asked, same_document(keyed, asked)).select("text", "runs"), length), "shipped")
-    arrays = whole_groups(shipped.filter("not hot").select("anchor", "digest", "count", "one", "blob"), ["anchor"], _SPANS,
+    shipped = materialise(_cut(keyed.join(asked, same_document(keyed, asked)).select("text", "runs"), length, size), "shipped")
+    heavy = shipped.groupBy("key").count().filter(F.col("count") > array_classes).select("key")
+    arrays = whole_groups(shipped.join(heavy, "key", "left_anti").select(*_SHIPPED), ["key"], _SPANS,
                           lambda part: _array_spans(part, length), rows=4000)
-    starts = _starts(shipped.filter("hot"), length)
+    starts = _starts(shipped.join(heavy, "key", "left_semi"), length)
     twice = starts.groupBy("anchor", "bytes").agg(F.sum("weight").alias("weight")).filter("weight > 1")
     single = starts.filter("weight = 1").join(twice.select("anchor", "bytes"), ["anchor", "bytes"])
     single = single.select("anchor", "digest", "begin", (F.col("begin") + length).alias("end"))
