@@ -180,9 +180,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id, once."""
-    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component: the one with the smallest id (text hash on a tie); rows that repeat stay once."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = near_duplicates(keyed.select(F.struct("doc_id", "_row").alias("doc_id"), "text"))
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id")["_row"].alias("_kept")).distinct()
+    # the join deals the rows by their hash, so no second shuffle brings repeated rows together
+    return keyed.join(kept, keyed["_row"] == kept["_kept"], "left_semi").dropDuplicates(["_row", "doc_id"]).drop("_row")
 
 
 @query("op5_simhash_bk_trees")
