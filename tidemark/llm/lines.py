@@ -23,9 +23,9 @@ from tidemark.llm.registry import query, table
 from tidemark.session import materialise
 
 THRESHOLD = 0.8
-#: Lists up to this length are compared pair by pair; in longer ones the first PIVOTS lines are compared
-#: with all others at once, and only lines that found no match there are compared with the rest.
-SHORT_LIST, PIVOTS = 16, 4
+#: In lists up to this length every pair that passes the filters is verified. In longer ones a line brings its
+#: first FIRST pairs; if it has more and none of those matches, it is compared with its whole lists again.
+SHORT_LIST, FIRST = 16, 4
 POSTINGS_PER_PART = 400_000
 _RARITY_BITS = 16
 
@@ -91,7 +91,7 @@ def _classes(keyed: DataFrame, rarity: np.ndarray, threshold: float) -> DataFram
         # sums do not depend on order; two of them name a set
         mixed = mix64(words)
         one, two = (np.add.reduceat(m, starts) if len(starts) else m for m in (mixed, mix64(mixed ^ np.uint64(0x5851F42D4C957F2D))))
-        parity = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(31)), starts) if len(starts) else mixed
+        parity = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(63)), starts) if len(starts) else mixed
         take = _prefix(size, threshold)
         head = (words[ranges(starts, take)] >> np.uint64(32)).astype("<u4").tobytes()
         cut = 4 * np.append(0, np.cumsum(take))
@@ -99,7 +99,7 @@ def _classes(keyed: DataFrame, rarity: np.ndarray, threshold: float) -> DataFram
         rows = pa.array(row)
         return pa.RecordBatch.from_arrays([
             batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number.astype(np.int32)), pa.array(one.view(np.int64)),
-            pa.array(two.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(parity.astype(np.int64)), prefix,
+            pa.array(two.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(parity.view(np.int64)), prefix,
         ], ["doc_id", "_h", "line", "k1", "k2", "size", "parity", "prefix"])
 
     lines = map_arrow(keyed, f"doc_id {id_type}, _h bigint, line int, k1 bigint, k2 bigint, size int, parity bigint, prefix binary", work)
@@ -115,7 +115,7 @@ def _early(classes: DataFrame) -> Column:
     return F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low or 0)) / (float(high or 0) - float(low or 0) + 1) * float(1 << 32)), F.lit(0))
 
 
-_POSTING = np.dtype([("word", "<u4"), ("early", "<u4"), ("cid", "<i8"), ("size", "<u4"), ("place", "<u4"), ("parity", "<u4")])
+_POSTING = np.dtype([("word", "<u4"), ("early", "<u4"), ("cid", "<i8"), ("size", "<u4"), ("place", "<u4"), ("parity", "<u8")])
 
 
 def _dealt(classes: DataFrame, parts: int) -> DataFrame:
@@ -127,8 +127,9 @@ def _dealt(classes: DataFrame, parts: int) -> DataFrame:
         count = np.diff(offsets) // 4
         out = np.empty(len(words), _POSTING)
         out["word"] = words
-        for name, column in (("cid", 0), ("early", 1), ("size", 2), ("parity", 3)):
+        for name, column in (("cid", 0), ("early", 1), ("size", 2)):
             out[name] = np.repeat(batch.column(column).to_numpy(), count)
+        out["parity"] = np.repeat(batch.column(3).to_numpy().view(np.uint64), count)
         out["place"] = ranges(np.zeros(len(count), np.int64), count)
         part = (mix64(words.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -152,8 +153,31 @@ def _may_match(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     )
 
 
+def _first_pairs(group: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a long list: for each line the first pairs with earlier ones, and the lines that have more."""
+    left, right, found = [], [], np.zeros(len(group), np.int64)
+    for begin in range(0, len(group), 256):
+        x = group[begin : begin + 256]
+        # lines with enough pairs are done; lines of the same block meet the ones before them
+        open_ = begin + np.flatnonzero(found[begin:] <= FIRST)
+        for part in np.array_split(open_, max(1, len(open_) // 1024)):
+            i, j = np.divmod(np.arange(len(x) * len(part)), len(part))
+            keep = part[j] > begin + i
+            i, j = i[keep], part[j[keep]]
+            ok = _may_match(x[i], group[j], threshold) & (x["cid"][i] != group["cid"][j])
+            i, j = i[ok], j[ok]
+            order = np.lexsort((i, j))
+            i, j = i[order], j[order]
+            starts = group_starts(j)
+            rank = np.arange(len(j)) - np.repeat(starts, np.diff(np.append(starts, len(j)))) + found[j]
+            left.append(x["cid"][i[rank < FIRST]])
+            right.append(group["cid"][j[rank < FIRST]])
+            np.add.at(found, j, 1)
+    return np.concatenate(left), np.concatenate(right), found > FIRST
+
+
 def _candidates(part: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Kind 0: pairs that may match. Kind 1: the postings of long lists, packed, for a second look."""
+    """Kind 0: pairs that may match. Kinds 1 and 2: lines with more pairs, and all lines of the lists they are in."""
     key = part.column("part").to_numpy()
     starts = np.append(group_starts(key), len(key))
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
@@ -162,6 +186,7 @@ def _candidates(part: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
         first = group_starts(rows["word"])
         size = np.diff(np.append(first, len(rows)))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        again = np.zeros(len(rows), np.int32)
         for length in range(2, SHORT_LIST + 1):
             begin = first[size == length]
             if not len(begin):
@@ -175,23 +200,23 @@ def _candidates(part: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
                     right.append(y["cid"][ok])
         long = size > SHORT_LIST
         for begin, length in zip(first[long].tolist(), size[long].tolist()):
-            group = rows[begin : begin + length]
-            for i in range(PIVOTS):
-                x, y = np.repeat(group[i : i + 1], length - i - 1), group[i + 1 :]
-                ok = _may_match(x, y, threshold) & (x["cid"] != y["cid"])
-                left.append(x["cid"][ok])
-                right.append(y["cid"][ok])
+            x, y, more = _first_pairs(rows[begin : begin + length], threshold)
+            left.append(x)
+            right.append(y)
+            if more.any():
+                again[begin : begin + length] = np.where(more, 1, 2)
         x, y = np.concatenate(left), np.concatenate(right)
         x, y = np.minimum(x, y), np.maximum(x, y)
         order = np.lexsort((y, x))
         x, y = x[order], y[order]
         once = group_starts(x, y)
-        more = rows[ranges(first[long], size[long])]
-        packed = more["size"].astype(np.int64) << 43 | np.minimum(more["place"].astype(np.int64), 2047) << 32 | more["parity"].astype(np.int64)
-        kind = np.append(np.zeros(len(once), np.int32), np.ones(len(more), np.int32))
+        more = rows[again > 0]
+        kind = np.append(np.zeros(len(once), np.int32), again[again > 0])
+        blank = np.zeros(len(once), np.int64)
         yield pa.RecordBatch.from_arrays([
-            pa.array(kind), pa.array(np.append(x[once], more["word"].astype(np.int64))),
-            pa.array(np.append(y[once], more["cid"])), pa.array(np.append(np.zeros(len(once), np.int64), packed))], ["kind", "a", "b", "c"])
+            pa.array(kind), pa.array(np.append(x[once], more["word"].astype(np.int64))), pa.array(np.append(y[once], more["cid"])),
+            pa.array(np.append(blank, more["size"].astype(np.int64) << 32 | more["place"].astype(np.int64))),
+            pa.array(np.append(blank, more["parity"].view(np.int64)))], ["kind", "a", "b", "c", "d"])
 
 
 def _sets(keyed: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -238,15 +263,14 @@ def _later(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _second_look(long: DataFrame, gone: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of lines of long lists without a match so far, with every line of their lists."""
+    """Pairs of the lines that had more pairs and no match so far, with every line of their lists."""
     unpack = lambda df, n: df.select(
-        F.col("a").alias("word"), F.col("b").alias(n), F.shiftrightunsigned("c", 43).alias(f"{n}_size"),
-        F.shiftrightunsigned("c", 32).bitwiseAND(2047).alias(f"{n}_place"), F.col("c").bitwiseAND(0xFFFFFFFF).alias(f"{n}_parity"))
-    alone = unpack(long.join(gone, long["b"] == gone["cid"], "left_anti"), "y")
+        F.col("a").alias("word"), F.col("b").alias(n), F.shiftrightunsigned("c", 32).alias(f"{n}_size"),
+        F.col("c").bitwiseAND(0xFFFFFFFF).alias(f"{n}_place"), F.col("d").alias(f"{n}_parity"))
+    alone = unpack(long.filter("kind = 1").join(gone, long["b"] == gone["cid"], "left_anti"), "y")
     joined = alone.join(unpack(long, "x"), "word")
     total = F.col("x_size") + F.col("y_size")
     needed = F.ceil(threshold / (1 + threshold) * total - 1e-9)
-    # places are stored up to 2047, so the bound on the rest is loose there, never wrong
     room = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
     joined = joined.filter(
         (F.col("x") != F.col("y")) & (F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size") - 1e-9)
@@ -260,9 +284,9 @@ def kept_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     postings = classes.agg(F.sum(F.octet_length("prefix") / 4)).first()[0] or 0
     parts = max(1, math.ceil(postings / POSTINGS_PER_PART))
     blocks = _dealt(classes.withColumn("early", _early(classes)).filter(F.octet_length("prefix") > 0), parts)
-    found = materialise(whole_groups(blocks, ["part"], "kind int, a bigint, b bigint, c bigint", lambda t: _candidates(t, threshold), rows=1), "candidates")
+    found = materialise(whole_groups(blocks, ["part"], "kind int, a bigint, b bigint, c bigint, d bigint", lambda t: _candidates(t, threshold), rows=1), "candidates")
     pairs = found.filter("kind = 0").select("a", "b").distinct()
-    long = found.filter("kind = 1").select("a", "b", "c")
+    long = found.filter("kind > 0")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(long.select("b")).distinct()
     sets = materialise(_sets(keyed, classes, wanted), "sets")
     gone = materialise(_later(pairs, sets, threshold), "gone")
