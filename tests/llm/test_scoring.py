@@ -62,4 +62,4 @@ def test_score_is_the_sum_over_tokens_alone_or_in_a_batch(docs, texts):
 def test_empty_table_and_repeated_rows(docs, empty):
     assert S.pseudo_likelihood(empty).count() == 0
     out = S.pseudo_likelihood(docs).filter("doc_id = 2").collect()
-    assert len(out) == 3 and out[0] == out[1]
+    assert len(out) == 3 and abs(out[0].log_likelihood - out[1].log_likelihood) < 1e-3
