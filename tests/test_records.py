@@ -89,11 +89,14 @@ def test_triggers_ignore_pipeline_alerts_and_resolve_once(spark):
     assert [r["run_id"] for r in V.resolve(answered, tries).where("accepted").collect()] == ["a"]
 
 
-def test_newest_rows_agree_beyond_the_top_n(spark, monkeypatch):
+def test_newest_rows_are_exactly_as_many_as_asked(spark):
     df = spark.range(5_000).selectExpr("id * 3 AS id")
-    want = sorted(r["id"] for r in V.newest_rows(df, "id", 700).collect())
-    monkeypatch.setattr(V, "TOP_N_ROWS", 10)
-    assert sorted(r["id"] for r in V.newest_rows(df, "id", 700).collect()) == want
+    assert sorted(r["id"] for r in V.newest_rows(df, "id", 700).collect()) == [i * 3 for i in range(4_300, 5_000)]
+    close = spark.range(40).selectExpr("id + 1152921504606846976 AS id", "id % 5 AS k")
+    assert sorted(r["id"] - (1 << 60) for r in V.newest_rows(close, "id", 7).collect()) == list(range(33, 40))
+    tied = V.newest_rows(close, "k", 11).collect()
+    assert len(tied) == 11 and sorted(r["k"] for r in tied) == [3, 3, 3] + [4] * 8
+    assert V.newest_rows(close, "k", 41).count() == 40 and V.newest_rows(close, "k", 0).count() == 0
 
 
 def test_unseen_aggregate(spark):

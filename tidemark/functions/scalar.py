@@ -181,7 +181,8 @@ def verdict_outcome(verdict: Column) -> Column:
 
 
 def match_flag(score: Column, expected: Column, tolerance: float = SCORE_TOLERANCE) -> Column:
-    return F.when(F.abs(score - expected) <= tolerance, "MATCH").otherwise("DIVERGED")
+    # differences of decimal scores carry binary noise, which must not decide at the tolerance
+    return F.when(F.round(F.abs(score - expected), 9) <= tolerance, "MATCH").otherwise("DIVERGED")
 
 
 def implied_positives(rows: Column, rate_pct: Column) -> Column:

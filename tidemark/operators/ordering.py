@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import enable_checkpoints
 
 
-def ordered_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), output: str = "index",
+def ordered_index(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), output: str = "index",
                   partitions: int | None = None) -> DataFrame:
-    """Adds 0-based numbers in ``order`` within ``by``.
+    """Adds 0-based numbers in ``order`` (names or sort expressions) within ``by``.
 
     Range-partitioned rows are pinned with a reliable checkpoint, so that the partition
     each row sits in cannot change between counting and numbering.
     """
     spark = df.sparkSession
     enable_checkpoints(spark)
-    keys = [F.col(c) for c in (*by, *order)]
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    keys = [*[F.col(c) for c in by], *order]
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pinned = (
         df.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id()).checkpoint()
@@ -28,9 +29,10 @@ def ordered_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), o
     offsets = pinned.groupBy(*by, "__part").agg(F.count("*").alias("__n")).select(
         *by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
     )
-    within = Window.partitionBy(*by, "__part").orderBy(*[F.col(c) for c in order])
+    within = Window.partitionBy(*by, "__part").orderBy(*order)
     return (
         pinned.withColumn("__row", F.row_number().over(within) - 1)
+        # one row per partition and group
         .join(offsets, [*by, "__part"])
         .withColumn(output, F.col("__row") + F.col("__offset"))
         .drop("__part", "__row", "__offset")

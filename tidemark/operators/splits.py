@@ -6,6 +6,7 @@ column's own type, so every filter here is pushed into the Parquet scan.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,16 +39,39 @@ def _is_clock(df: DataFrame, time: str) -> bool:
     return isinstance(df.schema[time].dataType, (T.TimestampType, T.TimestampNTZType))
 
 
+# Bits of the stored integer types, sign included.
+_INTEGER_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+
+
+def _is_date(df: DataFrame, time: str) -> bool:
+    return isinstance(df.schema[time].dataType, T.DateType)
+
+
+def _as_seconds(column: Column, df: DataFrame, time: str) -> Column:
+    if _is_clock(df, time):
+        return epoch_seconds(column)
+    return F.unix_date(column) * float(SECONDS_PER_DAY) if _is_date(df, time) else column.cast("double")
+
+
 def seconds(df: DataFrame, time: str) -> Column:
-    """The time column as seconds, whatever its stored type."""
-    return epoch_seconds(F.col(time)) if _is_clock(df, time) else F.col(time).cast("double")
+    """The time column as seconds, whatever its stored type; a date is its midnight."""
+    return _as_seconds(F.col(time), df, time)
 
 
 def moment(df: DataFrame, time: str, value: float) -> Column:
-    """A literal comparable with the stored column without casting the column."""
+    """A literal of the stored type that splits rows by ``>=`` and ``<`` as ``value`` seconds would.
+
+    Integers and dates take the next whole step, so the column is never cast and the bound is pushed down.
+    """
+    kind = df.schema[time].dataType
     if _is_clock(df, time):
         literal = F.timestamp_micros(F.lit(int(round(value * 1_000_000))))
-        return literal.cast(df.schema[time].dataType)
+        return literal.cast(kind)
+    if _is_date(df, time):
+        return F.date_from_unix_date(F.lit(math.ceil(value / SECONDS_PER_DAY)))
+    bits = _INTEGER_BITS.get(kind.simpleString())
+    if bits and -(1 << (bits - 1)) <= math.ceil(value) < 1 << (bits - 1):
+        return F.lit(math.ceil(value)).cast(kind)
     return F.lit(float(value))
 
 
@@ -64,8 +88,7 @@ def time_extent(df: DataFrame, time: str) -> tuple[float, float]:
 
 def seconds_of(name: str, df: DataFrame, time: str) -> Column:
     """Like :func:`seconds` for a column derived from the time column."""
-    column = F.col(name)
-    return (epoch_seconds(column) if _is_clock(df, time) else column.cast("double")).alias(name)
+    return _as_seconds(F.col(name), df, time).alias(name)
 
 
 def sixths(low: float, high: float) -> SplitBoundaries:

@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar as S
 from tidemark.operators import psi as P
 from tidemark.operators.splits import recent_days, recent_rows, seconds_of
+from tidemark.sources.tables import ALERT_SCHEMA, TableStore, write_json_report
 
-VALUE_REMEDY = "retrain -- the populated values moved"
-MISSINGNESS_REMEDY = (
-    "investigate the upstream feed -- coverage changed while the populated values held "
-    "steady; retraining would bake a transient join into the model"
-)
+VALUE_REMEDY = "Fit a new model: recorded values follow another distribution."
+MISSINGNESS_REMEDY = "Repair the source first: what changed is how often a value is present, not the values."
 
 
 @dataclass(frozen=True)
@@ -139,6 +137,16 @@ def run_monitor(
     return MonitorResult(drift, alert)
 
 
+def record_monitor(store: TableStore, result: MonitorResult) -> int:
+    """Append the alert row under the next id and write its decision document beside it; returns the id."""
+    alert = result.alert
+    listed = F.to_json("unseen_categories") if "unseen_categories" in alert.columns else F.lit(None).cast("string")
+    number = store.append_numbered("drift_alerts", alert.withColumn("unseen_categories", listed), ALERT_SCHEMA)
+    stored = store.read("drift_alerts", ALERT_SCHEMA).where(F.col("id") == number)
+    write_json_report(decision_document(stored), f"{store.path('decisions')}/alert-{number}")
+    return number
+
+
 def decision_document(alert: DataFrame, top: int = 20) -> DataFrame:
     """The alert as one nested document, ready for ``write.json``."""
     c = F.col
@@ -168,4 +176,5 @@ def decision_document(alert: DataFrame, top: int = 20) -> DataFrame:
               MISSINGNESS_REMEDY),
         "verdict", "retrain_triggered", "investigate_pipeline",
         F.slice("top_features", 1, top).alias("top_features"),
+        *(["unseen_categories"] if "unseen_categories" in alert.columns else []),
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import GATE_PROMOTE
 from tidemark.session import small_table
-from tidemark.sources.tables import TableStore
+from tidemark.sources.tables import RUN_SCHEMA, TableStore
 
 EVENT_SCHEMA = "event_id bigint, version bigint, run_id string, kind string, value string"
 CHAMPION_ALIASES = ("champion", "staging")
@@ -22,7 +22,7 @@ class PromotionRefusedError(RuntimeError):
 
 
 def registry_state(events: DataFrame) -> DataFrame:
-    """Current (version, run_id, stage, aliases): the latest event per subject wins."""
+    """Current (version, run_id, stage, aliases, tags): the latest event per subject wins."""
     c = F.col
     versions = events.groupBy("version").agg(
         F.max(F.when(c("kind") == "registered", c("run_id"))).alias("run_id"),
@@ -36,10 +36,16 @@ def registry_state(events: DataFrame) -> DataFrame:
         .groupBy(c("last.version").alias("version"))
         .agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
     )
+    tags = (
+        events.where(c("kind").startswith("tag:")).groupBy("version", F.substring("kind", 5, 1 << 20).alias("tag"))
+        .agg(F.max_by("value", "event_id").alias("value"))
+        .groupBy("version").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "value")))).alias("tags"))
+    )
     none = F.array().cast("array<string>")
-    return versions.join(holders, "version", "left").select(
+    return versions.join(holders, "version", "left").join(tags, "version", "left").select(
         "version", "run_id", F.coalesce("stage", F.lit("None")).alias("stage"),
         F.coalesce("aliases", none).alias("aliases"),
+        F.coalesce("tags", F.create_map().cast("map<string,string>")).alias("tags"),
     )
 
 
@@ -60,10 +66,21 @@ class Registry:
         numbered = [(last + i, *row) for i, row in enumerate(rows, start=1)]
         self.store.append(self.table, small_table(self.store.spark, numbered, EVENT_SCHEMA))
 
-    def register(self, run_id: str, stage: str = "Staging", alias: str | None = "challenger",
+    def newest_run_id(self) -> str:
+        """The run recorded last, by its ``start_time``; runs without one come first."""
+        runs = self.store.read("runs", RUN_SCHEMA)
+        started = runs.groupBy("run_id").agg(
+            F.max(F.when(F.col("key") == "start_time", F.col("value").try_cast("double"))).alias("at"))
+        last = started.orderBy(F.desc_nulls_last("at"), F.desc("run_id")).first()
+        if last is None:
+            raise LookupError("no run has been recorded")
+        return last["run_id"]
+
+    def register(self, run_id: str | None = None, stage: str = "Staging", alias: str | None = "challenger",
                  tags: dict[str, str] | None = None, origin: str = "baseline") -> int:
         if origin == "drift_retrain" and stage.lower() == "production":
             raise PromotionRefusedError("a retrain never registers straight to Production")
+        run_id = run_id or self.newest_run_id()
         version = (self.events().agg(F.max("version")).first()[0] or 0) + 1
         rows = [(version, run_id, "registered", str(int(time.time()))), (version, run_id, "stage", stage)]
         if alias:
@@ -72,17 +89,21 @@ class Registry:
         self._append(rows)
         return version
 
-    def promote(self, challenger: int, champion: int | None, verdict: str) -> None:
+    def promote(self, challenger: int, champion: int | None, verdict: str, tags: dict[str, object] | None = None) -> None:
         if verdict != GATE_PROMOTE:
             raise PromotionRefusedError(verdict)
-        self._append(promotion_events(challenger, champion))
+        self._append(promotion_events(challenger, champion, verdict, tags))
 
 
-def promotion_events(challenger: int, champion: int | None) -> list[tuple[int, str | None, str, str]]:
+def promotion_events(challenger: int, champion: int | None, verdict: str = GATE_PROMOTE,
+                     tags: dict[str, object] | None = None) -> list[tuple[int, str | None, str, str]]:
+    """Stage, both aliases, the verdict and what else was measured, and the archived predecessor."""
     rows = [(challenger, None, "stage", "Production"), (challenger, None, "alias_set", "champion"),
-            (challenger, None, "alias_removed", "challenger")]
+            (challenger, None, "alias_set", "staging"), (challenger, None, "alias_removed", "challenger")]
+    told = {"shadow_verdict": verdict, **(tags or {})}
+    rows += [(challenger, None, f"tag:{k}", str(v)) for k, v in told.items()]
     if champion is not None:
-        rows.append((champion, None, "stage", "Archived"))
+        rows += [(champion, None, "stage", "Archived"), (champion, None, "tag:archived_reason", f"replaced by v{challenger}")]
     return rows
 
 
@@ -182,9 +203,3 @@ def champion_card(versions: DataFrame, runs: DataFrame, alerts: DataFrame) -> Da
         F.col(THRESHOLD_KEY.replace(".", "_")).alias("threshold"),
         "trigger_alert_id", "trigger_verdict",
     )
-
-
-def latest_stage(events: DataFrame) -> DataFrame:
-    """Versions numbered by recency of their last event (window form, for reports)."""
-    order = Window.partitionBy("stage").orderBy(F.desc("version"))
-    return registry_state(events).withColumn("recency", F.row_number().over(order))

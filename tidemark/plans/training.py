@@ -20,13 +20,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import ranking as R
 from tidemark.operators.encoding import EncoderModel, FeatureEncoder
 from tidemark.operators.splits import RetrainWindow, temporal_holdout
 from tidemark.plans.trees import rounds_of, staged_block, tree_tables
+from tidemark.plans.views import resolve
 from tidemark.session import enable_checkpoints, materialise, small_table
-from tidemark.sources.tables import TableStore, record_run
+from tidemark.sources.tables import RESOLUTION_SCHEMA, TableStore, record_run
 
 PLAUSIBLE_CARVE = 0.15
 
@@ -397,12 +399,22 @@ def retrain_job(window: RetrainWindow, alert: DataFrame, key: list[str], label:
     if register:
         version = Registry(store).register(run_id, "Staging", "challenger",
                                            {"trigger_alert_id": str(params["trigger.alert_id"])}, "drift_retrain")
-    store.append("alert_resolutions", alert.select(
+    attempt = alert.select(
         F.col("id").alias("alert_id"), F.current_timestamp().alias("resolved_at"), F.lit(run_id).alias("run_id"),
-        F.lit(None if version is None else str(version)).cast("string").alias("model_version")))
+        F.lit(None if version is None else str(version)).cast("string").alias("model_version"))
+    resolve_once(store, attempt)
     return bundle
 
 
+def resolve_once(store: TableStore, attempt: DataFrame) -> bool:
+    """Append the answer to an alert unless one is on record; tells whether it was appended."""
+    accepted = resolve(store.read("alert_resolutions", RESOLUTION_SCHEMA), attempt).where("accepted").drop("accepted")
+    won = accepted.select(*T.StructType.fromDDL(RESOLUTION_SCHEMA).fieldNames()).collect()
+    if won:
+        store.append("alert_resolutions", store.spark.createDataFrame(won, RESOLUTION_SCHEMA))
+    return bool(won)
+
+
 def round_trip_error(model: GBTClassificationModel, df: DataFrame, key: list[str], path: str) -> DataFrame:
     """Largest difference between a model and its reloaded copy over the given rows."""
     model.write().overwrite().save(path)

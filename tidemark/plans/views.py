@@ -4,24 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import scalar as S
-from tidemark.operators.order_stats import order_statistics
+from tidemark.operators.ordering import ordered_index
 from tidemark.operators.splits import moment
 
-TOP_N_ROWS = 100_000
-
-
 def newest_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The newest ``n`` rows by a unique key.
+    """The newest ``n`` rows by ``key``, exactly ``n`` where there are so many; NULL keys are oldest.
 
-    Small requests are a top-n; large ones a filter at the exact n-th largest key, so no
-    task ever holds the whole result.
+    Only the key is numbered, in its own type and over range partitions. The n-th key then cuts
+    the table by a filter, and of the rows tied with it as many stay as are missing.
     """
-    if n <= TOP_N_ROWS:
-        return df.orderBy(F.desc(key)).limit(n)
-    at = order_statistics(df.select(key), {key: lambda size: [max(0, size - n)] if size else []})[key]
-    return df.where(F.col(key) >= next(iter(at.values()))) if at else df
+    if n <= 0:
+        return df.limit(0)
+    at = ordered_index(df.select(key), [F.desc(key)], output="__newest").where(F.col("__newest") == n - 1).first()
+    if at is None:
+        return df
+    value = at[key]
+    if value is None:
+        newer, ties = df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
+    else:
+        bound = F.lit(value).cast(df.schema[key].dataType)
+        newer, ties = df.where(F.col(key) > bound), df.where(F.col(key) == bound)
+    missing = n - newer.count()
+    tied = ties.orderBy(F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]))
+    return newer.unionByName(tied.limit(missing))
 
 
 def since(df: DataFrame, time: str, start: float | None) -> DataFrame:
@@ -65,11 +73,6 @@ def flagged_or_ranked(df: DataFrame, score: str, threshold: float, tie: list[str
     return pool.orderBy(F.desc(score), *[F.asc(t) for t in tie]).limit(n)
 
 
-def ranked_report(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Position numbers for a report whose rows are bounded by the schema or a top-n."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-
-
 # --- serving ---------------------------------------------------------------------------
 
 
@@ -226,19 +229,22 @@ def retrain_due(alerts: DataFrame, resolutions: DataFrame) -> DataFrame:
 def resolve(resolutions: DataFrame, attempts: DataFrame) -> DataFrame:
     """Compare-and-set over the append-only log: the first answer to an alert wins.
 
-    ``attempts`` (alert_id, resolved_s, run_id, model_version) come back with ``accepted``.
+    ``attempts`` (alert_id, resolved_at or resolved_s, run_id, model_version) come back with ``accepted``.
     """
+    at = "resolved_at" if "resolved_at" in attempts.columns else "resolved_s"
     seen = resolutions.select("alert_id").distinct().withColumn("known", F.lit(True))
-    first = attempts.groupBy("alert_id").agg(F.min(F.struct("resolved_s", "run_id")).alias("first"))
+    first = attempts.groupBy("alert_id").agg(F.min(F.struct(at, "run_id")).alias("first"))
     return (
         attempts.join(first, "alert_id").join(seen, "alert_id", "left")
-        .withColumn("accepted", F.col("known").isNull() & (F.struct("resolved_s", "run_id") == F.col("first")))
+        .withColumn("accepted", F.col("known").isNull() & (F.struct(at, "run_id") == F.col("first")))
         .drop("known", "first")
     )
 
 
 def alert_history(alerts: DataFrame) -> DataFrame:
-    """The two drift series side by side, as stored."""
+    """The two drift series side by side; stored alerts have ``created_at`` instead of ``created_s``."""
+    if "created_s" not in alerts.columns:
+        alerts = alerts.withColumn("created_s", S.epoch_seconds(F.col("created_at")))
     return alerts.select(
         "id", "created_s", "value_drift_psi", "missingness_psi", "verdict", "retrain_triggered"
     ).orderBy("id")

@@ -76,7 +76,7 @@ ALERT_SCHEMA = (
     "retrain_triggered boolean, investigate_pipeline boolean, verdict string, "
     "top_features array<struct<feature string, psi double, type string, psi_non_null double, "
     "na_rate_reference double, na_rate_current double>>, "
-    "value_drift_feature_list array<string>, missingness_feature_list array<string>"
+    "value_drift_feature_list array<string>, missingness_feature_list array<string>, unseen_categories string"
 )
 UNSEEN_SCHEMA = (
     "observed_at timestamp, feature string, value string, occurrences bigint, model_version string, source string"

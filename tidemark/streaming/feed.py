@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import scalar as S
-from tidemark.operators.order_stats import exact_quantiles
-from tidemark.operators.splits import moment, replay_order, seconds, starting_at
+from tidemark.operators.ordering import ordered_index
+from tidemark.operators.splits import starting_at
+from tidemark.session import materialise
 
 CORRUPT = "_corrupt_record"
 
@@ -25,30 +26,26 @@ def write_topic(messages: DataFrame, servers: str, topic: str) -> None:
 
 
 def write_feed(df: DataFrame, time: str, tie: list[str], key: str, path: str, slices: int = 8,
-               limit: int | None = None, start: float | None = None) -> int:
+               limit: int | None = None, start: float | None = None, files: int = 4) -> int:
     """Replay a table as text files of JSON messages, oldest first; returns the number of slices.
 
-    The event time is cut at exact quantiles. Slices are appended one after another, so
-    file times follow event time; inside a slice the files are range-sorted. Each slice
-    is a filter on the time column and reads its own row groups only.
+    Rows are numbered once in replay order and carry the number as ``sequence``. Slices are ranges
+    of it, written one after another with `files` files each; a reader that takes a slice per batch
+    gets the batches in order, and the number orders the rows of a batch.
     """
-    if limit is not None:
-        df = replay_order(df, time, tie, limit, start)
-    elif start is not None:
+    if start is not None:
         df = starting_at(df, time, start)
-    numeric = df.select(seconds(df, time).alias("t"))
-    points = exact_quantiles(numeric, ["t"], [i / slices for i in range(1, slices)])["t"] or []
-    cuts = sorted(set(points))
-    bounds = [None, *cuts, None]
-    for low, high in zip(bounds, bounds[1:]):
-        part = df
-        if low is not None:
-            part = part.where(F.col(time) >= moment(df, time, low))
-        if high is not None:
-            part = part.where(F.col(time) < moment(df, time, high))
-        ordered = part.repartitionByRange(F.col(time), *[F.col(t) for t in tie]).sortWithinPartitions(time, *tie)
+    numbered = materialise(ordered_index(df, [time, *tie], output="sequence"), "replay")
+    rows = numbered.count()
+    if limit is not None:
+        rows = min(rows, limit)
+    step = max(1, -(-rows // slices))
+    begins = range(0, rows, step)
+    for begin in begins:
+        part = numbered.where((F.col("sequence") >= begin) & (F.col("sequence") < min(begin + step, rows)))
+        ordered = part.repartitionByRange(files, "sequence").sortWithinPartitions("sequence")
         to_messages(ordered, key).select("value").write.mode("append").text(path)
-    return len(bounds) - 1
+    return len(begins)
 
 
 def read_feed(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:

@@ -27,12 +27,12 @@ from tidemark.plans.trees import evaluate, tree_tables
 from tidemark.streaming.feed import CORRUPT
 
 AUDIT_SCHEMA = (
-    "scored_at timestamp, transaction_id string, transaction_dt double, fraud_probability double, decision string, "
+    "id bigint, scored_at timestamp, transaction_id string, transaction_dt double, fraud_probability double, decision string, "
     "threshold double, model_version string, n_trees int, unseen_categories array<string>, "
     "top_factors array<struct<feature string, value string, contribution double, direction string>>, "
     "challenger_version string, "
     "challenger_probability double, challenger_decision string, challenger_threshold double, true_label int, "
-    "batch_id bigint"
+    "latency_ms double, batch_id bigint"
 )
 FACTORS = "array<struct<feature:string,value:string,contribution:double,direction:string>>"
 STATS_SCHEMA = "messages bigint, scored bigint, errors bigint, elapsed_s double, batch_id bigint"
@@ -80,14 +80,23 @@ def tree_scorer(version: str, threshold: float, model: GBTClassificationModel, i
 
 
 def guarded(score: Callable[[pd.DataFrame], np.ndarray], columns: list[str]) -> Callable[[], Column]:
-    """A challenger's score as a pandas UDF: whatever fails inside becomes NULL, nothing else changes."""
+    """A challenger's score as a pandas UDF: rows that fail become NULL, nothing else changes.
 
-    @F.pandas_udf(T.DoubleType())
-    def run(rows: pd.DataFrame) -> pd.Series:
+    A batch that raises is halved until only the rows that raise are left without a score.
+    """
+
+    def attempt(rows: pd.DataFrame) -> np.ndarray:
         try:
-            return pd.Series(np.asarray(score(rows), dtype=float))
+            return np.asarray(score(rows.reset_index(drop=True)), dtype=float)
         except Exception:
-            return pd.Series([None] * len(rows), dtype="float64")
+            if len(rows) <= 1:
+                return np.full(len(rows), np.nan)
+            half = len(rows) // 2
+            return np.concatenate([attempt(rows.iloc[:half]), attempt(rows.iloc[half:])])
+
+    @F.pandas_udf(T.DoubleType())
+    def run(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series(attempt(rows))
 
     return lambda: run(F.struct(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]))
 
@@ -160,7 +169,12 @@ class AuditSink:
             good = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
             scored = score_rows(good, self.encoder, self.champion, self.challenger,
                                 self.id_column, self.time_column, self.label)
-            audit = scored.drop("__unseen").withColumn("scored_at", F.current_timestamp())
+            row = F.monotonically_increasing_id()
+            # newer batches have larger ids; a batch has up to 2^16 partitions of 2^24 rows
+            number = F.shiftleft(F.shiftrightunsigned(row, 33), 24).bitwiseOR(row.bitwiseAND((1 << 24) - 1))
+            audit = scored.drop("__unseen").withColumns({
+                "id": number + F.lit(batch_id << 40), "scored_at": F.current_timestamp(),
+                "latency_ms": F.lit((time.perf_counter() - started) * 1000.0)})
             audit.write.mode("overwrite").parquet(f"{self.root}/audit/batch_id={batch_id}")
             unseen_counts(scored).write.mode("overwrite").parquet(f"{self.root}/unseen/batch_id={batch_id}")
             broken = F.count_if(F.col(CORRUPT).isNotNull())

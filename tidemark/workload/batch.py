@@ -448,15 +448,14 @@ def live_flag(spark, sf_dir):
 
 
 @query("prd_11_score_match", "WITH " + COMPARISONS_SQL + """
-SELECT id, CASE WHEN abs(challenger_pr_auc - champion_pr_auc) <= 0.01 THEN 'MATCH' ELSE 'DIVERGED' END AS status
-FROM comparisons WHERE abs(abs(challenger_pr_auc - champion_pr_auc) - 0.01) > 1e-9""")
+SELECT id, CASE WHEN round(abs(challenger_pr_auc - champion_pr_auc), 9) <= 0.01 THEN 'MATCH' ELSE 'DIVERGED' END AS status
+FROM comparisons""")
 def score_match(spark, sf_dir):
     """Run scores against the scores on record, joined by version."""
     rows = comparisons_view(spark, sf_dir)
     scores = rows.select("id", F.col("challenger_pr_auc").alias("score"))
     recorded = rows.select("id", F.col("champion_pr_auc").alias("expected"))
-    gap = F.abs(F.abs(F.col("score") - F.col("expected")) - 0.01)
-    return scores.join(recorded, "id").where(gap > 1e-9).select(
+    return scores.join(recorded, "id").select(
         "id", S.match_flag(F.col("score"), F.col("expected")).alias("status")
     )
 

@@ -172,7 +172,7 @@ def model_comparison(spark, sf_dir):
 
 # --- bootstrap -------------------------------------------------------------------------------
 
-RESAMPLES = 100
+RESAMPLES = 1_000
 
 BOOT_SQL = WITH + f""",
 b AS (SELECT range AS b FROM range({RESAMPLES})),
@@ -246,7 +246,7 @@ SELECT mv AS champion_version, cv AS challenger_version, a.rows, a.positives,
 FROM a, c, j, newest""")
 def gate_compare(spark, sf_dir):
     """The newest pair of the audit table; the verdict is settled before the margin matters."""
-    row = G.compare(audit_view(spark, sf_dir), trained=GATE_TRAINED, resamples=200)
+    row = G.compare(audit_view(spark, sf_dir), trained=GATE_TRAINED)
     numbers = ("champion_pr_auc", "challenger_pr_auc", "champion_roc_auc", "pr_auc_delta", "leakage_overlap")
     return row.select(
         "champion_version", "challenger_version", "rows", "positives", *[r6(n).alias(n) for n in numbers],

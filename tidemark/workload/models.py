@@ -181,33 +181,35 @@ def retrain_job(spark, sf_dir):
 
 # --- array attributions over the given embeddings ------------------------------------------
 
-NAMES = 8  # the embedding's leading dimensions play the features
 EMB_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS phi FROM embeddings),
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS phi FROM embeddings),
 long AS (SELECT vec_id, unnest(phi) AS value, generate_subscripts(phi, 1) AS i FROM e),
 rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(value) DESC, i) AS position FROM long)"""
 
 
 def _embedding_rows(spark, sf_dir):
-    phi = F.transform(F.slice("embedding", 1, NAMES), lambda v: v.cast("double"))
+    """Every dimension of an embedding plays a feature."""
+    phi = F.transform("embedding", lambda v: v.cast("double"))
     return table(spark, sf_dir, "embeddings").select("vec_id", phi.alias("phi"))
 
 
-_NAMES = [f"d{i}" for i in range(1, NAMES + 1)]
+def _names(spark, sf_dir) -> list[str]:
+    width = _embedding_rows(spark, sf_dir).agg(F.max(F.size("phi"))).first()[0] or 0
+    return [f"d{i}" for i in range(1, width + 1)]
 
 
 @query("srt_4_top_factors", EMB_SQL + """
 SELECT vec_id, position, 'd' || i AS feature, round(value, 6) + 0.0 AS contribution,
   CASE WHEN value > 0 THEN 'toward fraud' ELSE 'toward legitimate' END AS direction FROM rk WHERE position <= 5""")
 def top_factors(spark, sf_dir):
-    rows = _embedding_rows(spark, sf_dir).select("vec_id", F.posexplode(XP.top_factors(F.col("phi"), _NAMES, 5)).alias("p", "f"))
+    rows = _embedding_rows(spark, sf_dir).select("vec_id", F.posexplode(XP.top_factors(F.col("phi"), _names(spark, sf_dir), 5)).alias("p", "f"))
     return rows.select("vec_id", (F.col("p") + 1).cast("bigint").alias("position"), "f.feature",
                        r6("f.contribution").alias("contribution"), "f.direction")
 
 
 @query("srt_5_remainder", EMB_SQL + "SELECT vec_id, round(sum(value) FILTER (position > 5), 6) + 0.0 AS remainder FROM rk GROUP BY 1")
 def remainder(spark, sf_dir):
-    return _embedding_rows(spark, sf_dir).select("vec_id", r6(XP.remainder(F.col("phi"), _NAMES, 5)).alias("remainder"))
+    return _embedding_rows(spark, sf_dir).select("vec_id", r6(XP.remainder(F.col("phi"), _names(spark, sf_dir), 5)).alias("remainder"))
 
 
 @query("agg_20_global_importance", EMB_SQL + """,
@@ -215,5 +217,5 @@ g AS (SELECT 'd' || i AS feature, avg(abs(value)) AS mean_abs, avg(value) AS mea
 SELECT feature, round(mean_abs, 6) + 0.0 AS mean_abs, round(mean, 6) + 0.0 AS mean, round(max_abs, 6) + 0.0 AS max_abs,
   round(100 * mean_abs / sum(mean_abs) OVER (), 6) + 0.0 AS share_pct FROM g""")
 def global_importance(spark, sf_dir):
-    rows = XP.global_importance(_embedding_rows(spark, sf_dir), _NAMES)
+    rows = XP.global_importance(_embedding_rows(spark, sf_dir), _names(spark, sf_dir))
     return rows.select("feature", *[r6(c).alias(c) for c in ("mean_abs", "mean", "max_abs", "share_pct")])

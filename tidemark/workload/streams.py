@@ -41,6 +41,15 @@ CHAMPION = SC.Scorer("v1", 0.6, lambda: S.sigmoid((F.col("k").cast("double") - 5
 CHALLENGER = SC.Scorer("v2", 0.5, SC.guarded(lambda rows: (rows["user_id"] % 100) / 100.0, ["user_id"]))
 
 
+def _fails_sometimes(rows: pd.DataFrame):
+    if (rows["event_id"] % 97 == 0).any():
+        raise RuntimeError("one row in 97 cannot be scored")
+    return (rows["user_id"] % 100) / 100.0
+
+
+FRAGILE = SC.Scorer("v2", 0.5, SC.guarded(_fails_sometimes, ["user_id", "event_id"]))
+
+
 def _fails(rows: pd.DataFrame):
     raise RuntimeError("a challenger that never works")
 
@@ -118,22 +127,28 @@ def audit_sink(spark, sf_dir):
 @query("str_1_ordered_replay", """
 SELECT 'in order' AS status, count(*) AS messages, min(epoch(ts)) AS first_dt, max(epoch(ts)) AS last_dt FROM events""")
 def ordered_replay(spark, sf_dir):
-    """Every batch of the replay starts where the one before it ended."""
+    """Every batch of four files starts where the one before it ended, and numbers follow event time."""
     out = scratch_path(spark, "replay")
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    parsed = FD.parse_messages(FD.read_feed(spark, _feed(spark, sf_dir, slices=4), 1), MESSAGE)
-    parsed.select("event_id", "dt").writeStream.foreachBatch(keep).option(
+    parsed = FD.parse_messages(FD.read_feed(spark, _feed(spark, sf_dir, slices=4), 4), MESSAGE + ", sequence bigint")
+    parsed.select("event_id", "dt", "sequence").writeStream.foreachBatch(keep).option(
         "checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    spans = spark.read.schema("event_id bigint, dt double, batch_id bigint").parquet(out).groupBy("batch_id").agg(
-        F.count("*").alias("n"), F.min("dt").alias("a"), F.max("dt").alias("b"))
     from pyspark.sql import Window
 
+    rows = spark.read.schema("event_id bigint, dt double, sequence bigint, batch_id bigint").parquet(out)
+    inside = Window.partitionBy("batch_id").orderBy("sequence")
+    key = F.struct("dt", "event_id")
+    stepped = rows.select("batch_id", "dt", "sequence", (F.lag(key).over(inside) >= key).alias("back"))
+    spans = stepped.groupBy("batch_id").agg(
+        F.count("*").alias("n"), F.min("dt").alias("a"), F.max("dt").alias("b"), F.count_if("back").alias("back"),
+        F.min("sequence").alias("first"), F.max("sequence").alias("last"))
     # One row per micro-batch: bounded by the number of files of the feed.
-    before = F.max("b").over(Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1))
-    checked = spans.withColumn("late", F.coalesce(F.col("a") < before, F.lit(False)))
+    order = Window.orderBy("batch_id")
+    expected = F.coalesce(F.lag("last").over(order) + 1, F.lit(0))
+    checked = spans.withColumn("late", (F.col("first") != expected) | (F.col("last") - F.col("first") + 1 != F.col("n")) | (F.col("back") > 0))
     return checked.agg(
         F.when(F.count_if("late") == 0, "in order").otherwise("out of order").alias("status"),
         F.sum("n").alias("messages"), F.min("a").alias("first_dt"), F.max("b").alias("last_dt"))
@@ -167,6 +182,19 @@ def failing_challenger(spark, sf_dir):
     return _audit_columns(SC.read_audit(spark, _scored(spark, sf_dir, BROKEN).root))
 
 
+@query("str_4_failing_rows", STREAM_SQL + AUDIT_ROW_SQL + """
+ CASE WHEN event_id % 97 = 0 THEN '-' ELSE 'v2' END AS challenger_version, CASE WHEN event_id % 97 <> 0 THEN q END AS challenger_probability,
+ CASE WHEN event_id % 97 = 0 THEN '-' WHEN q >= 0.5 THEN 'BLOCK' ELSE 'ALLOW' END AS challenger_decision FROM sc""")
+def failing_rows(spark, sf_dir):
+    """A challenger that raises on one row in 97 loses the scores of these rows only."""
+    rows = _rows(spark, sf_dir)
+    known = FeatureEncoder().fit(rows.where(F.col("event_type") != "error").select("event_type", "value", "k", "user_id", "event_id"))
+    sink = SC.AuditSink(scratch_path(spark, "audit"), known, CHAMPION, FRAGILE, "event_id", "dt", "label")
+    messages = FD.read_feed(spark, _feed(spark, sf_dir), files_per_batch=8)
+    SC.run_scoring(FD.parse_messages(messages, MESSAGE), sink).awaitTermination()
+    return _audit_columns(SC.read_audit(spark, sink.root))
+
+
 @query("str_5_label_isolation", STREAM_SQL + "SELECT count(*) AS rows, 0::BIGINT AS changed_scores, count(*) AS changed_labels FROM sc")
 def label_isolation(spark, sf_dir):
     """Flipping every label changes no score and no decision."""
