@@ -12,8 +12,8 @@ MODEL = P.path("piece_bpe_32k.model")
 
 
 @pytest.fixture(scope="module")
-def lat():
-    return L.Lattices(L.vocabulary(MODEL))
+def vocab():
+    return L.vocabulary(MODEL)
 
 
 def segmentations(vocab, word, at=0):
@@ -42,19 +42,21 @@ def table(vocab, text):
     return {k: s - total for k, s in out.items()}
 
 
-def test_probabilities_and_whole_enumeration(lat):
+def test_probabilities_and_whole_enumeration(vocab):
     for text in ("in it", "the a\nb", "x🙂"):
-        want = table(lat.vocab, text)
-        got = {tuple(L.piece_ids(lat, e).tolist()): (lp, inc) for e, lp, _, inc in L.top_segmentations(lat, [text], [5], 500)[0]}
+        want = table(vocab, text)
+        lat, drawn = L.top_segmentations(vocab, [text], [5], 500)
+        got = {tuple(L.piece_ids(lat, e).tolist()): (lp, inc) for e, lp, _, inc in drawn[0]}
         assert set(got) == set(want)
         assert all(abs(got[k][0] - want[k]) < 1e-9 and got[k][1] == 0 for k in want)
 
 
-def test_sampling_is_without_replacement_and_weighted(lat):
+def test_sampling_is_without_replacement_and_weighted(vocab):
     text = "in it"
-    want = {k: math.exp(v) for k, v in table(lat.vocab, text).items()}
+    want = {k: math.exp(v) for k, v in table(vocab, text).items()}
     n, first, second, weight = 6000, Counter(), Counter(), Counter()
-    for samples in L.top_segmentations(lat, [text] * n, [(i * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF for i in range(n)], 2):
+    lat, drawn = L.top_segmentations(vocab, [text] * n, [(i * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF for i in range(n)], 2)
+    for samples in drawn:
         ids = [tuple(L.piece_ids(lat, e).tolist()) for e, *_ in samples]
         assert len(set(ids)) == 2 and samples[0][2] >= samples[1][2]
         first[ids[0]] += 1

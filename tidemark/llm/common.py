@@ -75,7 +75,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _POWERS = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
         size = max(n, 2 * len(_POWERS), 1 << 16)
@@ -92,7 +92,7 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Sums of byte codes weighted by descending powers: the hash of any slice in two reads."""
     # h[i] = sum of code(b[j]) * base**j for j < i, modulo 2**64; the base is odd, so it has an inverse
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * _powers(len(data)), out=sums[1:])
+    np.cumsum(_BYTE_CODES[data] * powers(len(data)), out=sums[1:])
     return sums
 
 
@@ -100,7 +100,7 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _INVERSES = np.ones(1, np.uint64)
 
 
-def _inverses(n: int) -> np.ndarray:
+def inverses(n: int) -> np.ndarray:
     global _INVERSES
     if len(_INVERSES) < n:
         size = max(n, 2 * len(_INVERSES), 1 << 16)
@@ -112,7 +112,7 @@ def _inverses(n: int) -> np.ndarray:
 
 def slice_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the slices ``[start, end)``, equal for equal bytes wherever they lie."""
-    raw = (sums[end] - sums[start]) * _inverses(int(start.max()) + 1 if len(start) else 1)[start]
+    raw = (sums[end] - sums[start]) * inverses(int(start.max()) + 1 if len(start) else 1)[start]
     return mix64(raw ^ (end - start).astype(np.uint64))
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, mix64, ranges
+from tidemark.llm.common import group_starts, inverses, map_arrow, mix64, powers, ranges
 from tidemark.llm.registry import query, table
 
 SAMPLES = 2
@@ -29,7 +29,6 @@ SPACE = "▁"
 #: No standard Gumbel drawn from 53 bits is larger: -log(2**-54) is about 37.4.
 GUMBEL_MAX = 37.5
 _UNKNOWN_PENALTY = 10.0
-_EDGES_KEPT = 2_000_000
 
 
 class Vocabulary:
@@ -62,9 +61,48 @@ class Vocabulary:
         self.score = {p: -math.log(1 + i - first) - total for p, i in self.pieces.items()}
         self.unknown = min(self.score.values()) - _UNKNOWN_PENALTY
         self.longest = max(map(len, self.pieces))
+        self.scores = np.zeros(size + 1)
+        for p, i in self.pieces.items():
+            self.scores[i] = self.score[p]
+        self._index()
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("pieces reach across words")
 
+    def _index(self) -> None:
+        """Open addressing over the hashes of the pieces."""
+        names = list(self.pieces)
+        sizes = np.array([len(p) for p in names], np.int64)
+        points = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
+        begin = np.cumsum(sizes) - sizes
+        sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(mix64(points.astype(np.uint64) + np.uint64(1)) * powers(len(points)), out=sums[1:])
+        hashes = mix64((sums[begin + sizes] - sums[begin]) * inverses(len(points) + 1)[begin])
+        self._mask = np.uint64((1 << 19) - 1)
+        self._hash = np.zeros(1 << 19, np.uint64)
+        self._piece = np.full(1 << 19, -1, np.int32)
+        self._probes = 1
+        for h, p in zip(hashes.tolist(), names):
+            at, probes = h & int(self._mask), 1
+            while self._hash[at]:
+                at, probes = (at + 1) & int(self._mask), probes + 1
+            self._hash[at], self._piece[at] = h, self.pieces[p]
+            self._probes = max(self._probes, probes)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, -1 where there is none."""
+        at = (hashes & self._mask).astype(np.int64)
+        out = np.full(len(hashes), -1, np.int32)
+        open_ = np.arange(len(hashes))
+        for _ in range(self._probes):
+            seen = self._hash[at]
+            hit = seen == hashes[open_]
+            out[open_[hit]] = self._piece[at[hit]]
+            more = ~hit & (seen != 0)
+            if not more.any():
+                break
+            open_, at = open_[more], (at[more] + 1) & int(self._mask)
+        return out
+
     def fallback(self, char: str) -> list[int]:
         return [self.bytes_[b] for b in char.encode("utf-8", "surrogatepass")]
 
@@ -87,70 +125,63 @@ def words(text: str) -> list[str]:
 
 
 class Lattices:
-    """Flat arrays of the lattices of many words: edges by node, with conditional probabilities."""
+    """Flat arrays of the lattices of distinct words: edges by node, with conditional probabilities.
 
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
-        self.clear()
+    All substrings up to the longest piece are looked up at once by rolling hashes, and the masses
+    of all words are summed together, one distance from the word's end after the other.
+    """
 
-    def clear(self) -> None:
-        self.root: dict[str, int] = {}
+    def __init__(self, vocab: Vocabulary, distinct: list[str]):
+        sizes = np.array([len(w) for w in distinct], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        points = np.frombuffer("".join(distinct).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(points)
+        self.root = begin
+        end = np.repeat(begin + sizes, sizes)
+        width = min(vocab.longest, int(sizes.max()) if n else 0)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix64(points.astype(np.uint64) + np.uint64(1)) * powers(n), out=sums[1:])
+        back = inverses(n + 1)[:n]
+        piece = np.full((n, max(width, 1)), -1, np.int32)
+        for size in range(1, width + 1):
+            at = np.flatnonzero(np.arange(n) + size <= end)
+            piece[at, size - 1] = vocab.find(mix64((sums[at + size] - sums[at]) * back[at]))
         self.multi: list[list[int]] = []
-        self.n_nodes = self.n_edges = 0
-        self._new: tuple[list, ...] = ([], [], [], [], [])
-        self.first, self.target, self.piece, self.upto, self.logp = (np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.float64, np.float64))
-
-    def add(self, word: str) -> int:
-        """Build the lattice of a word; returns its first node. The end of a word is node -1."""
-        found = self.root.get(word)
-        if found is not None:
-            return found
-        vocab, n = self.vocab, len(word)
-        score, pieces, longest = vocab.score, vocab.pieces, vocab.longest
-        edges: list[list] = []
-        mass = [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            out = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                s = score.get(word[i:j])
-                if s is not None:
-                    out.append((s + mass[j], j, pieces[word[i:j]]))
-            if not out or out[0][1] != i + 1:
-                ids = vocab.fallback(word[i])
-                if len(ids) > 1:
-                    self.multi.append(ids)
-                out.append((vocab.unknown * len(ids) + mass[i + 1], i + 1, ids[0] if len(ids) == 1 else -len(self.multi)))
-            top = max(o[0] for o in out)
-            mass[i] = top + math.log(sum(math.exp(o[0] - top) for o in out))
-            edges.append(out)
-        base = self.n_nodes
-        first, target, piece, upto, logp = self._new
-        for i, out in enumerate(reversed(edges)):
-            first.append(self.n_edges)
-            self.n_edges += len(out)
-            total = 0.0
-            for s, j, p in out:
-                target.append(base + j if j < n else -1)
-                piece.append(p)
-                logp.append(s - mass[i])
-                total += math.exp(s - mass[i])
-                upto.append(total)
-            upto[-1] = 2.0  # whatever the rounding, the last edge takes what is left
-        self.n_nodes += n
-        self.root[word] = base
-        return base
-
-    def settle(self) -> None:
-        """Move newly built lattices into the arrays."""
-        if self._new[0]:
-            arrays = (self.first, self.target, self.piece, self.upto, self.logp)
-            joined = [np.concatenate((a, np.array(b, a.dtype))) for a, b in zip(arrays, self._new)]
-            self.first, self.target, self.piece, self.upto, self.logp = joined
-            self._new = ([], [], [], [], [])
-
-    def end_of(self, node: np.ndarray) -> np.ndarray:
-        nxt = np.minimum(node + 1, len(self.first) - 1)
-        return np.where(node + 1 < len(self.first), self.first[nxt], len(self.target))
+        score = np.where(piece >= 0, vocab.scores[piece], 0)
+        for i in np.flatnonzero(piece[:, 0] < 0).tolist() if n else []:
+            ids = vocab.fallback(chr(points[i]))
+            score[i, 0] = vocab.unknown * len(ids)
+            if len(ids) == 1:
+                piece[i, 0] = ids[0]
+            else:
+                self.multi.append(ids)
+                piece[i, 0] = -1 - len(self.multi)
+        there = piece != -1
+        self.node, step = np.nonzero(there)
+        self.piece = piece[there]
+        value = score[there]
+        target = self.node + step + 1
+        # the end of a word has mass one
+        self.target = np.where(target == end[self.node], -1, target) if n else target
+        into = np.where(self.target < 0, n, target)
+        self.first = np.searchsorted(self.node, np.arange(n + 1))
+        left = end - np.arange(n)
+        mass = np.zeros(n + 1)
+        by_left = np.argsort(left[self.node], kind="stable")
+        cuts = np.searchsorted(left[self.node][by_left], np.arange(1, (int(left.max()) if n else 0) + 2))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            edges = by_left[a:b]
+            nodes = self.node[edges]
+            starts = group_starts(nodes)
+            total = value[edges] + mass[into[edges]]
+            top = np.maximum.reduceat(total, starts)
+            spread = np.exp(total - np.repeat(top, np.diff(np.append(starts, len(nodes)))))
+            mass[nodes[starts]] = top + np.log(np.add.reduceat(spread, starts))
+        self.logp = value + mass[into] - mass[self.node]
+        upto = np.cumsum(np.exp(self.logp))
+        base = np.concatenate(([0.0], upto))[self.first[:-1]]
+        self.upto = upto - base[self.node]
+        self.upto[self.first[1:] - 1] = 2.0  # whatever the rounding, the last edge takes what is left
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sample each chain from its node to the end of its word: edges in order, and how many per chain."""
@@ -188,43 +219,68 @@ class Path:
         self.edges, self.counts, self.score, self.fixed, self.logp = edges, counts, score, fixed, logp
 
 
-def _sides(lat: Lattices, path: Path, roots: np.ndarray, want: int, key: int, agenda: list, serial: int) -> None:
-    """Put the untaken edges along a fresh path on the agenda, as far as they can be among the `want` best.
+def _side_edges(lat: Lattices, parts: list[np.ndarray], before: np.ndarray, scores: np.ndarray, keys: np.ndarray, done: np.ndarray) -> tuple:
+    """Edges beside stretches of paths, with the text they belong to, their place and their perturbed score."""
+    sizes = np.array([len(p) for p in parts])
+    part = np.concatenate(parts)
+    text = np.repeat(np.arange(len(parts)), sizes)
+    logs = lat.logp[part]
+    run = np.cumsum(logs) - logs
+    first = np.cumsum(sizes) - sizes
+    prior = before[text] + run - np.concatenate((run, [0.0]))[first][text]
+    low = lat.first[lat.node[part]]
+    counts = lat.first[lat.node[part] + 1] - low
+    side = ranges(low, counts)
+    owner = np.repeat(np.arange(len(part)), counts)
+    other = side != part[owner]
+    side, owner = side[other], owner[other]
+    who = text[owner]
+    number = np.arange(len(side)) - np.searchsorted(who, np.arange(len(parts)))[who]
+    draw = (mix64(keys[who] + (done[who] * 32 + number).astype(np.uint64)) >> np.uint64(11)).astype(np.float64)
+    noise = np.log(-np.log1p(-(draw + 0.5) * 2.0**-53))
+    # a Gumbel of this mass, truncated at the score of the path
+    value = -np.logaddexp(-scores[who], noise - prior[owner] - lat.logp[side])
+    return side, who, done[who] + owner - first[who], value
+
+
+STRETCH = 64
+
+
+def _push_sides(lat: Lattices, paths: list[Path], wants: list[int], keys: list[int], agendas: list[list], serial: int) -> None:
+    """Put the untaken edges along fresh paths on the agendas, as far as they can be among the best wanted.
 
     `path.fixed` edges were fixed before the path was drawn; their alternatives are on the agenda already.
     """
-    done, before, n = path.fixed, float(lat.logp[path.edges[: path.fixed]].sum()), len(path.edges)
-    limit = -math.inf
-    while done < n:
-        best = heapq.nsmallest(want, agenda)
-        limit = -best[-1][0] if len(best) == want else -math.inf
-        if before + GUMBEL_MAX < limit:
-            return
-        part = path.edges[done : done + 192]
-        node = np.searchsorted(lat.first, part, "right") - 1
-        low, high = lat.first[node], lat.end_of(node)
-        prior = before + np.concatenate(([0.0], np.cumsum(lat.logp[part])))
-        sizes = high - low
-        side = ranges(low, sizes)
-        owner = np.repeat(np.arange(len(part)), sizes)
-        other = side != part[owner]
-        side, owner = side[other], owner[other]
-        mass = prior[owner] + lat.logp[side]
-        draw = (mix64(np.uint64(key) + np.arange(done * 32, done * 32 + len(side), dtype=np.uint64)) >> np.uint64(11)).astype(np.float64)
-        noise = np.log(-np.log1p(-(draw + 0.5) * 2.0**-53))
-        value = -np.logaddexp(-path.score, noise - mass)
-        for i in np.argsort(-value, kind="stable")[:want].tolist():
-            heapq.heappush(agenda, (-float(value[i]), serial, done + int(owner[i]), int(side[i]), path))
-        before, done = float(prior[-1]), done + len(part)
-
-
-def top_segmentations(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> list[list[tuple]]:
+    done = [p.fixed for p in paths]
+    live = [i for i, p in enumerate(paths) if done[i] < len(p.edges)]
+    before = {i: float(lat.logp[paths[i].edges[: done[i]]].sum()) for i in live}
+    while live:
+        parts = [paths[i].edges[done[i] : done[i] + STRETCH] for i in live]
+        side, who, place, value = _side_edges(
+            lat, parts, np.array([before[i] for i in live]), np.array([paths[i].score for i in live]),
+            np.array([keys[i] for i in live], np.uint64), np.array([done[i] for i in live]))
+        order = np.lexsort((-value, who))
+        rank = np.arange(len(order)) - np.searchsorted(who[order], np.arange(len(live)))[who[order]]
+        order = order[rank < np.array([wants[i] for i in live])[who[order]]]
+        for w, v, at, edge in zip(who[order].tolist(), value[order].tolist(), place[order].tolist(), side[order].tolist()):
+            i = live[w]
+            heapq.heappush(agendas[i], (-v, serial, at, edge, paths[i]))
+        still = []
+        for i, part in zip(live, parts):
+            before[i] += float(lat.logp[part].sum())
+            done[i] += len(part)
+            best = heapq.nsmallest(wants[i], agendas[i])
+            if done[i] < len(paths[i].edges) and (len(best) < wants[i] or before[i] + GUMBEL_MAX >= -best[-1][0]):
+                still.append(i)
+        live = still
+
+
+def top_segmentations(vocab: Vocabulary, texts: list[str], seeds: list[int], k: int) -> tuple[Lattices, list[list[tuple]]]:
     """Per text, at most `k` of ``(edges, log probability, perturbed score, log inclusion probability)``."""
-    split = [words(t) for t in texts]
-    if lat.n_edges > _EDGES_KEPT:
-        lat.clear()
-    roots = [np.fromiter(map(lat.add, w), np.int64, len(w)) for w in split]
-    lat.settle()
+    index: dict[str, int] = {}
+    split = [[index.setdefault(w, len(index)) for w in words(t)] for t in texts]
+    lat = Lattices(vocab, list(index))
+    roots = [lat.root[np.array(w, np.int64)] for w in split]
     agendas: list[list] = [[] for _ in texts]
     found: list[list[Path]] = [[] for _ in texts]
     keys = [mix64(np.uint64(s) + np.arange(k + 1, dtype=np.uint64)) for s in seeds]
@@ -253,18 +309,20 @@ def top_segmentations(lat: Lattices, texts: list[str], seeds: list[int], k: int)
             break
         edges, count = lat.walk(np.concatenate(nodes), np.concatenate(chain_keys))
         begin = np.append(0, np.cumsum(count))
-        logs = np.append(0.0, np.cumsum(lat.logp[edges])) if len(edges) else np.zeros(1)
-        at, tasks = 0, []
+        at, tasks, paths = 0, [], []
         for i, score, prefix, counts, size in plans:
-            a, b = begin[at], begin[at + size]
             own = count[at : at + size].copy()
             if len(prefix) and size:
                 own[0] += len(prefix) - int(counts.sum())
-            path = Path(np.concatenate((prefix, edges[a:b])), np.concatenate((counts, own)), score, len(prefix),
-                        float(lat.logp[prefix].sum() + logs[b] - logs[a]))
+            whole = np.concatenate((prefix, edges[begin[at] : begin[at + size]]))
+            path = Path(whole, np.concatenate((counts, own)), score, len(prefix), float(lat.logp[whole].sum()))
             found[i].append(path)
+            paths.append(path)
             at += size
-            _sides(lat, path, roots[i], k + 1 - len(found[i]), int(keys[i][r]) ^ 0x2545F4914F6CDD1D, agendas[i], r)
+        owners = [p[0] for p in plans]
+        _push_sides(lat, paths, [k + 1 - len(found[i]) for i in owners], [int(keys[i][r]) ^ 0x2545F4914F6CDD1D for i in owners],
+                    [agendas[i] for i in owners], r)
+        for i in owners:
             if agendas[i] and r + 1 < k:
                 entry = heapq.heappop(agendas[i])
                 tasks.append((i, -entry[0], entry))
@@ -273,7 +331,7 @@ def top_segmentations(lat: Lattices, texts: list[str], seeds: list[int], k: int)
         # the best score that was not emitted is the threshold of the sample
         kappa = -agendas[i][0][0] if agendas[i] else -math.inf
         out.append([(p.edges, p.logp, p.score, _log_inclusion(p.logp - kappa)) for p in found[i]])
-    return out
+    return lat, out
 
 
 def _log_inclusion(x: float) -> float:
@@ -288,7 +346,7 @@ def piece_ids(lat: Lattices, edges: np.ndarray) -> np.ndarray:
     ids = lat.piece[edges]
     odd = np.flatnonzero(ids < 0)
     if len(odd):
-        extra = [lat.multi[-i - 1] for i in ids[odd].tolist()]
+        extra = [lat.multi[-i - 2] for i in ids[odd].tolist()]
         sizes = np.ones(len(ids), np.int64)
         sizes[odd] = [len(e) for e in extra]
         ids = np.repeat(ids, sizes)
@@ -296,7 +354,6 @@ def piece_ids(lat: Lattices, edges: np.ndarray) -> np.ndarray:
     return ids
 
 
-_lattices: dict[str, Lattices] = {}
 _OUT = pa.list_(pa.int32())
 
 
@@ -310,21 +367,20 @@ def sample_encode(docs: DataFrame, model_path: str, k: int = SAMPLES, seed: int
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if model_path not in _lattices:
-            _lattices[model_path] = Lattices(vocabulary(model_path))
-        lat = _lattices[model_path]
+        vocab = vocabulary(model_path)
         texts = batch.column(2).to_pylist()
         keys = batch.column(1).to_pylist()
         rows, ranks, ids, logp, score, inclusion = [], [], [], [], [], []
         start = 0
         while start < len(texts):
             end, size = start, 0
-            while end < len(texts) and (end == start or size + len(texts[end]) < 1_000_000):
+            while end < len(texts) and (end == start or size + len(texts[end]) < 2_000_000):
                 size += len(texts[end])
                 end += 1
             part = texts[start:end]
             seeds = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), (x ^ seed) & 0xFFFFFFFFFFFFFFFF) for t, x in zip(part, keys[start:end])]
-            for i, samples in enumerate(top_segmentations(lat, part, seeds, k)):
+            lat, drawn = top_segmentations(vocab, part, seeds, k)
+            for i, samples in enumerate(drawn):
                 for r, (edges, lp, g, inc) in enumerate(samples):
                     rows.append(start + i)
                     ranks.append(r + 1)
