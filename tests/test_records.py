@@ -52,7 +52,7 @@ def test_registry_promotes_only_on_the_verdict(spark, tmp_path):
         registry.promote(two, one, S.GATE_NOISE)
     registry.promote(two, one, S.GATE_PROMOTE)
     state = {r["version"]: (r["stage"], r["aliases"]) for r in registry.state().collect()}
-    assert state == {1: ("Archived", []), 2: ("Production", ["champion"])}
+    assert state == {1: ("Archived", []), 2: ("Production", ["champion", "staging"])}
     assert RG.resolve_champion(registry.state()).first()["version"] == 2
 
 

@@ -9,13 +9,15 @@ precision sum. A score held by very many rows is summed over salts instead.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.order_stats import grid_points
-from tidemark.operators.ranking import MAX_RANGES, with_range
+from tidemark.operators.ranking import STEPS_PER_RANGE, score_grid, with_range
+from tidemark.session import small_table
 
 DEFAULT_RESAMPLES = 1_000
 DEFAULT_SEED = 42
@@ -29,7 +31,6 @@ POISSON_STEPS = [
     int(MODULUS * c) for c in np.cumsum([np.exp(-1.0) / f for f in
                                          (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
 ]
-SALTS = 16
 BLOCK_CELLS = 4_000_000
 
 
@@ -45,17 +46,10 @@ def draw_weights(ids: np.ndarray, resamples: np.ndarray, seed: int) -> np.ndarra
     return np.searchsorted(np.asarray(POISSON_STEPS), x, side="right")
 
 
-def _blocks(n: int, width: int, ends: np.ndarray | None = None):
-    """Row blocks of bounded size, cut only where a run of equal scores ends."""
+def _blocks(n: int, width: int):
+    """Row blocks of bounded size."""
     step = max(1, BLOCK_CELLS // max(1, width))
-    if ends is None:
-        return [(a, min(n, a + step)) for a in range(0, n, step)]
-    out, a = [], 0
-    for e in ends:
-        if e - a >= step or e == n:
-            out.append((a, int(e)))
-            a = int(e)
-    return out
+    return [(a, min(n, a + step)) for a in range(0, n, step)]
 
 
 def _sums(resamples: int, seed: int):
@@ -84,8 +78,15 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
     }])
 
 
+def _fold_chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Totals of a block of ranges, under the number of the block."""
+    out = _fold(rows)
+    out["range"], out["hot"] = float(key[1]), False
+    return out
+
+
 def _offsets(rows: pd.DataFrame) -> pd.DataFrame:
-    """Totals above each group of one model; in a range the hot score lies below the rest."""
+    """Totals above each group of the given ranges of one model; in a range the hot score lies below the rest."""
     rows = rows.sort_values(["range", "hot"], ascending=[False, True]).reset_index(drop=True)
     pos, neg = np.stack(rows["pos"].to_list()), np.stack(rows["neg"].to_list())
     above_pos, above_neg = np.cumsum(pos, axis=0) - pos, np.cumsum(neg, axis=0) - neg
@@ -111,18 +112,26 @@ def _parts(resamples: int, seed: int):
         score = rows["score"].to_numpy()
         ids, y = rows["id"].to_numpy(np.int64), rows["y"].to_numpy() == 1
         ends = np.append(np.flatnonzero(np.diff(score)) + 1, len(score))
+        closing = set(ends.tolist())
         tp = np.array(offset["above_pos"].iloc[0], dtype=float)
         fp = np.array(offset["above_neg"].iloc[0], dtype=float)
         part = np.zeros(resamples)
-        for a, b in _blocks(len(rows), resamples, ends):
+        # a run of equal scores may cross blocks: what it has gathered waits until it ends
+        open_pos, open_neg = np.zeros(resamples), np.zeros(resamples)
+        for a, b in _blocks(len(rows), resamples):
             w = draw_weights(ids[a:b], draws, seed)
             hit = y[a:b, None]
-            inner = ends[(ends > a) & (ends <= b)]
-            starts = np.append(a, inner[:-1]) - a
-            pos = np.add.reduceat(w * hit, starts, axis=0)
-            neg = np.add.reduceat(w * ~hit, starts, axis=0)
-            up_tp, up_fp = tp + np.cumsum(pos, axis=0), fp + np.cumsum(neg, axis=0)
-            part += (pos * _precision(up_tp, up_fp)).sum(axis=0)
+            starts = np.append(a, ends[(ends > a) & (ends < b)]) - a
+            pos = np.add.reduceat(w * hit, starts, axis=0).astype(float)
+            neg = np.add.reduceat(w * ~hit, starts, axis=0).astype(float)
+            pos[0] += open_pos
+            neg[0] += open_neg
+            whole = len(pos) if b in closing else len(pos) - 1
+            open_pos, open_neg = (np.zeros(resamples),) * 2 if whole == len(pos) else (pos[-1], neg[-1])
+            if not whole:
+                continue
+            up_tp, up_fp = tp + np.cumsum(pos[:whole], axis=0), fp + np.cumsum(neg[:whole], axis=0)
+            part += (pos[:whole] * _precision(up_tp, up_fp)).sum(axis=0)
             tp, fp = up_tp[-1], up_fp[-1]
         return pd.DataFrame([{"model": key[0], "part": part}])
 
@@ -135,6 +144,11 @@ def _hot_part(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"model": rows["model"].iloc[0], "part": (pos * _precision(tp, fp)).sum(axis=0)}])
 
 
+def _fold_parts(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame([{"model": rows["model"].iloc[0], **{
+        c: np.sum(np.stack(rows[c].to_list()), axis=0) for c in ("part", "pos", "neg")}}])
+
+
 def _average_precision(rows: pd.DataFrame) -> pd.DataFrame:
     """(model, b, ap) of one model from its parts and its totals; one-class resamples give NULL."""
     part = np.sum(np.stack(rows["part"].to_list()), axis=0)
@@ -144,19 +158,15 @@ def _average_precision(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"model": rows["model"].iloc[0], "b": np.arange(len(pos)), "ap": ap})
 
 
-def score_plan(long: DataFrame, rows_per_range: int) -> tuple[list[float], list[float]]:
-    """Range cuts and the scores so frequent that they fill whole grid steps."""
-    row = long.agg(F.count("*").alias("n"),
-                   F.percentile_approx("score", grid_points(MAX_RANGES), 4 * MAX_RANGES).alias("cuts")).first()
-    if row["n"] <= rows_per_range:
-        return [], []
-    step = max(1, MAX_RANGES // -(-row["n"] // rows_per_range))
-    cuts = sorted(set(row["cuts"][step - 1:: step]))
+def score_plan(long: DataFrame, rows_per_range: int) -> tuple[list[float], dict[float, int]]:
+    """Range cuts, and the scores so frequent that they fill a range, with their number of salts."""
+    _, grid = score_grid(long, F.col("score"), rows_per_range)
     seen: dict[float, int] = {}
-    for value in row["cuts"]:
+    for value in grid:
         seen[value] = seen.get(value, 0) + 1
-    hot = sorted(v for v, times in seen.items() if times > max(1, step))
-    return sorted(set(cuts) | set(hot)), hot
+    # salts follow the weight: a hot score of w ranges is summed by about 2w tasks
+    hot = {v: -(-2 * times // STEPS_PER_RANGE) for v, times in seen.items() if times > STEPS_PER_RANGE}
+    return sorted(set(grid[STEPS_PER_RANGE - 1:: STEPS_PER_RANGE]) | set(hot)), hot
 
 
 def bootstrap_average_precision(
@@ -170,12 +180,11 @@ def bootstrap_average_precision(
         F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("score")) for m in models])),
     ).where(F.col("score").isNotNull())
     cuts, hot = score_plan(long, rows_per_range)
-    is_hot = F.col("score").isin(hot) if hot else F.lit(False)
-    salt = F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0))
-    ranged = (
-        with_range(long, "score", cuts, "range")
-        .withColumns({"hot": is_hot, "salt": salt})
-    )
+    # at most one hot score per range of rows, so the table of salts is as small as the list of cuts
+    salts = small_table(df.sparkSession, list(hot.items()), "score double, salts bigint")
+    ranged = with_range(long, "score", cuts, "range").join(F.broadcast(salts), "score", "left").withColumns({
+        "hot": F.col("salts").isNotNull(),
+        "salt": F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0))})
     sums = ranged.groupBy("model", "range", "hot", "salt").applyInPandas(
         _sums(resamples, seed), f"model string, range double, hot boolean, pos {vector}, neg {vector}"
     )
@@ -183,11 +192,20 @@ def bootstrap_average_precision(
         sums = sums.groupBy("model", "range", "hot").applyInPandas(
             _fold, f"model string, range double, hot boolean, pos {vector}, neg {vector}"
         )
-    # At most two models x (ranges + hot scores) rows of vectors, whatever the table size.
-    offsets = sums.groupBy("model").applyInPandas(
-        _offsets, f"model string, range double, hot boolean, pos {vector}, neg {vector}, "
-                  f"above_pos {vector}, above_neg {vector}"
-    )
+    # Two levels: about sqrt(ranges) blocks of about sqrt(ranges) ranges, so no task sees every range.
+    ranges = len(cuts) + 1
+    chunk = F.floor(F.col("range") / float(max(1, math.isqrt(ranges))))
+    sums = sums.withColumn("chunk", chunk)
+    shape = f"model string, range double, hot boolean, pos {vector}, neg {vector}, above_pos {vector}, above_neg {vector}"
+    totals = sums.groupBy("model", "chunk").applyInPandas(
+        _fold_chunk, f"model string, range double, hot boolean, pos {vector}, neg {vector}")
+    bases = totals.groupBy("model").applyInPandas(_offsets, shape).select(
+        "model", F.col("range").cast("bigint").alias("chunk"), F.col("above_pos").alias("base_pos"), F.col("above_neg").alias("base_neg"))
+    inner = sums.groupBy("model", "chunk").applyInPandas(_offsets, shape).withColumn("chunk", chunk)
+    add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
+    offsets = inner.join(bases, ["model", "chunk"]).select(
+        "model", "range", "hot", "pos", "neg",
+        add("above_pos", "base_pos").alias("above_pos"), add("above_neg", "base_neg").alias("above_neg"))
     keys = ["model", "range"]
     cold = offsets.where(~F.col("hot")).select(*keys, "above_pos", "above_neg")
     parts = ranged.where(~F.col("hot")).select(*keys, "score", "id", "y").groupBy(*keys).cogroup(
@@ -201,7 +219,10 @@ def bootstrap_average_precision(
     pool = parts.select("model", "part", zeros.alias("pos"), zeros.alias("neg")).unionByName(
         offsets.select("model", zeros.alias("part"), "pos", "neg")
     )
-    return pool.groupBy("model").applyInPandas(
+    slot = F.pmod(F.spark_partition_id(), F.lit(max(1, math.isqrt(ranges))))
+    some = pool.withColumn("slot", slot).groupBy("model", "slot").applyInPandas(
+        _fold_parts, f"model string, part {vector}, pos {vector}, neg {vector}")
+    return some.groupBy("model").applyInPandas(
         _average_precision, "model string, b bigint, ap double"
     ).withColumn("ap", F.when(~F.isnan("ap"), F.col("ap")))
 

@@ -18,24 +18,27 @@ from pyspark.sql import functions as F
 from tidemark.operators.order_stats import grid_points
 
 ROWS_PER_RANGE = 250_000
-MAX_RANGES = 2_048
+#: Sketch steps per range: a score that fills several is a hot one.
+STEPS_PER_RANGE = 8
 
 
 class DegenerateLabelsError(ValueError):
     """A metric was asked for on rows that are empty or of one class."""
 
 
-def score_cuts(df: DataFrame, score: str, rows_per_range: int = ROWS_PER_RANGE,
-               max_ranges: int = MAX_RANGES) -> list[float]:
-    """Inner cut points that split the scores into ranges of bounded size."""
-    value = F.col(score).cast("double")
-    row = df.agg(F.count(value).alias("n"),
-                 F.percentile_approx(value, grid_points(max_ranges), 4 * max_ranges).alias("cuts")).first()
-    ranges = min(max_ranges, math.ceil(row["n"] / rows_per_range))
+def score_grid(df: DataFrame, score: Column, rows_per_range: int) -> tuple[int, list[float]]:
+    """Number of ranges for the rows there are, and STEPS_PER_RANGE sketched quantiles for each."""
+    ranges = math.ceil((df.agg(F.count(score)).first()[0] or 0) / rows_per_range)
     if ranges <= 1:
-        return []
-    step = max(1, max_ranges // ranges)
-    return sorted(set(row["cuts"][step - 1:: step]))
+        return ranges, []
+    steps = ranges * STEPS_PER_RANGE
+    return ranges, df.agg(F.percentile_approx(score, grid_points(steps), 4 * steps)).first()[0]
+
+
+def score_cuts(df: DataFrame, score: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
+    """Inner cut points that split the scores into ranges of bounded size, as many as the rows need."""
+    _, grid = score_grid(df, F.col(score).cast("double"), rows_per_range)
+    return sorted(set(grid[STEPS_PER_RANGE - 1:: STEPS_PER_RANGE]))
 
 
 def with_range(df: DataFrame, score: str, cuts: list[float], output: str = "__range") -> DataFrame:
