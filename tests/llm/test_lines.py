@@ -23,10 +23,10 @@ def expected(texts):
     return out
 
 
-@pytest.mark.parametrize("short", [L.SHORT_LIST, 2])
-def test_removed_lines_match_all_pairs(docs, texts, monkeypatch, short):
-    monkeypatch.setattr(L, "SHORT_LIST", short)
-    monkeypatch.setattr(L, "FIRST", 1 if short == 2 else L.FIRST)
+@pytest.mark.parametrize("at_once", [L.PAIRS_AT_ONCE, 3])
+def test_removed_lines_match_all_pairs(docs, texts, monkeypatch, at_once):
+    monkeypatch.setattr(L, "PAIRS_AT_ONCE", at_once)
+    monkeypatch.setattr(L, "FIRST", 1 if at_once == 3 else L.FIRST)
     once = sorted({(i, t or "") for i, t in texts if i is not None and i != 3}, key=lambda r: r[0])
     want = expected(once)
     chosen = docs.filter("doc_id IS NOT NULL AND doc_id <> 3")
@@ -37,9 +37,10 @@ def test_removed_lines_match_all_pairs(docs, texts, monkeypatch, short):
     assert len(got[2]) == 3 and got[2][0] == got[2][1]
 
 
-@pytest.mark.parametrize("first", [4, 0])
-def test_similar_variants_of_one_line(spark, monkeypatch, first):
+@pytest.mark.parametrize("first, at_once", [(4, L.PAIRS_AT_ONCE), (0, L.PAIRS_AT_ONCE), (1, 10)])
+def test_similar_variants_of_one_line(spark, monkeypatch, first, at_once):
     monkeypatch.setattr(L, "FIRST", first)
+    monkeypatch.setattr(L, "PAIRS_AT_ONCE", at_once)
     base = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join(base[:i] + [f"own{i}"] + base[i + 1 :])) for i in range(40)] + [(50, "alpha beta gamma delta"), (51, "alpha beta gamma delta epsilon"), (52, "alpha beta gamma")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)

@@ -23,11 +23,15 @@ from tidemark.llm.registry import query, table
 from tidemark.session import materialise
 
 THRESHOLD = 0.8
-#: In lists up to this length every pair that passes the filters is verified. In longer ones a line brings its
-#: first FIRST pairs; if it has more and none of those matches, it is compared with its whole lists again.
-SHORT_LIST, FIRST = 16, 4
+#: Of the pairs that pass the filters in one list, a line brings its first FIRST; if it has more and none of
+#: those it brings anywhere matches, it is compared with all lines of its lists again.
+FIRST = 4
+#: Pairs of lists that are looked at together; a list with more of its own is walked in blocks.
+PAIRS_AT_ONCE = 2_000_000
 POSTINGS_PER_PART = 400_000
 _RARITY_BITS = 16
+#: Bits of the filter that keeps unconcerned documents out of the second shuffle of texts.
+_FILTER_BITS = 1 << 23
 
 
 def _line_sets(data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray | None) -> tuple[np.ndarray, ...]:
@@ -141,88 +145,129 @@ def _dealt(classes: DataFrame, parts: int) -> DataFrame:
     return map_arrow(classes.select("cid", "early", "size", "parity", "prefix"), "part bigint, block binary", work)
 
 
-def _may_match(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+def _may_match(sizes: tuple, places: tuple, parities: tuple, threshold: float) -> np.ndarray:
     """Length, position and parity filters: False only if the pair cannot reach the threshold."""
-    nx, ny = x["size"].astype(np.int64), y["size"].astype(np.int64)
+    (nx, ny), (px, py) = sizes, places
     needed = np.ceil(threshold / (1 + threshold) * (nx + ny) - 1e-9).astype(np.int64)
-    room = 1 + np.minimum(nx - x["place"], ny - y["place"]) - 1
     return (
-        (np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-9)
-        & (room >= needed)
-        & (np.bitwise_count(x["parity"] ^ y["parity"]) <= nx + ny - 2 * needed)
+        (np.bitwise_count(parities[0] ^ parities[1]) <= nx + ny - 2 * needed)
+        & (np.minimum(nx - px, ny - py) >= needed)
+        & (np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-9)
     )
 
 
-def _first_pairs(group: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a long list: for each line the first pairs with earlier ones, and the lines that have more."""
-    left, right, found = [], [], np.zeros(len(group), np.int64)
-    for begin in range(0, len(group), 256):
-        x = group[begin : begin + 256]
-        # lines with enough pairs are done; lines of the same block meet the ones before them
-        open_ = begin + np.flatnonzero(found[begin:] <= FIRST)
+def _kept_first(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of an earlier and a later row: the first FIRST of each later row, and the rows that have more."""
+    order = np.lexsort((x, y))
+    x, y = x[order], y[order]
+    starts = group_starts(y)
+    count = np.diff(np.append(starts, len(y)))
+    first = np.arange(len(y)) - np.repeat(starts, count) < FIRST
+    return x[first], y[first], y[starts][count > FIRST]
+
+
+def _long_list(columns: tuple, begin: int, end: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for one long list, in blocks: lines that have enough pairs are not looked at again."""
+    size, place, parity = (c[begin:end] for c in columns)
+    found = np.zeros(end - begin, np.int64)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, end - begin, 256):
+        stop = min(at + 256, end - begin)
+        open_ = at + np.flatnonzero(found[at:] <= FIRST)
         for part in np.array_split(open_, max(1, len(open_) // 1024)):
-            i, j = np.divmod(np.arange(len(x) * len(part)), len(part))
-            keep = part[j] > begin + i
-            i, j = i[keep], part[j[keep]]
-            ok = _may_match(x[i], group[j], threshold) & (x["cid"][i] != group["cid"][j])
+            i, j = np.divmod(np.arange((stop - at) * len(part)), max(1, len(part)))
+            i, j = i + at, part[j]
+            i, j = i[j > i], j[j > i]
+            ok = _may_match((size[i], size[j]), (place[i], place[j]), (parity[i], parity[j]), threshold)
             i, j = i[ok], j[ok]
-            order = np.lexsort((i, j))
-            i, j = i[order], j[order]
-            starts = group_starts(j)
-            rank = np.arange(len(j)) - np.repeat(starts, np.diff(np.append(starts, len(j)))) + found[j]
-            left.append(x["cid"][i[rank < FIRST]])
-            right.append(group["cid"][j[rank < FIRST]])
+            left.append(i[found[j] < FIRST])
+            right.append(j[found[j] < FIRST])
             np.add.at(found, j, 1)
-    return np.concatenate(left), np.concatenate(right), found > FIRST
+    x, y, _ = _kept_first(np.concatenate(left), np.concatenate(right))
+    return begin + x, begin + y, begin + np.flatnonzero(found > FIRST)
 
 
 def _candidates(part: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Kind 0: pairs that may match. Kinds 1 and 2: lines with more pairs, and all lines of the lists they are in."""
+    """Kind 0: an earlier and a later line that may match, and when the earlier one occurs. Kind 1: a line with more pairs."""
     key = part.column("part").to_numpy()
     starts = np.append(group_starts(key), len(key))
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
         rows = np.frombuffer(b"".join(part.column("block").slice(a, b - a).to_pylist()), _POSTING)
+        # by time within a list, as long lists want it; the others are put by size
         rows = rows[np.lexsort((rows["cid"], rows["early"], rows["word"]))]
         first = group_starts(rows["word"])
-        size = np.diff(np.append(first, len(rows)))
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        again = np.zeros(len(rows), np.int32)
-        for length in range(2, SHORT_LIST + 1):
-            begin = first[size == length]
-            if not len(begin):
-                continue
-            for i in range(length - 1):
-                x = rows[begin + i]
-                for j in range(i + 1, length):
-                    y = rows[begin + j]
-                    ok = _may_match(x, y, threshold) & (x["cid"] != y["cid"])
-                    left.append(x["cid"][ok])
-                    right.append(y["cid"][ok])
-        long = size > SHORT_LIST
-        for begin, length in zip(first[long].tolist(), size[long].tolist()):
-            x, y, more = _first_pairs(rows[begin : begin + length], threshold)
+        length = np.diff(np.append(first, len(rows)))
+        alone = np.repeat(length == 1, length)
+        rows = rows[~alone]
+        first = group_starts(rows["word"])
+        bounds = np.append(first, len(rows))
+        size, place, parity = rows["size"].astype(np.int64), rows["place"].astype(np.int64), np.ascontiguousarray(rows["parity"])
+        list_of = np.repeat(np.arange(len(first)), np.diff(bounds))
+        by_size = np.lexsort((size, list_of))
+        wide = list_of[by_size] << 33
+        # partners of a row stand behind it, up to the largest size that can still match
+        limit = np.floor(size[by_size] / threshold + 1e-9).astype(np.int64)
+        reach = np.searchsorted(wide | size[by_size], wide | limit, "right") - np.arange(len(rows)) - 1
+        load = np.add.reduceat(reach, first) if len(first) else reach
+        left, right, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        long = load > PAIRS_AT_ONCE
+        for i in np.flatnonzero(long).tolist():
+            x, y, open_ = _long_list((size, place, parity), int(bounds[i]), int(bounds[i + 1]), threshold)
+            left.append(x)
+            right.append(y)
+            more.append(open_)
+        load = np.where(long, 0, load)
+        reach = np.where(long[list_of], 0, reach)
+        cuts = np.searchsorted(np.cumsum(load), np.arange(0, int(load.sum()) + PAIRS_AT_ONCE, PAIRS_AT_ONCE), "right") if len(load) else [0]
+        for low, high in zip(cuts[:-1], np.maximum(cuts[1:], cuts[:-1])):
+            span = slice(int(bounds[low]), int(bounds[high]))
+            i = np.repeat(np.arange(span.start, span.stop), reach[span])
+            j = ranges(np.arange(span.start, span.stop) + 1, reach[span])
+            i, j = by_size[i], by_size[j]
+            ok = _may_match((size[i], size[j]), (place[i], place[j]), (parity[i], parity[j]), threshold)
+            x, y, open_ = _kept_first(np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok]))
             left.append(x)
             right.append(y)
-            if more.any():
-                again[begin : begin + length] = np.where(more, 1, 2)
+            more.append(open_)
         x, y = np.concatenate(left), np.concatenate(right)
-        x, y = np.minimum(x, y), np.maximum(x, y)
-        order = np.lexsort((y, x))
+        same = rows["cid"][x] == rows["cid"][y]
+        x, y = x[~same], y[~same]
+        order = np.lexsort((rows["cid"][x], rows["cid"][y]))
         x, y = x[order], y[order]
-        once = group_starts(x, y)
-        more = rows[again > 0]
-        kind = np.append(np.zeros(len(once), np.int32), again[again > 0])
-        blank = np.zeros(len(once), np.int64)
+        once = group_starts(rows["cid"][y], rows["cid"][x]) if len(x) else x
+        x, y = x[once], y[once]
+        again = np.unique(rows["cid"][np.concatenate(more)])
         yield pa.RecordBatch.from_arrays([
-            pa.array(kind), pa.array(np.append(x[once], more["word"].astype(np.int64))), pa.array(np.append(y[once], more["cid"])),
-            pa.array(np.append(blank, more["size"].astype(np.int64) << 32 | more["place"].astype(np.int64))),
-            pa.array(np.append(blank, more["parity"].view(np.int64)))], ["kind", "a", "b", "c", "d"])
+            pa.array(np.append(np.zeros(len(x), np.int32), np.ones(len(again), np.int32))),
+            pa.array(np.append(rows["cid"][x], again)), pa.array(np.append(rows["cid"][y], again)),
+            pa.array(np.append(rows["early"][x].astype(np.int64), np.zeros(len(again), np.int64)))], ["kind", "a", "b", "c"])
+
+
+def _concerned(keyed: DataFrame, asked: DataFrame) -> DataFrame:
+    """Documents that a filter of fixed size takes for asked; it errs only by letting others through."""
+    slot = F.pmod(F.xxhash64("doc_id", "_h"), F.lit(_FILTER_BITS))
+    # at most _FILTER_BITS / 64 rows come back
+    words = asked.select(slot.alias("slot")).selectExpr("shiftright(slot, 6) AS w", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
+    bits = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table_ = np.zeros(_FILTER_BITS // 64, np.int64)
+    table_[bits["w"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    table_ = table_.view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = batch.column(3).to_numpy()
+            hit = table_[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)
+            yield batch.select([0, 1, 2]).filter(pa.array(hit == 1))
+
+    return keyed.withColumn("slot", slot).mapInArrow(run, keyed.schema)
 
 
 def _sets(keyed: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``cid, doc_id, _h, line, words``: the whole sets of the wanted classes, from their first lines."""
     id_type = keyed.schema["doc_id"].dataType.simpleString()
-    asked = classes.join(wanted, "cid").groupBy("doc_id", "_h").agg(F.collect_list(F.struct("line", "cid")).alias("asked"))
+    asked = materialise(classes.join(wanted, "cid").select("doc_id", "_h", "line", "cid"), "asked")
+    keyed = _concerned(keyed, asked)
+    asked = asked.groupBy("doc_id", "_h").agg(F.collect_list(F.struct("line", "cid")).alias("asked"))
     joined = keyed.join(asked, same_document(keyed, asked)).select(keyed["doc_id"], keyed["_h"], "text", "asked")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -262,20 +307,21 @@ def _later(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return map_arrow(last, "cid bigint", work).distinct()
 
 
-def _second_look(long: DataFrame, gone: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of the lines that had more pairs and no match so far, with every line of their lists."""
-    unpack = lambda df, n: df.select(
-        F.col("a").alias("word"), F.col("b").alias(n), F.shiftrightunsigned("c", 32).alias(f"{n}_size"),
-        F.col("c").bitwiseAND(0xFFFFFFFF).alias(f"{n}_place"), F.col("d").alias(f"{n}_parity"))
-    alone = unpack(long.filter("kind = 1").join(gone, long["b"] == gone["cid"], "left_anti"), "y")
-    joined = alone.join(unpack(long, "x"), "word")
+def _second_look(classes: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of the given lines with every line that shares a word of their prefixes."""
+    words = F.transform(
+        F.sequence(F.lit(0), F.octet_length("prefix") / 4 - 1).cast("array<int>"),
+        lambda i: F.struct(i.alias("place"), F.hex(F.substring(F.col("prefix"), i * 4 + 1, F.lit(4))).alias("word")))
+    postings = classes.filter(F.octet_length("prefix") > 0).select("cid", "size", "parity", F.inline(words))
+    side = lambda df, n: df.select("word", *[F.col(c).alias(f"{n}_{c}") for c in ("cid", "size", "parity", "place")])
+    joined = side(postings.join(lines, "cid", "left_semi"), "y").join(side(postings, "x"), "word")
     total = F.col("x_size") + F.col("y_size")
     needed = F.ceil(threshold / (1 + threshold) * total - 1e-9)
     room = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
     joined = joined.filter(
-        (F.col("x") != F.col("y")) & (F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size") - 1e-9)
+        (F.col("x_cid") != F.col("y_cid")) & (F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size") - 1e-9)
         & (room >= needed) & (F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity"))) <= total - 2 * needed))
-    return joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return joined.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct()
 
 
 def kept_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -284,14 +330,20 @@ def kept_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     postings = classes.agg(F.sum(F.octet_length("prefix") / 4)).first()[0] or 0
     parts = max(1, math.ceil(postings / POSTINGS_PER_PART))
     blocks = _dealt(classes.withColumn("early", _early(classes)).filter(F.octet_length("prefix") > 0), parts)
-    found = materialise(whole_groups(blocks, ["part"], "kind int, a bigint, b bigint, c bigint, d bigint", lambda t: _candidates(t, threshold), rows=1), "candidates")
-    pairs = found.filter("kind = 0").select("a", "b").distinct()
-    long = found.filter("kind > 0")
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(long.select("b")).distinct()
-    sets = materialise(_sets(keyed, classes, wanted), "sets")
-    gone = materialise(_later(pairs, sets, threshold), "gone")
-    late = _later(_second_look(long, gone, threshold), sets, threshold)
-    stay = classes.select("cid", "doc_id", "_h", "line").join(gone.union(late), "cid", "left_anti")
+    found = materialise(whole_groups(blocks, ["part"], "kind int, a bigint, b bigint, c bigint", lambda t: _candidates(t, threshold), rows=1), "candidates")
+    pairs = found.filter("kind = 0")
+    sets = materialise(_sets(keyed, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()), "sets")
+    # most lines that match anything match the first line they are paired with
+    first = pairs.groupBy("b").agg(F.min(F.struct("c", "a")).alias("f")).select("f.a", "b")
+    gone = materialise(_later(first, sets, threshold), "gone")
+    rest = pairs.select("a", "b").distinct().join(gone, F.col("b") == gone["cid"], "left_anti")
+    gone = materialise(gone.union(_later(rest, sets, threshold)), "gone")
+    alone = materialise(found.filter("kind = 1").select(F.col("a").alias("cid")).distinct().join(gone, "cid", "left_anti"), "alone")
+    if not alone.isEmpty():
+        more = materialise(_second_look(classes, alone, threshold), "more")
+        sets = _sets(keyed, classes, more.select(F.col("a").alias("cid")).union(more.select("b")).distinct())
+        gone = gone.union(_later(more, materialise(sets, "sets"), threshold))
+    stay = classes.select("cid", "doc_id", "_h", "line").join(gone, "cid", "left_anti")
     return stay.groupBy("doc_id", "_h").agg(F.collect_list("line").alias("kept"))
 
 
