@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import splits as SP
+from tidemark.plans import gate as G
 from tidemark.plans import monitor as M
 from tidemark.plans import registry as RG
 from tidemark.plans import training as TR
@@ -61,3 +62,21 @@ def test_an_alert_is_stored_whole_and_resolved_once(spark, tmp_path):
     attempt = lambda run: small_table(spark, [(1, None, run, "2")], RESOLUTION_SCHEMA)
     assert TR.resolve_once(store, attempt("first")) and not TR.resolve_once(store, attempt("second"))
     assert [r["run_id"] for r in store.read("alert_resolutions", RESOLUTION_SCHEMA).collect()] == ["first"]
+
+
+def test_the_gate_records_and_promotes_on_an_audit_table(spark, tmp_path):
+    registry = RG.Registry(TableStore(spark, str(tmp_path / "store")))
+    record_run(registry.store, "run-1", {"start_time": 1})
+    record_run(registry.store, "run-2", {"start_time": 2, "retrain.window_start_dt": 0.0, "retrain.window_end_dt": 10.0})
+    registry.register("run-1", "Production", "champion")
+    registry.register(tags={"trigger_alert_id": "7"}, origin="drift_retrain")
+    audit = spark.range(8_000).selectExpr(
+        "id", "CAST(100 + id AS DOUBLE) AS transaction_dt", "CAST(id % 20 = 0 AS INT) AS true_label",
+        "'v1' AS model_version", "'v2' AS challenger_version", "0.5D AS threshold", "0.5D AS challenger_threshold",
+        "(pmod(xxhash64(id), 1000) + IF(id % 20 = 0, 200, 0)) / 1200D AS fraud_probability",
+        "(pmod(xxhash64(id, 1), 1000) + IF(id % 20 = 0, 700, 0)) / 1700D AS challenger_probability")
+    row = G.compare_and_record(audit, registry, promote=True, resamples=60).first()
+    assert (row["id"], row["from_version"], row["to_version"], row["trigger_alert_id"]) == (1, "1", "2", 7)
+    assert row["verdict"] == RG.GATE_PROMOTE and row["leakage_checked"]
+    state = {r["version"]: (r["stage"], r["aliases"], r["tags"].get("shadow_rows")) for r in registry.state().collect()}
+    assert state == {1: ("Archived", [], None), 2: ("Production", ["champion", "staging"], "8000")}

@@ -82,6 +82,12 @@ UNSEEN_SCHEMA = (
     "observed_at timestamp, feature string, value string, occurrences bigint, model_version string, source string"
 )
 RESOLUTION_SCHEMA = "alert_id bigint, resolved_at timestamp, run_id string, model_version string"
+COMPARISON_SCHEMA = (
+    "id bigint, promoted_at timestamp, from_version string, to_version string, trigger_alert_id bigint, "
+    "comparison_rows bigint, comparison_positives bigint, comparison_fraud_rate double, champion_pr_auc double, "
+    "challenger_pr_auc double, pr_auc_delta double, bootstrap_std_error double, margin_in_ses double, "
+    "leakage_checked boolean, verdict string"
+)
 RUN_SCHEMA = "run_id string, kind string, key string, value string"
 
 
