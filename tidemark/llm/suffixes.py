@@ -25,7 +25,7 @@ from tidemark.session import materialise
 LENGTH, ANCHOR = 400, 64
 #: Anchors with more distinct runs are dealt again by longer shared cores; where even a core has more,
 #: its starts are counted by their bytes instead of being put into one array.
-ARRAY_CLASSES = 2000
+ARRAY_CLASSES = 1000
 #: Runs of a hot anchor are cut by the distance from the anchor; all starts of a piece share a core.
 PIECE = 43
 #: Bits of a key that hold the place; fixed, so that ties fall alike in every batch.
@@ -74,13 +74,13 @@ class EnhancedSuffixArray:
         word = np.zeros(n + 512, np.uint64)
         for i in range(8):
             word = (word << np.uint64(8)) | data[i : i + n + 512]
-        ranks = [np.unique(word, return_inverse=True)[1].astype(np.int64)]
+        ranks = [np.unique(word, return_inverse=True)[1].astype(np.int32)]
         step = 8
         while step < 256:
             last = ranks[-1]
-            pair = last * (int(last.max()) + 1)
+            pair = last.astype(np.int64) * (int(last.max()) + 1)
             pair[:-step] += last[step:]
-            ranks.append(np.unique(pair, return_inverse=True)[1].astype(np.int64))
+            ranks.append(np.unique(pair, return_inverse=True)[1].astype(np.int32))
             step *= 2
         self.data = data
         start = ranges(self.begin, counts)
@@ -267,7 +267,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, size: int = ANCHOR, a
     shipped = materialise(_cut(keyed.join(asked, same_document(keyed, asked)).select("text", "runs"), length, size), "shipped")
     heavy = shipped.groupBy("key").count().filter(F.col("count") > array_classes).select("key")
     arrays = whole_groups(shipped.join(heavy, "key", "left_anti").select(*_SHIPPED), ["key"], _SPANS,
-                          lambda part: _array_spans(part, length), rows=4000)
+                          lambda part: _array_spans(part, length), rows=1500)
     starts = _starts(shipped.join(heavy, "key", "left_semi"), length)
     twice = starts.groupBy("anchor", "bytes").agg(F.sum("weight").alias("weight")).filter("weight > 1")
     single = starts.filter("weight = 1").join(twice.select("anchor", "bytes"), ["anchor", "bytes"])
