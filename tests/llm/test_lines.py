@@ -23,28 +23,24 @@ def expected(texts):
     return out
 
 
-@pytest.mark.parametrize("at_once", [L.PAIRS_AT_ONCE, 3])
-def test_removed_lines_match_all_pairs(docs, texts, monkeypatch, at_once):
-    monkeypatch.setattr(L, "PAIRS_AT_ONCE", at_once)
-    monkeypatch.setattr(L, "FIRST", 1 if at_once == 3 else L.FIRST)
+@pytest.mark.parametrize("most, at_once", [(L.FIRST, L.PAIRS_AT_ONCE), (1, 3)])
+def test_removed_lines_match_all_pairs(docs, texts, most, at_once):
     once = sorted({(i, t or "") for i, t in texts if i is not None and i != 3}, key=lambda r: r[0])
     want = expected(once)
     chosen = docs.filter("doc_id IS NOT NULL AND doc_id <> 3")
     got = {}
-    for r in L.repeated_lines(chosen).collect():
+    for r in L.repeated_lines(chosen, most=most, at_once=at_once).collect():
         got.setdefault(r.doc_id, []).append(r.removed)
     assert {i: [g] for (i, _), g in want.items()} == {i: v[:1] for i, v in got.items()}
     assert len(got[2]) == 3 and got[2][0] == got[2][1]
 
 
-@pytest.mark.parametrize("first, at_once", [(4, L.PAIRS_AT_ONCE), (0, L.PAIRS_AT_ONCE), (1, 10)])
-def test_similar_variants_of_one_line(spark, monkeypatch, first, at_once):
-    monkeypatch.setattr(L, "FIRST", first)
-    monkeypatch.setattr(L, "PAIRS_AT_ONCE", at_once)
+@pytest.mark.parametrize("most, at_once", [(0, L.PAIRS_AT_ONCE), (1, 10)])
+def test_similar_variants_of_one_line(spark, most, at_once):
     base = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join(base[:i] + [f"own{i}"] + base[i + 1 :])) for i in range(40)] + [(50, "alpha beta gamma delta"), (51, "alpha beta gamma delta epsilon"), (52, "alpha beta gamma")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    got = {r.doc_id: len(r.removed) for r in L.repeated_lines(df).collect()}
+    got = {r.doc_id: len(r.removed) for r in L.repeated_lines(df, most=most, at_once=at_once).collect()}
     assert got == {i: int(0 < i < 40 or i == 51) for i, _ in rows}
 
 

@@ -156,38 +156,38 @@ def _may_match(sizes: tuple, places: tuple, parities: tuple, threshold: float) -
     )
 
 
-def _kept_first(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of an earlier and a later row: the first FIRST of each later row, and the rows that have more."""
+def _kept_first(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of an earlier and a later row: the first `most` of each later row, and the rows that have more."""
     order = np.lexsort((x, y))
     x, y = x[order], y[order]
     starts = group_starts(y)
     count = np.diff(np.append(starts, len(y)))
-    first = np.arange(len(y)) - np.repeat(starts, count) < FIRST
-    return x[first], y[first], y[starts][count > FIRST]
+    first = np.arange(len(y)) - np.repeat(starts, count) < most
+    return x[first], y[first], y[starts][count > most]
 
 
-def _long_list(columns: tuple, begin: int, end: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _long_list(columns: tuple, begin: int, end: int, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for one long list, in blocks: lines that have enough pairs are not looked at again."""
     size, place, parity = (c[begin:end] for c in columns)
     found = np.zeros(end - begin, np.int64)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, end - begin, 256):
         stop = min(at + 256, end - begin)
-        open_ = at + np.flatnonzero(found[at:] <= FIRST)
+        open_ = at + np.flatnonzero(found[at:] <= most)
         for part in np.array_split(open_, max(1, len(open_) // 1024)):
             i, j = np.divmod(np.arange((stop - at) * len(part)), max(1, len(part)))
             i, j = i + at, part[j]
             i, j = i[j > i], j[j > i]
             ok = _may_match((size[i], size[j]), (place[i], place[j]), (parity[i], parity[j]), threshold)
             i, j = i[ok], j[ok]
-            left.append(i[found[j] < FIRST])
-            right.append(j[found[j] < FIRST])
+            left.append(i[found[j] < most])
+            right.append(j[found[j] < most])
             np.add.at(found, j, 1)
-    x, y, _ = _kept_first(np.concatenate(left), np.concatenate(right))
-    return begin + x, begin + y, begin + np.flatnonzero(found > FIRST)
+    x, y, _ = _kept_first(np.concatenate(left), np.concatenate(right), most)
+    return begin + x, begin + y, begin + np.flatnonzero(found > most)
 
 
-def _candidates(part: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+def _candidates(part: pa.Table, threshold: float, most: int, at_once: int) -> Iterator[pa.RecordBatch]:
     """Kind 0: an earlier and a later line that may match, and when the earlier one occurs. Kind 1: a line with more pairs."""
     key = part.column("part").to_numpy()
     starts = np.append(group_starts(key), len(key))
@@ -210,22 +210,22 @@ def _candidates(part: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
         reach = np.searchsorted(wide | size[by_size], wide | limit, "right") - np.arange(len(rows)) - 1
         load = np.add.reduceat(reach, first) if len(first) else reach
         left, right, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        long = load > PAIRS_AT_ONCE
+        long = load > at_once
         for i in np.flatnonzero(long).tolist():
-            x, y, open_ = _long_list((size, place, parity), int(bounds[i]), int(bounds[i + 1]), threshold)
+            x, y, open_ = _long_list((size, place, parity), int(bounds[i]), int(bounds[i + 1]), threshold, most)
             left.append(x)
             right.append(y)
             more.append(open_)
         load = np.where(long, 0, load)
         reach = np.where(long[list_of], 0, reach)
-        cuts = np.searchsorted(np.cumsum(load), np.arange(0, int(load.sum()) + PAIRS_AT_ONCE, PAIRS_AT_ONCE), "right") if len(load) else [0]
+        cuts = np.searchsorted(np.cumsum(load), np.arange(0, int(load.sum()) + at_once, at_once), "right") if len(load) else [0]
         for low, high in zip(cuts[:-1], np.maximum(cuts[1:], cuts[:-1])):
             span = slice(int(bounds[low]), int(bounds[high]))
             i = np.repeat(np.arange(span.start, span.stop), reach[span])
             j = ranges(np.arange(span.start, span.stop) + 1, reach[span])
             i, j = by_size[i], by_size[j]
             ok = _may_match((size[i], size[j]), (place[i], place[j]), (parity[i], parity[j]), threshold)
-            x, y, open_ = _kept_first(np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok]))
+            x, y, open_ = _kept_first(np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok]), most)
             left.append(x)
             right.append(y)
             more.append(open_)
@@ -310,7 +310,7 @@ def _later(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def _second_look(classes: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """Pairs of the given lines with every line that shares a word of their prefixes."""
     words = F.transform(
-        F.sequence(F.lit(0), F.octet_length("prefix") / 4 - 1).cast("array<int>"),
+        F.sequence(F.lit(0), (F.octet_length("prefix") / 4 - 1).cast("int")),
         lambda i: F.struct(i.alias("place"), F.hex(F.substring(F.col("prefix"), i * 4 + 1, F.lit(4))).alias("word")))
     postings = classes.filter(F.octet_length("prefix") > 0).select("cid", "size", "parity", F.inline(words))
     side = lambda df, n: df.select("word", *[F.col(c).alias(f"{n}_{c}") for c in ("cid", "size", "parity", "place")])
@@ -324,13 +324,13 @@ def _second_look(classes: DataFrame, lines: DataFrame, threshold: float) -> Data
     return joined.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct()
 
 
-def kept_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def kept_lines(keyed: DataFrame, threshold: float = THRESHOLD, most: int = FIRST, at_once: int = PAIRS_AT_ONCE) -> DataFrame:
     """``doc_id, _h, kept``: numbers of the lines with words that stay, in documents that keep any."""
     classes = materialise(_classes(keyed, rarity_table(keyed), threshold), "classes")
     postings = classes.agg(F.sum(F.octet_length("prefix") / 4)).first()[0] or 0
     parts = max(1, math.ceil(postings / POSTINGS_PER_PART))
     blocks = _dealt(classes.withColumn("early", _early(classes)).filter(F.octet_length("prefix") > 0), parts)
-    found = materialise(whole_groups(blocks, ["part"], "kind int, a bigint, b bigint, c bigint", lambda t: _candidates(t, threshold), rows=1), "candidates")
+    found = materialise(whole_groups(blocks, ["part"], "kind int, a bigint, b bigint, c bigint", lambda t: _candidates(t, threshold, most, at_once), rows=1), "candidates")
     pairs = found.filter("kind = 0")
     sets = materialise(_sets(keyed, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()), "sets")
     # most lines that match anything match the first line they are paired with
@@ -352,7 +352,7 @@ def _worded() -> Column:
     return F.filter(numbers, lambda i: i.isNotNull())
 
 
-def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", most: int = FIRST, at_once: int = PAIRS_AT_ONCE) -> DataFrame:
     """``doc_id, n_lines, removed``: lines with words, and the numbers (from 0) of those that go.
 
     A line goes if its set of words has a Jaccard similarity of `threshold` or more with that of any earlier
@@ -361,7 +361,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     answer; NULL ids come first. An empty table gives no rows.
     """
     keyed = keyed_documents(docs, id_col, text_col)
-    kept = kept_lines(keyed, threshold)
+    kept = kept_lines(keyed, threshold, most, at_once)
     rows = keyed.select("doc_id", "_h", _worded().alias("worded"))
     joined = rows.join(kept, same_document(rows, kept), "left").select(rows["doc_id"], "worded", "kept")
     removed = F.array_except("worded", F.coalesce("kept", F.array().cast("array<int>")))
