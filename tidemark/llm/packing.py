@@ -9,6 +9,7 @@ that opens a window; they fill it greedily, and the one that does not fit is cut
 from __future__ import annotations
 
 import base64
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ WINDOW = 1024
 SHARD_TOKENS = 4_000_000
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 300_000
 _DOUBLE_SPACE = re.compile(r"\s\s|[\x1c-\x1f\x85]")
 
 
@@ -41,15 +42,23 @@ class WordEncoder:
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         self._encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._whole = Tokenizer.from_file(json_path)
-        self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
+        self._json_path, self._whole = json_path, None
+        with open(json_path, encoding="utf-8") as file:
+            self._special = [t["content"] for t in json.load(file)["added_tokens"]]
         self._words: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
+    def _file(self, text: str) -> list[int]:
+        """Ids by the tokenizer file itself, which takes much memory and is read only when it is needed."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self._json_path)
+        return self._whole.encode(text, add_special_tokens=False).ids
+
     def _plain(self, text: str) -> bytes:
         return np.array(self._encoding.encode_ordinary(text), "<u2").tobytes()
 
@@ -66,7 +75,7 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian 16-bit integers."""
         if any(mark in text for mark in self._special):
-            return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+            return np.array(self._file(text), "<u2").tobytes()
         if _DOUBLE_SPACE.search(text):
             return self._plain(text)
         first, *rest = text.split(" ")
