@@ -64,6 +64,7 @@ class Vocabulary:
         self.scores = np.zeros(size + 1)
         for p, i in self.pieces.items():
             self.scores[i] = self.score[p]
+        self.scores[list(self.bytes_.values())] = self.unknown
         self._index()
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("pieces reach across words")
@@ -147,10 +148,8 @@ class Lattices:
             at = np.flatnonzero(np.arange(n) + size <= end)
             piece[at, size - 1] = vocab.find(mix64((sums[at + size] - sums[at]) * back[at]))
         self.multi: list[list[int]] = []
-        score = np.where(piece >= 0, vocab.scores[piece], 0)
         for i in np.flatnonzero(piece[:, 0] < 0).tolist() if n else []:
             ids = vocab.fallback(chr(points[i]))
-            score[i, 0] = vocab.unknown * len(ids)
             if len(ids) == 1:
                 piece[i, 0] = ids[0]
             else:
@@ -159,7 +158,9 @@ class Lattices:
         there = piece != -1
         self.node, step = np.nonzero(there)
         self.piece = piece[there]
-        value = score[there]
+        value = vocab.scores[np.maximum(self.piece, 0)]
+        odd = np.flatnonzero(self.piece < 0)
+        value[odd] = [vocab.unknown * len(self.multi[-p - 2]) for p in self.piece[odd].tolist()]
         target = self.node + step + 1
         # the end of a word has mass one
         self.target = np.where(target == end[self.node], -1, target) if n else target
@@ -374,7 +375,7 @@ def sample_encode(docs: DataFrame, model_path: str, k: int = SAMPLES, seed: int
         start = 0
         while start < len(texts):
             end, size = start, 0
-            while end < len(texts) and (end == start or size + len(texts[end]) < 2_000_000):
+            while end < len(texts) and (end == start or size + len(texts[end]) < 3_200_000):
                 size += len(texts[end])
                 end += 1
             part = texts[start:end]
