@@ -44,6 +44,19 @@ def test_similar_variants_of_one_line(spark, most, at_once):
     assert got == {i: int(0 < i < 40 or i == 51) for i, _ in rows}
 
 
+@pytest.mark.parametrize("most, at_once", [(L.FIRST, L.PAIRS_AT_ONCE), (1, 3)])
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_drifting_lines_match_the_line_before(spark, kind, most, at_once):
+    # each line shares 18 of 22 words with the one before it and too few with all others
+    drift = lambda c, n: ["\n".join(" ".join(f"c{c}w{i}" for i in range(2 * step, 2 * step + 20)) for step in range(n))]
+    whole = [(i, "\n".join(sum((drift(100 * i + c, 3) for c in range(40)), []))) for i in range(3)]
+    spread = [(10 + step, "\n".join(drift(1000 + c, 5)[0].split("\n")[step] for c in range(40))) for step in range(5)]
+    rows = [(f"{i:03d}" if kind == "string" else i, t) for i, t in whole + spread]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(5)
+    got = {r.doc_id: r.removed for r in L.repeated_lines(df, most=most, at_once=at_once).collect()}
+    assert got == {i: gone for (i, _), gone in expected(rows).items()}
+
+
 def test_stage_keeps_rows_and_columns(spark, docs, empty):
     out = L.stage(spark, docs, "")
     assert out.columns == docs.columns and out.count() == docs.count()

@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm.common import batch_bytes, group_starts, keyed_documents, map_arrow, mix64, prefix_hashes, ranges, same_document, slice_hashes, whole_groups, words_of
 from tidemark.llm.registry import query, table
@@ -108,32 +107,26 @@ def _classes(keyed: DataFrame, rarity: np.ndarray, threshold: float) -> DataFram
 
     lines = map_arrow(keyed, f"doc_id {id_type}, _h bigint, line int, k1 bigint, k2 bigint, size int, parity bigint, prefix binary", work)
     first = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "_h", "line", "size", "parity", "prefix")).alias("c")).select("c.*")
-    return first.withColumn("cid", F.monotonically_increasing_id())
+    # sorted by first occurrence over all partitions, so that a smaller cid is an earlier line
+    at = ("doc_id", "_h", "line")
+    return first.repartitionByRange(*at).sortWithinPartitions(*at).withColumn("cid", F.monotonically_increasing_id())
 
 
-def _early(classes: DataFrame) -> Column:
-    """About where a class first occurs, in 32 bits: it chooses pivots and decides nothing."""
-    if not isinstance(classes.schema["doc_id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        return F.shiftrightunsigned(F.xxhash64("doc_id"), 32)
-    low, high = classes.agg(F.min("doc_id"), F.max("doc_id")).first()
-    return F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low or 0)) / (float(high or 0) - float(low or 0) + 1) * float(1 << 32)), F.lit(0))
-
-
-_POSTING = np.dtype([("word", "<u4"), ("early", "<u4"), ("cid", "<i8"), ("size", "<u4"), ("place", "<u4"), ("parity", "<u8")])
+_POSTING = np.dtype([("word", "<u4"), ("cid", "<i8"), ("size", "<u4"), ("place", "<u4"), ("parity", "<u8")])
 
 
 def _dealt(classes: DataFrame, parts: int) -> DataFrame:
     """Postings of the prefixes, packed into one block per batch and part."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw, offsets = batch_bytes(batch.column(4))
+        raw, offsets = batch_bytes(batch.column(3))
         words = np.frombuffer(raw.tobytes(), "<u4")
         count = np.diff(offsets) // 4
         out = np.empty(len(words), _POSTING)
         out["word"] = words
-        for name, column in (("cid", 0), ("early", 1), ("size", 2)):
+        for name, column in (("cid", 0), ("size", 1)):
             out[name] = np.repeat(batch.column(column).to_numpy(), count)
-        out["parity"] = np.repeat(batch.column(3).to_numpy().view(np.uint64), count)
+        out["parity"] = np.repeat(batch.column(2).to_numpy().view(np.uint64), count)
         out["place"] = ranges(np.zeros(len(count), np.int64), count)
         part = (mix64(words.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -142,7 +135,7 @@ def _dealt(classes: DataFrame, parts: int) -> DataFrame:
         blocks = [out[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(out)))]
         return pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(blocks, pa.binary())], ["part", "block"])
 
-    return map_arrow(classes.select("cid", "early", "size", "parity", "prefix"), "part bigint, block binary", work)
+    return map_arrow(classes.select("cid", "size", "parity", "prefix"), "part bigint, block binary", work)
 
 
 def _may_match(sizes: tuple, places: tuple, parities: tuple, threshold: float) -> np.ndarray:
@@ -188,13 +181,13 @@ def _long_list(columns: tuple, begin: int, end: int, threshold: float, most: int
 
 
 def _candidates(part: pa.Table, threshold: float, most: int, at_once: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0: an earlier and a later line that may match, and when the earlier one occurs. Kind 1: a line with more pairs."""
+    """Kind 0: an earlier and a later line that may match. Kind 1: a line with more pairs."""
     key = part.column("part").to_numpy()
     starts = np.append(group_starts(key), len(key))
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
         rows = np.frombuffer(b"".join(part.column("block").slice(a, b - a).to_pylist()), _POSTING)
         # by time within a list, as long lists want it; the others are put by size
-        rows = rows[np.lexsort((rows["cid"], rows["early"], rows["word"]))]
+        rows = rows[np.lexsort((rows["cid"], rows["word"]))]
         first = group_starts(rows["word"])
         length = np.diff(np.append(first, len(rows)))
         alone = np.repeat(length == 1, length)
@@ -239,8 +232,7 @@ def _candidates(part: pa.Table, threshold: float, most: int, at_once: int) -> It
         again = np.unique(rows["cid"][np.concatenate(more)])
         yield pa.RecordBatch.from_arrays([
             pa.array(np.append(np.zeros(len(x), np.int32), np.ones(len(again), np.int32))),
-            pa.array(np.append(rows["cid"][x], again)), pa.array(np.append(rows["cid"][y], again)),
-            pa.array(np.append(rows["early"][x].astype(np.int64), np.zeros(len(again), np.int64)))], ["kind", "a", "b", "c"])
+            pa.array(np.append(rows["cid"][x], again)), pa.array(np.append(rows["cid"][y], again))], ["kind", "a", "b"])
 
 
 def _concerned(keyed: DataFrame, asked: DataFrame) -> DataFrame:
@@ -329,12 +321,12 @@ def kept_lines(keyed: DataFrame, threshold: float = THRESHOLD, most: int = FIRST
     classes = materialise(_classes(keyed, rarity_table(keyed), threshold), "classes")
     postings = classes.agg(F.sum(F.octet_length("prefix") / 4)).first()[0] or 0
     parts = max(1, math.ceil(postings / POSTINGS_PER_PART))
-    blocks = _dealt(classes.withColumn("early", _early(classes)).filter(F.octet_length("prefix") > 0), parts)
-    found = materialise(whole_groups(blocks, ["part"], "kind int, a bigint, b bigint, c bigint", lambda t: _candidates(t, threshold, most, at_once), rows=1), "candidates")
+    blocks = _dealt(classes.filter(F.octet_length("prefix") > 0), parts)
+    found = materialise(whole_groups(blocks, ["part"], "kind int, a bigint, b bigint", lambda t: _candidates(t, threshold, most, at_once), rows=1), "candidates")
     pairs = found.filter("kind = 0")
     sets = materialise(_sets(keyed, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()), "sets")
     # most lines that match anything match the first line they are paired with
-    first = pairs.groupBy("b").agg(F.min(F.struct("c", "a")).alias("f")).select("f.a", "b")
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     gone = materialise(_later(first, sets, threshold), "gone")
     rest = pairs.select("a", "b").distinct().join(gone, F.col("b") == gone["cid"], "left_anti")
     gone = materialise(gone.union(_later(rest, sets, threshold)), "gone")
