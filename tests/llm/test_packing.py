@@ -55,5 +55,23 @@ def test_neighbours_fill_the_window_of_their_seed():
     assert same >= 22
 
 
+def test_scores_count_every_term_of_the_seed():
+    rng = np.random.default_rng(5)
+    shared = rng.choice(np.arange(2000, 3000), 150, replace=False)
+    docs = [np.append(shared, np.arange(100, 130)), np.append(shared, np.arange(200, 230))]  # oddest terms differ
+    docs += [np.append(rng.integers(1, 900, int(rng.integers(20, 300))), [7, 0]) for _ in range(40)]
+    docs = [d.astype(np.uint16) for d in docs]
+    found = np.zeros(1 << 16)
+    for d in docs:
+        found[np.unique(d)] += 1
+    idf = np.log(1 + (len(docs) - found + 0.5) / (found + 0.5)).astype(np.float32)
+    idf[0] = 0
+    index, mean = K.Index(docs, idf), np.mean([len(d) for d in docs])
+    for seed in range(len(docs)):
+        want = [sum(idf[t] * n * (K.K1 + 1) / (n + K.K1 * (1 - K.B + K.B * len(d) / mean)) for t, n in zip(*np.unique(d, return_counts=True)) if t in docs[seed]) for d in docs]
+        assert np.allclose(index.scores(seed), want, rtol=1e-4)
+    assert index.scores(0)[1] > index.scores(0)[2:].max()
+
+
 def test_empty_table(empty):
     assert K.pack(empty, *PATHS).count() == 0

@@ -20,13 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import group_starts, map_arrow, mix64
+from tidemark.llm.common import group_starts, map_arrow, mix64, ranges
 from tidemark.llm.registry import query, table
 from tidemark.session import materialise
 
 WINDOW = 1024
 SHARD_TOKENS = 4_000_000
-QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 _CACHE_WORDS = 300_000
 _DOUBLE_SPACE = re.compile(r"\s\s|[\x1c-\x1f\x85]")
@@ -148,25 +147,33 @@ class Index:
             counts.append(count)
             owners.append(np.full(len(term), i, np.int32))
         self.terms = terms
-        self.idf = idf
-        self.counts = counts
         term, owner, count = np.concatenate(terms), np.concatenate(owners), np.concatenate(counts)
         order = np.argsort(term, kind="stable")
         size = np.array([len(d) for d in docs], float)
         norm = K1 * (1 - B + B * size / size.mean())
         self.owner = owner[order]
-        self.weight = (count * (K1 + 1) / (count + norm[owner]))[order].astype(np.float32)
+        self.weight = (idf[term] * count * (K1 + 1) / (count + norm[owner]))[order].astype(np.float32)
         self.start = np.searchsorted(term[order], np.arange((1 << 16) + 1))
         self.size = len(docs)
+        # terms that a quarter of the documents hold are rows of their own: at most four cells a posting
+        length = np.diff(self.start)
+        common = np.flatnonzero(4 * length > self.size)
+        self.row = np.full(1 << 16, -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.size), np.float32)
+        at = ranges(self.start[common], length[common])
+        self.rows[np.repeat(np.arange(len(common)), length[common]), self.owner[at]] = self.weight[at]
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document of the shard for the rarest terms of the seed."""
+        """BM25 of every document of the shard for all distinct terms of the seed."""
         terms = self.terms[seed]
-        best = terms if len(terms) <= QUERY_TERMS else terms[np.argpartition(-self.idf[terms], QUERY_TERMS - 1)[:QUERY_TERMS]]
-        out = np.zeros(self.size, np.float32)
-        for term in np.sort(best).tolist():
-            a, b = self.start[term], self.start[term + 1]
-            out[self.owner[a:b]] += self.idf[term] * self.weight[a:b]
+        row = self.row[terms]
+        rare = terms[row < 0].astype(np.int64)
+        at = ranges(self.start[rare], self.start[rare + 1] - self.start[rare])
+        out = np.zeros(self.size)
+        out += np.bincount(self.owner[at], self.weight[at], self.size)
+        for i in row[row >= 0].tolist():
+            out += self.rows[i]
         return out
 
 
