@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import scoring as S
 
@@ -51,6 +52,46 @@ def test_training_beats_unigrams_on_texts_held_out(spark):
     assert (rows[90].n_tokens, rows[90].log_likelihood, rows[90].mean_log_likelihood) == (0, 0.0, None)
 
 
+def test_a_wrong_word_of_the_same_class_scores_less(spark):
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join(f"{w} p{w}" for w in rng.integers(0, 100, 80))
+    fit = spark.createDataFrame([(i, text()) for i in range(600)], "doc_id bigint, text string").repartition(2)
+    units = S.fit_units(fit)
+    token = {w: int(S._windows(units, pa.array([w]))[0][0]) for i in range(100) for w in (f"{i}", f"p{i}")}
+    net = S.train(fit, units, rounds=6)
+    tokens, window, _ = S._windows(units, pa.array([text() for _ in range(60)]))
+    # the same windows, another partner of the same class in the place of each partner
+    partners = [token[f"p{i}"] for i in range(100)]
+    others = {t: [o for o in partners if units.kind[o] == units.kind[t] and o != t] for t in partners}
+    places = np.array([i for i, t in enumerate(tokens.tolist()) if others.get(t)])
+    wrong = np.array([rng.choice(others[t]) for t in tokens[places].tolist()])
+    mean = lambda t: net.token_logs(window[places], t, units, units.members()).mean()
+    assert len(places) > 1000 and mean(tokens[places]) > mean(wrong) + 0.3
+    # with the unigram share in place of the network's choice within the class, both would score alike
+    assert abs(units.log_share[tokens[places]].mean() - units.log_share[wrong].mean()) < 0.1
+
+
+def test_gradient_within_the_class_matches_differences():
+    rng = np.random.default_rng(1)
+    size = S.WORDS + S.BUCKETS
+    units = S.Units(np.zeros(0, np.uint64), np.arange(size) % S.CLASSES, np.log(np.full(size, S.CLASSES / size, np.float32)))
+    members = units.members()
+    net = S.WindowNet()
+    net.parts[3][:] = rng.normal(0, 0.1, net.parts[3].shape)
+    window, tokens = rng.integers(0, 50, (40, 2 * S.SIDE)), rng.integers(0, 200, 40)
+    logs = net.token_logs(np.repeat(window[:1], size, 0), np.arange(size), units, members)
+    assert np.isclose(np.exp(logs).sum(), 1, atol=1e-4)
+    before = net.flat.copy()
+    net.learn(window, units.kind[tokens], 0.0, tokens, units, members)
+    loss = lambda flat: -S.WindowNet(flat).token_logs(window, tokens, units, members).mean()
+    first = (size + 1) * S.DIMS + 2 * S.SIDE * S.DIMS * S.HIDDEN + S.HIDDEN
+    for i in [17, 49 * S.DIMS + 3, (size + 1) * S.DIMS + 5, first + int(tokens[0]) * S.HIDDEN + 2, first + int(tokens[9]) * S.HIDDEN, len(before) - 1]:
+        up, down = before.copy(), before.copy()
+        up[i] += 1e-2
+        down[i] -= 1e-2
+        assert abs((loss(up) - loss(down)) / 2e-2 - net.grads[i]) < 1e-3
+
+
 def test_score_is_the_sum_over_tokens_alone_or_in_a_batch(docs, texts):
     units, net = S.fit_units(docs), S.WindowNet()
     whole = S.score(docs.filter("doc_id IN (1, 5, 9)"), units, net).toPandas().set_index("doc_id")

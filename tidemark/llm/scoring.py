@@ -1,8 +1,8 @@
 """LM scoring by masked pseudo-likelihood: every token predicted from the tokens on both sides.
 
 Word counts over the whole corpus give a vocabulary, its frequency classes and the share of each
-token in its class. A small network reads the window around a masked token and predicts the class; each
-partition trains a copy on its own texts and the copies are averaged, weighted by their tokens, so
+token in its class. A small network reads the window around a masked token and predicts the class, then the
+token among the members of the class, for which its share is only where learning begins; each partition trains a copy on its own texts and the copies are averaged, weighted by their tokens, so
 every text takes part. A document's score is the sum of its conditional log probabilities.
 """
 
@@ -36,6 +36,11 @@ class Units:
     kind: np.ndarray
     log_share: np.ndarray
 
+    def members(self) -> list[np.ndarray]:
+        """Tokens of every class."""
+        order = np.argsort(self.kind, kind="stable")
+        return np.split(order, np.searchsorted(self.kind[order], np.arange(1, CLASSES)))
+
     @property
     def pad(self) -> int:
         return WORDS + BUCKETS
@@ -92,15 +97,15 @@ def fit_units(docs: DataFrame) -> Units:
 
 
 class WindowNet:
-    """Embeddings of the window, one hidden layer, a softmax over the classes."""
+    """Embeddings of the window, one hidden layer, a softmax over the classes and one over the members of a class."""
 
-    SHAPES = ((WORDS + BUCKETS + 1, DIMS), (2 * SIDE * DIMS, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+    SHAPES = ((WORDS + BUCKETS + 1, DIMS), (2 * SIDE * DIMS, HIDDEN), (HIDDEN,), (WORDS + BUCKETS, HIDDEN), (HIDDEN, CLASSES), (CLASSES,))
 
     def __init__(self, flat: np.ndarray | None = None, seed: int = 5):
         sizes = [math.prod(s) for s in self.SHAPES]
         if flat is None:
             rng = np.random.default_rng(seed)
-            scale = (0.1, 1 / math.sqrt(2 * SIDE * DIMS), 0, 1 / math.sqrt(HIDDEN), 0)
+            scale = (0.1, 1 / math.sqrt(2 * SIDE * DIMS), 0, 0, 1 / math.sqrt(HIDDEN), 0)
             flat = np.concatenate([rng.normal(0, 1, n) * s for n, s in zip(sizes, scale)])
         self.flat = flat.astype(np.float32)
         cuts = np.cumsum([0, *sizes])
@@ -110,26 +115,55 @@ class WindowNet:
         self.views = [self.grads[a:b].reshape(s) for a, b, s in zip(cuts, cuts[1:], self.SHAPES)]
 
     def forward(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        embed, inner, bias, outer, base = self.parts
+        embed, inner, bias, _, outer, base = self.parts
         read = embed[window].reshape(len(window), -1)
         hidden = np.tanh(read @ inner + bias)
         z = hidden @ outer + base
         z -= z.max(axis=1, keepdims=True)
         return read, hidden, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-    def learn(self, window: np.ndarray, kind: np.ndarray, rate: float = RATE) -> None:
-        """One Adagrad step on the mean loss of a batch."""
+    def _within(self, hidden: np.ndarray, tokens: np.ndarray, units: Units, members: list[np.ndarray]) -> Iterator[tuple]:
+        """Rows of one class, its members, the place of each row's token among them, log probabilities."""
+        kind = units.kind[tokens]
+        order = np.argsort(kind, kind="stable")
+        starts = group_starts(kind[order])
+        for rows in np.split(order, starts[1:]) if len(order) else []:
+            own = members[kind[rows[0]]]
+            if len(own) > 1:
+                z = hidden[rows] @ self.parts[3][own].T + units.log_share[own]
+                z -= z.max(axis=1, keepdims=True)
+                yield rows, own, np.searchsorted(own, tokens[rows]), z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+    def token_logs(self, window: np.ndarray, tokens: np.ndarray, units: Units, members: list[np.ndarray]) -> np.ndarray:
+        """Log probability of each token given its window: that of its class, and of the token in its class."""
+        _, hidden, logs = self.forward(window)
+        out = logs[np.arange(len(tokens)), units.kind[tokens]].astype(np.float64)
+        for rows, _, at, inside in self._within(hidden, tokens, units, members):
+            out[rows] += inside[np.arange(len(rows)), at]
+        return out
+
+    def learn(self, window: np.ndarray, kind: np.ndarray, rate: float = RATE, tokens: np.ndarray | None = None,
+              units: Units | None = None, members: list[np.ndarray] | None = None) -> None:
+        """One Adagrad step on the mean loss of a batch; without tokens, on that of the classes alone."""
         read, hidden, logs = self.forward(window)
         error = np.exp(logs)
         error[np.arange(len(kind)), kind] -= 1
         error /= len(kind)
-        back = (error @ self.parts[3].T) * (1 - hidden * hidden)
         self.grads[:] = 0
+        back = error @ self.parts[4].T
+        if tokens is not None:
+            for rows, own, at, inside in self._within(hidden, tokens, units, members):
+                wrong = np.exp(inside)
+                wrong[np.arange(len(rows)), at] -= 1
+                wrong /= len(kind)
+                self.views[3][own] = wrong.T @ hidden[rows]
+                back[rows] += wrong @ self.parts[3][own]
+        back *= 1 - hidden * hidden
         np.add.at(self.views[0], window.ravel(), (back @ self.parts[1].T).reshape(-1, DIMS))
         self.views[1][:] = read.T @ back
         self.views[2][:] = back.sum(axis=0)
-        self.views[3][:] = hidden.T @ error
-        self.views[4][:] = error.sum(axis=0)
+        self.views[4][:] = hidden.T @ error
+        self.views[5][:] = error.sum(axis=0)
         self.squares += self.grads * self.grads
         self.flat -= rate * self.grads / np.sqrt(self.squares)
 
@@ -156,11 +190,13 @@ def train(docs: DataFrame, units: Units, rounds: int = 1) -> WindowNet:
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             own, seen, part = WindowNet(start), 0, 0
+            members = units.members()
             for batch in batches:
                 tokens, window, _ = _windows(units, batch.column(0))
                 part = batch.column(1)[0].as_py() if batch.num_rows else part
                 for i in range(0, len(tokens), BATCH):
-                    own.learn(window[i : i + BATCH], units.kind[tokens[i : i + BATCH]])
+                    some = tokens[i : i + BATCH]
+                    own.learn(window[i : i + BATCH], units.kind[some], RATE, some, units, members)
                 seen += len(tokens)
             if seen:
                 blocks = [own.flat[i : i + _BLOCK].astype(np.float64) * seen for i in range(0, len(own.flat), _BLOCK)]
@@ -203,7 +239,7 @@ def score(docs: DataFrame, units: Units, net: WindowNet, id_col: str = "doc_id",
     tokens, a sum of zero and a NULL mean; repeated rows repeat.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    flat = net.flat
+    flat, members = net.flat, units.members()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = WindowNet(flat)
@@ -211,8 +247,7 @@ def score(docs: DataFrame, units: Units, net: WindowNet, id_col: str = "doc_id",
         logs = np.zeros(len(tokens) + 1)
         for i in range(0, len(tokens), 4 * BATCH):
             part = tokens[i : i + 4 * BATCH]
-            kind = units.kind[part]
-            logs[i + 1 : i + 1 + len(part)] = model.forward(window[i : i + 4 * BATCH])[2][np.arange(len(part)), kind] + units.log_share[part]
+            logs[i + 1 : i + 1 + len(part)] = model.token_logs(window[i : i + 4 * BATCH], part, units, members)
         total = np.diff(np.cumsum(logs)[bounds])
         rare = np.diff(np.append(0, np.cumsum(tokens >= WORDS))[bounds])
         size = np.diff(bounds)
