@@ -27,6 +27,34 @@ def settle(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Text in which only ASCII can change under lower(): Latin-1 without its capitals, and scripts or signs without case.
+_CASELESS = r"[^\x00-\xBF\xDF-\xFF\u0590-\u08FF\u2000-\u209F\u3000-\u9FFF\uAC00-\uD7A3\x{1F300}-\x{1FAFF}]"
+
+
+def ascii_lower(text: Column) -> Column:
+    """Lower-case A-Z and nothing else, with the fast built-in where no other letter could change."""
+    slow = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(text.rlike(_CASELESS), slow).otherwise(F.lower(text))
+
+
+def fits_broadcast(df: DataFrame, width: Column | int, limit: int) -> bool:
+    """Whether the rows of a table, `width` bytes each, stay within `limit` bytes in all; one small job."""
+    total = df.agg(F.sum(width if isinstance(width, Column) else F.lit(width))).first()[0]
+    return (total or 0) <= limit
+
+
+#: CRC-32 in DuckDB, which has no such function: the table of its 256 steps, and the fold of a list of bytes.
+SQL_CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda v: list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS steps
+)"""
+
+
+def sql_crc(codes: str) -> str:
+    """CRC-32 of the list of byte values `codes`; the query must join ``crc``."""
+    return f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda a, b: xor(a >> 8, steps[xor(a & 255, b) + 1])), 4294967295)"
+
+
 def map_arrow(df: DataFrame, schema: str | T.StructType, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """Apply a function of one Arrow batch to every batch of every partition."""
 
