@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidemark.llm.registry import QUERIES, STATEMENTS
 
-_MODULES = ["quality", "simhash", "secrets", "packing", "suffixes", "vectors", "preferences", "lines", "lattice", "scoring", "winnowing", "trie"]
+_MODULES = ["quality", "simhash", "secrets", "packing", "suffixes", "vectors", "preferences", "lines", "lattice", "scoring", "winnowing", "trie", "variants"]
 
 
 def all_queries():
