@@ -21,6 +21,8 @@ SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
 
 def normalise(frame):
     frame = frame[sorted(frame.columns)]
+    # whole numbers with NULLs arrive as floats from one side and as a nullable type from the other
+    frame = frame.astype({c: "float64" for c, t in frame.dtypes.items() if str(t) in ("Int64", "Int32") and frame[c].isna().any()})
     rows = [tuple("NULL" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v)
                   for v in row) for row in frame.itertuples(index=False, name=None)]
     return list(frame.columns), [str(t) for t in frame.dtypes], sorted(rows)
