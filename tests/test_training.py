@@ -8,7 +8,7 @@ from tidemark.plans import training as TR
 from tidemark.plans.trees import attributions, staged_probabilities, tree_tables
 from tidemark.session import small_table
 
-SETTINGS = TR.BoostSettings(depth=3, step=0.3, ceiling=6, patience=2, first_rounds=3, block=2, forest_trees=3, forest_depth=3)
+SETTINGS = TR.BoostSettings(depth=3, step=0.3, ceiling=6, patience=2, block=2, forest_trees=3, forest_depth=3)
 
 
 @pytest.fixture(scope="module")

@@ -11,7 +11,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml.classification import (
-    GBTClassificationModel,
     GBTClassifier,
     RandomForestClassificationModel,
     RandomForestClassifier,
@@ -25,9 +24,10 @@ from pyspark.sql import types as T
 from tidemark.operators import ranking as R
 from tidemark.operators.encoding import EncoderModel, FeatureEncoder
 from tidemark.operators.splits import RetrainWindow, temporal_holdout
-from tidemark.plans.trees import rounds_of, staged_block, tree_tables
+from tidemark.plans.boosting import BoostedTrees, Growth, add_trees, binned
+from tidemark.plans.trees import rounds_of
 from tidemark.plans.views import resolve
-from tidemark.session import enable_checkpoints, materialise, small_table
+from tidemark.session import discard, materialise, materialise_at, small_table
 from tidemark.sources.tables import RESOLUTION_SCHEMA, TableStore, record_run
 
 PLAUSIBLE_CARVE = 0.15
@@ -46,7 +46,6 @@ class BoostSettings:
     seed: int = 42
     forest_trees: int = 200
     forest_depth: int = 8
-    first_rounds: int = 100
     block: int = 25
 
     def override(self, **changes) -> BoostSettings:
@@ -132,12 +131,14 @@ def positive_probability(model, df: DataFrame, trees: int | None = None, keep: I
     """(keep..., score); refuses a model that holds another number of trees than validated."""
     if trees is not None and model.getNumTrees != trees:
         raise ValueError(f"model holds {model.getNumTrees} trees, validated with {trees}")
+    if isinstance(model, BoostedTrees):
+        return model.append(df.select(*keep, "inputs"), "score").select(*keep, "score")
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias("score"))
 
 
 @dataclass(frozen=True)
 class StoppedFit:
-    model: GBTClassificationModel
+    model: BoostedTrees
     best_round: int
     history: list[tuple[int, float]] = field(default_factory=list)
 
@@ -157,41 +158,38 @@ def first_best(history: list[tuple[int, float]], patience: int) -> tuple[int, bo
     return best, False
 
 
-def staged_history(model: GBTClassificationModel, stop: DataFrame, start: int, settings: BoostSettings,
-                   history: list[tuple[int, float]]) -> tuple[list[tuple[int, float]], bool]:
-    """Average precision of rounds after ``start``, a block at a time, until patience runs out.
-
-    Each block is written with its running margin, so every tree meets every row once.
-    """
-    tables, running = tree_tables(model), stop.select("label", "inputs")
-    for low in range(start, model.getNumTrees, settings.block):
-        high = min(low + settings.block, model.getNumTrees)
-        running = materialise(staged_block(tables, running, low, high), "staged")
-        rows = R.ranking_metrics(rounds_of(running, low), "score", "label", ["round"]).collect()
-        history = history + sorted((r["round"], r["pr_auc"]) for r in rows)
-        if first_best(history, settings.patience)[1]:
-            return history, True
-    return history, False
+def staged_history(rows: DataFrame, trees: list, start: int) -> tuple[list[tuple[int, float]], DataFrame, str]:
+    """Average precision after each of the trees that follow round ``start``, and the rows with their new margin."""
+    staged, path = materialise_at(add_trees(rows, trees, scores=True), "staged")
+    found = R.ranking_metrics(rounds_of(staged, start), "score", "label", ["round"]).collect()
+    return sorted((r["round"], r["pr_auc"]) for r in found), staged.drop("scores"), path
 
 
 def fit_early_stopping(fit: DataFrame, stop: DataFrame, settings: BoostSettings) -> StoppedFit:
     """Grow until the stopping slice's average precision rests, then keep the best prefix.
 
-    A longer fit repeats the rounds of a shorter one, so the number of rounds is doubled
-    rather than fitted at the ceiling at once, and scored rounds are not scored again.
+    The booster goes on from the trees it has, a block at a time, and the stopping slice carries
+    its margin along: no round is fitted or scored twice. With one class only in the stopping
+    slice no round beats another, and none is kept.
     """
-    enable_checkpoints(fit.sparkSession)
-    rounds, history, model = min(settings.first_rounds, settings.ceiling), [], None
-    while True:
-        model = boosted(settings, rounds).fit(fit)
-        history, stopped = staged_history(model, stop, len(history), settings, history)
-        if stopped or rounds >= settings.ceiling or model.getNumTrees < rounds:
-            break
-        rounds = min(rounds * 2, settings.ceiling)
-    best, _ = first_best(history, settings.patience)
-    if best != model.getNumTrees:
-        model = boosted(settings, best).fit(fit)
-    return StoppedFit(model, best, history)
+    growth, history = Growth.start(fit, settings), []
+    rows, path = materialise_at(binned(stop.select(F.col("label").cast("int").alias("label"), "inputs"), growth.edges, ["label"]), "staged")
+    try:
+        while len(growth.trees) < settings.ceiling:
+            start = len(growth.trees)
+            growth.grow(min(settings.block, settings.ceiling - start))
+            found, rows, after = staged_history(rows, growth.trees[start:], start)
+            discard(fit.sparkSession, path)
+            path, history = after, history + [(k, v) for k, v in found if v is not None]
+            if first_best(history, settings.patience)[1] or not history:
+                break
+    finally:
+        discard(fit.sparkSession, path)
+        growth.close()
+    best, stopped = first_best(history, settings.patience)
+    if stopped:
+        history = history[: best + settings.patience]
+    return StoppedFit(growth.model.prefix(best), best, history)
 
 
 def peak_round(history: DataFrame) -> DataFrame:
@@ -290,17 +288,15 @@ def fit_bundle(fit: DataFrame, stop: DataFrame, evaluation: DataFrame, key: list
     return TrainedBundle(encoder, inputs, stopped, second, metrics, summary)
 
 
-def score_members(first: GBTClassificationModel, second: RandomForestClassificationModel, df: DataFrame,
+def score_members(first: BoostedTrees, second: RandomForestClassificationModel, df: DataFrame,
                   trees: int | None = None) -> DataFrame:
     """Both members on the same rows: no join, each model appends its own columns."""
     if trees is not None and first.getNumTrees != trees:
         raise ValueError(f"model holds {first.getNumTrees} trees, validated with {trees}")
-    first.setProbabilityCol("p1").setRawPredictionCol("r1").setPredictionCol("c1")
     second.setProbabilityCol("p2").setRawPredictionCol("r2").setPredictionCol("c2")
-    both = second.transform(first.transform(df)).select(
-        "label", vector_to_array("p1")[1].alias("boosted"), vector_to_array("p2")[1].alias("forest"))
-    for model in (first, second):
-        model.setProbabilityCol("probability").setRawPredictionCol("rawPrediction").setPredictionCol("prediction")
+    one = second.transform(df).select("label", "inputs", vector_to_array("p2")[1].alias("forest"))
+    second.setProbabilityCol("probability").setRawPredictionCol("rawPrediction").setPredictionCol("prediction")
+    both = first.append(one, "boosted").select("label", "boosted", "forest")
     return both.withColumn("ensemble", (F.col("boosted") + F.col("forest")) / 2)
 
 
@@ -415,12 +411,9 @@ def resolve_once(store: TableStore, attempt: DataFrame) -> bool:
     return bool(won)
 
 
-def round_trip_error(model: GBTClassificationModel, df: DataFrame, key: list[str], path: str) -> DataFrame:
+def round_trip_error(model: BoostedTrees, df: DataFrame, path: str) -> DataFrame:
     """Largest difference between a model and its reloaded copy over the given rows."""
-    model.write().overwrite().save(path)
-    again = GBTClassificationModel.load(path)
-    again.setProbabilityCol("p2").setRawPredictionCol("r2").setPredictionCol("c2")
-    both = again.transform(model.transform(df))
-    gap = F.abs(vector_to_array("probability")[1] - vector_to_array("p2")[1])
-    return both.agg(F.count("*").alias("rows"), F.max(gap).alias("max_error")).withColumn(
+    model.save(df.sparkSession, path)
+    both = BoostedTrees.load(df.sparkSession, path).append(model.append(df.select("inputs"), "one"), "two")
+    return both.agg(F.count("*").alias("rows"), F.max(F.abs(F.col("one") - F.col("two"))).alias("max_error")).withColumn(
         "reproduced", F.col("max_error") <= 1e-6)

@@ -8,7 +8,6 @@ rows at a time.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 from math import factorial
 
 import numpy as np
@@ -35,11 +34,17 @@ class Leaf:
 
 @dataclass(frozen=True)
 class TreeTables:
+    """Leaves by tree; the log-odds are ``link`` times the weighted sum of leaf values."""
+
     weights: tuple[float, ...]
     trees: tuple[tuple[Leaf, ...], ...]
+    link: float = 2.0
 
 
-def tree_tables(model: GBTClassificationModel) -> TreeTables:
+def tree_tables(model) -> TreeTables:
+    """Paths of a Spark ML booster, or of one that knows its own."""
+    if not isinstance(model, GBTClassificationModel):
+        return model.tables()
     spark = SparkSession.active()
     path = scratch_path(spark, "model")
     model.write().save(path)
@@ -130,26 +135,40 @@ def staged_probabilities(tables: TreeTables, df: DataFrame, low: int, high: int)
     return rounds_of(staged_block(tables, df.select("label", "inputs"), low, high), low)
 
 
-def _shapley_weights(m: int) -> list[float]:
-    return [factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)]
+def _shapley_weights(m: int) -> np.ndarray:
+    return np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
 
 
 def _leaf_attribution(leaf: Leaf, x: np.ndarray, scale: float, phi: np.ndarray, owner: np.ndarray) -> float:
-    """Adds one leaf's exact Shapley values; returns its share of the base value."""
+    """Adds one leaf's exact Shapley values; returns its share of the base value.
+
+    The product over the path of (share + inside * t) holds, at t^s, what all subsets of s known
+    features add up to. The path is extended by one factor at a time; each feature's own factor is then
+    unwound by division, so a leaf costs the square of its path length, not a power of two.
+    """
     m = len(leaf.features)
+    if not m:
+        return scale * leaf.value
     inside = [i.astype(float) for i in _inside(leaf, x)]
-    weights = _shapley_weights(m) if m else []
+    weights = _shapley_weights(m)
+    path = np.zeros((m + 1, len(x)))
+    path[0] = 1.0
+    for j in range(m):
+        path[1 : j + 2] = leaf.share[j] * path[1 : j + 2] + inside[j] * path[: j + 1]
+        path[0] *= leaf.share[j]
     for j in range(m):
-        others = [i for i in range(m) if i != j]
-        total = np.zeros(len(x))
-        for size in range(m):
-            for chosen in combinations(others, size):
-                term = np.full(len(x), weights[size])
-                for i in others:
-                    term *= inside[i] if i in chosen else leaf.share[i]
-                total += term
-        phi[:, owner[leaf.features[j]]] += scale * leaf.value * (inside[j] - leaf.share[j]) * total
-    return scale * leaf.value * float(np.prod(leaf.share)) if m else scale * leaf.value
+        share = leaf.share[j]
+        # where the row follows the feature, the factor is share + t: divide from the highest power down
+        follows = np.zeros(len(x))
+        rest = np.zeros(len(x))
+        for s in range(m - 1, -1, -1):
+            rest = path[s + 1] - share * rest
+            follows += weights[s] * rest
+        # where it does not, the factor is share alone
+        strays = weights @ path[:m] / share if share else 0.0
+        total = np.where(inside[j] > 0, follows, strays)
+        phi[:, owner[leaf.features[j]]] += scale * leaf.value * (inside[j] - share) * total
+    return scale * leaf.value * float(np.prod(leaf.share))
 
 
 def evaluate(tables: TreeTables, x: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
@@ -157,9 +176,10 @@ def evaluate(tables: TreeTables, x: np.ndarray, owner: np.ndarray) -> tuple[np.n
     phi, base = np.zeros((len(x), int(owner.max()) + 1)), 0.0
     margin = np.zeros(len(x))
     for weight, leaves in zip(tables.weights, tables.trees):
-        margin += 2.0 * weight * _tree_value(leaves, x)
+        scale = tables.link * weight
+        margin += scale * _tree_value(leaves, x)
         for leaf in leaves:
-            base += _leaf_attribution(leaf, x, 2.0 * weight, phi, owner)
+            base += _leaf_attribution(leaf, x, scale, phi, owner)
     return phi, base, margin
 
 

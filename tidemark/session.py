@@ -117,6 +117,19 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     Cuts the lineage at a file that survives lost executors, so later uses do not
     repeat the scan it came from.
     """
+    return materialise_at(df, purpose)[0]
+
+
+def materialise_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """As :func:`materialise`, with the path, for tables that are discarded after their last reader."""
     path = scratch_path(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table made by :func:`materialise_at`."""
+    if not path.startswith(scratch_root(spark).rstrip("/") + "/"):
+        raise ValueError(f"{path} is not below the scratch folder")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

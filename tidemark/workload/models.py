@@ -12,9 +12,10 @@ from tidemark.operators.encoding import FeatureEncoder
 from tidemark.operators.splits import recent_training_window, temporal_holdout
 from tidemark.plans import explain as XP
 from tidemark.plans import training as TR
-from tidemark.plans.trees import attributions, tree_tables
+from tidemark.plans.boosting import Growth
+from tidemark.plans.trees import attributions
 from tidemark.plans.views import latest_trigger
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, small_table
 from tidemark.sources.tables import RUN_SCHEMA, TableStore
 from tidemark.workload.base import query, r6, table
 from tidemark.workload.fixtures import (
@@ -26,7 +27,9 @@ from tidemark.workload.fixtures import (
     resolutions_view,
 )
 
-SETTINGS = TR.BoostSettings(depth=3, step=0.3, ceiling=8, patience=3, first_rounds=4, block=4, forest_trees=5, forest_depth=4)
+SETTINGS = TR.BoostSettings()
+#: Rounds of the models that are only scored, explained and saved; early stopping chooses its own.
+ROUNDS = 25
 DROPPED = ["split", "l_shipdate", "f_const", "source"]
 TRAIN = "WITH " + DRIFT_SQL
 
@@ -47,12 +50,44 @@ def _inputs(spark, sf_dir):
     return encoder, inputs, TR.fixed_layout(TR.with_weights(ready[0]), DRIFT_KEY), ready[1], ready[2]
 
 
-def _boosted(spark, sf_dir, rounds=4):
+def _grown(train, rounds=ROUNDS):
+    growth = Growth.start(train, SETTINGS).grow(rounds)
+    growth.close()
+    return growth.model
+
+
+def _boosted(spark, sf_dir, rounds=ROUNDS):
     encoder, inputs, train, _, val = _inputs(spark, sf_dir)
-    model = TR.fit_cached(TR.boosted(SETTINGS, rounds), train)
+    held = train.persist()
+    model = _grown(held, rounds)
+    held.unpersist()
     return encoder, inputs, model, val
 
 
+_shared: dict[tuple, object] = {}
+
+
+def _once(spark, sf_dir, name, make):
+    """Fitted models are small; queries of one session over one folder share them."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _shared:
+        _shared[key] = make()
+    return _shared[key]
+
+
+def _stopped(spark, sf_dir):
+    def fit():
+        _, _, train, stop, _ = _inputs(spark, sf_dir)
+        held = [train.persist(), stop.persist()]
+        try:
+            return TR.fit_early_stopping(*held, SETTINGS)
+        finally:
+            for df in held:
+                df.unpersist()
+
+    return _once(spark, sf_dir, "stopped", fit)
+
+
 VAL_ROWS = TRAIN + "SELECT count(*) AS rows, count(*) AS in_unit_interval, TRUE AS beats_floor FROM drift WHERE split = 'val'"
 
 
@@ -69,6 +104,43 @@ def boosted_trees(spark, sf_dir):
     return _fit_check(TR.positive_probability(model, val, keep=["label"]))
 
 
+CARVE = TRAIN.rstrip() + """,
+cut85 AS (SELECT quantile_cont(dt, 0.85) AS cut FROM drift WHERE split = 'train'),
+fit AS (SELECT drift.* FROM drift, cut85 WHERE split = 'train' AND dt < cut),
+stop AS (SELECT drift.* FROM drift, cut85 WHERE split = 'train' AND dt >= cut)"""
+
+
+def _codes(name: str) -> str:
+    levels = f"(SELECT level, row_number() OVER (ORDER BY level) - 1 AS code FROM (SELECT DISTINCT {name}::VARCHAR AS level FROM fit WHERE {name} IS NOT NULL))"
+    return f"SELECT '{name}' AS feature, coalesce(code, -1)::DOUBLE AS x, label FROM fit LEFT JOIN {levels} ON {name}::VARCHAR = level"
+
+
+_LONG = " UNION ALL ".join(
+    [f"SELECT '{n}' AS feature, coalesce({n}::DOUBLE, (SELECT min({n}) FROM fit) - 1) AS x, label FROM fit" for n in ("f_value", "f_cover", "f_stable")]
+    + [_codes(n) for n in ("f_cat", "f_catmiss", "f_bool")]
+    + [f"SELECT '{n}__missing', ({n} IS NULL)::INT::DOUBLE, label FROM fit" for n in ("f_cover", "f_catmiss")])
+
+
+@query("mdl_1_first_cuts", CARVE + f""",
+long AS ({_LONG}),
+w AS (SELECT sum(1 - label) / sum(label) AS w FROM fit),
+sums AS (SELECT feature, x, sum(CASE WHEN label = 1 THEN -0.5 * w ELSE 0.5 END) AS g, sum(CASE WHEN label = 1 THEN 0.25 * w ELSE 0.25 END) AS h FROM long, w GROUP BY ALL),
+total AS (SELECT feature, sum(g) AS g, sum(h) AS h FROM sums GROUP BY ALL),
+edges AS (SELECT feature, unnest(list_distinct(quantile_cont(x, [{', '.join(f'{k}/64' for k in range(1, 64))}]))) AS e FROM long GROUP BY feature),
+sides AS (SELECT s.feature, e, sum(s.g) AS gl, sum(s.h) AS hl FROM sums s JOIN edges t ON s.feature = t.feature AND s.x <= e GROUP BY ALL),
+gains AS (SELECT feature, e, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain FROM sides JOIN total USING (feature) WHERE hl >= 1 AND h - hl >= 1)
+SELECT feature, round(arg_max(e, gain), 6) AS threshold, round(max(gain), 3) AS gain FROM gains GROUP BY feature HAVING max(gain) > 0.001""")
+def first_cuts(spark, sf_dir):
+    """The best cut of every input for the first tree, and its gain, as the summed histograms have them."""
+    _, inputs, train, _, _ = _inputs(spark, sf_dir)
+    held = train.persist()
+    growth = Growth.start(held, SETTINGS)
+    rows = [(inputs.columns[r["feature"]], float(growth.edges[r["feature"]][r["cut"]]), r["gain"]) for r in growth.root_cuts() if r["gain"] > 0.001]
+    growth.close()
+    held.unpersist()
+    return small_table(spark, rows, "feature string, threshold double, gain double").select("feature", r6("threshold").alias("threshold"), F.round("gain", 3).alias("gain"))
+
+
 @query("mdl_2_forest", VAL_ROWS)
 def forest(spark, sf_dir):
     _, _, train, _, val = _inputs(spark, sf_dir)
@@ -78,80 +150,133 @@ def forest(spark, sf_dir):
 @query("mdl_3_early_stopping")
 def early_stopping(spark, sf_dir):
     """Rounds scored on the stopping slice, and the round that was kept."""
-    _, _, train, stop, _ = _inputs(spark, sf_dir)
-    held = [train.persist(), stop.persist()]
-    stopped = TR.fit_early_stopping(*held, SETTINGS)
-    for df in held:
-        df.unpersist()
+    stopped = _stopped(spark, sf_dir)
     return stopped.history_frame(spark).select(
         F.col("round").cast("bigint").alias("round"), r6("value").alias("average_precision"),
         (F.col("round") == stopped.best_round).alias("kept"), F.lit(stopped.model.getNumTrees).cast("bigint").alias("trees"))
 
 
+@query("mdl_3_stopping_rule", CARVE + """
+SELECT count(*) AS stop_rows, sum(label)::BIGINT AS stop_positives, TRUE AS first_best, TRUE AS rested, TRUE AS trees_kept, TRUE AS rescored FROM stop""")
+def stopping_rule(spark, sf_dir):
+    """The kept round is the first best one, patience ran out after it, and its score comes again from the raw inputs."""
+    stopped = _stopped(spark, sf_dir)
+    _, _, _, stop, _ = _inputs(spark, sf_dir)
+    again = R.ranking_metrics(TR.positive_probability(stopped.model, stop, stopped.best_round, ["label"]), "score", "label")
+    history = stopped.history_frame(spark)
+    top = history.agg(F.max("value")).scalar()
+    facts = history.agg(
+        (F.min(F.when(F.col("value") == top, F.col("round"))) == stopped.best_round).alias("first_best"),
+        ((F.max("round") == stopped.best_round + SETTINGS.patience) | (F.max("round") == SETTINGS.ceiling)).alias("rested"),
+        F.lit(stopped.model.getNumTrees == stopped.best_round).alias("trees_kept"),
+        F.max(F.when(F.col("round") == stopped.best_round, F.col("value"))).alias("value"))
+    return again.crossJoin(facts).select(
+        F.col("rows").alias("stop_rows"), F.col("positives").alias("stop_positives"), "first_best", "rested", "trees_kept",
+        (F.abs(F.col("pr_auc") - F.col("value")) < 1e-9).alias("rescored"))
+
+
 @query("mdl_16_round_history")
 def round_history(spark, sf_dir):
-    _, _, train, stop, _ = _inputs(spark, sf_dir)
-    model = TR.fit_cached(TR.boosted(SETTINGS, 6), train)
-    history, _ = TR.staged_history(model, stop, 0, SETTINGS, [])
-    frame = TR.StoppedFit(model, 0, history).history_frame(spark)
-    return TR.peak_round(frame).withColumn("peak_value", r6("peak_value"))
+    return TR.peak_round(_stopped(spark, sf_dir).history_frame(spark)).withColumn("peak_value", r6("peak_value"))
 
 
-@query("mdl_4_bounded_probability", TRAIN + "SELECT count(*) AS rows, count(*) AS in_unit_interval, 4::BIGINT AS trees FROM drift WHERE split = 'val'")
+@query("mdl_16_peak_is_kept", "SELECT 'average_precision' AS metric, TRUE AS consecutive, TRUE AS peak_is_kept, TRUE AS flag_agrees")
+def peak_is_kept(spark, sf_dir):
+    """Every round has one score, and the peak of the history is the round that early stopping kept."""
+    stopped = _stopped(spark, sf_dir)
+    history = stopped.history_frame(spark)
+    counted = history.groupBy("metric").agg(((F.count("*") == F.max("round")) & (F.count_distinct("round") == F.max("round"))).alias("consecutive"))
+    return TR.peak_round(history).join(counted, "metric").select(
+        "metric", "consecutive", (F.col("peak_round") == stopped.best_round).alias("peak_is_kept"),
+        (F.col("peaked_at_once") == (F.col("peak_round") == 1)).alias("flag_agrees"))
+
+
+@query("mdl_4_bounded_probability", TRAIN + f"SELECT count(*) AS rows, count(*) AS in_unit_interval, {ROUNDS}::BIGINT AS trees FROM drift WHERE split = 'val'")
 def bounded_probability(spark, sf_dir):
     _, _, model, val = _boosted(spark, sf_dir)
-    scored = TR.positive_probability(model, val, trees=4)
+    scored = TR.positive_probability(model, val, trees=ROUNDS)
     return scored.agg(F.count("*").alias("rows"), F.count_if(F.col("score").between(0, 1)).alias("in_unit_interval"),
                       F.lit(model.getNumTrees).cast("bigint").alias("trees"))
 
 
+def _sweep(spark, sf_dir):
+    def fit():
+        bounds = line_bounds(spark, sf_dir)
+        train, val = (drift_view(spark, sf_dir, s, bounds).drop(*DROPPED) for s in ("train", "val"))
+        return TR.config_sweep(train, val, "dt", DRIFT_KEY, "label", [], SETTINGS, {"base": {}, "shallow": {"depth": 2}}, bar=0.5)
+
+    return _once(spark, sf_dir, "sweep", fit)
+
+
 @query("mdl_8_config_sweep")
 def config_sweep(spark, sf_dir):
-    bounds = line_bounds(spark, sf_dir)
-    train, val = (drift_view(spark, sf_dir, s, bounds).drop(*DROPPED) for s in ("train", "val"))
-    rows = TR.config_sweep(train, val, "dt", DRIFT_KEY, "label", [], SETTINGS.override(ceiling=4),
-                           {"base": {}, "shallow": {"depth": 2}}, bar=0.5)
-    return rows.select("config", "depth", "trees", *[r6(c).alias(c) for c in ("val_pr_auc", "train_pr_auc", "gap", "vs_bar")],
-                       "best_score", "smallest_gap")
+    return _sweep(spark, sf_dir).select("config", "depth", "trees", *[r6(c).alias(c) for c in ("val_pr_auc", "train_pr_auc", "gap", "vs_bar")],
+                                        "best_score", "smallest_gap")
+
+
+@query("mdl_8_sweep_adds_up", "SELECT 'base' AS config, 4 AS depth, TRUE AS deltas, TRUE AS picks UNION ALL SELECT 'shallow', 2, TRUE, TRUE")
+def sweep_adds_up(spark, sf_dir):
+    """Deltas follow from the scores, and each pick is the one the scores name."""
+    rows = _sweep(spark, sf_dir)
+    ends = rows.agg(F.max("val_pr_auc").alias("top"), F.min("gap").alias("least"))
+    return rows.crossJoin(ends).select(
+        "config", "depth", ((F.col("gap") == F.col("train_pr_auc") - F.col("val_pr_auc")) & (F.col("vs_bar") == F.col("val_pr_auc") - 0.5)).alias("deltas"),
+        ((F.col("best_score") == (F.col("val_pr_auc") == F.col("top"))) & (F.col("smallest_gap") == (F.col("gap") == F.col("least")))).alias("picks"))
 
 
 def _attributed(spark, sf_dir):
     encoder, inputs, model, val = _boosted(spark, sf_dir)
-    rows = attributions(tree_tables(model), val, inputs.owner(), DRIFT_KEY)
+    rows = attributions(model.tables(), model.append(val.drop("features"), "score"), inputs.owner(), [*DRIFT_KEY, "score"])
     return encoder, inputs, model, val, rows
 
 
 @query("mdl_10_attribution", TRAIN + "SELECT count(*) AS rows, count(*) * 6 AS contributions, count(*) AS matching FROM drift WHERE split = 'val'")
 def attribution(spark, sf_dir):
     """One contribution per row and feature; the attributed probability is the model's own."""
-    _, _, model, val, rows = _attributed(spark, sf_dir)
-    own = TR.positive_probability(model, val, keep=DRIFT_KEY)
-    joined = rows.join(own, DRIFT_KEY)
-    return joined.agg(F.count("*").alias("rows"), F.sum(F.size("phi")).alias("contributions"),
-                      F.count_if(F.abs(F.col("score") - F.col("probability")) < 1e-9).alias("matching"))
+    rows = _attributed(spark, sf_dir)[-1]
+    return rows.agg(F.count("*").alias("rows"), F.sum(F.size("phi")).alias("contributions"),
+                    F.count_if(F.abs(F.col("score") - F.col("probability")) < 1e-9).alias("matching"))
 
 
 @query("mdl_11_additivity", TRAIN + "SELECT count(*) AS rows, TRUE AS additive FROM drift WHERE split = 'val'")
 def additivity(spark, sf_dir):
     rows = _attributed(spark, sf_dir)[-1]
-    return XP.additivity(rows).select("rows", "additive")
+    return XP.additivity(rows, "score").select("rows", "additive")
+
+
+def _breakdown(spark, sf_dir):
+    _, inputs, _, _, rows = _attributed(spark, sf_dir)
+    from tidemark.plans.views import flagged_or_ranked
+
+    top = flagged_or_ranked(rows, "probability", 0.5, DRIFT_KEY, 10)
+    return XP.breakdown(top, list(inputs.names), {}, DRIFT_KEY, 3, 0.5)
 
 
 @query("mdl_12_breakdown")
 def breakdown(spark, sf_dir):
     """The highest-scoring decisions, line by line."""
-    encoder, inputs, _, _, rows = _attributed(spark, sf_dir)
-    from tidemark.plans.views import flagged_or_ranked
+    return _breakdown(spark, sf_dir).withColumns({"contribution": r6("contribution"), "probability": r6("probability")})
 
-    top = flagged_or_ranked(rows, "probability", 0.5, DRIFT_KEY, 10)
-    lines = XP.breakdown(top, list(inputs.names), {}, DRIFT_KEY, 3, 0.5)
-    return lines.withColumns({"contribution": r6("contribution"), "probability": r6("probability")})
+
+@query("mdl_12_breakdown_adds_up", "SELECT 10::BIGINT AS decisions, 60::BIGINT AS lines, TRUE AS adds_up, TRUE AS margin_is_score, TRUE AS ordered, TRUE AS decided")
+def breakdown_adds_up(spark, sf_dir):
+    """Base, shown factors and remainder give the margin, the margin gives the probability, and the factors are in order."""
+    lines = _breakdown(spark, sf_dir)
+    one = lambda p: F.max(F.when(F.col("position") == p, F.col("contribution")))
+    by = lines.groupBy(*DRIFT_KEY, "probability", "decision").agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("position") < 5, F.col("contribution"))).alias("total"), one(5).alias("margin"),
+        *[F.abs(one(p)).alias(f"c{p}") for p in (1, 2, 3)])
+    return by.agg(
+        F.count("*").alias("decisions"), F.sum("n").alias("lines"), F.bool_and(F.abs(F.col("total") - F.col("margin")) < 1e-9).alias("adds_up"),
+        F.bool_and(F.abs(S.sigmoid(F.col("margin")) - F.col("probability")) < 1e-9).alias("margin_is_score"),
+        F.bool_and((F.col("c1") >= F.col("c2")) & (F.col("c2") >= F.col("c3"))).alias("ordered"),
+        F.bool_and((F.col("decision") == "BLOCK") == (F.col("probability") >= 0.5)).alias("decided"))
 
 
 @query("mdl_15_round_trip", TRAIN + "SELECT count(*) AS rows, TRUE AS reproduced FROM drift WHERE split = 'val'")
 def round_trip(spark, sf_dir):
     _, _, model, val = _boosted(spark, sf_dir)
-    return TR.round_trip_error(model, val, DRIFT_KEY, scratch_path(spark, "model")).select("rows", "reproduced")
+    return TR.round_trip_error(model, val, scratch_path(spark, "model")).select("rows", "reproduced")
 
 
 @query("mdl_17_baseline_job", TRAIN + """
@@ -162,7 +287,7 @@ def baseline_job(spark, sf_dir):
     bounds = line_bounds(spark, sf_dir)
     train, val = (drift_view(spark, sf_dir, s, bounds).drop(*DROPPED) for s in ("train", "val"))
     store = TableStore(spark, scratch_path(spark, "baseline"))
-    bundle = TR.baseline_job(train, val, "dt", DRIFT_KEY, "label", [], SETTINGS.override(ceiling=4), store=store)
+    bundle = TR.baseline_job(train, val, "dt", DRIFT_KEY, "label", [], SETTINGS, store=store)
     return bundle.metrics.select("model", "slice", "rows", "positives")
 
 
@@ -175,7 +300,7 @@ def retrain_job(spark, sf_dir):
     alert = latest_trigger(alerts_view(spark, sf_dir), resolutions_view(spark, sf_dir)).withColumn(
         "top_features", F.array().cast("array<struct<feature:string,type:string>>"))
     store = TableStore(spark, scratch_path(spark, "retrain"))
-    TR.retrain_job(window, alert, DRIFT_KEY, "label", ["source"], SETTINGS.override(ceiling=4), store, "run-answer")
+    TR.retrain_job(window, alert, DRIFT_KEY, "label", ["source"], SETTINGS, store, "run-answer")
     return store.read("runs", RUN_SCHEMA).groupBy("run_id", "kind").agg(F.count("*").alias("entries"))
 
 
