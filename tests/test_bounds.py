@@ -1,5 +1,8 @@
 """Time bounds in the stored type: right rows, and a filter inside the scan."""
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +83,57 @@ def test_the_gate_records_and_promotes_on_an_audit_table(spark, tmp_path):
     assert row["verdict"] == RG.GATE_PROMOTE and row["leakage_checked"]
     state = {r["version"]: (r["stage"], r["aliases"], r["tags"].get("shadow_rows")) for r in registry.state().collect()}
     assert state == {1: ("Archived", [], None), 2: ("Production", ["champion", "staging"], "8000")}
+
+
+def test_one_of_many_claims_wins(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda _: store.claim("answers/1"), range(24)))
+    assert won.count(True) == 1
+    store.release("answers/1")
+    assert store.claim("answers/1") and not store.claim("answers/1")
+
+
+def test_writers_at_the_same_time_get_different_ids(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    row = small_table(spark, [("a",)], "name string")
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda _: store.append_numbered("alerts", row, "id bigint, name string"), range(4)))
+    stored = sorted(r["id"] for r in store.read("alerts", "id bigint, name string").collect())
+    assert sorted(got) == stored and len(set(stored)) == 4
+
+
+def test_a_retrain_asks_first_and_gives_back_what_it_could_not_answer(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, str(tmp_path / "store"))
+    alert = small_table(spark, [(5,)], "id bigint")
+    fitted = []
+    gate = threading.Barrier(2, timeout=60)
+
+    def answer(window, alert, key, label, exclude, settings, store, run_id, register):
+        fitted.append(run_id)
+        if run_id == "breaks":
+            raise RuntimeError("no rows")
+        gate.wait()
+        return run_id
+
+    monkeypatch.setattr(TR, "_answer", answer)
+    job = lambda run: TR.retrain_job(None, alert, [], "label", [], None, store, run)
+    with pytest.raises(RuntimeError):
+        job("breaks")
+
+    def attempt(run):
+        try:
+            return job(run)
+        except TR.AlertAnsweredError:
+            gate.wait()  # the winner is still at work
+            return None
+
+    with ThreadPoolExecutor(2) as pool:
+        got = list(pool.map(attempt, ["one", "two"]))
+    assert sorted(map(bool, got)) == [False, True] and len(fitted) == 2
+    TR.resolve_once(store, small_table(spark, [(5, None, "by hand", None)], RESOLUTION_SCHEMA))
+    store.release("answers/5")
+    with pytest.raises(TR.AlertAnsweredError):
+        job("late")
+    with pytest.raises(LookupError):
+        TR.retrain_job(None, alert.where("id > 5"), [], "label", [], None, store, "none")

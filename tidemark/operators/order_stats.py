@@ -16,7 +16,7 @@ columns x wanted ranks x grid.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +31,7 @@ GRID = 256
 SAMPLE_ROWS = 500_000
 MISSING = -1
 
-HISTOGRAM_SCHEMA = "side string, feature int, interval int, n bigint, low double, high double"
+COUNTS_SCHEMA = "side string, feature int, counts array<bigint>, low double, high double"
 VALUES_SCHEMA = "feature int, interval int, value double, n bigint"
 
 
@@ -57,11 +57,13 @@ def _arrays(batch: pa.RecordBatch, first: int):
 
 
 def histogram(df: DataFrame, columns: list[str], cuts: Mapping[int, list[float]], side: str = "''") -> DataFrame:
-    """Counts per (side, feature, interval), with the range of each: one map pass, one tiny shuffle.
+    """Counts per (side, feature, interval), with the range of the feature; intervals without rows are left out.
 
     ``columns`` are SQL expressions of type double; ``feature`` is the position among them
     and ``interval`` the number of the feature's cuts strictly below the value, so interval
     bounds are open on the left and closed on the right. Missing values count as -1.
+    A task ships one dense count array per side and feature, whatever the number of intervals;
+    the arrays of one feature are added up where the shuffle brings them.
     """
     edges = [np.asarray(cuts.get(i, []), dtype=float) for i in range(len(columns))]
 
@@ -89,17 +91,39 @@ def histogram(df: DataFrame, columns: list[str], cuts: Mapping[int, list[float]]
                     low, high = populated.min(), populated.max()
                     known = ranges.setdefault((tag, f), [low, high])
                     known[0], known[1] = min(known[0], low), max(known[1], high)
-        rows = [
-            (tag, f, i + MISSING, int(n), *((ranges[(tag, f)]) if i else (None, None)))
-            for (tag, f), counts in totals.items() for i, n in enumerate(counts) if n
-        ]
-        yield _record_batch(rows, [("side", pa.string()), ("feature", pa.int32()), ("interval", pa.int32()),
-                                   ("n", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
-
-    parts = df.selectExpr(f"{side} AS side", *[f"{c} AS c{i}" for i, c in enumerate(columns)]).mapInArrow(
-        run, HISTOGRAM_SCHEMA)
-    return parts.groupBy("side", "feature", "interval").agg(
-        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        yield _count_arrays((*key, counts, *ranges.get(key, (None, None))) for key, counts in totals.items())
+
+    parts = df.selectExpr(f"{side} AS side", *[f"{c} AS c{i}" for i, c in enumerate(columns)]).mapInArrow(run, COUNTS_SCHEMA)
+    summed = parts.repartition("side", "feature").mapInArrow(_add_counts, COUNTS_SCHEMA)
+    return summed.select("side", "feature", F.posexplode("counts").alias("i", "n"), "low", "high").where("n > 0").select(
+        "side", "feature", (F.col("i") + MISSING).alias("interval"), "n",
+        *[F.when(F.col("i") + MISSING >= 0, F.col(c)).alias(c) for c in ("low", "high")])
+
+
+def _count_arrays(rows: Iterable[tuple]) -> pa.RecordBatch:
+    sides, features, counts, low, high = zip(*rows) if (rows := list(rows)) else ((), (), (), (), ())
+    ends = np.cumsum([0, *map(len, counts)], dtype=np.int32)
+    flat = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(sides, pa.string()), pa.array(features, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+         pa.array(low, pa.float64()), pa.array(high, pa.float64())], ["side", "feature", "counts", "low", "high"])
+
+
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the arrays of equal keys; a partition holds as many sums as it has keys."""
+    sums: dict[tuple, list] = {}
+    for batch in batches:
+        arrays, offsets = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
+        low, high = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            counts = arrays[offsets[i] : offsets[i + 1]]
+            known = sums.get(key)
+            if known is None:
+                sums[key] = [counts.astype(np.int64), low[i], high[i]]
+            else:
+                known[0] += counts
+                known[1], known[2] = np.fmin(known[1], low[i]), np.fmax(known[2], high[i])
+    yield _count_arrays((*key, c, *(None if np.isnan(v) else v for v in ends)) for key, (c, *ends) in sums.items())
 
 
 def values_in(df: DataFrame, columns: list[str], cuts: Mapping[int, list[float]],

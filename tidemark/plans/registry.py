@@ -63,7 +63,7 @@ class Registry:
 
     def _append(self, rows: list[tuple[int, str | None, str, str]]) -> None:
         last = self.events().agg(F.max("event_id")).first()[0] or 0
-        numbered = [(last + i, *row) for i, row in enumerate(rows, start=1)]
+        numbered = [(number, *row) for number, row in zip(self.store.take_numbers(self.table, last, len(rows)), rows)]
         self.store.append(self.table, small_table(self.store.spark, numbered, EVENT_SCHEMA))
 
     def newest_run_id(self) -> str:
@@ -81,7 +81,7 @@ class Registry:
         if origin == "drift_retrain" and stage.lower() == "production":
             raise PromotionRefusedError("a retrain never registers straight to Production")
         run_id = run_id or self.newest_run_id()
-        version = (self.events().agg(F.max("version")).first()[0] or 0) + 1
+        version = self.store.take_numbers("versions", self.events().agg(F.max("version")).first()[0] or 0)[0]
         rows = [(version, run_id, "registered", str(int(time.time()))), (version, run_id, "stage", stage)]
         if alias:
             rows.append((version, run_id, "alias_set", alias))

@@ -381,9 +381,33 @@ def trigger_params(alert: DataFrame) -> DataFrame:
     ])))
 
 
+class AlertAnsweredError(ValueError):
+    """The alert has an answer, or another job is working on one."""
+
+
 def retrain_job(window: RetrainWindow, alert: DataFrame, key: list[str], label: str, exclude: Iterable[str],
                 settings: BoostSettings, store: TableStore, run_id: str, register: bool = True) -> TrainedBundle:
-    """Answer one alert: fit on its window, record why, register a challenger, resolve the alert."""
+    """Answer one alert: claim it, fit on its window, record why, register a challenger, resolve the alert.
+
+    The claim comes before anything is fitted: of several jobs one goes on, the others are refused
+    and leave neither run nor version. A job that fails gives its claim back.
+    """
+    asked = alert.select("id").first()
+    if asked is None:
+        raise LookupError("no alert to answer")
+    answered = store.read("alert_resolutions", RESOLUTION_SCHEMA).where(F.col("alert_id") == asked["id"])
+    claim = f"answers/{asked['id']}"
+    if not answered.isEmpty() or not store.claim(claim):
+        raise AlertAnsweredError(f"alert {asked['id']} is answered or about to be")
+    try:
+        return _answer(window, alert, key, label, exclude, settings, store, run_id, register)
+    except BaseException:
+        store.release(claim)
+        raise
+
+
+def _answer(window: RetrainWindow, alert: DataFrame, key: list[str], label: str, exclude: Iterable[str],
+            settings: BoostSettings, store: TableStore, run_id: str, register: bool) -> TrainedBundle:
     from tidemark.plans.registry import Registry
 
     bundle = fit_bundle(window.fit, window.stop, window.evaluation, key, label, exclude, settings)

@@ -6,6 +6,7 @@ import contextlib
 import time
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,13 +60,50 @@ class TableStore:
     def append(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
         df.write.mode("append").partitionBy(*partition_by).parquet(self.path(name))
 
+    def claim(self, name: str) -> bool:
+        """Create the empty file ``claims/<name>``; False if it is there. Of several writers one wins."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path(f"claims/{name}"))
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path.getParent())
+        try:
+            if fs.getUri().getScheme() == "file":
+                # Hadoop's local file system looks first and creates then; the operating system does both at once
+                none = self.spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0)
+                jvm.java.nio.file.Files.createFile(jvm.java.nio.file.Paths.get(path.toUri().getPath(), self._no_strings()), none)
+            else:
+                fs.create(path, False).close()
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            return False
+        return True
+
+    def _no_strings(self):
+        return self.spark.sparkContext._gateway.new_array(self.spark._jvm.java.lang.String, 0)
+
+    def release(self, name: str) -> None:
+        """Give a claim back after the work it stood for failed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(f"claims/{name}"))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
+
+    def take_numbers(self, name: str, last: int, count: int = 1) -> list[int]:
+        """The next free numbers after ``last``, each claimed, so that no two writers use one."""
+        taken, number = [], last
+        while len(taken) < count:
+            number += 1
+            if self.claim(f"{name}/{number}"):
+                taken.append(number)
+        return taken
+
     def append_numbered(self, name: str, row: DataFrame, schema: str) -> int:
-        """Append a one-row frame under the next id (one writer at a time)."""
+        """Append a one-row frame under the next id; writers at the same time get different ids."""
         last = self.read(name, schema).agg(F.max("id")).first()[0] or 0
-        self.append(name, row.withColumn("id", F.lit(last + 1).cast("bigint")).select(
+        number = self.take_numbers(name, last)[0]
+        self.append(name, row.withColumn("id", F.lit(number).cast("bigint")).select(
             *T.StructType.fromDDL(schema).fieldNames()
         ))
-        return last + 1
+        return number
 
 
 ALERT_SCHEMA = (

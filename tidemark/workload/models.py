@@ -304,6 +304,44 @@ def retrain_job(spark, sf_dir):
     return store.read("runs", RUN_SCHEMA).groupBy("run_id", "kind").agg(F.count("*").alias("entries"))
 
 
+#: The loop query is about what is recorded and refused, so it fits few trees.
+LOOP_SETTINGS = SETTINGS.override(ceiling=5, forest_trees=5, forest_depth=4)
+
+
+@query("mdl_13_monitor_to_refused_retrain", TRAIN + """
+SELECT (SELECT count(*) FROM drift WHERE split = 'stream') AS window_rows, 1::BIGINT AS alert_id, TRUE AS triggered, 1::BIGINT AS runs,
+  '1' AS answered_by, 'Staging' AS stage, 'challenger' AS aliases, '1' AS trigger_alert, TRUE AS second_refused, 1::BIGINT AS resolutions, 0::BIGINT AS open_triggers""")
+def monitor_to_refused_retrain(spark, sf_dir):
+    """Monitor, alert, retrain, version and resolution on stored tables; a second retrain of the alert is refused before it fits."""
+    from tidemark.plans import monitor as MO
+    from tidemark.plans.registry import Registry
+    from tidemark.plans.views import open_triggers
+    from tidemark.sources.tables import ALERT_SCHEMA, RESOLUTION_SCHEMA
+
+    bounds = line_bounds(spark, sf_dir)
+    store = TableStore(spark, scratch_path(spark, "loop"))
+    train, stream = (drift_view(spark, sf_dir, s, bounds).drop(*DROPPED) for s in ("train", "stream"))
+    number = MO.record_monitor(store, MO.run_monitor(train, stream, "dt", [*DRIFT_KEY, "label"], window_days=100_000.0))
+    alert = latest_trigger(store.read("drift_alerts", ALERT_SCHEMA), store.read("alert_resolutions", RESOLUTION_SCHEMA))
+    sources = {s: drift_view(spark, sf_dir, s, bounds).drop("split", "l_shipdate", "f_const") for s in ("val", "stream")}
+    window = recent_training_window(sources, "dt", 600)
+    TR.retrain_job(window, alert, DRIFT_KEY, "label", ["source"], LOOP_SETTINGS, store, "run-1")
+    refused = False
+    try:
+        again = latest_trigger(store.read("drift_alerts", ALERT_SCHEMA), store.read("alert_resolutions", RESOLUTION_SCHEMA), include_resolved=True)
+        TR.retrain_job(window, again, DRIFT_KEY, "label", ["source"], LOOP_SETTINGS, store, "run-2")
+    except TR.AlertAnsweredError:
+        refused = True
+    alerts, answers = store.read("drift_alerts", ALERT_SCHEMA), store.read("alert_resolutions", RESOLUTION_SCHEMA)
+    runs = store.read("runs", RUN_SCHEMA).agg(F.count_distinct("run_id").alias("runs"))
+    version = Registry(store).state().agg(
+        F.max("stage").alias("stage"), F.max(F.array_join("aliases", ", ")).alias("aliases"), F.max(F.col("tags")["trigger_alert_id"]).alias("trigger_alert"))
+    left = open_triggers(alerts, answers).agg(F.count("*").alias("open_triggers"))
+    told = answers.agg(F.max("model_version").alias("answered_by"), F.lit(refused).alias("second_refused"), F.count("*").alias("resolutions"))
+    head = alerts.where(F.col("id") == number).select("window_rows", F.col("id").alias("alert_id"), F.col("retrain_triggered").alias("triggered"))
+    return head.crossJoin(runs).crossJoin(version).crossJoin(told).crossJoin(left)
+
+
 # --- array attributions over the given embeddings ------------------------------------------
 
 EMB_SQL = """
