@@ -7,9 +7,12 @@ unknown one to -1, a missing one stays NULL.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +23,12 @@ from tidemark.session import materialise, small_table
 
 FORMAT_VERSION = 1
 LITERAL_LEVELS = 2_000
-BROADCAST_LEVELS = 1_000_000
+#: Vocabularies are broadcast up to this many bytes, as counted from their levels.
+BROADCAST_BYTES = 64 << 20
 WINDOW_LEVELS = 2_000_000
-SALTS = 16
+#: A level that holds more than one in so many rows of its feature is hot; there are at most this many.
+HOT_SHARE = 1_000
+_ENTRY_BYTES = 48
 
 
 class SchemaContractError(ValueError):
@@ -115,6 +121,24 @@ class EncoderModel:
     fitted_rows: int = 0
     format_version: int = FORMAT_VERSION
 
+    @cached_property
+    def footprint(self) -> tuple[int, int]:
+        """(levels, bytes) of the vocabulary, counted once for the life of the model."""
+        if not self.categorical:
+            return 0, 0
+        row = self.vocabulary.agg(F.count("*").alias("n"), F.sum(F.octet_length("level") + F.octet_length("feature") + _ENTRY_BYTES).alias("b")).first()
+        return row["n"], row["b"] or 0
+
+    @cached_property
+    def literal(self) -> dict[str, dict[str, int]] | None:
+        """The maps of a small vocabulary, read once for the life of the model: a stream runs no job for them."""
+        if self.footprint[0] > LITERAL_LEVELS:
+            return None
+        maps: dict[str, dict[str, int]] = {c: {} for c in self.categorical}
+        for row in self.vocabulary.collect() if self.footprint[0] else []:
+            maps[row["feature"]][row["level"]] = row["code"]
+        return maps
+
     def check(self, df: DataFrame) -> None:
         """Contract check on the schema alone, before any job runs."""
         absent = [n for n in self.names if n not in df.columns]
@@ -133,29 +157,45 @@ class EncoderModel:
         """The frame, possibly joined with its vocabulary, and a code column per category.
 
         Literal maps for small vocabularies, one broadcast map per column up to a checked
-        size, a salted shuffle join beyond it.
+        number of bytes, beyond it one shuffle join for all columns.
         """
-        size = self.vocabulary.count() if self.categorical else 0
-        if size <= LITERAL_LEVELS:
-            maps: dict[str, dict[str, int]] = {c: {} for c in self.categorical}
-            for row in self.vocabulary.collect() if size else []:
-                maps[row["feature"]][row["level"]] = row["code"]
-            return df, {c: _literal_map(maps[c], _level(c)) for c in self.categorical}
+        if self.literal is not None:
+            return df, {c: _literal_map(self.literal[c], _level(c)) for c in self.categorical}
+        if self.footprint[1] > BROADCAST_BYTES:
+            return self._shuffled_codes(df)
         codes = {}
         for i, name in enumerate(self.categorical):
             own = self.vocabulary.where(F.col("feature") == name).select(
                 F.col("level").alias(f"__l{i}"), F.col("code").alias(f"__c{i}")
             )
             df = df.withColumn(f"__k{i}", _level(name))
-            if size <= BROADCAST_LEVELS:
-                df = df.join(F.broadcast(own), F.col(f"__k{i}") == F.col(f"__l{i}"), "left")
-            else:
-                df = salted_left_join(df, own, f"__k{i}", f"__l{i}")
+            df = df.join(F.broadcast(own), F.col(f"__k{i}") == F.col(f"__l{i}"), "left")
             codes[name] = F.col(f"__c{i}")
         return df, codes
 
+    def _shuffled_codes(self, df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+        """Codes from one join whatever the number of columns: levels leave the row, are coded together and come back.
+
+        A row becomes one entry with all its columns and one per populated level. Both shuffles carry
+        the wide row once; hot levels, gaps and wide entries are spread by row.
+        """
+        at = {name: i for i, name in enumerate(self.categorical)}
+        kinds = f"array<struct<feature:string,level:string,w:{df.schema.simpleString()}>>"
+        nothing = F.lit(None).cast(df.schema)
+        wide = F.struct(F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("level"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("w"))
+        entries = [F.when(_level(n).isNotNull(), F.struct(F.lit(n).alias("feature"), _level(n).alias("level"), nothing.alias("w"))) for n in self.categorical]
+        # numbered below the generator: beside it each entry would get a number of its own
+        packed = df.select(F.monotonically_increasing_id().alias("__row"), F.array_compact(F.array(wide, *entries)).cast(kinds).alias("e"))
+        long = packed.select("__row", F.explode_outer("e").alias("e")).select("__row", "e.*")
+        hot = hot_levels(levels_long(df, list(self.categorical)), self.vocabulary)
+        coded = coded_levels(long, self.vocabulary, hot)
+        place = F.create_map(*[x for n, i in at.items() for x in (F.lit(n), F.lit(i))])
+        pairs = F.collect_list(F.when(F.col("code").isNotNull(), F.struct(F.try_element_at(place, "feature").alias("i"), F.col("code").alias("code"))))
+        back = coded.groupBy("__row").agg(F.first("w", ignorenulls=True).alias("w"), F.map_from_entries(pairs).alias("__codes"))
+        return back.select("w.*", "__codes"), {n: F.try_element_at("__codes", F.lit(i)) for n, i in at.items()}
+
     def transform(self, df: DataFrame, keep: Iterable[str] = (), states: bool = False) -> DataFrame:
-        """Ordered feature columns as floats; ``states`` adds the unseen and missing name lists."""
+        """Ordered feature columns, codes as doubles and numbers as floats; ``states`` adds the unseen and missing name lists."""
         self.check(df)
         types = {f.name: f.dataType for f in df.schema.fields}
         joined, codes = self._codes(df)
@@ -163,8 +203,8 @@ class EncoderModel:
         for name in self.names:
             if name in codes:
                 level = _level(name)
-                value = F.when(level.isNotNull(), F.coalesce(codes[name].cast("float"),
-                                                             F.lit(S.UNKNOWN_CODE).cast("float")))
+                value = F.when(level.isNotNull(), F.coalesce(codes[name].cast("double"),
+                                                             F.lit(S.UNKNOWN_CODE).cast("double")))
                 unseen.append(F.when(level.isNotNull() & codes[name].isNull(), F.lit(name)))
             else:
                 value = S.missing_as_null(F.col(f"`{name}`").cast("float"), T.FloatType())
@@ -180,12 +220,23 @@ class EncoderModel:
         """The analyst's reading of a stored value."""
         if feature not in self.categorical:
             return F.coalesce(S.render_number(code), F.lit("<missing>"))
-        rows = self.vocabulary.where(F.col("feature") == feature).limit(BROADCAST_LEVELS + 1).collect()
-        if len(rows) > BROADCAST_LEVELS:
-            raise ValueError(f"{feature} has too many levels for a map; join the vocabulary instead")
-        inverse = {r["code"]: r["level"] for r in rows}
+        if self.literal is None:
+            raise ValueError(f"the vocabulary of {feature} is too large for an expression; use decoded() on the rows that are shown")
+        inverse = {code: level for level, code in self.literal[feature].items()}
         return decode_column(code, _literal_map(inverse, code.cast("int")))
 
+    def decoded(self, df: DataFrame, feature: str, code: str, output: str) -> DataFrame:
+        """``df`` with the reading of a code column beside it; for rows that were chosen first, such as a top-k.
+
+        The code table is joined, never collected, and only the codes that occur reach the join.
+        """
+        if feature not in self.categorical or self.literal is not None:
+            return df.withColumn(output, self.decode(feature, F.col(code)))
+        asked = df.select(F.col(code).cast("bigint").alias("__code")).distinct()
+        names = self.vocabulary.where(F.col("feature") == feature).select(F.col("code").cast("bigint").alias("__code"), F.col("level").alias("__level")).join(asked, "__code", "left_semi")
+        joined = df.join(names, df[code].cast("bigint") == names["__code"], "left")
+        return joined.withColumn(output, decode_column(F.col(code), F.col("__level"))).drop("__code", "__level")
+
     def cardinality(self) -> DataFrame:
         return self.vocabulary.groupBy("feature").agg(F.count("*").alias("levels")).orderBy(
             F.desc("levels"), "feature"
@@ -245,39 +296,67 @@ def decode_column(code: Column, level: Column) -> Column:
     )
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                     salts: int = SALTS) -> DataFrame:
-    """Left join whose hot (or NULL) keys are spread over ``salts`` partitions.
+def hot_levels(long: DataFrame, vocabulary: DataFrame, share: int = HOT_SHARE) -> DataFrame:
+    """(feature, level, __hot): the codes of levels that hold more than one in ``share`` rows of their feature.
 
-    The right side must hold each key once; it is replicated per salt. The salt is a
-    hash of the row and its input partition: repeatable, and different for equal rows
-    of different partitions.
+    Tasks keep a bounded summary: counts of at most twice ``share`` levels a feature, all lowered by
+    the largest that has no place. No hot level is lost, and at most twice ``share`` can come out.
     """
-    row = [F.col(f"`{c}`") for c in left.columns]
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*row, F.spark_partition_id()), F.lit(salts)))
-    copies = right.withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
-        "__rsalt", F.col("__rsalt").cast("bigint")
-    )
-    on = (F.col(left_key) == F.col(right_key)) & (F.col("__salt") == F.col("__rsalt"))
-    return salted.join(copies, on, "left").drop("__salt", "__rsalt")
+    keep = 2 * share
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        for batch in batches:
+            pairs = pa.table({"f": batch.column(0), "l": batch.column(1)}).group_by(["f", "l"]).aggregate([([], "count_all")])
+            for feature, level, n in zip(*(pairs.column(c).to_pylist() for c in ("f", "l", "count_all"))):
+                held.setdefault(feature, Counter())[level] += n
+            for feature, counts in held.items():
+                if len(counts) > keep:
+                    cut = sorted(counts.values(), reverse=True)[keep]
+                    held[feature] = Counter({level: n - cut for level, n in counts.items() if n > cut})
+        rows = [(f, level, n) for f, counts in held.items() for level, n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["feature", "level", "n"])
+
+    present = long.where(F.col("level").isNotNull()).select("feature", "level")
+    summary = present.mapInArrow(run, "feature string, level string, n bigint").groupBy("feature", "level").agg(F.sum("n").alias("n"))
+    rows = long.groupBy("feature").agg(F.count("level").alias("rows"))
+    hot = summary.join(F.broadcast(rows), "feature").where(F.col("n") * keep > F.col("rows")).select("feature", "level")
+    # one row per hot level: bounded by the share, so it may be broadcast
+    return vocabulary.join(F.broadcast(hot), ["feature", "level"], "left_semi").select("feature", "level", F.col("code").alias("__hot"))
+
+
+def coded_levels(long: DataFrame, vocabulary: DataFrame, hot: DataFrame) -> DataFrame:
+    """(.., feature, level, code): a shuffle join with the vocabulary from which hot levels and gaps stay out.
+
+    Hot levels get their code from a broadcast; they and rows without a level are spread by row
+    instead of meeting in the partition of one key.
+    """
+    told = long.join(F.broadcast(hot), ["feature", "level"], "left")
+    alone = F.col("level").isNull() | F.col("__hot").isNotNull()
+    key = F.when(alone, F.concat(F.lit("\u0001"), F.monotonically_increasing_id().cast("string"))).otherwise(F.concat_ws("\u0002", "feature", "level"))
+    own = vocabulary.select(F.concat_ws("\u0002", "feature", "level").alias("__own"), F.col("code").alias("__code"))
+    joined = told.withColumn("__key", key).join(own, F.col("__key") == F.col("__own"), "left")
+    return joined.withColumn("code", F.coalesce("__hot", "__code")).drop("__hot", "__code", "__key", "__own")
+
+
+def _fits(vocabulary: DataFrame, limit: int) -> bool:
+    total = vocabulary.agg(F.sum(F.octet_length("level") + F.octet_length("feature") + _ENTRY_BYTES)).first()[0]
+    return (total or 0) <= limit
 
 
-def vocabulary_lookup(long: DataFrame, vocabulary: DataFrame, broadcast_levels: int = BROADCAST_LEVELS) -> DataFrame:
+def vocabulary_lookup(long: DataFrame, vocabulary: DataFrame, broadcast_bytes: int | None = None) -> DataFrame:
     """(.., feature, level) with ``code`` and ``state`` for rows in long form."""
-    small = vocabulary.limit(broadcast_levels + 1).count() <= broadcast_levels
-    if small:
+    if _fits(vocabulary, BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
         joined = long.join(F.broadcast(vocabulary), ["feature", "level"], "left")
     else:
-        keyed = long.withColumn("__k", F.concat_ws("\u0001", "feature", F.coalesce("level", F.lit("\u0002"))))
-        own = vocabulary.select(F.concat_ws("\u0001", "feature", "level").alias("__r"), "code")
-        joined = salted_left_join(keyed, own, "__k", "__r").drop("__k", "__r")
+        joined = coded_levels(long, vocabulary, hot_levels(long, vocabulary))
     return joined.withColumn(
         "state",
         F.when(F.col("level").isNull(), "missing").when(F.col("code").isNull(), "unseen").otherwise("seen"),
     )
 
 
-def unseen_levels(long: DataFrame, vocabulary: DataFrame, broadcast_levels: int = BROADCAST_LEVELS) -> DataFrame:
+def unseen_levels(long: DataFrame, vocabulary: DataFrame, broadcast_bytes: int | None = None) -> DataFrame:
     """Populated levels the vocabulary does not hold, with their counts.
 
     Levels are counted first, so the anti join meets each level once.
@@ -285,7 +364,7 @@ def unseen_levels(long: DataFrame, vocabulary: DataFrame, broadcast_levels: int
     counted = long.where(F.col("level").isNotNull()).groupBy("feature", "level").agg(
         F.count("*").alias("occurrences")
     )
-    small = vocabulary.limit(broadcast_levels + 1).count() <= broadcast_levels
+    small = _fits(vocabulary, BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
     known = vocabulary.select("feature", "level")
     return counted.join(F.broadcast(known) if small else known, ["feature", "level"], "left_anti")
 
