@@ -1,3 +1,6 @@
+import time
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +91,40 @@ def test_booster_scores_and_explains_in_the_audit_row(spark, rows, tmp_path):
     assert all(r["n_trees"] == 3 and len(r["top_factors"]) == 2 for r in got)
     values = {f["value"] for r in got for f in r["top_factors"] if f["feature"] == "kind"}
     assert values <= {"new", "known"} and values
+
+
+def test_each_row_is_scored_once_timed_and_numbered(spark, tmp_path):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def slow(k: pd.Series) -> pd.Series:
+        met.add(len(k))
+        time.sleep(0.02)
+        return k / 100.0
+
+    rows = spark.range(240).select(
+        "id", F.col("id").cast("double").alias("dt"), (F.col("id") % 100).cast("double").alias("k"), F.concat(F.lit("g"), F.col("id") % 7).alias("g"),
+        F.when(F.col("id") % 10 == 3, "broken").alias(FD.CORRUPT))
+    encoder = FeatureEncoder(None, ("id", "dt")).fit(rows.drop(FD.CORRUPT).where("g <> 'g6'"))
+    sink = SC.AuditSink(str(tmp_path / "audit"), encoder, SC.Scorer("v1", 0.5, lambda: slow(F.col("k"))), None, "id", "dt")
+    batches = [rows.where("id < 100").repartition(3), rows.where("id >= 100").repartition(5)]
+    for i in (0, 1, 1):  # the second batch is delivered twice
+        sink(batches[i], i)
+    good = rows.where(F.col(FD.CORRUPT).isNull())
+    audit = SC.read_audit(spark, sink.root)
+    assert sorted(r["id"] for r in audit.collect()) == list(range(1, good.count() + 1))
+    first = {r["id"] for r in audit.where("batch_id = 0").collect()}
+    assert first == set(range(1, len(first) + 1))
+    assert met.value == good.count() + good.where("id >= 100").count()
+    assert audit.where("latency_ms < 15 OR latency_ms > 60000").count() == 0
+    unseen = spark.read.parquet(f"{sink.root}/unseen").agg(F.sum("occurrences")).first()[0]
+    assert unseen == good.where("g = 'g6'").count()
+    stats = {r["batch_id"]: r for r in spark.read.schema(SC.STATS_SCHEMA).parquet(f"{sink.root}/stats").collect()}
+    assert stats[0]["messages"] == 100 and stats[0]["errors"] == 10 and stats[1]["through"] == good.count()
+
+
+def test_numbers_do_not_depend_on_the_size_of_a_partition(spark):
+    rows = spark.range(0, 50, 1, 4)
+    sizes = {r["p"]: r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()}
+    assert [r[0] for r in rows.select(SC._number(sizes, 1 << 40)).collect()] == [(1 << 40) + i for i in range(1, 51)]
+    assert rows.where("id < 0").select(SC._number({}, 0)).collect() == []

@@ -22,8 +22,10 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions import scalar as S
 from tidemark.operators.encoding import EncoderModel
 from tidemark.plans import explain as XP
+from tidemark.plans.boosting import BoostedTrees
 from tidemark.plans.training import TreeInputs
 from tidemark.plans.trees import evaluate, tree_tables
+from tidemark.session import small_table
 from tidemark.streaming.feed import CORRUPT
 
 AUDIT_SCHEMA = (
@@ -35,7 +37,7 @@ AUDIT_SCHEMA = (
     "latency_ms double, batch_id bigint"
 )
 FACTORS = "array<struct<feature:string,value:string,contribution:double,direction:string>>"
-STATS_SCHEMA = "messages bigint, scored bigint, errors bigint, elapsed_s double, batch_id bigint"
+STATS_SCHEMA = "messages bigint, scored bigint, errors bigint, elapsed_s double, through bigint, batch_id bigint"
 UNSEEN_SCHEMA = "feature string, value string, occurrences bigint, batch_id bigint"
 
 
@@ -54,7 +56,7 @@ class Scorer:
     factors: Callable[[], Column] | None = None
 
 
-def tree_scorer(version: str, threshold: float, model: GBTClassificationModel, inputs: TreeInputs,
+def tree_scorer(version: str, threshold: float, model: GBTClassificationModel | BoostedTrees, inputs: TreeInputs,
                 encoder: EncoderModel, top: int = 5) -> Scorer:
     """A fitted booster that gives the probability and its explanation from one Arrow pass."""
     tables, owner = tree_tables(model), np.asarray(inputs.owner())
@@ -102,12 +104,13 @@ def guarded(score: Callable[[pd.DataFrame], np.ndarray], columns: list[str]) ->
 
 
 def score_rows(rows: DataFrame, encoder: EncoderModel, champion: Scorer, challenger: Scorer | None,
-               id_column: str, time_column: str, label: str | None) -> DataFrame:
+               id_column: str, time_column: str, label: str | None, beside: tuple[str, ...] = ()) -> DataFrame:
     """Audit columns for parsed rows, with the (feature, value) pairs nobody has seen.
 
-    Only the encoder's own features reach a model; the label is carried beside them.
+    Only the encoder's own features reach a model; the label, and the columns named in ``beside``, are carried along.
     """
     carried = [
+        *beside,
         F.col(id_column).cast("string").alias("__id"),
         F.col(time_column).cast("double").alias("__dt"),
         (F.col(label).cast("int") if label else F.lit(None).cast("int")).alias("__label"),
@@ -143,16 +146,27 @@ def score_rows(rows: DataFrame, encoder: EncoderModel, champion: Scorer, challen
         c("__label").alias("true_label"),
         F.transform("unseen", lambda f: F.struct(f.alias("feature"), F.try_element_at(c("__raw"), f).alias("value")))
         .alias("__unseen"),
+        *beside,
     )
 
 
-def unseen_counts(scored: DataFrame) -> DataFrame:
-    return scored.select(F.inline("__unseen")).groupBy("feature", "value").agg(F.count("*").alias("occurrences"))
+def unseen_counts(scored: DataFrame, pairs: str = "__unseen") -> DataFrame:
+    return scored.select(F.inline(pairs)).groupBy("feature", "value").agg(F.count("*").alias("occurrences"))
+
+
+def _nanoseconds() -> Column:
+    """The executor's clock at the moment a row passes, unlike a timestamp, which a query reads once."""
+    return F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("bigint")
 
 
 @dataclass(frozen=True)
 class AuditSink:
-    """Writes one micro-batch: audit rows, unseen counts, message statistics."""
+    """Writes one micro-batch: audit rows, unseen counts, message statistics.
+
+    Every row meets the models once: what nobody has seen is counted from the rows as written. Ids go on
+    without gaps from those of the batch before, so a replayed batch gets the same ones, whatever the size of
+    its partitions. ``latency_ms`` is the time from a row's entry into scoring to its decision.
+    """
 
     root: str
     encoder: EncoderModel
@@ -164,26 +178,44 @@ class AuditSink:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         started = time.perf_counter()
+        spark = batch.sparkSession
         batch.persist()
         try:
-            good = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-            scored = score_rows(good, self.encoder, self.champion, self.challenger,
-                                self.id_column, self.time_column, self.label)
-            row = F.monotonically_increasing_id()
-            # newer batches have larger ids; a batch has up to 2^16 partitions of 2^24 rows
-            number = F.shiftleft(F.shiftrightunsigned(row, 33), 24).bitwiseOR(row.bitwiseAND((1 << 24) - 1))
-            audit = scored.drop("__unseen").withColumns({
-                "id": number + F.lit(batch_id << 40), "scored_at": F.current_timestamp(),
-                "latency_ms": F.lit((time.perf_counter() - started) * 1000.0)})
-            audit.write.mode("overwrite").parquet(f"{self.root}/audit/batch_id={batch_id}")
-            unseen_counts(scored).write.mode("overwrite").parquet(f"{self.root}/unseen/batch_id={batch_id}")
-            broken = F.count_if(F.col(CORRUPT).isNotNull())
-            sums = batch.agg(F.count("*").alias("messages"), (F.count("*") - broken).alias("scored"), broken.alias("errors"))
-            sums.withColumn("elapsed_s", F.lit(time.perf_counter() - started)) \
-                .write.mode("overwrite").parquet(f"{self.root}/stats/batch_id={batch_id}")
+            whole = F.col(CORRUPT).isNull()
+            parts = batch.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("messages"), F.count_if(whole).alias("good")).collect()
+            before, messages, scored_rows = self._through(spark, batch_id), sum(r["messages"] for r in parts), sum(r["good"] for r in parts)
+            entered = batch.where(whole).drop(CORRUPT).withColumns({"__number": _number({r["p"]: r["good"] for r in parts}, before), "__entered": _nanoseconds()})
+            scored = score_rows(entered, self.encoder, self.champion, self.challenger,
+                                self.id_column, self.time_column, self.label, ("__number", "__entered"))
+            audit = scored.withColumns({
+                "id": F.col("__number"), "scored_at": F.current_timestamp(),
+                "latency_ms": (_nanoseconds() - F.col("__entered")) / F.lit(1e6)}).withColumnRenamed("__unseen", "unseen_values").drop("__number", "__entered")
+            written = f"{self.root}/audit/batch_id={batch_id}"
+            audit.write.mode("overwrite").parquet(written)
+            kept = spark.read.schema(audit.select("unseen_values").schema).parquet(written)
+            unseen_counts(kept, "unseen_values").write.mode("overwrite").parquet(f"{self.root}/unseen/batch_id={batch_id}")
+            row = (messages, scored_rows, messages - scored_rows, time.perf_counter() - started, before + scored_rows)
+            small_table(spark, [row], STATS_SCHEMA.removesuffix(", batch_id bigint")).write.mode("overwrite").parquet(f"{self.root}/stats/batch_id={batch_id}")
         finally:
             batch.unpersist()
 
+    def _through(self, spark, batch_id: int) -> int:
+        """The last id of the batch before."""
+        from tidemark.sources.tables import read_or_empty
+
+        row = read_or_empty(spark, f"{self.root}/stats/batch_id={batch_id - 1}", "through bigint").first() if batch_id else None
+        return row["through"] if row else 0
+
+
+def _number(rows: dict[int, int], before: int) -> Column:
+    """Consecutive numbers after ``before``: rows of earlier partitions, then the place within the partition."""
+    first, total = [], before
+    for p in range(max(rows, default=-1) + 1):
+        first.append(str(total))
+        total += rows.get(p, 0)
+    start = F.get(F.split(F.lit(",".join(first)), ","), F.spark_partition_id()).cast("bigint")
+    return start + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1
+
 
 def run_scoring(parsed: DataFrame, sink: AuditSink, available_now: bool = True) -> StreamingQuery:
     """Start the stream; the checkpoint below the sink's root commits a batch after its files are written."""
