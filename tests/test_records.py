@@ -99,6 +99,38 @@ def test_newest_rows_are_exactly_as_many_as_asked(spark):
     assert V.newest_rows(close, "k", 41).count() == 40 and V.newest_rows(close, "k", 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["bigint", "int", "date", "timestamp", "timestamp_ntz", "double", "string"])
+def test_newest_rows_of_any_type_and_crowd(spark, kind, monkeypatch):
+    monkeypatch.setattr(V, "LAST_KEYS", 5)
+    monkeypatch.setattr(V, "KEY_RANGES", 4)
+    far = {"bigint": 1 << 60, "int": 1 << 28, "date": 20_000, "timestamp": 1 << 40, "timestamp_ntz": 1 << 40, "double": 1 << 40, "string": 7_000}[kind]
+    # crowded near the top, a third of all rows on one key, gaps, and one key far away
+    days = F.when(F.col("id") % 3 == 0, 50).when(F.col("id") == 7, -far).when(F.col("id") % 50 == 1, None).otherwise(60 + F.col("id") % 40)
+    made = {"bigint": days.cast("bigint"), "int": days.cast("int"), "date": F.date_from_unix_date(days.cast("int")), "timestamp": F.timestamp_micros(days.cast("bigint")),
+            "timestamp_ntz": F.timestamp_micros(days.cast("bigint")).cast("timestamp_ntz"), "double": days.cast("double"), "string": F.lpad((days + far).cast("string"), 9, "0")}
+    df = spark.range(600).select("id", made[kind].alias("k"))
+    order = sorted((r["k"] for r in df.collect()), key=lambda v: (v is not None, v if v is not None else 0), reverse=True) if kind != "string" else \
+        sorted((r["k"] for r in df.collect()), key=lambda v: (v is not None, v or ""), reverse=True)
+    for n in (1, 4, 37, 200, 395, 420, 590, 599, 600, 700):
+        got = [r["k"] for r in V.newest_rows(df, "k", n).collect()]
+        assert len(got) == min(n, 600) and sorted(map(str, got)) == sorted(map(str, order[:n]))
+
+
+def test_newest_rows_spread_over_the_whole_range(spark):
+    ends = spark.createDataFrame([(-(1 << 63),), ((1 << 63) - 1,), (0,), (5,), (None,)], "id bigint").union(spark.range(20_000).selectExpr("id * 3"))
+    assert sorted(r["id"] for r in V.newest_rows(ends, "id", 4).collect()) == [59_991, 59_994, 59_997, (1 << 63) - 1]
+    assert V.newest_rows(ends, "id", 20_004).where("id IS NULL").count() == 0
+
+
+def test_newest_rows_shuffles_no_rows(spark, tmp_path):
+    spark.range(200_000).selectExpr("id", "id % 7 AS x").repartition(8).write.parquet(str(tmp_path / "audit"))
+    audit = spark.read.parquet(str(tmp_path / "audit"))
+    newest = V.newest_rows(audit, "id", 500)
+    assert newest.agg(F.min("id"), F.count("*")).first()[:] == (199_500, 500)
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,199500)" in plan and "rangepartitioning" not in plan.split("TakeOrdered")[0]
+
+
 def test_unseen_aggregate(spark):
     rows = [("id_31", "chrome 65.0", 12), ("id_31", "opera", 3), ("id_30", "Android 9", 5)]
     df = spark.createDataFrame(rows, "feature string, value string, occurrences bigint").withColumn("observed_at", F.current_timestamp())

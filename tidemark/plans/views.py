@@ -10,24 +10,72 @@ from tidemark.functions import scalar as S
 from tidemark.operators.ordering import ordered_index
 from tidemark.operators.splits import moment
 
+#: Ranges of a counting pass, and keys among which the n-th is looked up directly.
+KEY_RANGES, LAST_KEYS = 1_024, 10_000
+
+
+def _axis(df: DataFrame, key: str) -> Column | None:
+    """The key as a whole number in the same order; None for types that have none."""
+    kind, column = df.schema[key].dataType, F.col(key)
+    if isinstance(kind, T.IntegralType):
+        return column.cast("bigint")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("bigint")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(column.cast("timestamp"))
+    return None
+
+
+def _ranged_key(df: DataFrame, key: str, n: int, axis: Column, whole) -> tuple[object, int]:
+    """(n-th newest key, rows that are newer): ranges are counted and the one with the n-th row is cut again.
+
+    Tasks count rows by range and ship at most one row a range: the key column is scanned, never
+    shuffled or sorted. The ranges shrink a thousandfold each time, so wherever the keys crowd this ends.
+    """
+    low, high, inside, newer = whole["low"], whole["high"], whole["present"], 0
+    while inside > LAST_KEYS and low < high:
+        width = (high - low) // KEY_RANGES + 1
+        apart = axis - F.lit(low) if high - low < 1 << 63 else axis.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
+        counted = df.where(axis.between(low, high)).groupBy(F.floor(apart.cast("double") / float(width)).alias("r")).agg(
+            F.count("*").alias("n"), F.min(axis).alias("low"), F.max(axis).alias("high")).collect()
+        for row in sorted(counted, key=lambda r: -r["r"]):
+            if newer + row["n"] >= n:
+                break
+            newer += row["n"]
+        low, high, inside = row["low"], row["high"], row["n"]
+    for row in df.where(axis.between(low, high)).groupBy(key).count().orderBy(F.desc(key)).collect():
+        if newer + row["count"] >= n:
+            return row[key], newer
+        newer += row["count"]
+    raise RuntimeError("the table changed while it was counted")
+
+
 def newest_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     """The newest ``n`` rows by ``key``, exactly ``n`` where there are so many; NULL keys are oldest.
 
-    Only the key is numbered, in its own type and over range partitions. The n-th key then cuts
-    the table by a filter, and of the rows tied with it as many stay as are missing.
+    Whole numbers, dates and timestamps are counted by range, other keys numbered over range
+    partitions. The n-th key then cuts the table by a filter in its own type, and of the rows tied with it
+    as many stay as are missing.
     """
     if n <= 0:
         return df.limit(0)
-    at = ordered_index(df.select(key), [F.desc(key)], output="__newest").where(F.col("__newest") == n - 1).first()
-    if at is None:
-        return df
-    value = at[key]
+    axis = _axis(df, key)
+    if axis is None:
+        at = ordered_index(df.select(key), [F.desc(key)], output="__newest").where(F.col("__newest") == n - 1).first()
+        if at is None:
+            return df
+        value, newer_rows = at[key], None
+    else:
+        whole = df.agg(F.count("*").alias("rows"), F.count(key).alias("present"), F.min(axis).alias("low"), F.max(axis).alias("high")).first()
+        if whole["rows"] <= n:
+            return df
+        value, newer_rows = (None, whole["present"]) if whole["present"] < n else _ranged_key(df, key, n, axis, whole)
     if value is None:
         newer, ties = df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
     else:
         bound = F.lit(value).cast(df.schema[key].dataType)
         newer, ties = df.where(F.col(key) > bound), df.where(F.col(key) == bound)
-    missing = n - newer.count()
+    missing = n - (newer.count() if newer_rows is None else newer_rows)
     tied = ties.orderBy(F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]))
     return newer.unionByName(tied.limit(missing))
 
