@@ -40,3 +40,33 @@ def test_links_match_all_pairs(spark, tile):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert V.near_duplicates(df).count() == 0
+
+
+def test_every_length_is_joined_and_lengths_do_not_meet(spark):
+    rng = np.random.default_rng(3)
+    data = []
+    for dims in (1, 2, 3, 8, 13):
+        for _ in range(6):
+            v = rng.normal(size=dims)
+            data += [v, v * 2 + rng.normal(size=dims) * 0.05, v * 0.5]
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    got = {r.vec_id: r.n_links for r in V.near_duplicates(spark.createDataFrame(data, "vec_id bigint, embedding array<double>")).collect()}
+
+    def linked(u, v):
+        return len(u) == len(v) and np.dot(u, v) / np.sqrt(np.dot(u, u)) / np.sqrt(np.dot(v, v)) >= 0.95
+
+    assert got == {i: sum(linked(u, v) for j, v in data if j != i) for i, u in data}
+
+
+def test_sure_links_travel_as_a_forest():
+    rng = np.random.default_rng(5)
+    left, right = rng.integers(0, 40, 300), rng.integers(0, 40, 300)
+    n = rng.integers(1, 5, 80)
+    n[40:] = n[:40]
+    forest = V._Forest(np.tile(np.arange(40) * 3, 2), n)
+    for i in range(0, 300, 50):
+        forest.add(left[i : i + 50], right[i : i + 50] + 40)
+    edges = np.concatenate(forest.edges, axis=1)
+    assert edges.shape[1] == 40 - len(set(forest.top.tolist()))
+    want = np.bincount(left, n[right], 40) + np.bincount(right, n[left], 40)
+    assert forest.weight.tolist() == want.tolist()
