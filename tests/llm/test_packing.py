@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -73,5 +75,29 @@ def test_scores_count_every_term_of_the_seed():
     assert index.scores(0)[1] > index.scores(0)[2:].max()
 
 
+def test_batches_encode_as_single_texts_do(texts):
+    encoder = K.WordEncoder(*PATHS)
+    awkward = ["", " ", "a", " a", "a ", "\na b", "a b\n", "a\u3000b", "a \u3000b", "a\u200bb c", "x" * 3000 + " y", "", "a b\x1cc"]
+    rows = awkward + [t or "" for _, t in texts] + awkward
+    got = encoder.encode_batch(K.pa.array(rows, K.pa.string()))
+    assert got == [encoder._plain(t) if "<|endoftext|>" not in t else encoder.encode(t) for t in rows]
+
+
+def test_many_short_texts_are_ordered_in_linear_time():
+    rng = np.random.default_rng(11)
+    idf = np.ones(1 << 16, np.float32)
+    for docs in (list(rng.integers(1, 60_000, (60_000, 2)).astype(np.uint16)), [np.zeros(1, np.uint16)] * 60_000):
+        began = time.process_time()
+        assert sorted(K.order_of(docs, idf, 1024)) == list(range(60_000))
+        assert time.process_time() - began < 20
+
+
+def test_repeated_rows_fill_more_than_one_shard(spark):
+    df = spark.createDataFrame([(None, None)] * 50 + [(7, "same words")] * 50, "doc_id bigint, text string")
+    rows = K.pack(df, *PATHS, shard_docs=10).collect()
+    assert sum(r.length for r in rows) == 50 + sum(r.length for r in rows if r.doc_id == 7)
+    assert len({r.sequence_id >> 33 for r in rows}) > 5
+
+
 def test_empty_table(empty):
     assert K.pack(empty, *PATHS).count() == 0

@@ -11,28 +11,37 @@ from __future__ import annotations
 import base64
 import json
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import group_starts, map_arrow, mix64, ranges
+from tidemark.llm.common import group_starts, mix64, ranges
 from tidemark.llm.registry import query, table
 from tidemark.session import materialise
 
 WINDOW = 1024
 SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
-_CACHE_WORDS = 300_000
-_DOUBLE_SPACE = re.compile(r"\s\s|[\x1c-\x1f\x85]")
+#: A shard of very short texts is bounded by its documents.
+SHARD_DOCS = 65_536
+#: Up to here the scores of all pairs of a shard's documents are held (16 MB); beyond, those of one seed.
+_PRODUCT_DOCS = 2048
+#: Texts whose distinct words are encoded together.
+ENCODE_BYTES = 16 << 20
+#: Words of a batch that are laid out at once.
+_WORDS_AT_ONCE = 1_000_000
+#: Two neighbouring characters of white space, or one that the tokenizer may not see as white space.
+_UNSAFE = r"[\pZ\t\n\v\f\r\x1c-\x1f\x{85}]{2}|[\x1c-\x1f\x{85}]"
+_EDGE = r"^$|^[\pZ\t\n\v\f\r]|[\pZ\t\n\v\f\r]$"
 
 
 class WordEncoder:
-    """Byte-level BPE by words: a word with the space before it is encoded once and kept.
+    """Byte-level BPE by words: each distinct word of a batch is encoded once, with the space before it.
 
     Between two characters that are not white space, a single space always begins a
     pre-token, so a text without neighbouring white space splits there. Other texts
@@ -47,8 +56,9 @@ class WordEncoder:
         self._json_path, self._whole = json_path, None
         with open(json_path, encoding="utf-8") as file:
             self._special = [t["content"] for t in json.load(file)["added_tokens"]]
-        self._words: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        #: whether a token begins with a space
+        self._opens = np.zeros(max(ranks.values()) + 1, bool)
+        self._opens[[rank for token, rank in ranks.items() if token[:1] == b" "]] = True
 
     def _file(self, text: str) -> list[int]:
         """Ids by the tokenizer file itself, which takes much memory and is read only when it is needed."""
@@ -61,25 +71,63 @@ class WordEncoder:
     def _plain(self, text: str) -> bytes:
         return np.array(self._encoding.encode_ordinary(text), "<u2").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        found = self._old.get(word)
-        if found is None:
-            found = self._plain(" " + word)
-        if len(word) <= 64:
-            if len(self._words) >= _CACHE_WORDS:
-                self._old, self._words = self._words, {}
-            self._words[word] = found
-        return found
+    def _encode_each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._encoding.encode_ordinary(w) for w in words]
+        return np.array([i for ids in found for i in ids], "<u2"), np.array([len(ids) for ids in found], np.int64)
+
+    def _after_space(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words after a space, end to end, and how many each has. All are one text, which no token crosses at a space."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        ids = self._encoding.encode_to_numpy(" " + joined, disallowed_special=())
+        starts = np.flatnonzero(self._opens[ids])
+        if len(starts) == len(words):
+            return ids.astype("<u2"), np.diff(np.append(starts, len(ids)))
+        return self._encode_each([" " + w for w in words.to_pylist()])
+
+    def _by_words(self, texts: pa.Array) -> list[bytes]:
+        parts = pc.split_pattern(texts, " ")
+        values, offsets = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        coded = values.dictionary_encode()
+        edge = pc.match_substring_regex(coded.dictionary, _EDGE)
+        inner, outer = coded.dictionary.filter(pc.invert(edge)), coded.dictionary.filter(edge)
+        # words with white space at an edge are encoded alone; the first of a text has no space before it
+        alone = [" " + w for w in outer.to_pylist()] + values.take(pa.array(offsets[:-1])).to_pylist()
+        made = [self._after_space(inner), self._encode_each(alone)] if len(inner) else [self._encode_each(alone)]
+        pool, size = (np.concatenate(c) for c in zip(*made))
+        begin = np.cumsum(size) - size
+        edge = edge.to_numpy(zero_copy_only=False)
+        place = np.where(edge, len(inner) + np.cumsum(edge) - 1, np.cumsum(~edge) - 1)
+        code = place[coded.indices.to_numpy()]
+        code[offsets[:-1]] = len(edge) + np.arange(len(texts))
+        out, at = [], 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _WORDS_AT_ONCE, "right")) - 1)
+            here = code[offsets[at] : offsets[end]]
+            tokens = pool[ranges(begin[here], size[here])].tobytes()
+            ends = np.append(0, np.cumsum(size[here]))[offsets[at : end + 1] - offsets[at]] * 2
+            out += [tokens[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            at = end
+        return out
+
+    def encode_batch(self, texts: pa.Array) -> list[bytes]:
+        """Token ids of every text as little-endian 16-bit integers."""
+        special = np.zeros(len(texts), bool)
+        for mark in self._special:
+            special |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        unsafe = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for at in np.flatnonzero(special).tolist():
+            out[at] = np.array(self._file(texts[at].as_py()), "<u2").tobytes()
+        for at in np.flatnonzero(unsafe & ~special).tolist():
+            out[at] = self._plain(texts[at].as_py())
+        rest = np.flatnonzero(~unsafe & ~special)
+        if len(rest):
+            for at, tokens in zip(rest.tolist(), self._by_words(texts.take(pa.array(rest)))):
+                out[at] = tokens
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Token ids as little-endian 16-bit integers."""
-        if any(mark in text for mark in self._special):
-            return np.array(self._file(text), "<u2").tobytes()
-        if _DOUBLE_SPACE.search(text):
-            return self._plain(text)
-        first, *rest = text.split(" ")
-        get, make = self._words.get, self._word
-        return self._plain(first) + b"".join([get(w) or make(w) for w in rest])
+        return self.encode_batch(pa.array([text], pa.string()))[0]
 
 
 _encoders: dict[tuple, WordEncoder] = {}
@@ -103,14 +151,25 @@ def tokenised(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, id
     """``doc_id, near, tokens``: ids and the closing id 0 as 16-bit integers, and the key that draws relatives together."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = _encoder(json_path, ranks_path, pattern)
-        tokens = [encoder.encode(text) + b"\0\0" for text in batch.column(1).to_pylist()]
+    def encoded(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        tokens = [t + b"\0\0" for t in _encoder(json_path, ranks_path, pattern).encode_batch(texts)]
         near = [_min_hash(np.frombuffer(t, "<u2")) for t in tokens]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "near", "tokens"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(near, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "near", "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if size and size + batch.nbytes > ENCODE_BYTES:
+                yield encoded(*pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns)
+                held, size = [], 0
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+        if held:
+            yield encoded(*pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns)
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return map_arrow(chosen, f"doc_id {id_type}, near bigint, tokens binary", work)
+    return chosen.mapInArrow(run, f"doc_id {id_type}, near bigint, tokens binary")
 
 
 def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,9 +183,14 @@ def document_frequencies(tokens: DataFrame, vocabulary: int = 1 << 16) -> np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
+        last = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                total[_distinct(np.frombuffer(blob, "<u2"))[0]] += 1
+                ids = np.frombuffer(blob, "<u2")
+                place = np.arange(len(ids))
+                last[ids] = place
+                # each id counts where it stands last
+                total[ids[last[ids] == place]] += 1
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], ["id", "n"])
 
@@ -163,6 +227,13 @@ class Index:
         self.rows = np.zeros((len(common), self.size), np.float32)
         at = ranges(self.start[common], length[common])
         self.rows[np.repeat(np.arange(len(common)), length[common]), self.owner[at]] = self.weight[at]
+        # few and long documents nearly all open a window: their common terms are summed by one product
+        self.summed = None
+        if self.size <= _PRODUCT_DOCS:
+            held = np.zeros((self.size, len(common)), np.float32)
+            at = self.row[term]
+            held[owner[at >= 0], at[at >= 0]] = 1
+            self.summed = held @ self.rows
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard for all distinct terms of the seed."""
@@ -172,6 +243,8 @@ class Index:
         at = ranges(self.start[rare], self.start[rare + 1] - self.start[rare])
         out = np.zeros(self.size)
         out += np.bincount(self.owner[at], self.weight[at], self.size)
+        if self.summed is not None:
+            return out + self.summed[seed]
         for i in row[row >= 0].tolist():
             out += self.rows[i]
         return out
@@ -181,13 +254,14 @@ def order_of(docs: list[np.ndarray], idf: np.ndarray, window: int) -> list[int]:
     """The order in which a shard's documents are laid end to end."""
     index = Index(docs, idf)
     free = np.ones(len(docs), bool)
-    order, filled, next_free, scores = [], 0, 0, None
+    # the seed's neighbours, best first; those that were laid down since are passed over
+    order, filled, next_free, near = [], 0, 0, None
     for _ in docs:
         chosen = -1
-        if scores is not None:
-            best = int(scores.argmax())
-            if scores[best] > 0:
-                chosen = best
+        for i in near or ():
+            if free[i]:
+                chosen = i
+                break
         if chosen < 0:
             while not free[next_free]:
                 next_free += 1
@@ -195,15 +269,16 @@ def order_of(docs: list[np.ndarray], idf: np.ndarray, window: int) -> list[int]:
         free[chosen] = False
         order.append(chosen)
         over = filled + len(docs[chosen])
-        if scores is None or over >= window:
+        if near is None or over >= window:
             # the document opens a window: alone, or with what did not fit the last one
             filled = over % window
-            scores = index.scores(chosen) if filled else None
-            if scores is not None:
-                scores[~free] = 0
+            near = None
+            if filled:
+                scores = index.scores(chosen)
+                held = np.flatnonzero((scores > 0) & free)
+                near = iter(held[np.argsort(-scores[held], kind="stable")].tolist())
         else:
             filled = over
-            scores[chosen] = 0
     return order
 
 
@@ -234,20 +309,22 @@ def _pack(shard: int, ids: pa.Array, docs: list[np.ndarray], idf: np.ndarray, wi
     ], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, shard_docs: int = SHARD_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents, laid into sequences of at most `window` tokens without padding.
 
     ``doc_id, start, length, ids`` (little-endian unsigned 32-bit), ``doc_tokens, sequence_id, offset``.
     A NULL or empty text is its closing id alone; repeated rows are packed as often as they come; a NULL id
-    stays NULL; an empty table has no pieces. Shards hold about `shard_tokens`, one document at least.
+    stays NULL; an empty table has no pieces. Shards hold about `shard_tokens` or `shard_docs`, whichever is less,
+    one document at least; rows that repeat are dealt by their number, so that no shard must hold all of them.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    tokens = materialise(tokenised(docs, json_path, ranks_path, pattern, id_col, text_col), "tokens")
+    tokens = tokenised(docs, json_path, ranks_path, pattern, id_col, text_col)
+    tokens = materialise(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
     total = tokens.agg(F.sum(F.octet_length("tokens") / 2).alias("n"), F.count("*").alias("rows")).first()
     found = document_frequencies(tokens) if total.rows else np.zeros(1 << 16)
     idf = np.log(1 + (total.rows - found + 0.5) / (found + 0.5)).astype(np.float32)
     idf[0] = 0
-    shards = max(1, math.ceil((total.n or 0) / shard_tokens))
+    shards = max(1, math.ceil((total.n or 0) / shard_tokens), math.ceil(total.rows / shard_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -258,7 +335,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, window:
             texts = [np.frombuffer(t, "<u2") for t in part.column("tokens").to_pylist()]
             yield _pack(TaskContext.get().partitionId(), part.column("doc_id").combine_chunks(), texts, idf, window)
 
-    dealt = tokens.repartitionByRange(shards, "near", "doc_id").sortWithinPartitions("near", "doc_id", "tokens")
+    dealt = tokens.repartitionByRange(shards, "near", "doc_id", "row").sortWithinPartitions("near", "doc_id", "tokens")
     return dealt.mapInArrow(run, f"doc_id {id_type}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
