@@ -32,7 +32,7 @@ SHARD_DOCS = 65_536
 #: Up to here the scores of all pairs of a shard's documents are held (16 MB); beyond, those of one seed.
 _PRODUCT_DOCS = 2048
 #: Texts whose distinct words are encoded together.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 8 << 20
 #: Words of a batch that are laid out at once.
 _WORDS_AT_ONCE = 1_000_000
 #: Two neighbouring characters of white space, or one that the tokenizer may not see as white space.
@@ -219,9 +219,9 @@ class Index:
         self.weight = (idf[term] * count * (K1 + 1) / (count + norm[owner]))[order].astype(np.float32)
         self.start = np.searchsorted(term[order], np.arange((1 << 16) + 1))
         self.size = len(docs)
-        # terms that a quarter of the documents hold are rows of their own: at most four cells a posting
+        # terms that an eighth of the documents hold are rows of their own: at most eight cells a posting
         length = np.diff(self.start)
-        common = np.flatnonzero(4 * length > self.size)
+        common = np.flatnonzero(8 * length > self.size)
         self.row = np.full(1 << 16, -1)
         self.row[common] = np.arange(len(common))
         self.rows = np.zeros((len(common), self.size), np.float32)
@@ -250,6 +250,16 @@ class Index:
         return out
 
 
+def _best_first(places: np.ndarray, scores: np.ndarray, few: int = 32) -> Iterator[int]:
+    """Places by falling score; all but the best few are sorted only when they are asked for."""
+    if len(places) > 2 * few:
+        split = np.argpartition(-scores, few)
+        best, rest = split[:few], np.sort(split[few:])
+        yield from places[best[np.lexsort((best, -scores[best]))]].tolist()
+        places, scores = places[rest], scores[rest]
+    yield from places[np.argsort(-scores, kind="stable")].tolist()
+
+
 def order_of(docs: list[np.ndarray], idf: np.ndarray, window: int) -> list[int]:
     """The order in which a shard's documents are laid end to end."""
     index = Index(docs, idf)
@@ -276,7 +286,7 @@ def order_of(docs: list[np.ndarray], idf: np.ndarray, window: int) -> list[int]:
             if filled:
                 scores = index.scores(chosen)
                 held = np.flatnonzero((scores > 0) & free)
-                near = iter(held[np.argsort(-scores[held], kind="stable")].tolist())
+                near = _best_first(held, scores[held])
         else:
             filled = over
     return order
