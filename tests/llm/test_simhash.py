@@ -75,9 +75,66 @@ def test_components_of_chains_and_hubs(spark):
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {" ".join(w)} - {""}
+
+
+def jaccard_components(rows):
+    """Smallest id of each row's component, all pairs compared."""
+    sets, group = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if group[i] != group[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for g, (doc, _) in zip(group, rows):
+        known = [x for x in (doc, least.get(g)) if x is not None]
+        least[g] = min(known, default=None)
+    return sorted(((doc, least[g]) for g, (doc, _) in zip(group, rows)), key=str)
+
+
+def drift(rng, words, n):
+    """Copies of a text with ever more words replaced."""
+    out = list(words)
+    for _ in range(n):
+        out[rng.randrange(len(out))] = f"w{rng.getrandbits(40)}"
+    return " ".join(out)
+
+
+def test_similar_documents_match_all_pairs(docs, texts, empty):
+    got = sorted((tuple(r) for r in S.similar_documents(docs).collect()), key=str)
+    assert got == jaccard_components(texts)
+    assert S.similar_documents(empty).count() == 0
+
+
+def test_recall_at_the_threshold_and_hot_shards(spark):
+    rng = random.Random(11)
+    rows, boiler = [], [f"b{i}" for i in range(60)]
+    for _ in range(150):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(rng.randint(60, 240))]
+        rows += [" ".join(words), drift(rng, words, max(1, len(words) // rng.randint(46, 80)))]
+    source = [f"w{rng.getrandbits(40)}" for _ in range(200)]
+    rows += [drift(rng, source, rng.randint(1, 4)) for _ in range(150)]
+    rows += [" ".join(boiler + [f"w{rng.getrandbits(40)}" for _ in range(120)]) for _ in range(120)]
+    rows = list(enumerate(rows))
+    sets = [shingles(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    pairs = [(i, j) for i, j in links if i < 300]
+    assert len(pairs) > 60 and len(links) > 1000
+    want = dict(jaccard_components(rows))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for limit in (512, 8):
+        got = {r.doc_id: r.component_id for r in S.similar_documents(df, shard_rows=limit).collect()}
+        assert all(want[d] == want[c] for d, c in got.items())
+        for some in (pairs, links):
+            assert sum(got[i] == got[j] for i, j in some) >= 0.9 * len(some)
+
+
 def test_stage_keeps_one_of_each(spark, docs, empty):
     out = S.stage(spark, docs, "")
-    groups = {r.component_id for r in S.near_duplicates(docs).collect()}
+    groups = {r.component_id for r in S.similar_documents(docs).collect()}
     # two texts share the id 3 and are each the first of their own component
     assert out.columns == docs.columns and out.count() == len(groups) + 1
     assert S.stage(spark, empty, "").count() == 0
