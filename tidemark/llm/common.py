@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,6 +56,14 @@ def sql_crc(codes: str) -> str:
     return f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda a, b: xor(a >> 8, steps[xor(a & 255, b) + 1])), 4294967295)"
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker idles, or serves the next stage, beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, schema: str | T.StructType, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """Apply a function of one Arrow batch to every batch of every partition."""
 
@@ -62,6 +71,7 @@ def map_arrow(df: DataFrame, schema: str | T.StructType, work: Callable[[pa.Reco
         for batch in batches:
             if batch.num_rows:
                 yield work(batch)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -194,6 +204,8 @@ def whole_groups(df: DataFrame, keys: list[str], schema: str | T.StructType, wor
             held, n_held = table.slice(cut).to_batches(), 0
         if held:
             yield from work(pa.Table.from_batches(held).combine_chunks())
+        del held
+        give_back()
 
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ THRESHOLD = 0.8
 #: those it brings anywhere matches, it is compared with all lines of its lists again.
 FIRST = 4
 #: Pairs of lists that are looked at together; a list with more of its own is walked in blocks.
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 1_000_000
 POSTINGS_PER_PART = 400_000
 _RARITY_BITS = 16
 #: Bits of the filter that keeps unconcerned documents out of the second shuffle of texts.

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import group_starts, mix64, ranges
+from tidemark.llm.common import give_back, group_starts, mix64, ranges
 from tidemark.llm.registry import query, table
 from tidemark.session import materialise
 
@@ -167,6 +167,8 @@ def tokenised(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, id
                 size += batch.nbytes
         if held:
             yield encoded(*pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns)
+        del held
+        give_back()
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return chosen.mapInArrow(run, f"doc_id {id_type}, near bigint, tokens binary")
@@ -208,16 +210,24 @@ class Index:
         for i, ids in enumerate(docs):
             term, count = _distinct(ids)
             terms.append(term)
-            counts.append(count)
+            counts.append(count.astype(np.float32))
             owners.append(np.full(len(term), i, np.int32))
         self.terms = terms
-        term, owner, count = np.concatenate(terms), np.concatenate(owners), np.concatenate(counts)
-        order = np.argsort(term, kind="stable")
+        term, owner, weight = np.concatenate(terms), np.concatenate(owners), np.concatenate(counts)
+        del owners, counts
         size = np.array([len(d) for d in docs], float)
-        norm = K1 * (1 - B + B * size / size.mean())
-        self.owner = owner[order]
-        self.weight = (idf[term] * count * (K1 + 1) / (count + norm[owner]))[order].astype(np.float32)
-        self.start = np.searchsorted(term[order], np.arange((1 << 16) + 1))
+        norm = (K1 * (1 - B + B * size / size.mean())).astype(np.float32)
+        # single precision and in place: a shard has millions of postings
+        below = norm[owner]
+        below += weight
+        weight *= np.float32(K1 + 1)
+        weight /= below
+        del below
+        weight *= idf[term]
+        order = np.argsort(term, kind="stable")
+        self.owner, self.weight = owner[order], weight[order]
+        del order, weight
+        self.start = np.append(0, np.cumsum(np.bincount(term, minlength=1 << 16)))
         self.size = len(docs)
         # terms that an eighth of the documents hold are rows of their own: at most eight cells a posting
         length = np.diff(self.start)
@@ -232,7 +242,9 @@ class Index:
         if self.size <= _PRODUCT_DOCS:
             held = np.zeros((self.size, len(common)), np.float32)
             at = self.row[term]
-            held[owner[at >= 0], at[at >= 0]] = 1
+            shared = at >= 0
+            held[owner[shared], at[shared]] = 1
+            del at, shared
             self.summed = held @ self.rows
 
     def scores(self, seed: int) -> np.ndarray:
@@ -343,7 +355,10 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, window:
         if held:
             part = pa.Table.from_batches(held)
             texts = [np.frombuffer(t, "<u2") for t in part.column("tokens").to_pylist()]
+            del held
             yield _pack(TaskContext.get().partitionId(), part.column("doc_id").combine_chunks(), texts, idf, window)
+            del part, texts
+            give_back()
 
     dealt = tokens.repartitionByRange(shards, "near", "doc_id", "row").sortWithinPartitions("near", "doc_id", "tokens")
     return dealt.mapInArrow(run, f"doc_id {id_type}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
