@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch_bytes, group_starts, keyed_documents, map_arrow, mix64, prefix_hashes, ranges, same_document, slice_hashes, whole_groups, words_of
 from tidemark.llm.registry import query, table
-from tidemark.session import materialise
+from tidemark.session import discard, materialise, materialise_at
 
 THRESHOLD = 0.8
 #: Of the pairs that pass the filters in one list, a line brings its first FIRST; if it has more and none of
@@ -322,15 +322,18 @@ def kept_lines(keyed: DataFrame, threshold: float = THRESHOLD, most: int = FIRST
     postings = classes.agg(F.sum(F.octet_length("prefix") / 4)).first()[0] or 0
     parts = max(1, math.ceil(postings / POSTINGS_PER_PART))
     blocks = _dealt(classes.filter(F.octet_length("prefix") > 0), parts)
-    found = materialise(whole_groups(blocks, ["part"], "kind int, a bigint, b bigint", lambda t: _candidates(t, threshold, most, at_once), rows=1), "candidates")
+    found, found_at = materialise_at(whole_groups(blocks, ["part"], "kind int, a bigint, b bigint", lambda t: _candidates(t, threshold, most, at_once), rows=1), "candidates")
     pairs = found.filter("kind = 0")
-    sets = materialise(_sets(keyed, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()), "sets")
+    sets, sets_at = materialise_at(_sets(keyed, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()), "sets")
     # most lines that match anything match the first line they are paired with
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     gone = materialise(_later(first, sets, threshold), "gone")
     rest = pairs.select("a", "b").distinct().join(gone, F.col("b") == gone["cid"], "left_anti")
     gone = materialise(gone.union(_later(rest, sets, threshold)), "gone")
+    discard(keyed.sparkSession, sets_at)
     alone = materialise(found.filter("kind = 1").select(F.col("a").alias("cid")).distinct().join(gone, "cid", "left_anti"), "alone")
+    # what follows reads written tables alone, so a lost executor needs neither folder again
+    discard(keyed.sparkSession, found_at)
     if not alone.isEmpty():
         more = materialise(_second_look(classes, alone, threshold), "more")
         sets = _sets(keyed, classes, more.select(F.col("a").alias("cid")).union(more.select("b")).distinct())
