@@ -153,3 +153,27 @@ def test_deep_boosted_trees_add_up(spark, rows):
     explained = trees.attributions(model.tables(), model.append(df, "score"), [0, 1, 2, 3], ["id", "score"])
     assert XP.additivity(explained, "score").first()["max_error"] < 1e-9
     assert explained.where(F.abs(F.col("score") - F.col("probability")) > 1e-12).count() == 0
+
+
+def test_equal_rows_are_stored_once_and_drawn_one_by_one(spark):
+    n = 3_000
+    frame = pd.DataFrame({"id": range(n), "label": [i % 7 == 0 for i in range(n)], "inputs": [[float(i % 5), float(i % 3)] for i in range(n)]})
+    df = spark.createDataFrame(frame, "id long, label boolean, inputs array<double>").select("id", F.col("label").cast("int").alias("label"), F.lit(1.0).alias("weight"), "inputs")
+    growth = B.Growth.start(df, SETTINGS.override(row_share=0.7))
+    stored = growth.rows.agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum("d3").alias("drawn")).first()
+    rid = df.select(F.xxhash64("id")).toPandas().to_numpy()[:, 0].view(np.uint64)
+    salt = np.random.default_rng([SETTINGS.seed, 3]).integers(0, 1 << 63, dtype=np.uint64)
+    assert stored["n"] == n and stored["rows"] <= 60
+    assert stored["drawn"] == (B._mix(rid ^ salt).astype(float) < 0.7 * 2.0**64).sum()
+    growth.close()
+
+
+def test_trees_by_cells_equal_leaf_by_leaf(spark, rows):
+    df, frame = rows
+    tables = B.Growth.start(df, SETTINGS).grow(4).model.tables()
+    x, owner = np.array(frame["inputs"].tolist()), np.array([0, 1, 2, 0])
+    known = trees.cells(tables, x.shape[1], owner)
+    assert all(c is not None for c in known)
+    x[0, 0] = known[0].cuts[0][0]
+    for one, other in zip(trees.evaluate(tables, x, owner, known), trees.evaluate(tables, x, owner)):
+        assert np.abs(one - other).max() < 1e-12
