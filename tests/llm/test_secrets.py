@@ -78,3 +78,15 @@ def test_stage_redacts_and_keeps_the_rest(spark, docs, empty):
     assert out.filter("doc_id = 112").first().text == "[secret] end".replace("[secret]", '[secret]"', 1)
     assert out.filter("doc_id = 100").first().text is None
     assert S.train(empty) is None and S.stage(spark, empty, "").count() == 0
+
+
+def test_every_labelled_candidate_is_fitted_on(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    rows = [(i, f'token = "{draw("0123456789abcdef", 40)}" and {draw("abcdefghilmnoprstu", 20)} end') for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(S, "HELD_WINDOWS", 10)
+    counts = {r["label"]: r["count"] for r in S.labelled(docs).groupBy("label").count().collect()}
+    assert counts == {0: 90, 1: 90}
+    net, again = S.train(docs, rows=30), S.train(docs.repartition(4), rows=30)
+    assert np.array_equal(net.flat(), again.flat()) and net.threshold == again.threshold and net.recall >= 0.98
