@@ -132,6 +132,35 @@ def test_recall_at_the_threshold_and_hot_shards(spark):
             assert sum(got[i] == got[j] for i, j in some) >= 0.9 * len(some)
 
 
+def test_no_link_is_missed_whatever_the_trees_find(spark):
+    rng = random.Random(23)
+    rows = []
+    for _ in range(120):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(rng.randint(4, 150))]
+        rows += [" ".join(words), drift(rng, words, max(1, len(words) // rng.randint(40, 70))), " ".join(words + words[-1:])]
+    rows += [" ".join([f"b{i}" for i in range(80)] + [f"w{rng.getrandbits(40)}" for _ in range(rng.randint(1, 12))]) for _ in range(60)]
+    rows += ["one two", "One  two", "a a a a a", "a a a a a a a", "", None]
+    rows = list(enumerate(rows))
+    want = jaccard_components(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    # a radius of zero leaves nearly all links to the exact search, shards of 8 cut the large groups
+    for radius, limit in ((0, 512), (16, 8)):
+        got = S.similar_documents(df, radius=radius, shard_rows=limit)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == want
+
+
+def test_long_lists_are_walked_in_blocks(spark):
+    rng = random.Random(3)
+    bases = [[v << 26 for v in rng.sample(range(40), 12)] for _ in range(8)]
+    sets = [sorted(rng.sample(rng.choice(bases), rng.randint(9, 12))) for _ in range(200)]
+    df = spark.createDataFrame([(i, S.np.array(s, S.np.uint32).tobytes()) for i, s in enumerate(sets)], "cid bigint, bag binary")
+    placed = spark.createDataFrame([(i, i // 2) for i in range(200)], "cid bigint, top bigint")
+    want = {(i, j) for j in range(200) for i in range(j) if i // 2 != j // 2 and 5 * len({*sets[i]} & {*sets[j]}) >= 4 * len({*sets[i]} | {*sets[j]})}
+    for at_once, per_part in ((1_000_000, 400_000), (7, 50)):
+        got = S.missed_links(df, placed, at_once=at_once, per_part=per_part).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 20
+
+
 def test_stage_keeps_one_of_each(spark, docs, empty):
     out = S.stage(spark, docs, "")
     groups = {r.component_id for r in S.similar_documents(docs).collect()}

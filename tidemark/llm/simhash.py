@@ -8,12 +8,14 @@ where a shuffle brings the shard, rather than broadcast from the driver.
 
 The pipeline's stage asks for more than three bits can show: its trees are searched within a
 wide radius, in shards of texts that share a smallest shingle hash, and sets of shingles decide.
+What the trees leave apart meets once more, through the rarest shingles of each text, so no link is lost.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch_bytes, group_starts, map_arrow, mix64, whole_groups
+from tidemark.llm.common import batch_bytes, group_starts, map_arrow, mix64, ranges, whole_groups
 from tidemark.llm.graph import components
 from tidemark.llm.registry import query, table
-from tidemark.session import materialise
+from tidemark.session import discard, materialise, materialise_at
 
 RADIUS = 3
 #: Larger shards are dealt again by the blocks of their remaining bits.
@@ -33,6 +35,10 @@ SHARD_ROWS = 4096
 WIDE_RADIUS, SIMILAR = 16, (4, 5)
 #: Larger shards of that search are cut into parts; members of the sets found meet again, at most this many times in all.
 TREE_ROWS, LEVELS = 512, 4
+#: Postings of rare shingles to a part of the exact search, and pairs of them that are looked at together.
+POSTINGS_PER_PART, PAIRS_AT_ONCE = 400_000, 1_000_000
+#: Shingles are ordered from rare to common by a table of so many counts; any order is exact.
+_RARITY_BITS = 16
 _SALTS = mix64(np.arange(1, 3 * LEVELS + 1, dtype=np.uint64))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -239,7 +245,7 @@ def _bag_links(table_: pa.Table, radius: int, threshold: tuple[int, int]):
     """
     shards, parts = (table_.column(c).to_numpy() for c in ("shard", "part"))
     values, cut = table_.column("fp").to_numpy(), table_.column("cut").to_numpy(zero_copy_only=False)
-    names, packed = table_.column("digest"), table_.column("bag")
+    names, packed = table_.column("cid").to_numpy(), table_.column("bag")
     starts = np.append(group_starts(shards, parts), len(shards))
     out_shard, left, right = [], [], []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
@@ -262,54 +268,188 @@ def _bag_links(table_: pa.Table, radius: int, threshold: tuple[int, int]):
         for i in range(b - a):
             if top(i) != i or cut[a]:
                 out_shard.append(int(shards[a]))
-                left.append(names[a + i].as_py())
-                right.append(names[a + top(i)].as_py())
+                left.append(int(names[a + i]))
+                right.append(int(names[a + top(i)]))
     if left:
-        yield pa.RecordBatch.from_arrays([pa.array(out_shard, pa.int64()), pa.array(left), pa.array(right)], ["shard", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_shard, left, right)], ["shard", "a", "b"])
 
 
 def similar_links(classes: DataFrame, radius: int = WIDE_RADIUS, threshold: tuple[int, int] = SIMILAR, shard_rows: int = TREE_ROWS) -> DataFrame:
-    """``a, b``: digests whose sets reach `threshold`, a spanning forest per shard; `classes` holds one row per digest.
+    """``a, b``: classes (`cid`) whose sets reach `threshold`, a spanning forest per shard; `classes` holds one row per bag.
 
     A shard holds what shares one of three smallest scrambled hashes: two sets agree on one of them with their
     similarity s as its chance, so 1 - (1 - s)^3 of the pairs meet (0.992 at 0.8). A shard above `shard_rows` is cut
-    into parts by digest; each part is searched, and one member of each set found goes on to shards by the next three
-    hashes too. A pair in two parts is found there if the members that went on are similar, or through a third text.
+    into parts by class; each part is searched, and one member of each set found goes on to shards by the next three
+    hashes too. No pair below the threshold is named; those that did not meet are left to :func:`missed_links`.
     """
-    rows, found = classes.select("digest", "fp", "keys", F.lit(0).cast("bigint").alias("shard")), None
-    bags = classes.select("digest", "bag")
+    rows, found = classes.select("cid", "fp", "keys", F.lit(0).cast("bigint").alias("shard")), None
+    bags = classes.select("cid", "bag")
     for level in range(LEVELS):
         tags = F.array(*[F.struct(F.lit(t).alias("t"), F.col("keys")[t].alias("key")) for t in range(3 * level, 3 * level + 3)])
-        dealt = rows.withColumn("_k", F.explode(tags)).select("digest", "fp", F.xxhash64("shard", "_k.t", "_k.key").alias("shard"))
+        dealt = rows.withColumn("_k", F.explode(tags)).select("cid", "fp", F.xxhash64("shard", "_k.t", "_k.key").alias("shard"))
         sizes = dealt.groupBy("shard").count().filter("count > 1")
         parts = F.ceil(2 * F.col("count") / shard_rows).cast("bigint")
         met = dealt.join(sizes, "shard").withColumn("cut", F.col("count") > shard_rows)
-        met = met.withColumn("part", F.when(F.col("cut"), F.pmod(F.xxhash64("digest"), parts)).otherwise(0)).drop("count")
+        met = met.withColumn("part", F.when(F.col("cut"), F.pmod(F.xxhash64("cid"), parts)).otherwise(0)).drop("count")
         work = functools.partial(_bag_links, radius=radius, threshold=threshold)
-        pairs = materialise(whole_groups(met.join(bags, "digest"), ["shard", "part"], "shard bigint, a string, b string", work, rows=2000), "similar")
+        pairs = materialise(whole_groups(met.join(bags, "cid"), ["shard", "part"], "shard bigint, a bigint, b bigint", work, rows=2000), "similar")
         found = pairs.select("a", "b") if found is None else found.union(pairs.select("a", "b"))
-        ahead = pairs.filter("a = b").select("shard", F.col("a").alias("digest"))
+        ahead = pairs.filter("a = b").select("shard", F.col("a").alias("cid"))
         if level + 1 == LEVELS or ahead.isEmpty():
             break
-        rows = ahead.join(classes.select("digest", "fp", "keys"), "digest")
+        rows = ahead.join(classes.select("cid", "fp", "keys"), "cid")
     return found.filter("a <> b")
 
 
+def _rarity(classes: DataFrame) -> np.ndarray:
+    """Rank of each bucket of shingles by the number of sets that hold them, rarest first; 65,536 ranks at any size."""
+    size, shift = 1 << _RARITY_BITS, np.uint32(32 - _RARITY_BITS)
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            data, _ = batch_bytes(batch.column(0))
+            total += np.bincount(np.frombuffer(data.tobytes(), np.uint32) >> shift, minlength=size)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["bucket", "n"])
+
+    counts = classes.select("bag").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(size, np.int64)
+    total[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    ranks = np.zeros(size, np.uint64)
+    ranks[np.argsort(total, kind="stable")] = np.arange(size, dtype=np.uint64)
+    return ranks
+
+
+_SET = np.dtype([("cid", "<i8"), ("top", "<i8"), ("size", "<u4")])
+_POSTING = np.dtype([("word", "<u4"), ("place", "<u4"), ("set", "<u2")])
+
+
+def _prefixes(sets: DataFrame, ranks: np.ndarray, threshold: tuple[int, int], parts: int) -> DataFrame:
+    """``part, sets, postings``: per batch and part, the rarest shingles of each set, and the sets they are of.
+
+    Two sets that reach the threshold share one of the size - ceil(threshold * size) + 1 rarest of both.
+    """
+    over, under = threshold
+    shift = np.uint32(32 - _RARITY_BITS)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = batch_bytes(batch.column(2))
+        words, size = np.frombuffer(data.tobytes(), np.uint32), np.diff(offsets) // 4
+        owner = np.repeat(np.arange(len(size)), size)
+        words = words[np.lexsort((ranks[words >> shift] << np.uint64(32) | words, owner))]
+        take = np.where(size > 0, size - -(-over * size // under) + 1, 0)
+        posts = np.empty(int(take.sum()), _POSTING)
+        posts["word"] = words[ranges(offsets[:-1] // 4, take)]
+        posts["place"] = ranges(np.zeros(len(take), np.int64), take)
+        owner = np.repeat(np.arange(len(size)), take)
+        part = (mix64(posts["word"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        posts, part, owner = posts[order], part[order], owner[order]
+        known = np.empty(len(size), _SET)
+        known["cid"], known["top"], known["size"] = batch.column(0).to_numpy(), batch.column(1).to_numpy(), size
+        starts, blocks = group_starts(part), []
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(posts)).tolist()):
+            # a batch has at most 1,000 rows where the session is settled, and two bytes hold any of its own
+            of, posts["set"][a:b] = np.unique(owner[a:b], return_inverse=True)
+            blocks.append((known[of].tobytes(), posts[a:b].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(part[starts]), *[pa.array([x[i] for x in blocks], pa.binary()) for i in (0, 1)]], ["part", "sets", "postings"])
+
+    def small(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 16):
+                yield work(batch.slice(at, 1 << 16))
+
+    return sets.select("cid", "top", "bag").mapInArrow(small, "part bigint, sets binary, postings binary")
+
+
+def _apart(table_: pa.Table, threshold: tuple[int, int], at_once: int):
+    """Pairs of sets that share a rare shingle, lie in different components and may reach the threshold by size and place."""
+    over, under = threshold
+    key = table_.column("part").to_numpy()
+    bounds = np.append(group_starts(key), len(key))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        sets = [np.frombuffer(x, _SET) for x in table_.column("sets").slice(a, b - a).to_pylist()]
+        posts = [np.frombuffer(x, _POSTING) for x in table_.column("postings").slice(a, b - a).to_pylist()]
+        base = np.cumsum([0, *map(len, sets)])[:-1]
+        of = np.concatenate([p["set"].astype(np.int64) + low for p, low in zip(posts, base)])
+        sets, posts = np.concatenate(sets), np.concatenate(posts)
+        # a word's sets by size: the partners of a set stand behind it, up to the largest size that can still match
+        order = np.lexsort((sets["size"][of], posts["word"]))
+        of, word, place = of[order], posts["word"][order].astype(np.int64), posts["place"][order].astype(np.int64)
+        cid, top, size = sets["cid"][of], sets["top"][of], sets["size"][of].astype(np.int64)
+        wide = word << 31
+        reach = np.searchsorted(wide | size, wide | (under * size // over), "right") - np.arange(len(of)) - 1
+        before = np.append(0, np.cumsum(reach))
+        low = 0
+        while low < len(of):
+            high = max(low + 1, int(np.searchsorted(before, before[low] + at_once, "right")) - 1)
+            i = np.repeat(np.arange(low, high), reach[low:high])
+            j = ranges(np.arange(low, high) + 1, reach[low:high])
+            low = high
+            i, j = (x[top[i] != top[j]] for x in (i, j))
+            needed = -(-over * (size[i] + size[j]) // (over + under))
+            ok = np.minimum(size[i] - place[i], size[j] - place[j]) >= needed
+            x, y = np.minimum(cid[i[ok]], cid[j[ok]]), np.maximum(cid[i[ok]], cid[j[ok]])
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            if len(x):
+                once = group_starts(x, y)
+                yield pa.RecordBatch.from_arrays([pa.array(x[once]), pa.array(y[once])], ["a", "b"])
+
+
+def missed_links(classes: DataFrame, placed: DataFrame, threshold: tuple[int, int] = SIMILAR, at_once: int = PAIRS_AT_ONCE, per_part: int = POSTINGS_PER_PART) -> DataFrame:
+    """``a, b``: every pair of classes that reaches `threshold` and has different ``top`` in `placed` (``cid, top``).
+
+    An exact search: each set is posted under its rarest shingles, sets of one shingle are paired, and the whole sets decide.
+    Components that are known already bring no pairs of their own, so a large group of near copies is not expanded.
+    """
+    over, under = threshold
+    sets = classes.join(placed, "cid").select("cid", "top", "bag")
+    size = F.octet_length("bag") / 4
+    postings = classes.agg(F.sum(size - F.ceil(size * over / under) + 1)).first()[0] or 0
+    parts = max(1, math.ceil(postings / per_part))
+    dealt = _prefixes(sets, _rarity(classes), threshold, parts)
+    pairs = materialise(whole_groups(dealt, ["part"], "a bigint, b bigint", lambda t: _apart(t, threshold, at_once), rows=1).distinct(), "apart")
+    side = lambda name: classes.select(F.col("cid").alias(name), F.col("bag").alias(f"{name}_bag"))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+        keep = [similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), threshold) for x, y in both]
+        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_bag", "b_bag"), "a bigint, b bigint", work)
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = SIMILAR, radius: int = WIDE_RADIUS,
                       shard_rows: int = TREE_ROWS) -> DataFrame:
     """``doc_id, component_id`` for every row: documents linked by the Jaccard similarity of their shingles.
 
     Trees of fingerprints propose neighbours within a wide radius and the sets decide, so no pair below the threshold
-    is linked. Equal bags of shingles are one class; texts without a word are one class. A NULL id counts only where a
+    is linked; an exact search then looks for the links between what the trees left apart, so none at or above it is
+    missed. Equal bags of shingles are one class; texts without a word are one class. A NULL id counts only where a
     component has no other. No rows, no result.
     """
-    marks = materialise(sketches(docs, id_col, text_col, shingle), "sketches")
-    classes = materialise(marks.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bag").alias("bag")), "classes")
-    roots = components(similar_links(classes, radius, threshold, shard_rows)).withColumnsRenamed({"node": "digest", "root": "top"})
-    placed = materialise(classes.select("digest", "least").join(roots, "digest", "left").withColumn("top", F.coalesce("top", "digest")), "placed")
-    least = placed.groupBy("top").agg(F.min("least").alias("component_id"))
-    named = placed.select("digest", "top").join(least, "top").select("digest", "component_id")
-    return marks.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
+    spark = docs.sparkSession
+    marks, marks_at = materialise_at(sketches(docs, id_col, text_col, shingle), "sketches")
+    grouped = marks.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bag").alias("bag"))
+    classes = materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    members = materialise(marks.select("doc_id", "digest"), "members")
+    discard(spark, marks_at)
+    linked = materialise(similar_links(classes, radius, threshold, shard_rows), "linked")
+    placed = materialise(_placed(classes.select("cid"), linked), "placed")
+    # the components found are one edge per class here; the links missed join them
+    every = placed.select(F.col("cid").alias("a"), F.col("top").alias("b")).union(missed_links(classes, placed, threshold))
+    top = materialise(_placed(classes.select("cid", "digest", "least"), every), "placed")
+    least = top.groupBy("top").agg(F.min("least").alias("component_id"))
+    named = top.select("digest", "top").join(least, "top").select("digest", "component_id")
+    return members.join(named, "digest").select("doc_id", "component_id")
+
+
+def _placed(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`classes` with the smallest class of their component, ``top``."""
+    roots = components(edges).withColumnsRenamed({"node": "cid", "root": "top"})
+    return classes.join(roots, "cid", "left").withColumn("top", F.coalesce("top", "cid"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
