@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from tidemark.llm import lines as L
@@ -64,3 +65,18 @@ def test_stage_keeps_rows_and_columns(spark, docs, empty):
     assert rows == {(100, None), (102, " \n\t\r\n "), (103, "one")}
     assert out.filter("doc_id = 110").first().text.count("SAME LINE HERE") == 1
     assert L.stage(spark, empty, "").count() == 0 and L.repeated_lines(empty).count() == 0
+
+
+def test_short_words_lose_no_pair_and_rule_most_others_out(spark):
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64) << np.uint64(1))
+    pool[:60] = (pool[:60] & np.uint64((1 << 48) - 1)) | np.uint64(7 << 48)  # many words agree in their first two bytes
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in rng.integers(1, 40, 30)]
+    sets += [np.sort(np.append(s[1:], rng.choice(np.setdiff1d(pool, s)))) for s in sets] + [np.sort(pool[:20]), np.sort(pool[20:40])]
+    df = spark.createDataFrame([(i, 0, 0, 0, s.tobytes()) for i, s in enumerate(sets)], "cid bigint, doc_id int, _h int, line int, words binary").repartition(3)
+    every = [(i, j) for j in range(len(sets)) for i in range(j)]
+    match = {(i, j) for i, j in every if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9}
+    got = {(r.a, r.b) for r in L._plausible(spark.createDataFrame(every, "a bigint, b bigint"), df, 0.8).collect()}
+    assert match and match <= got and len(got) < len(every) / 10
+    # twenty words that agree in two bytes are told apart by the whole sets only
+    assert (60, 61) in got and (60, 61) not in match

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch_bytes, group_starts, keyed_documents, map_arrow, mix64, prefix_hashes, ranges, same_document, slice_hashes, whole_groups, words_of
 from tidemark.llm.registry import query, table
-from tidemark.session import discard, materialise, materialise_at
+from tidemark.session import discard, free_shuffles, materialise, materialise_at
 
 THRESHOLD = 0.8
 #: Of the pairs that pass the filters in one list, a line brings its first FIRST; if it has more and none of
@@ -280,6 +280,31 @@ def _sets(keyed: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(joined, f"cid bigint, doc_id {id_type}, _h bigint, line int, words binary", work)
 
 
+def _numbered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row, value and how often the value stood before in the row, as one number; and the values of each row."""
+    data, offsets = batch_bytes(column)
+    count = np.diff(offsets) // 2
+    key = np.repeat(np.arange(len(count)), count) << 32 | np.frombuffer(data.tobytes(), "<u2").astype(np.int64) << 16
+    starts = group_starts(key)
+    return key + np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key)))), count
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that two bytes of each word do not rule out; words that agree there count as shared, so no match is lost."""
+    brief = map_arrow(sets.select("cid", "words"), "cid bigint, brief binary", lambda batch: pa.RecordBatch.from_arrays(
+        [batch.column(0), pa.array([(np.frombuffer(x, np.uint64) >> np.uint64(48)).astype("<u2").tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["cid", "brief"]))
+    side = lambda name: brief.select(F.col("cid").alias(name), F.col("brief").alias(f"{name}_brief"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_brief", "b_brief")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        (x, nx), (y, ny) = _numbered(batch.column(2)), _numbered(batch.column(3))
+        both = x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x] if len(y) else x[:0]
+        shared = np.bincount(both >> 32, minlength=len(nx))
+        return batch.select([0, 1]).filter(pa.array(shared >= threshold * (nx + ny - shared) - 1e-9))
+
+    return map_arrow(joined, "a bigint, b bigint", work)
+
+
 def _later(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``cid`` of the later line of each pair whose sets reach the threshold."""
     side = lambda name: sets.select(
@@ -318,26 +343,38 @@ def _second_look(classes: DataFrame, lines: DataFrame, threshold: float) -> Data
 
 def kept_lines(keyed: DataFrame, threshold: float = THRESHOLD, most: int = FIRST, at_once: int = PAIRS_AT_ONCE) -> DataFrame:
     """``doc_id, _h, kept``: numbers of the lines with words that stay, in documents that keep any."""
+    spark = keyed.sparkSession
     classes = materialise(_classes(keyed, rarity_table(keyed), threshold), "classes")
+    free_shuffles(spark)
     postings = classes.agg(F.sum(F.octet_length("prefix") / 4)).first()[0] or 0
     parts = max(1, math.ceil(postings / POSTINGS_PER_PART))
     blocks = _dealt(classes.filter(F.octet_length("prefix") > 0), parts)
     found, found_at = materialise_at(whole_groups(blocks, ["part"], "kind int, a bigint, b bigint", lambda t: _candidates(t, threshold, most, at_once), rows=1), "candidates")
+    free_shuffles(spark)
     pairs = found.filter("kind = 0")
     sets, sets_at = materialise_at(_sets(keyed, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()), "sets")
+    free_shuffles(spark)
     # most lines that match anything match the first line they are paired with
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     gone = materialise(_later(first, sets, threshold), "gone")
+    free_shuffles(spark)
     rest = pairs.select("a", "b").distinct().join(gone, F.col("b") == gone["cid"], "left_anti")
+    # most of the rest do not match: they are looked at in a quarter of the bytes before whole sets travel
+    rest = materialise(_plausible(rest, sets, threshold), "rest")
+    free_shuffles(spark)
     gone = materialise(gone.union(_later(rest, sets, threshold)), "gone")
-    discard(keyed.sparkSession, sets_at)
+    discard(spark, sets_at)
     alone = materialise(found.filter("kind = 1").select(F.col("a").alias("cid")).distinct().join(gone, "cid", "left_anti"), "alone")
     # what follows reads written tables alone, so a lost executor needs neither folder again
-    discard(keyed.sparkSession, found_at)
+    discard(spark, found_at)
+    free_shuffles(spark)
     if not alone.isEmpty():
         more = materialise(_second_look(classes, alone, threshold), "more")
+        free_shuffles(spark)
         sets = _sets(keyed, classes, more.select(F.col("a").alias("cid")).union(more.select("b")).distinct())
-        gone = gone.union(_later(more, materialise(sets, "sets"), threshold))
+        sets = materialise(sets, "sets")
+        free_shuffles(spark)
+        gone = gone.union(_later(materialise(_plausible(more, sets, threshold), "rest"), sets, threshold))
     stay = classes.select("cid", "doc_id", "_h", "line").join(gone, "cid", "left_anti")
     return stay.groupBy("doc_id", "_h").agg(F.collect_list("line").alias("kept"))
 

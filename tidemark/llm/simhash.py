@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batch_bytes, group_starts, map_arrow, mix64, ranges, whole_groups
 from tidemark.llm.graph import components
 from tidemark.llm.registry import query, table
-from tidemark.session import discard, materialise, materialise_at
+from tidemark.session import discard, free_shuffles, materialise, materialise_at
 
 RADIUS = 3
 #: Larger shards are dealt again by the blocks of their remaining bits.
@@ -436,7 +436,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = materialise(marks.select("doc_id", "digest"), "members")
     discard(spark, marks_at)
+    free_shuffles(spark)
     linked = materialise(similar_links(classes, radius, threshold, shard_rows), "linked")
+    free_shuffles(spark)
     placed = materialise(_placed(classes.select("cid"), linked), "placed")
     # the components found are one edge per class here; the links missed join them
     every = placed.select(F.col("cid").alias("a"), F.col("top").alias("b")).union(missed_links(classes, placed, threshold))
