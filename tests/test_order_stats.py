@@ -108,3 +108,28 @@ def test_ordered_index_numbers_every_row_once(spark):
     for g in (0, 1):
         mine = sorted((r["k"], r["i"], r["index"]) for r in rows if r["g"] == g)
         assert [m[2] for m in mine] == list(range(250))
+
+
+def test_few_values_are_counted_outright_and_many_are_not(spark):
+    rng = np.random.default_rng(5)
+    few, many = rng.integers(-2, 3, 4_000) * 0.5, rng.normal(size=4_000)
+    few[:40], gone = np.nan, np.full(4_000, np.nan)
+    rows = order_stats.tally(frame(spark, few=few, many=many, gone=gone), ["few", "many", "gone"], few=5).collect()
+    got = {r["feature"]: r for r in rows}
+    values, counts = np.unique(few[40:], return_counts=True)
+    assert (got[0]["missing"], got[0]["n"], got[0]["values"], got[0]["counts"]) == (40, 3_960, values.tolist(), counts.tolist())
+    assert got[1]["values"] is None and (got[1]["n"], got[1]["low"], got[1]["high"]) == (4_000, many.min(), many.max())
+    assert (got[2]["missing"], got[2]["n"], got[2]["low"]) == (4_000, 0, None)
+    # partitions that hold few values each, but many together
+    apart = spark.range(0, 40, 1, 10).selectExpr("CAST(id DIV 4 AS DOUBLE) AS x")
+    assert order_stats.tally(apart, ["x"], few=5).collect()[0]["values"] is None
+
+
+def test_quantiles_of_few_values_take_one_pass(spark, monkeypatch):
+    few = np.random.default_rng(6).integers(0, 90, 9_000) * 1.25
+    df = frame(spark, **{f"c{i}": few + i for i in range(70)})
+    monkeypatch.setattr(order_stats, "values_in", None)
+    monkeypatch.setattr(order_stats, "histogram", None)
+    got = exact_quantiles(df, df.columns, DECILES, leaf_rows=10)
+    for i in range(70):
+        assert np.allclose(got[f"c{i}"], np.quantile(few + i, DECILES), rtol=0, atol=1e-12)

@@ -124,3 +124,25 @@ def test_band_counts_include_zero(spark):
     report = small_table(spark, [("a", "major")], "feature string, band string")
     assert {r["band"]: r["features"] for r in P.band_counts(report).collect()} == {
         "stable": 0, "moderate": 0, "major": 1, "unmeasurable": 0}
+
+
+def test_features_of_few_values_need_no_counting_pass(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+
+    def side(n, shift):
+        few = rng.integers(0, 40, n) + shift
+        return spark.createDataFrame(pd.DataFrame({"few": np.where(rng.random(n) < 0.1, np.nan, few), "many": rng.normal(size=n)})).repartition(3)
+
+    reference, current = side(3_000, 0).cache(), side(2_000, 7).cache()
+    whole = {r["feature"]: r for r in P.drift_table(reference, current).collect()}
+    values = [df.toPandas()["few"].to_numpy() for df in (reference, current)]
+    edges = np.unique(np.quantile(values[0][~np.isnan(values[0])], np.arange(11) / 10))
+    shares = []
+    for v in values:
+        bins = np.bincount(np.searchsorted(edges[1:-1], v[~np.isnan(v)]), minlength=len(edges) - 1)
+        shares.append(np.maximum(np.append(bins, np.isnan(v).sum()) / len(v), 1e-6))
+    assert whole["few"]["psi_all"] == pytest.approx(float(((shares[1] - shares[0]) * np.log(shares[1] / shares[0])).sum()), abs=1e-9)
+    assert whole["many"]["psi_all"] is not None
+    monkeypatch.setattr(P, "histogram", None)
+    alone = P.drift_table(reference, current, features=["few"]).collect()
+    assert alone[0]["psi_all"] == pytest.approx(whole["few"]["psi_all"], abs=1e-12)
