@@ -106,6 +106,35 @@ def test_bootstrap_equals_brute_force_with_hot_scores(spark, rows_per_range):
             assert got[(name, k)] == pytest.approx(average_precision(y, p, w[:, k]), abs=1e-9)
 
 
+def test_drawn_weights_take_a_byte_and_follow_the_written_rule():
+    ids, draws = np.array([0, 1, B.MODULUS - 1, B.MODULUS, 2**40 + 3, -5], dtype=np.int64), np.arange(40_000)
+    w = B.draw_weights(ids, draws, 42)
+    assert w.nbytes == w.size
+    for i, key in enumerate(ids.tolist()):
+        for b in range(0, 40_000, 97):
+            x = (((key % B.MODULUS) * 48_271 + 42 * 69_621 + 1) % B.MODULUS) ^ (b * 1_640_531_527 % B.MODULUS)
+            x = x * 48_271 % B.MODULUS
+            x = (x ^ (x >> 15)) * 69_621 % B.MODULUS
+            x = (x ^ (x >> 13)) * 16_807 % B.MODULUS
+            assert w[i, b] == sum(x >= step for step in B.POISSON_STEPS)
+
+
+@pytest.mark.parametrize("block", [1, 36, 10**6])
+def test_runs_of_equal_scores_may_cross_blocks(monkeypatch, block):
+    monkeypatch.setattr(B, "BLOCK_CELLS", block)
+    rng = np.random.default_rng(4)
+    ids, y, score = np.arange(300), rng.random(300) < 0.2, np.round(rng.random(300), 2)
+    rows = pd.DataFrame({"id": ids, "y": y.astype(int), "score": score})
+    offset = pd.DataFrame({"above_pos": [np.arange(12.0)], "above_neg": [np.zeros(12)]})
+    got = B._parts(12, 42)(("m", 0.0), rows, offset)["part"][0]
+    w, want = B.draw_weights(ids, np.arange(12), 42).astype(float), np.zeros(12)
+    for s in np.unique(score):
+        tp = np.arange(12.0) + w[(score >= s) & y].sum(axis=0)
+        total = tp + w[(score >= s) & ~y].sum(axis=0)
+        want += w[(score == s) & y].sum(axis=0) * np.divide(tp, total, out=np.zeros(12), where=total > 0)
+    assert np.allclose(got, want, rtol=1e-12)
+
+
 def test_bootstrap_weights_are_poisson():
     w = B.draw_weights(np.arange(20_000, dtype=np.int64), np.arange(20), 42)
     assert w.mean() == pytest.approx(1.0, abs=0.01) and w.var() == pytest.approx(1.0, abs=0.02)

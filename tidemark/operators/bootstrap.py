@@ -31,19 +31,42 @@ POISSON_STEPS = [
     int(MODULUS * c) for c in np.cumsum([np.exp(-1.0) / f for f in
                                          (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
 ]
-BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 1_000_000
+#: Cells that are drawn together: their intermediate numbers stay in a core's cache.
+DRAWN_CELLS = 32_768
+
+
+def _times(x: np.ndarray, multiplier: int, spare: np.ndarray) -> None:
+    """``x`` becomes ``x * multiplier % MODULUS``; a modulus of 2^31 - 1 folds the high bits onto the low ones."""
+    x *= np.uint64(multiplier)
+    np.right_shift(x, np.uint64(31), out=spare)
+    x &= np.uint64(MODULUS)
+    x += spare
+    # what is below the modulus wraps around to a huge number and stays
+    np.subtract(x, np.uint64(MODULUS), out=spare)
+    np.minimum(x, spare, out=x)
 
 
 def draw_weights(ids: np.ndarray, resamples: np.ndarray, seed: int) -> np.ndarray:
     """Weights of shape (rows, resamples)."""
-    start = ((ids % MODULUS) * MULTIPLIERS[0] + seed * MULTIPLIERS[1] + 1) % MODULUS
-    x = start[:, None] ^ ((resamples * STRIDE) % MODULUS)[None, :]
-    x = (x * MULTIPLIERS[0]) % MODULUS
-    x ^= x >> SHIFTS[0]
-    x = (x * MULTIPLIERS[1]) % MODULUS
-    x ^= x >> SHIFTS[1]
-    x = (x * MULTIPLIERS[2]) % MODULUS
-    return np.searchsorted(np.asarray(POISSON_STEPS), x, side="right")
+    start = (((ids % MODULUS) * MULTIPLIERS[0] + seed * MULTIPLIERS[1] + 1) % MODULUS).astype(np.uint64)
+    strides = ((resamples * STRIDE) % MODULUS).astype(np.uint64)
+    weights = np.empty((len(start), len(strides)), dtype=np.uint8)
+    step = max(1, DRAWN_CELLS // max(1, len(strides)))
+    numbers = np.empty((2, step, len(strides)), dtype=np.uint64)
+    for a in range(0, len(start), step):
+        x, spare = numbers[:, : min(step, len(start) - a)]
+        np.bitwise_xor(start[a : a + step, None], strides[None, :], out=x)
+        for multiplier, shift in zip(MULTIPLIERS, (*SHIFTS, None)):
+            _times(x, multiplier, spare)
+            if shift is not None:
+                np.right_shift(x, np.uint64(shift), out=spare)
+                x ^= spare
+        small, drawn = x.astype(np.int32), weights[a : a + step]
+        drawn[...] = small >= np.int32(POISSON_STEPS[0])
+        for bound in POISSON_STEPS[1:]:
+            drawn += (small >= np.int32(bound)).view(np.uint8)
+    return weights
 
 
 def _blocks(n: int, width: int):
@@ -61,9 +84,9 @@ def _sums(resamples: int, seed: int):
         ids, y = rows["id"].to_numpy(np.int64), rows["y"].to_numpy() == 1
         for a, b in _blocks(len(rows), resamples):
             w = draw_weights(ids[a:b], draws, seed)
-            hit = y[a:b]
-            pos += w[hit].sum(axis=0)
-            neg += w[~hit].sum(axis=0)
+            hits = w[y[a:b]].sum(axis=0)
+            pos += hits
+            neg += w.sum(axis=0) - hits
         return pd.DataFrame([{"model": key[0], "range": key[1], "hot": key[2], "pos": pos, "neg": neg}])
 
     return run
@@ -111,28 +134,41 @@ def _parts(resamples: int, seed: int):
         rows = rows.sort_values("score", ascending=False)
         score = rows["score"].to_numpy()
         ids, y = rows["id"].to_numpy(np.int64), rows["y"].to_numpy() == 1
-        ends = np.append(np.flatnonzero(np.diff(score)) + 1, len(score))
-        closing = set(ends.tolist())
+        # Runs of equal scores; neighbouring runs without a positive only add to the false ones and count as one.
+        starts = np.append(0, np.flatnonzero(np.diff(score)) + 1)
+        holds = np.logical_or.reduceat(y, starts)
+        kept = holds | np.append(True, holds[:-1])
+        starts, holds = starts[kept], holds[kept]
         tp = np.array(offset["above_pos"].iloc[0], dtype=float)
         fp = np.array(offset["above_neg"].iloc[0], dtype=float)
-        part = np.zeros(resamples)
-        # a run of equal scores may cross blocks: what it has gathered waits until it ends
-        open_pos, open_neg = np.zeros(resamples), np.zeros(resamples)
-        for a, b in _blocks(len(rows), resamples):
-            w = draw_weights(ids[a:b], draws, seed)
-            hit = y[a:b, None]
-            starts = np.append(a, ends[(ends > a) & (ends < b)]) - a
-            pos = np.add.reduceat(w * hit, starts, axis=0).astype(float)
-            neg = np.add.reduceat(w * ~hit, starts, axis=0).astype(float)
-            pos[0] += open_pos
-            neg[0] += open_neg
-            whole = len(pos) if b in closing else len(pos) - 1
-            open_pos, open_neg = (np.zeros(resamples),) * 2 if whole == len(pos) else (pos[-1], neg[-1])
-            if not whole:
-                continue
-            up_tp, up_fp = tp + np.cumsum(pos[:whole], axis=0), fp + np.cumsum(neg[:whole], axis=0)
-            part += (pos[:whole] * _precision(up_tp, up_fp)).sum(axis=0)
-            tp, fp = up_tp[-1], up_fp[-1]
+        part, total = np.zeros(resamples), np.empty(resamples)
+        blocks = iter(_blocks(len(rows), resamples))
+        a = b = 0
+        for at, end, positive in zip(starts.tolist(), [*starts[1:].tolist(), len(score)], holds.tolist()):
+            pos = np.zeros(resamples)
+            # a run may cross blocks: its precision waits until it ends
+            while at < end:
+                if at >= b:
+                    a, b = next(blocks)
+                    w = draw_weights(ids[a:b], draws, seed)
+                until = min(end, b)
+                mine = w[at - a : until - a]
+                if not positive:
+                    fp += mine.sum(axis=0) if len(mine) > 1 else mine[0]
+                elif len(mine) == 1 and y[at]:
+                    pos += mine[0]
+                else:
+                    hit = y[at:until]
+                    pos += mine[hit].sum(axis=0)
+                    fp += mine[~hit].sum(axis=0)
+                at = until
+            if positive:
+                tp += pos
+                # weights are whole numbers, so a total below one is zero
+                np.maximum(np.add(tp, fp, out=total), 1.0, out=total)
+                np.divide(tp, total, out=total)
+                total *= pos
+                part += total
         return pd.DataFrame([{"model": key[0], "part": part}])
 
     return run
