@@ -128,3 +128,36 @@ def test_numbers_do_not_depend_on_the_size_of_a_partition(spark):
     sizes = {r["p"]: r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()}
     assert [r[0] for r in rows.select(SC._number(sizes, 1 << 40)).collect()] == [(1 << 40) + i for i in range(1, 51)]
     assert rows.where("id < 0").select(SC._number({}, 0)).collect() == []
+
+
+def test_a_part_known_to_hold_what_raises_is_not_tried_whole():
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.streaming.scoring import guarded
+
+    tried = []
+
+    def score(rows):
+        tried.append(len(rows))
+        if (rows["a"] == 700).any():
+            raise RuntimeError("one row cannot be scored")
+        assert list(rows.index) == list(range(len(rows)))
+        return rows["a"] * 2
+
+    run = guarded(score, ["a"])
+    attempt = dict(zip(run.__code__.co_freevars, (c.cell_contents for c in run.__closure__)))["run"].func
+    rows = pd.DataFrame({"a": np.arange(1_024.0)})
+    got = attempt(rows).to_numpy()
+    assert np.isnan(got[700]) and np.array_equal(np.delete(got, 700), np.delete(np.arange(1_024.0) * 2, 700))
+    assert len(tried) < 21  # 21 if both halves of every part are tried
+
+    def together(rows):
+        if len(rows) > 3:
+            raise RuntimeError("too many at once")
+        return rows["a"]
+
+    run = guarded(together, ["a"])
+    attempt = dict(zip(run.__code__.co_freevars, (c.cell_contents for c in run.__closure__)))["run"].func
+    assert np.array_equal(attempt(rows).to_numpy(), rows["a"].to_numpy())
+    assert len(attempt(rows.iloc[:0])) == 0

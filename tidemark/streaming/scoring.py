@@ -84,17 +84,29 @@ def tree_scorer(version: str, threshold: float, model: GBTClassificationModel |
 def guarded(score: Callable[[pd.DataFrame], np.ndarray], columns: list[str]) -> Callable[[], Column]:
     """A challenger's score as a pandas UDF: rows that fail become NULL, nothing else changes.
 
-    A batch that raises is halved until only the rows that raise are left without a score.
+    A batch that raises is halved until only the rows that raise are left without a score. Where the first
+    half is scored, what raised is in the second, which is halved again without being tried whole.
     """
 
     def attempt(rows: pd.DataFrame) -> np.ndarray:
-        try:
-            return np.asarray(score(rows.reset_index(drop=True)), dtype=float)
-        except Exception:
-            if len(rows) <= 1:
-                return np.full(len(rows), np.nan)
-            half = len(rows) // 2
-            return np.concatenate([attempt(rows.iloc[:half]), attempt(rows.iloc[half:])])
+        values, names = rows.to_numpy(), rows.columns
+        scores = np.full(len(values), np.nan)
+
+        def part(a: int, b: int, untried: bool = True) -> bool:
+            if untried or b - a == 1:
+                try:
+                    scores[a:b] = np.asarray(score(pd.DataFrame(values[a:b], columns=names)), dtype=float)
+                    return True
+                except Exception:
+                    scores[a:b] = np.nan
+            if b - a > 1:
+                half = a + (b - a) // 2
+                part(half, b, untried=not part(a, half))
+            return False
+
+        if len(values):
+            part(0, len(values))
+        return scores
 
     @F.pandas_udf(T.DoubleType())
     def run(rows: pd.DataFrame) -> pd.Series:
