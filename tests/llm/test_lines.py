@@ -80,3 +80,28 @@ def test_short_words_lose_no_pair_and_rule_most_others_out(spark):
     assert match and match <= got and len(got) < len(every) / 10
     # twenty words that agree in two bytes are told apart by the whole sets only
     assert (60, 61) in got and (60, 61) not in match
+
+
+@pytest.mark.parametrize("most, at_once", [(L.FIRST, L.PAIRS_AT_ONCE), (0, 50)])
+def test_long_lines_of_one_vocabulary_make_few_pairs_and_lose_none(spark, monkeypatch, most, at_once):
+    rng = np.random.default_rng(3)
+    fresh = lambda n: rng.choice(1500, n, replace=False)
+    lines = [fresh(n) for n in np.repeat([60, 68, 140, 155, 320, 340], 25)]
+    # the lengths of these pairs lie on both sides of the bounds at which sketches grow
+    lines += [np.append(a, np.setdiff1d(fresh(200), a)[: max(1, len(a) // 10)]) for a in lines[::5]]
+    rows = [(i, " ".join(f"w{w}" for w in line)) for i, line in enumerate(lines)]
+    made = {}
+    keep = L.materialise_at
+
+    def noted(df, purpose):
+        made[purpose] = keep(df, purpose)
+        return made[purpose]
+
+    monkeypatch.setattr(L, "materialise_at", noted)
+    monkeypatch.setattr(L, "discard", lambda spark, path: None)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.removed for r in L.repeated_lines(df, most=most, at_once=at_once).collect()}
+    assert got == {i: gone for (i, _), gone in expected(rows).items()}
+    assert sum(map(len, got.values())) == 30
+    if most:
+        assert made["candidates"][0].filter("kind = 0").select("a", "b").distinct().count() <= 60

@@ -4,7 +4,8 @@ A line is the set of its words. Words are ordered from rare to common by a table
 that counts hashed words over the whole corpus; any order is exact, a good one keeps lists short.
 Lines of equal sets are one class. Classes meet through the words of their prefix; length, position
 and parity filters thin the pairs, the Jaccard similarity of the whole sets decides, and of
-two lines that match the later one goes.
+two lines that match the later one goes. The parity sketch of a long line is wider, as 64 bits of
+many words differ by chance in no more places than a match may.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ FIRST = 4
 PAIRS_AT_ONCE = 1_000_000
 POSTINGS_PER_PART = 400_000
 _RARITY_BITS = 16
+#: Sets of more words than these have parity sketches of 2, 4 and 8 times 64 bits.
+_WIDER = np.array([64, 150, 330])
 #: Bits of the filter that keeps unconcerned documents out of the second shuffle of texts.
 _FILTER_BITS = 1 << 23
 
@@ -47,12 +50,20 @@ def _line_sets(data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray | None)
     broken = np.searchsorted(breaks, begin)
     number = broken - np.searchsorted(breaks, offsets[row])
     line = broken + row  # grows with the row and with each line break
-    order = np.lexsort((words, line))
-    words, line, row, number = words[order], line[order], row[order], number[order]
-    first = group_starts(line, words)
-    words, line, row, number = words[first], line[first], row[first], number[first]
     starts = group_starts(line)
-    return row[starts], number[starts], starts, np.diff(np.append(starts, len(line))), words
+    row, number = row[starts], number[starts]
+    line = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(line))))
+    # one key of the line and the upper bits of the word; words that differ below them are rare and sorted by both
+    bits = np.uint64(len(starts).bit_length())
+    key = line.astype(np.uint64) << np.uint64(64) - bits | words >> bits if len(starts) else words
+    order = np.argsort(key)
+    key, sorted_ = key[order], words[order]
+    if ((key[1:] == key[:-1]) & (sorted_[1:] != sorted_[:-1])).any():
+        sorted_ = words[np.lexsort((words, line))]
+    first = group_starts(line, sorted_)
+    words, line = sorted_[first], line[first]
+    starts = group_starts(line)
+    return row, number, starts, np.diff(np.append(starts, len(line))), words
 
 
 def rarity_table(docs: DataFrame) -> np.ndarray:
@@ -84,6 +95,33 @@ def _prefix(size: np.ndarray, threshold: float) -> np.ndarray:
     return np.where(size * (1 / threshold - 1) >= 1 - 1e-9, size - least + 1, 0)
 
 
+def _cells(size: np.ndarray) -> np.ndarray:
+    """Cells of 64 bits in the parity sketch of a set."""
+    return np.left_shift(1, np.searchsorted(_WIDER, size, "left"))
+
+
+def _wide_sketches(mixed: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the sketches of all sets that have more than one, end to end, and how many each set has (0 for one)."""
+    cells = _cells(size)
+    cells[cells == 1] = 0
+    ends = np.cumsum(cells)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
+    for n in np.unique(cells[cells > 0]).tolist():
+        sets = np.flatnonzero(cells == n)
+        words = mixed[ranges(starts[sets], size[sets])]
+        first = np.cumsum(size[sets]) - size[sets]
+        bits, cell = np.uint64(1) << (words & np.uint64(63)), words >> np.uint64(6) & np.uint64(n - 1)
+        for i in range(n):
+            out[ends[sets] - n + i] = np.bitwise_xor.reduceat(np.where(cell == i, bits, np.uint64(0)), first)
+    return out, cells
+
+
+def _binary(data: bytes, lengths: np.ndarray) -> pa.Array:
+    """Consecutive pieces of `data` as a binary column."""
+    cut = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(cut), pa.py_buffer(data)])
+
+
 def _classes(keyed: DataFrame, rarity: np.ndarray, threshold: float) -> DataFrame:
     """One row per set of words: the first line that has it, its size, parity sketch and prefix."""
     id_type = keyed.schema["doc_id"].dataType.simpleString()
@@ -96,17 +134,16 @@ def _classes(keyed: DataFrame, rarity: np.ndarray, threshold: float) -> DataFram
         one, two = (np.add.reduceat(m, starts) if len(starts) else m for m in (mixed, mix64(mixed ^ np.uint64(0x5851F42D4C957F2D))))
         parity = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(63)), starts) if len(starts) else mixed
         take = _prefix(size, threshold)
-        head = (words[ranges(starts, take)] >> np.uint64(32)).astype("<u4").tobytes()
-        cut = 4 * np.append(0, np.cumsum(take))
-        prefix = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(head)])
+        prefix = _binary((words[ranges(starts, take)] >> np.uint64(32)).astype("<u4").tobytes(), 4 * take)
+        wide, cells = _wide_sketches(mixed, starts, size)
         rows = pa.array(row)
         return pa.RecordBatch.from_arrays([
             batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number.astype(np.int32)), pa.array(one.view(np.int64)),
-            pa.array(two.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(parity.view(np.int64)), prefix,
-        ], ["doc_id", "_h", "line", "k1", "k2", "size", "parity", "prefix"])
+            pa.array(two.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(parity.view(np.int64)), _binary(wide.tobytes(), 8 * cells), prefix,
+        ], ["doc_id", "_h", "line", "k1", "k2", "size", "parity", "wide", "prefix"])
 
-    lines = map_arrow(keyed, f"doc_id {id_type}, _h bigint, line int, k1 bigint, k2 bigint, size int, parity bigint, prefix binary", work)
-    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "_h", "line", "size", "parity", "prefix")).alias("c")).select("c.*")
+    lines = map_arrow(keyed, f"doc_id {id_type}, _h bigint, line int, k1 bigint, k2 bigint, size int, parity bigint, wide binary, prefix binary", work)
+    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "_h", "line", "size", "parity", "wide", "prefix")).alias("c")).select("c.*")
     # sorted by first occurrence over all partitions, so that a smaller cid is an earlier line
     at = ("doc_id", "_h", "line")
     return first.repartitionByRange(*at).sortWithinPartitions(*at).withColumn("cid", F.monotonically_increasing_id())
@@ -116,7 +153,7 @@ _POSTING = np.dtype([("word", "<u4"), ("cid", "<i8"), ("size", "<u4"), ("place",
 
 
 def _dealt(classes: DataFrame, parts: int) -> DataFrame:
-    """Postings of the prefixes, packed into one block per batch and part."""
+    """Postings of the prefixes and the wide sketches of each, packed into one block per batch and part."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, offsets = batch_bytes(batch.column(3))
@@ -133,20 +170,66 @@ def _dealt(classes: DataFrame, parts: int) -> DataFrame:
         out, part = out[order], part[order]
         starts = group_starts(part)
         blocks = [out[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(out)))]
-        return pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(blocks, pa.binary())], ["part", "block"])
-
-    return map_arrow(classes.select("cid", "size", "parity", "prefix"), "part bigint, block binary", work)
-
-
-def _may_match(sizes: tuple, places: tuple, parities: tuple, threshold: float) -> np.ndarray:
-    """Length, position and parity filters: False only if the pair cannot reach the threshold."""
-    (nx, ny), (px, py) = sizes, places
-    needed = np.ceil(threshold / (1 + threshold) * (nx + ny) - 1e-9).astype(np.int64)
-    return (
-        (np.bitwise_count(parities[0] ^ parities[1]) <= nx + ny - 2 * needed)
-        & (np.minimum(nx - px, ny - py) >= needed)
-        & (np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-9)
-    )
+        raw, offsets = batch_bytes(batch.column(4))
+        owner = np.repeat(np.arange(len(count)), count)[order]
+        cells = np.diff(offsets)[owner] // 8
+        wide = np.frombuffer(raw.tobytes(), "<u8")[ranges(offsets[owner] // 8, cells)]
+        lengths = 8 * np.add.reduceat(cells, starts) if len(starts) else starts
+        return pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(blocks, pa.binary()), _binary(wide.tobytes(), lengths)], ["part", "block", "wide"])
+
+    return map_arrow(classes.select("cid", "size", "parity", "prefix", "wide"), "part bigint, block binary, wide binary", work)
+
+
+class _Lists:
+    """Sorted postings of words that several lines have, and the filters on pairs of them."""
+
+    def __init__(self, rows: np.ndarray, wide: np.ndarray, threshold: float):
+        cells = _cells(rows["size"])
+        cells[cells == 1] = 0
+        begin = np.cumsum(cells) - cells
+        # by time within a list, as long lists want it
+        order = np.lexsort((rows["cid"], rows["word"]))
+        word = rows["word"][order]
+        first = group_starts(word)
+        length = np.diff(np.append(first, len(word)))
+        order = order[np.repeat(length > 1, length)]
+        rows, cells, begin = rows[order], cells[order], begin[order]
+        self.threshold, self.cid, self.cells = threshold, rows["cid"], cells
+        self.size, self.place, self.parity = rows["size"].astype(np.int32), rows["place"].astype(np.int32), np.ascontiguousarray(rows["parity"])
+        self.first = group_starts(rows["word"])
+        self.bounds = np.append(self.first, len(rows))
+        # sketches folded to each width that a pair of rows can share, and where a row has its own
+        self.folded = {}
+        for n in np.unique(cells[cells > 0]).tolist():
+            slot, parts, at = np.zeros(len(rows), np.int32), [], 0
+            for own in np.unique(cells[cells >= n]).tolist():
+                held = np.flatnonzero(cells == own)
+                slot[held] = at + np.arange(len(held))
+                at += len(held)
+                parts.append(np.bitwise_xor.reduce(wide[ranges(begin[held], cells[held])].reshape(len(held), own // n, n), axis=1))
+            self.folded[n] = slot, np.concatenate(parts)
+
+    def __len__(self) -> int:
+        return len(self.cid)
+
+    def may_match(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows that the length, position and parity filters leave; only pairs that cannot reach the threshold go."""
+        nx, ny = self.size[i], self.size[j]
+        needed = np.ceil(self.threshold / (1 + self.threshold) * (nx + ny) - 1e-9).astype(np.int32)
+        ok = (
+            (np.bitwise_count(self.parity[i] ^ self.parity[j]) <= nx + ny - 2 * needed)
+            & (np.minimum(nx - self.place[i], ny - self.place[j]) >= needed)
+            & (np.minimum(nx, ny) >= self.threshold * np.maximum(nx, ny) - 1e-9)
+        )
+        i, j, most = i[ok], j[ok], (nx + ny - 2 * needed)[ok]
+        shared = np.minimum(self.cells[i], self.cells[j])
+        ok = np.ones(len(i), bool)
+        for n, (slot, sketch) in self.folded.items():
+            at = np.flatnonzero(shared == n)
+            # about 8 MB of sketches at once
+            for part in np.array_split(at, max(1, len(at) * n >> 19)):
+                ok[part] = np.bitwise_count(sketch[slot[i[part]]] ^ sketch[slot[j[part]]]).sum(axis=1, dtype=np.int64) <= most[part]
+        return i[ok], j[ok]
 
 
 def _kept_first(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,9 +242,8 @@ def _kept_first(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np
     return x[first], y[first], y[starts][count > most]
 
 
-def _long_list(columns: tuple, begin: int, end: int, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _long_list(lists: _Lists, begin: int, end: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for one long list, in blocks: lines that have enough pairs are not looked at again."""
-    size, place, parity = (c[begin:end] for c in columns)
     found = np.zeros(end - begin, np.int64)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, end - begin, 256):
@@ -170,14 +252,13 @@ def _long_list(columns: tuple, begin: int, end: int, threshold: float, most: int
         for part in np.array_split(open_, max(1, len(open_) // 1024)):
             i, j = np.divmod(np.arange((stop - at) * len(part)), max(1, len(part)))
             i, j = i + at, part[j]
-            i, j = i[j > i], j[j > i]
-            ok = _may_match((size[i], size[j]), (place[i], place[j]), (parity[i], parity[j]), threshold)
-            i, j = i[ok], j[ok]
-            left.append(i[found[j] < most])
-            right.append(j[found[j] < most])
-            np.add.at(found, j, 1)
+            i, j = lists.may_match(begin + i[j > i], begin + j[j > i])
+            few = found[j - begin] < most
+            left.append(i[few])
+            right.append(j[few])
+            np.add.at(found, j - begin, 1)
     x, y, _ = _kept_first(np.concatenate(left), np.concatenate(right), most)
-    return begin + x, begin + y, begin + np.flatnonzero(found > most)
+    return x, y, begin + np.flatnonzero(found > most)
 
 
 def _candidates(part: pa.Table, threshold: float, most: int, at_once: int) -> Iterator[pa.RecordBatch]:
@@ -186,26 +267,21 @@ def _candidates(part: pa.Table, threshold: float, most: int, at_once: int) -> It
     starts = np.append(group_starts(key), len(key))
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
         rows = np.frombuffer(b"".join(part.column("block").slice(a, b - a).to_pylist()), _POSTING)
-        # by time within a list, as long lists want it; the others are put by size
-        rows = rows[np.lexsort((rows["cid"], rows["word"]))]
-        first = group_starts(rows["word"])
-        length = np.diff(np.append(first, len(rows)))
-        alone = np.repeat(length == 1, length)
-        rows = rows[~alone]
-        first = group_starts(rows["word"])
-        bounds = np.append(first, len(rows))
-        size, place, parity = rows["size"].astype(np.int64), rows["place"].astype(np.int64), np.ascontiguousarray(rows["parity"])
+        wide = np.frombuffer(b"".join(part.column("wide").slice(a, b - a).to_pylist()), "<u8")
+        lists = _Lists(rows, wide, threshold)
+        del rows, wide
+        size, first, bounds = lists.size, lists.first, lists.bounds
         list_of = np.repeat(np.arange(len(first)), np.diff(bounds))
         by_size = np.lexsort((size, list_of))
-        wide = list_of[by_size] << 33
+        key_of = list_of[by_size] << 33
         # partners of a row stand behind it, up to the largest size that can still match
         limit = np.floor(size[by_size] / threshold + 1e-9).astype(np.int64)
-        reach = np.searchsorted(wide | size[by_size], wide | limit, "right") - np.arange(len(rows)) - 1
+        reach = np.searchsorted(key_of | size[by_size], key_of | limit, "right") - np.arange(len(lists)) - 1
         load = np.add.reduceat(reach, first) if len(first) else reach
         left, right, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         long = load > at_once
         for i in np.flatnonzero(long).tolist():
-            x, y, open_ = _long_list((size, place, parity), int(bounds[i]), int(bounds[i + 1]), threshold, most)
+            x, y, open_ = _long_list(lists, int(bounds[i]), int(bounds[i + 1]), most)
             left.append(x)
             right.append(y)
             more.append(open_)
@@ -216,34 +292,38 @@ def _candidates(part: pa.Table, threshold: float, most: int, at_once: int) -> It
             span = slice(int(bounds[low]), int(bounds[high]))
             i = np.repeat(np.arange(span.start, span.stop), reach[span])
             j = ranges(np.arange(span.start, span.stop) + 1, reach[span])
-            i, j = by_size[i], by_size[j]
-            ok = _may_match((size[i], size[j]), (place[i], place[j]), (parity[i], parity[j]), threshold)
-            x, y, open_ = _kept_first(np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok]), most)
+            i, j = lists.may_match(by_size[i], by_size[j])
+            x, y, open_ = _kept_first(np.minimum(i, j), np.maximum(i, j), most)
             left.append(x)
             right.append(y)
             more.append(open_)
         x, y = np.concatenate(left), np.concatenate(right)
-        same = rows["cid"][x] == rows["cid"][y]
+        cid = lists.cid
+        same = cid[x] == cid[y]
         x, y = x[~same], y[~same]
-        order = np.lexsort((rows["cid"][x], rows["cid"][y]))
+        order = np.lexsort((cid[x], cid[y]))
         x, y = x[order], y[order]
-        once = group_starts(rows["cid"][y], rows["cid"][x]) if len(x) else x
+        once = group_starts(cid[y], cid[x]) if len(x) else x
         x, y = x[once], y[once]
-        again = np.unique(rows["cid"][np.concatenate(more)])
+        again = np.unique(cid[np.concatenate(more)])
         yield pa.RecordBatch.from_arrays([
             pa.array(np.append(np.zeros(len(x), np.int32), np.ones(len(again), np.int32))),
-            pa.array(np.append(rows["cid"][x], again)), pa.array(np.append(rows["cid"][y], again))], ["kind", "a", "b"])
+            pa.array(np.append(cid[x], again)), pa.array(np.append(cid[y], again))], ["kind", "a", "b"])
+
+
+def _bits(slots: DataFrame, size: int) -> np.ndarray:
+    """A filter of `size` bits, set at the numbers of the column ``slot``; at most size / 64 rows come back."""
+    words = slots.selectExpr("shiftright(slot, 6) AS w", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
+    bits = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(size // 64, np.int64)
+    out[bits["w"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
 
 
 def _concerned(keyed: DataFrame, asked: DataFrame) -> DataFrame:
     """Documents that a filter of fixed size takes for asked; it errs only by letting others through."""
     slot = F.pmod(F.xxhash64("doc_id", "_h"), F.lit(_FILTER_BITS))
-    # at most _FILTER_BITS / 64 rows come back
-    words = asked.select(slot.alias("slot")).selectExpr("shiftright(slot, 6) AS w", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
-    bits = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
-    table_ = np.zeros(_FILTER_BITS // 64, np.int64)
-    table_[bits["w"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    table_ = table_.view(np.uint64)
+    table_ = _bits(asked.select(slot.alias("slot")), _FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,27 +404,44 @@ def _later(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return map_arrow(last, "cid bigint", work).distinct()
 
 
-def _second_look(classes: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+def _postings(classes: DataFrame, asked: np.ndarray | None = None) -> DataFrame:
+    """``word, cid, size, parity, place``: a row for each word of a prefix, at least for those that the filter `asked` takes for asked."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw, offsets = batch_bytes(batch.column(3))
+        word, count = np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), np.diff(offsets) // 4
+        owner, place = np.repeat(np.arange(len(count)), count), ranges(np.zeros(len(count), np.int64), count)
+        if asked is not None:
+            slot = word % _FILTER_BITS
+            hit = (asked[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)) == 1
+            word, owner, place = word[hit], owner[hit], place[hit]
+        columns = [batch.column(i).take(pa.array(owner)) for i in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(word), *columns, pa.array(place.astype(np.int32))], ["word", "cid", "size", "parity", "place"])
+
+    return map_arrow(classes.select("cid", "size", "parity", "prefix"), "word bigint, cid bigint, size int, parity bigint, place int", work)
+
+
+def _second_look(classes: DataFrame, lines: DataFrame, threshold: float) -> tuple[DataFrame, str]:
     """Pairs of the given lines with every line that shares a word of their prefixes."""
-    words = F.transform(
-        F.sequence(F.lit(0), (F.octet_length("prefix") / 4 - 1).cast("int")),
-        lambda i: F.struct(i.alias("place"), F.hex(F.substring(F.col("prefix"), i * 4 + 1, F.lit(4))).alias("word")))
-    postings = classes.filter(F.octet_length("prefix") > 0).select("cid", "size", "parity", F.inline(words))
+    mine, mine_at = materialise_at(_postings(classes.join(lines, "cid", "left_semi")), "mine")
+    asked = _bits(mine.select((F.col("word") % _FILTER_BITS).alias("slot")), _FILTER_BITS)
     side = lambda df, n: df.select("word", *[F.col(c).alias(f"{n}_{c}") for c in ("cid", "size", "parity", "place")])
-    joined = side(postings.join(lines, "cid", "left_semi"), "y").join(side(postings, "x"), "word")
+    joined = side(mine, "y").join(side(_postings(classes, asked), "x"), "word")
     total = F.col("x_size") + F.col("y_size")
     needed = F.ceil(threshold / (1 + threshold) * total - 1e-9)
     room = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
     joined = joined.filter(
         (F.col("x_cid") != F.col("y_cid")) & (F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size") - 1e-9)
         & (room >= needed) & (F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity"))) <= total - 2 * needed))
-    return joined.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct()
+    more = materialise_at(joined.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct(), "more")
+    discard(classes.sparkSession, mine_at)
+    return more
 
 
 def kept_lines(keyed: DataFrame, threshold: float = THRESHOLD, most: int = FIRST, at_once: int = PAIRS_AT_ONCE) -> DataFrame:
     """``doc_id, _h, kept``: numbers of the lines with words that stay, in documents that keep any."""
     spark = keyed.sparkSession
-    classes = materialise(_classes(keyed, rarity_table(keyed), threshold), "classes")
+    classes, classes_at = materialise_at(_classes(keyed, rarity_table(keyed), threshold), "classes")
     free_shuffles(spark)
     postings = classes.agg(F.sum(F.octet_length("prefix") / 4)).first()[0] or 0
     parts = max(1, math.ceil(postings / POSTINGS_PER_PART))
@@ -369,14 +466,19 @@ def kept_lines(keyed: DataFrame, threshold: float = THRESHOLD, most: int = FIRST
     discard(spark, found_at)
     free_shuffles(spark)
     if not alone.isEmpty():
-        more = materialise(_second_look(classes, alone, threshold), "more")
+        more, more_at = _second_look(classes, alone, threshold)
         free_shuffles(spark)
-        sets = _sets(keyed, classes, more.select(F.col("a").alias("cid")).union(more.select("b")).distinct())
-        sets = materialise(sets, "sets")
+        sets, sets_at = materialise_at(_sets(keyed, classes, more.select(F.col("a").alias("cid")).union(more.select("b")).distinct()), "sets")
+        free_shuffles(spark)
+        gone = materialise(gone.union(_later(materialise(_plausible(more, sets, threshold), "rest"), sets, threshold)), "gone")
+        discard(spark, sets_at)
+        discard(spark, more_at)
         free_shuffles(spark)
-        gone = gone.union(_later(materialise(_plausible(more, sets, threshold), "rest"), sets, threshold))
     stay = classes.select("cid", "doc_id", "_h", "line").join(gone, "cid", "left_anti")
-    return stay.groupBy("doc_id", "_h").agg(F.collect_list("line").alias("kept"))
+    kept = materialise(stay.groupBy("doc_id", "_h").agg(F.collect_list("line").alias("kept")), "kept")
+    discard(spark, classes_at)
+    free_shuffles(spark)
+    return kept
 
 
 def _worded() -> Column:
