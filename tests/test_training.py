@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranking as R
 from tidemark.plans import explain as XP
 from tidemark.plans import training as TR
 from tidemark.plans.trees import attributions, staged_probabilities, tree_tables
@@ -93,3 +94,23 @@ def test_top_factors_and_breakdown(spark):
     assert lines[-1]["contribution"] == pytest.approx(0.1) and lines[0]["decision"] == "BLOCK"
     with pytest.raises(XP.AdditivityError):
         XP.require_additive(df.withColumn("probability", F.lit(0.9)))
+
+
+def test_a_sweep_scores_equal_rows_once_and_counts_them_all(spark, monkeypatch):
+    rows = [(i, float(i), int((i % 5 >= 3) != (i % 11 == 0)), float(i % 5), float(i % 3)) for i in range(1_200)]
+    df = spark.createDataFrame(rows, "id long, dt double, label int, a double, b double")
+    train, val, given, plain = df.where("id < 1000"), df.where("id >= 1000"), [], TR.positive_probability
+
+    def scored(model, df, trees=None, keep=()):
+        given.append((model, df.toPandas()))
+        return plain(model, df, trees, keep)
+
+    monkeypatch.setattr(TR, "positive_probability", scored)
+    got = TR.config_sweep(train, val, "dt", ["id", "dt"], "label", [], SETTINGS, {"one": {}, "two": {"depth": 1}}, 0.5).collect()
+    assert len(given) == 2 and [r["config"] for r in got] == ["one", "two"]
+    for row, (model, equal) in zip(got, given):
+        assert len(equal) <= 60 and equal.groupby("slice")["n"].sum().to_dict() == {"train": 850, "val": 200}
+        for name, part in equal.groupby("slice"):
+            each = part.loc[part.index.repeat(part["n"])]
+            scores = spark.createDataFrame(pd.DataFrame({"score": model.prefix(row["trees"]).append(spark.createDataFrame(each[["inputs"]]), "s").toPandas()["s"], "label": each["label"].to_numpy()}))
+            assert R.ranking_metrics(scores, "score", "label").first()["pr_auc"] == pytest.approx(row[f"{name}_pr_auc"], abs=1e-12)
